@@ -46,12 +46,13 @@ def dual(cells: DataFrame, goals: DataFrame, most: float, steps: int) -> DataFra
 
     The multiplier per mean size solves sum n * min(most, exp(lambda z)) * size = target with z = size / mean size.
     """
+    cells = cells.select(F.col("source").alias("cell_source"), "size", "n")
     state = goals.select("source", "target", "source_size", "mean_size", F.lit(0.0).alias("lam"), F.lit(-60.0).alias("low"), F.lit(60.0).alias("high"))
     for step in range(steps):
         # one row for each source: a checked bound would not help, the join is as small as the list of sources
         seen = (
-            cells.join(state, cells["source"].eqNullSafe(state["source"]))
-            .select(state["source"], "lam", "low", "high", "target", "source_size", "mean_size", "n", "size", (F.col("size") / F.col("mean_size")).alias("z"))
+            cells.join(state, F.col("cell_source").eqNullSafe(F.col("source")))
+            .select("source", "lam", "low", "high", "target", "source_size", "mean_size", "n", "size", (F.col("size") / F.col("mean_size")).alias("z"))
             .withColumn("w", _rate(F.col("lam"), F.col("z"), most))
             .groupBy("source", "lam", "low", "high", "target", "source_size", "mean_size")
             .agg(F.sum(F.col("n") * F.col("size") * F.col("w")).alias("value"), F.sum(F.when(F.col("w") < most, F.col("n") * F.col("size") * F.col("w") * F.col("z")).otherwise(0.0)).alias("slope"))
@@ -84,8 +85,8 @@ def mix(docs: DataFrame, most: int = 3, steps: int = 18, blocks: int = 64, block
     cells = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-cells")
     sources = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("filled"))
     goals = targets(sources.select("source", "source_size"), most, 8).withColumnRenamed("source", "s")
-    means = sources.select("source", F.greatest(F.col("source_size") / F.greatest("filled", F.lit(1)), F.lit(1.0)).alias("mean_size"))
-    goals = means.join(goals, means["source"].eqNullSafe(goals["s"])).drop("s")
+    means = sources.select(F.col("source").alias("m"), F.greatest(F.col("source_size") / F.greatest("filled", F.lit(1)), F.lit(1.0)).alias("mean_size"))
+    goals = goals.join(means, F.col("s").eqNullSafe(F.col("m"))).withColumnRenamed("s", "source").drop("m")
     goals = dual(cells.filter("size > 0"), goals, most, steps)
     g = goals.withColumnRenamed("source", "s")
 
@@ -93,7 +94,7 @@ def mix(docs: DataFrame, most: int = 3, steps: int = 18, blocks: int = 64, block
     along = Window.partitionBy("source").orderBy(F.col("size").desc())
     w = F.when(F.col("target") >= F.col("source_size") * F.lit(float(most)), F.lit(float(most))).otherwise(_rate(F.col("lam"), F.col("size") / F.col("mean_size"), most))
     quota = (
-        cells.filter("size > 0").join(g, cells["source"].eqNullSafe(g["s"]))
+        cells.filter("size > 0").join(g, F.col("source").eqNullSafe(F.col("s")))
         .withColumn("upto", F.sum(F.col("n") * w).over(along.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("before", F.coalesce(F.lag(F.floor(F.col("upto") + 0.5)).over(along), F.lit(0)))
         .select("source", "size", F.least(F.floor(F.col("upto") + 0.5) - F.col("before"), F.col("n") * most).alias("quota"), F.col("n").alias("cell_n"))
@@ -103,14 +104,14 @@ def mix(docs: DataFrame, most: int = 3, steps: int = 18, blocks: int = 64, block
     by_block = keyed.filter("size > 0").groupBy("source", "size", "block").agg(F.count("*").alias("block_n"))
     q = quota.select(F.col("source").alias("qs"), F.col("size").alias("qz"), "quota", "cell_n")
     over = Window.partitionBy("source", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    share = by_block.join(q, by_block["source"].eqNullSafe(q["qs"]) & (by_block["size"] == q["qz"])).withColumn("upto_n", F.sum("block_n").over(over))
+    share = by_block.join(q, F.col("source").eqNullSafe(F.col("qs")) & (F.col("size") == F.col("qz"))).withColumn("upto_n", F.sum("block_n").over(over))
     edge = lambda n: F.floor(F.col("quota") * n / F.col("cell_n"))
     share = share.select(F.col("source").alias("bs"), F.col("size").alias("bz"), F.col("block").alias("bb"), "block_n", (edge(F.col("upto_n")) - edge(F.col("upto_n") - F.col("block_n"))).alias("block_quota"))
     at = Window.partitionBy("source", "size", "block").orderBy(F.xxhash64("id", "tie"), "id", "tie")
     ranked = keyed.withColumn("rank", F.row_number().over(at))
     k, n = F.col("block_quota"), F.col("block_n")
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(k / n) + (F.col("rank") <= k - F.floor(k / n) * n).cast("long"))
-    out = ranked.join(share, ranked["source"].eqNullSafe(share["bs"]) & (ranked["size"] == share["bz"]) & (ranked["block"] == share["bb"]), "left")
+    out = ranked.join(share, F.col("source").eqNullSafe(F.col("bs")) & (F.col("size") == F.col("bz")) & (F.col("block") == F.col("bb")), "left")
     out = materialize(out.select("id", "source", "size", "tie", "rank", F.coalesce(copies, F.lit(0)).cast("long").alias("copies")), "mix-copies")
 
     # what rounding has left of each source: one copy more or less of the document that closes most of it
@@ -118,7 +119,7 @@ def mix(docs: DataFrame, most: int = 3, steps: int = 18, blocks: int = 64, block
     for _ in range(close_rounds):
         moved = out if moves is None else _moved(out, moves)
         left = moved.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got")).withColumnRenamed("source", "ls")
-        left = left.join(g.select("s", "target"), left["ls"].eqNullSafe(g["s"])).select("ls", (F.col("target") - F.col("got")).alias("gap"))
+        left = left.join(g.select("s", "target"), F.col("ls").eqNullSafe(F.col("s"))).select("ls", (F.col("target") - F.col("got")).alias("gap"))
         room = moved.filter("size > 0").join(left, F.col("source").eqNullSafe(F.col("ls")))
         step = F.when((F.col("gap") > 0) & (F.col("copies") < most), 1).when((F.col("gap") < 0) & (F.col("copies") > 0), -1)
         after = F.abs(F.col("gap") - F.col("step") * F.col("size"))
@@ -129,14 +130,14 @@ def mix(docs: DataFrame, most: int = 3, steps: int = 18, blocks: int = 64, block
         )
         moves = materialize(best if moves is None else moves.unionByName(best), "mix-moves")
     out = _moved(out, moves)
-    out = out.join(g, out["source"].eqNullSafe(g["s"]), "left")
+    out = out.join(g, F.col("source").eqNullSafe(F.col("s")), "left")
     return out.select(F.col("id").alias(id_col), "source", "size", "tie", "rank", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _moved(out: DataFrame, moves: DataFrame) -> DataFrame:
     """At most a few rows for each source are moved; the join is by all that names a row."""
     m = moves.groupBy("ms", "mi", "mt", "mr").agg(F.sum("move").alias("move"))
-    same = out["id"].eqNullSafe(m["mi"]) & out["tie"].eqNullSafe(m["mt"]) & (out["rank"] == m["mr"]) & out["source"].eqNullSafe(m["ms"])
+    same = F.col("id").eqNullSafe(F.col("mi")) & F.col("tie").eqNullSafe(F.col("mt")) & (F.col("rank") == F.col("mr")) & F.col("source").eqNullSafe(F.col("ms"))
     return out.join(m, same, "left").select("id", "source", "size", "tie", "rank", (F.col("copies") + F.coalesce("move", F.lit(0))).alias("copies"))
 
 

@@ -28,7 +28,10 @@ def whole_tokens(processor) -> dict[str, int]:
             raise ValueError(f"a piece spans a space: {piece!r}")
         if piece.startswith(MARK):
             found.append(piece[1:].replace(MARK, " "))
-    return {x: 1 for x, ids in zip(found, processor.encode(found, num_threads=1)) if len(ids) == 1}
+    whole = {x: 1 for x, ids in zip(found, processor.encode(found, num_threads=1)) if len(ids) == 1}
+    if "" in found:  # a last single space; by itself the library would read it as an empty text
+        whole[""] = 1
+    return whole
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, table_rows: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
