@@ -32,16 +32,46 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portolan.llm.near_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: Exact links between shingle sets, and the smallest id that each text reaches over them.
+NEAR_DEDUP_SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+d AS (SELECT doc_id, len(s) AS n, s FROM g),
+i AS (SELECT doc_id, n, unnest(s) AS t FROM d),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b FROM i a JOIN i b ON a.t = b.t AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 85
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) * 100 >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM c UNION SELECT b, a FROM c),
+r AS (SELECT a AS doc_id, a AS seen FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.seen = e.a),
+m AS (SELECT doc_id, min(seen) AS low FROM r GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_shingles, coalesce(m.low, d.doc_id) AS component_id, d.doc_id = coalesce(m.low, d.doc_id) AS kept FROM d LEFT JOIN m USING (doc_id)
+"""
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from portolan.llm.mixing import mix
 
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portolan.llm.personal_data import span_report
+
+    return span_report(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_fingerprints, op3_token_counts, op4_packing, op8_mixing]
+    found = [op2_fingerprints, op3_token_counts, op4_packing, op7_near_dedup, op8_mixing, op10_personal_data]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only op7: the others depend on tokenizers, hashes or fitted models, and are tested against brute force."""
+    return {"op7_near_dedup": NEAR_DEDUP_SQL}
