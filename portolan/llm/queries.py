@@ -32,6 +32,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portolan.llm.language_id import identify
+
+    return identify(read(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from portolan.llm.near_dedup import near_duplicates
 
@@ -41,9 +47,9 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Exact links between shingle sets, and the smallest id that each text reaches over them.
 NEAR_DEDUP_SQL = r"""
 WITH RECURSIVE
-w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-  ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
 d AS (SELECT doc_id, len(s) AS n, s FROM g),
 i AS (SELECT doc_id, n, unnest(s) AS t FROM d),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b FROM i a JOIN i b ON a.t = b.t AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 85
@@ -61,6 +67,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portolan.llm.toxicity import score_toxicity
+
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from portolan.llm.personal_data import span_report
 
@@ -68,7 +80,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_fingerprints, op3_token_counts, op4_packing, op7_near_dedup, op8_mixing, op10_personal_data]
+    found = [op2_fingerprints, op3_token_counts, op4_packing, op6_language_id, op7_near_dedup, op8_mixing, op9_toxicity, op10_personal_data]
     return {f.__name__: f for f in found}
 
 
