@@ -32,6 +32,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op5_subword_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from portolan.llm.subword_lm import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from portolan.llm.language_id import identify
 
@@ -80,7 +88,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_fingerprints, op3_token_counts, op4_packing, op6_language_id, op7_near_dedup, op8_mixing, op9_toxicity, op10_personal_data]
+    found = [op2_fingerprints, op3_token_counts, op4_packing, op5_subword_lm, op6_language_id, op7_near_dedup, op8_mixing, op9_toxicity, op10_personal_data]
     return {f.__name__: f for f in found}
 
 
