@@ -55,17 +55,17 @@ def sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_
 
 
 class Model:
-    """languages, and weights: coordinates by languages."""
+    """languages, weights (coordinates by languages) and a bias for each language."""
 
-    def __init__(self, languages: list[str], weights: np.ndarray):
-        self.languages, self.weights = languages, weights
+    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray | float = 0.0):
+        self.languages, self.weights, self.bias = languages, weights, bias
 
     def scores(self, sets: list[np.ndarray]) -> np.ndarray:
         presence = np.zeros((len(sets), len(self.weights)), np.float32)
         for row, found in zip(presence, sets):
             row[found] = 1.0
         size = np.maximum(np.array([len(x) for x in sets], np.float32), 1.0)
-        return (presence @ self.weights) / np.sqrt(size)[:, None]
+        return (presence @ self.weights) / np.sqrt(size)[:, None] + self.bias
 
 
 def fit(rows: list[tuple[str, np.ndarray]], landmarks: int, ridge: float, bits: int) -> Model:
@@ -97,9 +97,39 @@ def fit(rows: list[tuple[str, np.ndarray]], landmarks: int, ridge: float, bits:
     plain = np.concatenate([features, np.ones((len(rows), 1))], axis=1)
     gram = plain.T @ (plain * share) + ridge * np.diag([1.0] * features.shape[1] + [0.0])
     weights = np.linalg.solve(gram, plain.T @ (target * share))
-    model = Model(languages, (basis.T @ (root @ weights[:-1])).astype(np.float32))
-    model.bias = weights[-1].astype(np.float32)
-    return model
+    return Model(languages, (basis.T @ (root @ weights[:-1])).astype(np.float32), weights[-1].astype(np.float32))
+
+
+def learn(docs: DataFrame, per_language: int, landmarks: int, ridge: float, grams: tuple[int, ...], bits: int, parts: int, held_out: int, id_col: str, text_col: str, lang_col: str) -> Model:
+    """A model from at most per_language rows of each language; their coordinates come to the driver."""
+
+    def found(batches):
+        for batch in batches:
+            for a, b in text_slices(batch, "text"):
+                sets = [x.astype(np.int32).tobytes() for x in presences(batch.column("text").slice(a, b - a), grams, bits)]
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), pa.array(sets, pa.binary())], names=["lang", "found"])
+
+    rows = sample(docs, per_language, id_col, text_col, lang_col, parts, held_out).select("text", "lang").mapInArrow(found, "lang string, found binary").collect()
+    return fit([(r.lang, np.frombuffer(bytes(r.found), np.int32)) for r in rows], landmarks, ridge, bits)
+
+
+def predicted(model: Model, text: pa.Array, grams: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each text."""
+    known = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    pred, score = np.full(len(text), UNDETERMINED, dtype=object), np.zeros(len(text))
+    if not model.languages:
+        return pred, score
+    names, sets, at = np.array(model.languages, dtype=object), [], []
+    for i, found in enumerate(presences(text, grams, bits)):
+        sets.append(found)
+        at.append(i)
+        if len(sets) == 256 or i == len(text) - 1:
+            margin = model.scores(sets)
+            exp = np.exp(4.0 * (margin - margin.max(1, keepdims=True)))
+            pred[at], score[at] = names[margin.argmax(1)], (exp / exp.sum(1, keepdims=True)).max(1)
+            sets, at = [], []
+    pred[~known], score[~known] = UNDETERMINED, 0.0
+    return pred, score
 
 
 def identify(docs: DataFrame, per_language: int = 400, landmarks: int = 128, ridge: float = 0.1, grams: tuple[int, ...] = (1, 2, 3), bits: int = 15, parts: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -109,41 +139,29 @@ def identify(docs: DataFrame, per_language: int = 400, landmarks: int = 128, rid
     a letter, is `und` with score 0; if there is nothing to learn from, every text is. Ties go to the first label in
     code-point order. Repeated rows get equal results; a null id counts as not held out. Whole texts are used.
     """
-
-    def learn(batches):
-        for batch in batches:
-            for a, b in text_slices(batch, "text"):
-                sets = [x.astype(np.int32).tobytes() for x in presences(batch.column("text").slice(a, b - a), grams, bits)]
-                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), pa.array(sets, pa.binary())], names=["lang", "found"])
-
-    rows = sample(docs, per_language, id_col, text_col, lang_col, parts, held_out).select("text", "lang").mapInArrow(learn, "lang string, found binary").collect()
-    model = fit([(r.lang, np.frombuffer(bytes(r.found), np.int32)) for r in rows], landmarks, ridge, bits)
-    weights, bias, languages = model.weights, getattr(model, "bias", np.zeros(len(model.languages), np.float32)), model.languages
+    model = learn(docs, per_language, landmarks, ridge, grams, bits, parts, held_out, id_col, text_col, lang_col)
 
     def predict(batches):
-        own, names = Model(languages, weights), np.array(languages, dtype=object)
         for batch in batches:
             for a, b in text_slices(batch, batch.schema.names[1], 4 << 20):
-                text = batch.column(1).slice(a, b - a)
-                known = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                pred = np.full(b - a, UNDETERMINED, dtype=object)
-                score = np.zeros(b - a)
-                if languages:
-                    sets, at = [], []
-                    for i, found in enumerate(presences(text, grams, bits)):
-                        sets.append(found)
-                        at.append(i)
-                        if len(sets) == 256 or i == b - a - 1:
-                            margin = own.scores(sets) + bias
-                            best = margin.argmax(1)
-                            pred[at] = names[best]
-                            exp = np.exp(4.0 * (margin - margin.max(1, keepdims=True)))
-                            score[at] = (exp / exp.sum(1, keepdims=True)).max(1)
-                            sets, at = [], []
-                pred[~known] = UNDETERMINED
-                score[~known] = 0.0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
+                part = batch.slice(a, b - a)
+                pred, score = predicted(model, part.column(1), grams, bits)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     held = F.coalesce(fold(F.col(id_col), parts) == held_out, F.lit(False)).alias("held_out")
     return docs.select(F.col(id_col), F.col(text_col), held).mapInArrow(predict, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, per_language: int = 400, landmarks: int = 128, ridge: float = 0.1, grams: tuple[int, ...] = (1, 2, 3), bits: int = 15, parts: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that `identify` gives a language; all columns stay, and no text is shuffled."""
+    model = learn(docs, per_language, landmarks, ridge, grams, bits, parts, held_out, id_col, text_col, lang_col)
+
+    def keep(batches):
+        for batch in batches:
+            for a, b in text_slices(batch, text_col, 4 << 20):
+                part = batch.slice(a, b - a)
+                pred, _ = predicted(model, part.column(text_col), grams, bits)
+                yield part.filter(pa.array(pred != UNDETERMINED))
+
+    return docs.mapInArrow(keep, docs.schema)

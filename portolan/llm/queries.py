@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from portolan.llm.common import read
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portolan.llm.nearest import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from portolan.llm.fingerprints import edited_pairs
 
@@ -49,7 +55,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from portolan.llm.near_dedup import near_duplicates
 
-    return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85, matches=16).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 #: Exact links between shingle sets, and the smallest id that each text reaches over them.
@@ -88,7 +94,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_fingerprints, op3_token_counts, op4_packing, op5_subword_lm, op6_language_id, op7_near_dedup, op8_mixing, op9_toxicity, op10_personal_data]
+    found = [op1_nearest, op2_fingerprints, op3_token_counts, op4_packing, op5_subword_lm, op6_language_id, op7_near_dedup, op8_mixing, op9_toxicity, op10_personal_data]
     return {f.__name__: f for f in found}
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from portolan.llm.language_id import Model, fit, identify, presences
+from portolan.llm.language_id import fit, identify, keep_identified, presences
 from portolan.llm.toxicity import CLASSES, Chain, fit_chain, observations, score_toxicity
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -26,10 +26,9 @@ def test_folded_scores_equal_kernel_scores():
     rng = np.random.default_rng(1)
     rows = [("ab"[i % 2], np.unique(rng.integers(0 if i % 2 else 100, 300 if i % 2 else 400, 60)).astype(np.int32)) for i in range(40)]
     model = fit(rows, 10, 0.1, 9)
-    right = sum(model.languages[int((model.scores([x]) + model.bias).argmax())] == lang for lang, x in rows)
+    right = sum(model.languages[int(model.scores([x]).argmax())] == lang for lang, x in rows)
     assert right >= 36
-    both = Model(model.languages, model.weights).scores([rows[0][1], rows[1][1]])
-    assert np.allclose(both[0], model.scores([rows[0][1]])[0], atol=1e-5)
+    assert np.allclose(model.scores([rows[0][1], rows[1][1]])[0], model.scores([rows[0][1]])[0], atol=1e-5)
 
 
 def test_languages_of_held_out_texts(spark):
@@ -47,7 +46,8 @@ def test_language_of_odd_rows(spark):
     assert len(rows) == len(docs)
     assert all(r.lang_pred == "und" and r.score == 0 for r in rows if r.doc_id in (1, 2, 3))
     assert {r.lang_pred for r in rows if r.doc_id in (5, 6)} == {"de"}
-    assert identify(table.limit(0)).count() == 0
+    assert identify(table.limit(0)).count() == 0 and keep_identified(table.limit(0)).count() == 0
+    assert sorted(str(r.doc_id) for r in keep_identified(table).collect()) == ["4", "4", "5", "6", "None"]
     assert {r.lang_pred for r in identify(table.filter("doc_id < 3")).collect()} == {"und"}
 
 
