@@ -20,6 +20,11 @@ BINS, BITS, SHINGLE = 256, 4, 5
 _draw = random.Random(20)
 OFFSET = [_draw.randrange(BINS) for _ in range(BINS)]
 STRIDE = [2 * _draw.randrange(BINS // 2) + 1 for _ in range(BINS)]
+INVERSE = [pow(s, -1, BINS) for s in STRIDE]
+
+
+#: Up to so many filled bins, empty ones look for the soonest of them.
+FEW = 32
 
 
 def _ints(values: list[int]) -> Column:
@@ -37,31 +42,70 @@ def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
 
 
 def _bin(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - (BINS - 1).bit_length()).cast("int")
+    """The bin of a hash, in the order of signed longs."""
+    return F.shiftright(h, 64 - (BINS - 1).bit_length()) + BINS // 2
+
+
+#: The largest hash of each bin; sorted among a text's hashes, it comes first only where the bin is empty.
+SENTINELS = [((b - BINS // 2 + 1) << 64 - (BINS - 1).bit_length()) - 1 for b in range(BINS)]
 
 
-def _dense(first: Column) -> Column:
-    """Low bits for each bin, -1 where it is empty. first: the smallest hash of each filled bin."""
-    low = F.transform(first, lambda h: h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))
+def _dense(hashes: Column) -> Column:
+    """Low bits of the smallest hash of each bin, -1 where it is empty."""
+    sentinels = F.array(*[F.lit(x).cast("bigint") for x in SENTINELS])
+    low = (1 << BITS) - 1
+    empty = (1 << 64 - (BINS - 1).bit_length()) - 1
+
+    def value(h: Column) -> Column:
+        return F.when(h.bitwiseAND(F.lit(empty)) == empty, F.lit(-1)).otherwise(h.bitwiseAND(F.lit(low)).cast("int"))
+
     return let(
-        F.struct(F.transform(first, _bin).alias("bins"), low.alias("low")),
-        lambda s: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.coalesce(F.get(s["low"], F.array_position(s["bins"], j).cast("int") - 1), F.lit(-1))),
+        F.sort_array(F.concat(hashes, sentinels)),
+        lambda h: F.transform(F.filter(h, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(h, i - 1)))), value),
     )
 
 
 def _densified(dense: Column) -> Column:
-    walk = let(F.struct(_ints(OFFSET).alias("o"), _ints(STRIDE).alias("s")), lambda c: c)
+    """Each empty bin takes the value of the first bin of its walk that the text has filled.
 
-    def fill(acc: Column, t: Column) -> Column:
+    With few filled bins, the first one on a walk is the one that the walk reaches soonest, by the stride's inverse;
+    with many, all walks go on together, and bins still empty are listed apart, so that a round costs as much as is
+    left to fill. Both give the same values.
+    """
+    low = (1 << BITS) - 1
+
+    def soonest(filled: Column) -> Column:
         def one(v: Column, j: Column) -> Column:
-            at = (F.get(acc["o"], j) + F.get(acc["s"], j) * t).bitwiseAND(F.lit(BINS - 1))
-            return F.when(v >= 0, v).otherwise(F.get(acc["own"], at))
+            at = F.struct(F.get(_ints(OFFSET), j).alias("o"), F.get(_ints(INVERSE), j).alias("i"))
+            reach = lambda w: F.array_min(F.transform(filled, lambda c: F.shiftleft(((F.shiftright(c, BITS) - w["o"]) * w["i"]).bitwiseAND(F.lit(BINS - 1)), BITS) + c.bitwiseAND(F.lit(low))))
+            return F.when(v >= 0, v).otherwise(let(at, reach).bitwiseAND(F.lit(low)))
+
+        return F.transform(dense, one)
+
+    def fill(acc: Column, t: Column) -> Column:
+        def one(j: Column) -> Column:
+            at = (F.get(_ints(OFFSET), j) + F.get(_ints(STRIDE), j) * t).bitwiseAND(F.lit(BINS - 1))
+            return let(F.get(dense, at), lambda v: F.when(v >= 0, F.shiftleft(j, BITS) + v).otherwise(-1 - j))
 
-        moved = let(F.transform(acc["now"], one), lambda now: F.struct(now.alias("now"), acc["own"].alias("own"), acc["o"].alias("o"), acc["s"].alias("s"), (~F.array_contains(now, F.lit(-1))).alias("full")))
-        return F.when(acc["full"], acc).otherwise(moved)
+        def moved(codes: Column) -> Column:
+            left = F.transform(F.filter(codes, lambda c: c < 0), lambda c: -1 - c)
+            return F.struct(left.alias("left"), F.concat(acc["done"], F.filter(codes, lambda c: c >= 0)).alias("done"))
 
-    start = let(walk, lambda c: F.struct(dense.alias("now"), dense.alias("own"), c["o"].alias("o"), c["s"].alias("s"), (~F.array_contains(dense, F.lit(-1))).alias("full")))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(BINS - 1)), start, fill, lambda acc: acc["now"])
+        return F.when(F.size(acc["left"]) == 0, acc).otherwise(let(F.transform(acc["left"], one), moved))
+
+    def walked(codes: Column) -> Column:
+        left = F.transform(F.filter(codes, lambda c: c < 0), lambda c: -1 - c)
+        start = F.struct(left.alias("left"), F.filter(codes, lambda c: c >= 0).alias("done"))
+        some = F.aggregate(F.sequence(F.lit(0), F.lit(15)), start, fill)  # enough for most texts
+        rest = lambda acc: F.when(F.size(acc["left"]) == 0, acc).otherwise(F.aggregate(F.sequence(F.lit(16), F.lit(BINS - 1)), acc, fill))
+        return let(let(some, rest), lambda acc: F.transform(F.sort_array(acc["done"]), lambda c: c.bitwiseAND(F.lit(low))))
+
+    def run(codes: Column) -> Column:
+        filled = F.filter(codes, lambda c: c >= 0)
+        return let(filled, lambda f: F.when(F.size(f) == BINS, dense).when(F.size(f) <= FEW, soonest(f)).otherwise(walked(codes)))
+
+    codes = F.transform(dense, lambda v, j: F.when(v >= 0, F.shiftleft(j, BITS) + v).otherwise(-1 - j))
+    return let(codes, run)
 
 
 def fingerprint(text: Column) -> Column:
@@ -74,12 +118,9 @@ def fingerprint(text: Column) -> Column:
             lambda g: F.aggregate(F.slice(dense, g * per + 1, F.lit(per)), F.lit(0).cast("bigint"), lambda acc, v: F.shiftleft(acc, BITS).bitwiseOR(v.cast("bigint"))),
         )
 
-    def first(h: Column) -> Column:
-        return F.filter(h, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(h, i - 1))))
-
     return let(
-        let(F.sort_array(shingle_hashes(text)), first),
-        lambda f: F.when(F.size(f) == 0, F.array().cast("array<bigint>")).otherwise(let(let(_dense(f), _densified), pack)),
+        shingle_hashes(text),
+        lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(let(let(_dense(h), _densified), pack)),
     )
 
 
@@ -130,10 +171,9 @@ def with_next(docs: DataFrame, bucket_rows: int = 1024, most_buckets: int = 8192
     placed = placed.join(F.broadcast(ghosts), placed["key_"] == ghosts["top_"], "left")
     own, ghost = F.struct(F.col("bucket_").alias("b"), F.lit(0).alias("ghost")), F.struct(F.col("before_").alias("b"), F.lit(1).alias("ghost"))
     placed = placed.withColumn("place_", F.explode(F.when(F.col("before_").isNull(), F.array(own)).otherwise(F.array(own, ghost))))
-    order = Window.partitionBy("place_.b").orderBy(F.col("place_.ghost"), F.col("key_").desc(), F.col(carry[0]))
-    for c in carry:
-        placed = placed.withColumn(f"next_{c}", F.lead(c).over(order))
-    return placed.filter("place_.ghost = 0").drop("place_", "bucket_", "key_", "top_", "before_")
+    placed = placed.select(*docs.columns, "key_", F.col("place_.b").alias("part_"), F.col("place_.ghost").alias("ghost_"))
+    order = Window.partitionBy("part_").orderBy(F.col("ghost_"), F.col("key_").desc(), F.col(carry[0]))
+    return placed.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carry]).filter("ghost_ = 0").drop("part_", "ghost_", "key_")
 
 
 def edited_pairs(docs: DataFrame, bucket_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

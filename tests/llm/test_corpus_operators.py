@@ -158,3 +158,28 @@ def test_mixing_of_odd_rows(spark, docs):
     assert len(rows) == len(DOCS) and all(r.taken <= 3 * r.size for r in rows)
     assert mix(docs.limit(0)).count() == 0
     assert mixed_documents(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("few", [0, 32, 256])
+def test_densified_bins_follow_their_walks(spark, monkeypatch, few):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from portolan.llm import fingerprints as f
+
+    monkeypatch.setattr(f, "FEW", few)
+    rng, tables = random.Random(few), []
+    for share in (0.004, 0.02, 0.1, 0.5, 0.9, 1.0):
+        dense = [rng.randrange(16) if rng.random() < share else -1 for _ in range(f.BINS)]
+        dense[rng.randrange(f.BINS)] = 7
+        tables.append((dense,))
+    rows = spark.createDataFrame(tables, "dense array<int>").select("dense", f._densified(F.col("dense")).alias("got")).collect()
+    for r in rows:
+        want = []
+        for j, v in enumerate(r.dense):
+            t = 0
+            while v < 0:
+                v, t = r.dense[(f.OFFSET[j] + t * f.STRIDE[j]) % f.BINS], t + 1
+            want.append(v)
+        assert r.got == want
