@@ -1 +1,201 @@
-"""Queries."""
+"""As-of values, past-only history, revisions and recurrences."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from portolan.operators import temporal as op
+from portolan.operators.rates import keyed, shrunk
+from portolan.plans.registry import query
+from portolan.sources.tables import LEGS, legs, table
+
+THREE_HOURS = 10_800_000_000
+DAY = 86_400_000_000
+
+
+@query("""WITH q AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'click'),
+o AS (SELECT user_id, epoch_us(ts) AS t, value FROM events WHERE event_type = 'view')
+SELECT q.event_id, q.user_id, q.t, CASE WHEN q.t - o.t <= 10800000000 THEN o.value END AS value, CASE WHEN q.t - o.t <= 10800000000 THEN q.t - o.t END AS value_age
+FROM q ASOF LEFT JOIN o ON q.user_id = o.user_id AND q.t >= o.t""")
+def asof_latest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros("ts"))
+    return op.as_of(e.filter("event_type = 'click'").select("event_id", "user_id", "t"), e.filter("event_type = 'view'").select("user_id", "t", "value"), "user_id", "t", ["value"], THREE_HOURS)
+
+
+@query("""WITH q AS (SELECT event_id, epoch_us(ts) AS t, unnest([{'side': 'origin', 'k': user_id}, {'side': 'destination', 'k': (user_id + 7) % 150}]) AS e FROM events WHERE event_type = 'click'),
+p AS (SELECT event_id, t, e.side AS side, e.k AS k FROM q), o AS (SELECT user_id AS k, epoch_us(ts) AS t, CASE WHEN value < 60 THEN value END AS wind, CASE WHEN value > 20 AND event_type <> 'view' THEN value END AS gust FROM events WHERE event_type <> 'click'),
+w AS (SELECT p.*, x.wind, p.t - x.t AS wind_age FROM p ASOF LEFT JOIN (SELECT * FROM o WHERE wind IS NOT NULL) x ON p.k = x.k AND p.t >= x.t),
+g AS (SELECT w.*, x.gust, w.t - x.t AS gust_age FROM w ASOF LEFT JOIN (SELECT * FROM o WHERE gust IS NOT NULL) x ON w.k = x.k AND w.t >= x.t),
+a AS (SELECT event_id, side, CASE WHEN wind_age <= 43200000000 THEN wind END AS wind, CASE WHEN wind_age <= 43200000000 THEN wind_age END AS wind_age, CASE WHEN gust_age <= 43200000000 THEN gust END AS gust, CASE WHEN gust_age <= 43200000000 THEN gust_age END AS gust_age FROM g)
+SELECT event_id, side, wind, gust, (greatest(wind_age, gust_age) / 3600000000.0)::DOUBLE AS max_age_hours, (CASE WHEN wind IS NULL THEN 0.5 ELSE 0 END + CASE WHEN gust IS NULL THEN 0.5 ELSE 0 END)::DOUBLE AS missing_share,
+CASE WHEN wind IS NULL AND gust IS NULL THEN NULL ELSE coalesce(wind >= 15, false) OR coalesce(gust >= 20, false) END AS adverse FROM a""")
+def endpoint_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ends of a trip at one cutoff: two variables, each from its own latest report; ages, missing share and a flag."""
+    e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros("ts"))
+    ends = F.array(F.struct(F.lit("origin").alias("side"), F.col("user_id").alias("k")), F.struct(F.lit("destination").alias("side"), ((F.col("user_id") + 7) % 150).alias("k")))
+    asked = e.filter("event_type = 'click'").select("event_id", "t", F.explode(ends).alias("e")).select("event_id", "t", "e.side", "e.k")
+    seen = e.filter("event_type <> 'click'").select(F.col("user_id").alias("k"), "t", F.when(F.col("value") < 60, F.col("value")).alias("wind"), F.when((F.col("value") > 20) & (F.col("event_type") != "view"), F.col("value")).alias("gust"))
+    found = op.as_of(asked, seen, "k", "t", ["wind", "gust"], 4 * THREE_HOURS)
+    none = F.col("wind").isNull() & F.col("gust").isNull()
+    adverse = F.coalesce(F.col("wind") >= 15, F.lit(False)) | F.coalesce(F.col("gust") >= 20, F.lit(False))
+    missing = F.when(F.col("wind").isNull(), 0.5).otherwise(0.0) + F.when(F.col("gust").isNull(), 0.5).otherwise(0.0)
+    return found.select("event_id", "side", "wind", "gust", (F.greatest("wind_age", "gust_age") / 3_600_000_000).alias("max_age_hours"), missing.alias("missing_share"), F.when(~none, adverse).alias("adverse"))
+
+
+_LEVELS = ["carrier", "origin", "destination"]
+_LONG = """k AS (SELECT record_id, pred_us, outcome_us, CASE WHEN status = 'cancelled' THEN 1 ELSE 0 END AS pos, unnest([{'level': 'carrier', 'key': carrier}, {'level': 'origin', 'key': origin}, {'level': 'destination', 'key': destination}]) AS p FROM legs),
+l AS (SELECT record_id, pred_us, outcome_us, pos, p.level AS level, p.key AS key FROM k)"""
+
+
+@query(f"""WITH {LEGS}, {_LONG}, b AS (SELECT q.record_id, q.level, count(*) AS n, sum(e.pos) AS pos FROM l q JOIN l e ON q.level = e.level AND q.key = e.key AND e.outcome_us < q.pred_us GROUP BY ALL),
+s AS (SELECT q.record_id, q.level, count(*) AS scheduled FROM l q JOIN l e ON q.level = e.level AND q.key = e.key AND e.pred_us < q.pred_us GROUP BY ALL)
+SELECT record_id, level, coalesce(b.n, 0) AS n, coalesce(b.pos, 0)::BIGINT AS pos, coalesce(scheduled, 0) AS scheduled FROM l LEFT JOIN b USING (record_id, level) LEFT JOIN s USING (record_id, level)""")
+def past_only_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes known, and trips predicted, strictly before each prediction, by carrier, origin and destination."""
+    rows = legs(spark, sf_dir).withColumn("cancelled", (F.col("status") == "cancelled").cast("int"))
+    long = keyed(rows, _LEVELS, "record_id", "pred_us", "outcome_us", "cancelled")
+    asked = long.select("record_id", "level", "key", F.col("pred_us").alias("t"))
+    known = long.select("level", "key", F.col("outcome_us").alias("t"), F.lit(1).alias("n"), F.col("cancelled").alias("pos"), F.lit(0).alias("scheduled"))
+    told = long.select("level", "key", F.col("pred_us").alias("t"), F.lit(0).alias("n"), F.lit(0).alias("pos"), F.lit(1).alias("scheduled"))
+    return op.known_before(asked, known.unionByName(told), ["level", "key"], "t", ["n", "pos", "scheduled"], DAY).select("record_id", "level", "n", "pos", "scheduled")
+
+
+#: Pseudo-counts of each level's parent rate, and of the fixed rate above all.
+PARENTS = {"carrier_route": 60.0, "route": 90.0, "region_pair": 400.0}
+ROOT, ROOT_PRIOR = 500.0, 0.025
+
+
+@query(f"""WITH {LEGS}, h AS (SELECT record_id, pred_us, outcome_us, CASE WHEN status = 'cancelled' THEN 1 ELSE 0 END AS pos, carrier || '|' || origin || '_' || destination AS cr, origin || '_' || destination AS r, (origin % 3) || '_' || (destination % 3) AS g FROM legs),
+c AS (SELECT q.record_id, count(*) FILTER (e.cr = q.cr) AS n1, coalesce(sum(e.pos) FILTER (e.cr = q.cr), 0) AS p1, count(*) FILTER (e.r = q.r) AS n2, coalesce(sum(e.pos) FILTER (e.r = q.r), 0) AS p2, count(*) AS n3, sum(e.pos) AS p3 FROM h q JOIN h e ON q.g = e.g AND e.outcome_us < q.pred_us GROUP BY q.record_id),
+t AS (SELECT outcome_us, sum(count(*)) OVER (ORDER BY outcome_us) AS n4, sum(sum(pos)) OVER (ORDER BY outcome_us) AS p4 FROM h GROUP BY outcome_us),
+a AS (SELECT q.record_id, q.pred_us, coalesce(t.n4, 0) AS n4, coalesce(t.p4, 0) AS p4 FROM h q ASOF LEFT JOIN t ON q.pred_us > t.outcome_us),
+f AS (SELECT a.record_id, (p4 + 500 * 0.025::DOUBLE) / (n4 + 500) AS f4, coalesce(n1, 0) AS n1, coalesce(p1, 0) AS p1, coalesce(n2, 0) AS n2, coalesce(p2, 0) AS p2, coalesce(n3, 0) AS n3, coalesce(p3, 0) AS p3 FROM a LEFT JOIN c USING (record_id))
+SELECT record_id, f4 AS global_rate, (p1 + 60 * (p2 + 90 * (p3 + 400 * f4) / (n3 + 400)) / (n2 + 90)) / (n1 + 60) AS rate FROM f""")
+def hierarchical_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cancellation rates shrunk level by level: all trips, region pair, route, carrier on the route; past outcomes only."""
+    rows = legs(spark, sf_dir)
+    route = F.concat_ws("_", F.col("origin").cast("string"), F.col("destination").cast("string"))
+    pair = F.concat_ws("_", (F.col("origin") % 3).cast("string"), (F.col("destination") % 3).cast("string"))
+    rows = rows.select("record_id", "pred_us", "outcome_us", (F.col("status") == "cancelled").cast("int").alias("cancelled"), F.concat_ws("|", F.col("carrier").cast("string"), route).alias("carrier_route"), route.alias("route"), pair.alias("region_pair"), F.lit("all").alias("all"))
+    long = keyed(rows, ["carrier_route", "route", "region_pair", "all"], "record_id", "pred_us", "outcome_us", "cancelled")
+    known = long.select("level", "key", F.col("outcome_us").alias("t"), F.lit(1).alias("n"), F.col("cancelled").alias("pos"))
+    counts = op.known_before(long.select("record_id", "level", "key", F.col("pred_us").alias("t")), known, ["level", "key"], "t", ["n", "pos"], DAY)
+    wide = counts.groupBy("record_id").agg(*[F.max(F.when(F.col("level") == x, F.struct("n", "pos"))).alias(x) for x in ("carrier_route", "route", "region_pair", "all")])
+    rate = shrunk(F.col("all.pos"), F.col("all.n"), F.lit(ROOT_PRIOR), F.lit(ROOT))
+    common = rate
+    for level in ("region_pair", "route", "carrier_route"):
+        rate = shrunk(F.col(f"{level}.pos"), F.col(f"{level}.n"), rate, F.lit(PARENTS[level]))
+    return wide.select("record_id", common.alias("global_rate"), rate.alias("rate"))
+
+
+@query(f"""WITH {LEGS}, s AS (SELECT origin, count(*) AS n, sum(CASE WHEN status = 'cancelled' THEN 1 ELSE 0 END)::BIGINT AS pos FROM legs WHERE outcome_us < 1705708800000000 GROUP BY origin),
+p AS (SELECT origin, count(*) AS scheduled FROM legs WHERE pred_us < 1705708800000000 GROUP BY origin)
+SELECT record_id, origin, coalesce(n, 0) AS n, coalesce(pos, 0) AS pos, coalesce(scheduled, 0) AS scheduled FROM legs LEFT JOIN s USING (origin) LEFT JOIN p USING (origin) WHERE pred_us >= 1705708800000000""")
+def frozen_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot at one instant, outcomes strictly before it, applied to later predictions only."""
+    rows, as_of = legs(spark, sf_dir), 1705708800000000
+    known = rows.filter(F.col("outcome_us") < as_of).groupBy("origin").agg(F.count("*").alias("n"), F.sum((F.col("status") == "cancelled").cast("int")).alias("pos"))
+    told = rows.filter(F.col("pred_us") < as_of).groupBy("origin").agg(F.count("*").alias("scheduled"))
+    later = rows.filter(F.col("pred_us") >= as_of).join(known, "origin", "left").join(told, "origin", "left")
+    return later.select("record_id", "origin", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "pos", "scheduled")])
+
+
+_REVISIONS = """r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, epoch_us(l_shipdate) AS observed, epoch_us(o_orderdate) - 604800000000 AS cutoff, l_returnflag, l_linestatus, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+b AS (SELECT *, CASE WHEN l_quantity < 3 THEN NULL ELSE observed END AS seen FROM r),
+c AS (SELECT *, CASE WHEN seen IS NULL THEN 0 WHEN seen <= cutoff THEN 2 ELSE 1 END AS branch, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS q1, CASE WHEN l_returnflag <> 'N' THEN 1 ELSE 0 END AS q2 FROM b)"""
+
+
+@query(f"""WITH {_REVISIONS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, branch FROM c
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY branch DESC, seen DESC NULLS LAST, q1 DESC, q2 DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC, l_extendedprice DESC) = 1""")
+def latest_visible_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The revision seen last by seven days before the order, else the last seen at all, else the best of those never seen."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    seen = F.when(F.col("l_quantity") >= 3, F.unix_micros("l_shipdate"))
+    cutoff = F.unix_micros("o_orderdate") - 7 * DAY
+    branch = F.when(seen.isNull(), 0).when(seen <= cutoff, 2).otherwise(1)
+    rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", seen.alias("seen"), branch.alias("branch"), (F.col("l_linestatus") == "F").cast("int").alias("q1"), (F.col("l_returnflag") != "N").cast("int").alias("q2"))
+    order = [F.col(c) for c in ("branch", "seen", "q1", "q2", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")]
+    return op.latest(rows, ["l_orderkey"], order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "branch")
+
+
+@query("""SELECT l_orderkey, count(DISTINCT CASE WHEN l_linestatus = 'F' THEN l_returnflag END) > 1 AS terminal_conflict, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_suppkey END) > 1 AS fact_conflict,
+bool_or(revision_conflict) AS revision_conflict FROM (SELECT *, count(DISTINCT l_shipdate) OVER (PARTITION BY l_orderkey, l_linenumber) > 1 AS revision_conflict FROM lineitem) GROUP BY l_orderkey""")
+def revision_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of one leg that contradict each other: more than one terminal state, more than one value of a fact, one revision with two schedules."""
+    lines = table(spark, sf_dir, "lineitem")
+    facts = lines.groupBy("l_orderkey").agg((F.count_distinct(F.when(F.col("l_linestatus") == "F", F.col("l_returnflag"))) > 1).alias("terminal_conflict"), (F.count_distinct(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))) > 1).alias("fact_conflict"))
+    by_revision = lines.groupBy("l_orderkey", "l_linenumber").agg((F.min("l_shipdate") < F.max("l_shipdate")).alias("c")).groupBy("l_orderkey").agg(F.bool_or("c").alias("revision_conflict"))
+    return facts.join(by_revision, "l_orderkey")
+
+
+@query("""SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_shipdate <= TIMESTAMP '1997-01-01'
+QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, md5(l_orderkey || '/' || l_linenumber || '/' || l_suppkey || '/' || l_extendedprice::INTEGER) DESC) = 1""")
+def latest_service_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last snapshot of each service that was visible by a date, ties by a hash of its facts."""
+    facts = F.md5(F.concat_ws("/", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_suppkey")], F.round("l_extendedprice").cast("int").cast("string")))
+    rows = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.lit("1997-01-01").cast("timestamp")).withColumn("facts", facts)
+    return op.latest(rows.select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "facts"), ["l_partkey"], [F.col("l_shipdate"), F.col("facts")]).select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
+
+
+@query("""WITH r AS (SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, l_shipdate, rank() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC) AS k FROM lineitem), c AS (SELECT *, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_partkey) AS n FROM r)
+SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, n::BIGINT AS n_latest, CASE WHEN k > 1 THEN 'superseded' WHEN n > 1 THEN 'ambiguous' ELSE 'selected' END AS disposition FROM c""")
+def revision_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
+    return op.latest_with_ties(rows, ["l_partkey"], "l_shipdate").drop("l_shipdate")
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, epoch_us(max(ts)) AS t FROM events e WHERE NOT EXISTS (SELECT 1 FROM events f WHERE f.user_id = e.user_id AND f.event_type = e.event_type AND f.ts > e.ts) GROUP BY ALL")
+def keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last report of each station and kind."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.unix_micros("ts").alias("t"))
+    return op.latest(rows, ["user_id", "event_type"], [F.col("t"), F.col("event_id")])
+
+
+@query("""WITH s AS (SELECT s_suppkey, DATE '2024-01-01' + (s_suppkey % 30)::INTEGER AS f, DATE '2024-02-10' + (s_suppkey % 21)::INTEGER AS t FROM supplier), d AS (SELECT s_suppkey, unnest(generate_series(f, t, INTERVAL 1 DAY))::DATE AS service_date FROM s)
+SELECT s_suppkey, service_date, CASE WHEN s_suppkey % 5 = 0 THEN service_date + 1 ELSE service_date END AS arrival_date FROM d WHERE (s_suppkey >> (isodow(service_date) - 1)) & 1 = 1""")
+def recurrence_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recurring series with a weekday mask as dated services; overnight ones arrive a day later."""
+    s = table(spark, sf_dir, "supplier")
+    mask = F.array(*[F.shiftright("s_suppkey", d).bitwiseAND(F.lit(1)) == 1 for d in range(7)])
+    start = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("s_suppkey") % 30).cast("int"))
+    end = F.date_add(F.lit("2024-02-10").cast("date"), (F.col("s_suppkey") % 21).cast("int"))
+    dated = op.expand_series(s.select("s_suppkey", start.alias("f"), end.alias("t"), mask.alias("mask")), "f", "t", "mask")
+    return dated.select("s_suppkey", "service_date", F.date_add("service_date", F.when(F.col("s_suppkey") % 5 == 0, 1).otherwise(0)).alias("arrival_date"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate)::INTEGER AS occurrence FROM lineitem""")
+def candidate_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")).alias("occurrence"))
+
+
+@query("""WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS month FROM orders WHERE o_orderkey % 97 = 0) SELECT month, coalesce(lag(month) OVER (ORDER BY month) = (month - INTERVAL 1 MONTH)::DATE, true) AS consecutive FROM m""")
+def month_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    months = table(spark, sf_dir, "orders").filter("o_orderkey % 97 = 0").select(F.trunc("o_orderdate", "month").alias("month")).distinct()
+    return op.consecutive_months(months, "month")
+
+
+@query("""WITH w AS (SELECT event_id, ts + to_hours(unnest([-3, -2, -1, 0, 1, 2, 3])) AS moved, unnest([-3, -2, -1, 0, 1, 2, 3]) AS shift, value FROM events),
+s AS (SELECT event_id, shift, (0.5 + 0.4 * sin(2 * pi() * (hour(moved) + minute(moved) / 60.0) / 24) + value / 1000)::DOUBLE AS risk FROM w)
+SELECT event_id, shift AS best_shift, risk FROM s QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(risk, 9), abs(shift), shift) = 1""")
+def best_departure_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven hourly shifts of a departure scored; the least risk, then the smallest shift. All within the row, without a shuffle."""
+    e = table(spark, sf_dir, "events")
+
+    def scored(shift):
+        at = F.timestamp_micros(F.unix_micros("ts") + shift.cast("long") * 3_600_000_000)
+        risk = 0.5 + 0.4 * F.sin(2 * F.pi() * (F.hour(at) + F.minute(at) / 60.0) / 24) + F.col("value") / 1000
+        return F.struct(F.round(risk, 9).alias("r"), F.abs(shift).alias("a"), shift.alias("shift"), risk.alias("risk"))
+
+    best = F.array_min(F.transform(F.array(*map(F.lit, range(-3, 4))), scored))
+    return e.select("event_id", best.alias("b")).select("event_id", F.col("b.shift").alias("best_shift"), F.col("b.risk").alias("risk"))
+
+
+@query("""WITH d AS (SELECT o_orderkey, o_orderdate::DATE AS d, year(o_orderdate) AS y FROM orders), h AS (SELECT *, make_date(y, 11, 1) AS n FROM d), t AS (SELECT *, n + ((4 - isodow(n) + 7) % 7 + 21)::INTEGER AS thanks FROM h)
+SELECT o_orderkey, abs(d - make_date(y, 1, 1)) <= 2 OR abs(d - make_date(y, 7, 4)) <= 2 OR abs(d - make_date(y, 12, 25)) <= 2 OR abs(d - thanks) <= 2 AS holiday FROM t""")
+def holiday_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portolan.functions.calendar import in_holiday_window
+
+    return table(spark, sf_dir, "orders").select("o_orderkey", in_holiday_window(F.col("o_orderdate").cast("date")).alias("holiday"))
