@@ -1 +1,103 @@
-"""Queries."""
+"""Metrics, calibration, thresholds and gates over scored cases."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from portolan.functions.scores import nonincreasing, platt, risk_level, support
+from portolan.operators import metrics as op
+from portolan.plans.registry import query
+from portolan.sources.tables import SCORES, scores, table
+
+
+def _auc_sql(by: str) -> str:
+    """Brute-force pairs for AUC, cumulative counts of tied scores for AP."""
+    return f"""c AS (SELECT {by}, score, count(*) AS n, sum(y) AS pos FROM s GROUP BY ALL),
+w AS (SELECT *, rank_sum, sum(n) OVER d AS above, sum(pos) OVER d AS pos_above FROM (SELECT *, (sum(n) OVER (PARTITION BY {by} ORDER BY score) - n + (n + 1) / 2.0) AS rank_sum FROM c) WINDOW d AS (PARTITION BY {by} ORDER BY score DESC)),
+m AS (SELECT {by}, sum(n)::BIGINT AS n, sum(pos)::BIGINT AS pos, sum(pos * rank_sum) AS ranks, sum(pos * pos_above::DOUBLE / above) AS precisions, sum(pos * (score - 1) ** 2 + (n - pos) * score ** 2) AS sq,
+sum(-pos * ln(greatest(least(score, 1 - 2.220446049250313e-16::DOUBLE), 2.220446049250313e-16::DOUBLE)) - (n - pos) * ln(1 - greatest(least(score, 1 - 2.220446049250313e-16::DOUBLE), 2.220446049250313e-16::DOUBLE))) AS ll FROM w GROUP BY ALL)"""
+
+
+_COLUMNS = "n, pos, pos::DOUBLE / n AS prevalence, CASE WHEN pos > 0 AND pos < n THEN ((ranks - pos * (pos + 1) / 2.0) / (pos * (n - pos)))::DOUBLE END AS auc, CASE WHEN pos > 0 AND pos < n THEN precisions / pos END AS ap, sq / n AS brier, CASE WHEN pos > 0 AND pos < n THEN ll / n END AS log_loss"
+
+
+@query(f"WITH {SCORES}, s AS (SELECT slice, score, y FROM scores), {_auc_sql('slice')} SELECT slice, {_COLUMNS} FROM m")
+def metrics_auc_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.ranking(scores(spark, sf_dir), ["slice"], "score", "y")
+
+
+@query(f"""WITH {SCORES}, s AS (SELECT 'slice' AS dimension, slice::VARCHAR AS value, score, y FROM scores UNION ALL SELECT 'day', (dayofmonth(ts) % 3)::VARCHAR, score, y FROM scores UNION ALL SELECT 'kind', event_type, score, y FROM scores), {_auc_sql('dimension, value')}
+SELECT dimension, value, {_COLUMNS} FROM m""")
+def slice_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scores(spark, sf_dir).withColumns({"day": F.dayofmonth("ts") % 3, "kind": F.col("event_type")})
+    return op.ranking(op.sliced(rows, ["slice", "day", "kind"], "score", "y"), ["dimension", "value"], "score", "y")
+
+
+@query(f"""WITH {SCORES}, t AS (SELECT count(*) AS total FROM scores), s AS (SELECT 'slice' AS dimension, slice::VARCHAR AS value, y FROM scores UNION ALL SELECT 'kind', event_type, y FROM scores)
+SELECT dimension, count(DISTINCT value) AS n_values, count(*) AS n, count(*) = (SELECT total FROM t) AS exhausts FROM s GROUP BY dimension""")
+def slice_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the slices of each dimension add up to all rows."""
+    rows = scores(spark, sf_dir).withColumn("kind", F.col("event_type"))
+    total = rows.agg(F.count("*").alias("total"))
+    groups = op.sliced(rows, ["slice", "kind"], "y").groupBy("dimension", "value").agg(F.count("*").alias("n")).groupBy("dimension").agg(F.count("*").alias("n_values"), F.sum("n").alias("n"))
+    return groups.join(F.broadcast(total)).select("dimension", "n_values", "n", (F.col("n") == F.col("total")).alias("exhausts"))
+
+
+@query(f"""WITH {SCORES}, e AS (SELECT list_transform(range(1, 10), lambda i: i / 10.0::DOUBLE) AS edges), b AS (SELECT slice, len(list_filter(edges, lambda x: x <= score)) AS bin, score, y FROM scores, e),
+c AS (SELECT slice, bin, count(*) AS n, avg(score) AS p, avg(y::DOUBLE) AS q FROM b GROUP BY ALL) SELECT slice, sum(n)::BIGINT AS n, sum(n * abs(p - q)) / sum(n) AS ece FROM c GROUP BY slice""")
+def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.calibration(scores(spark, sf_dir), ["slice"], "score", "y")
+
+
+_THRESHOLDS = """c AS (SELECT slice, score, count(*) AS n, sum(y) AS pos FROM scores GROUP BY ALL), w AS (SELECT slice, score AS threshold, sum(n) OVER d AS k, sum(pos) OVER d AS tp, sum(n) OVER (PARTITION BY slice) AS a, sum(pos) OVER (PARTITION BY slice) AS p FROM c WINDOW d AS (PARTITION BY slice ORDER BY score DESC)),
+t AS (SELECT slice, threshold, tp::BIGINT AS tp, (k - tp)::BIGINT AS fp, (p - tp)::BIGINT AS fn, (a - p - k + tp)::BIGINT AS tn, tp::DOUBLE / k AS precision, tp::DOUBLE / p AS recall, CASE WHEN tp > 0 THEN 2 * tp::DOUBLE / (k + p) ELSE 0 END AS f1, (tp + a - p - k + tp)::DOUBLE / a AS accuracy FROM w)"""
+
+
+@query(f"WITH {SCORES}, {_THRESHOLDS} SELECT slice, threshold, tp, fp, fn, tn, precision, recall, f1, accuracy FROM t QUALIFY row_number() OVER (PARTITION BY slice ORDER BY round(f1, 12) DESC, threshold) = 1")
+def best_f1_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.best_f1(scores(spark, sf_dir), ["slice"], "score", "y")
+
+
+@query(f"""WITH {SCORES}, g AS (SELECT avg(y::DOUBLE) AS p FROM scores WHERE dayofmonth(ts) <= 20), s AS (SELECT slice, avg((score - y) ** 2) AS brier, avg((p - y) ** 2) AS constant_brier, avg(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)) AS constant_log_loss FROM scores, g WHERE dayofmonth(ts) > 20 GROUP BY slice)
+SELECT slice, brier, constant_brier, constant_log_loss, 1 - brier / constant_brier AS improvement, constant_brier - brier >= 0.005 AS accepted FROM s""")
+def reference_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later scores against the constant share of earlier cases, and whether the gain is worth taking."""
+    rows = scores(spark, sf_dir)
+    share = rows.filter(F.dayofmonth("ts") <= 20).agg(F.avg(F.col("y").cast("double")).alias("p"))
+    late = rows.filter(F.dayofmonth("ts") > 20).join(F.broadcast(share))
+    groups = late.groupBy("slice").agg(F.avg((F.col("score") - F.col("y")) ** 2).alias("brier"), F.avg((F.col("p") - F.col("y")) ** 2).alias("constant_brier"), F.avg(-F.log(F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("constant_log_loss"))
+    return groups.withColumn("improvement", 1 - F.col("brier") / F.col("constant_brier")).withColumn("accepted", F.col("constant_brier") - F.col("brier") >= 0.005)
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * 10 AS a, l_tax * 10 AS b, l_quantity / 50 AS c FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN a >= b AND b >= c THEN a WHEN a < b AND (a + b) / 2 >= c THEN (a + b) / 2 WHEN b < c AND a >= (b + c) / 2 THEN a ELSE (a + b + c) / 3 END AS p15,
+CASE WHEN a >= b AND b >= c THEN b WHEN a < b AND (a + b) / 2 >= c THEN (a + b) / 2 WHEN b < c AND a >= (b + c) / 2 THEN (b + c) / 2 ELSE (a + b + c) / 3 END AS p30,
+CASE WHEN a >= b AND b >= c THEN c WHEN a < b AND (a + b) / 2 >= c THEN c WHEN b < c AND a >= (b + c) / 2 THEN (b + c) / 2 ELSE (a + b + c) / 3 END AS p60 FROM v""")
+def isotonic_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chances of three rising delays made non-increasing."""
+    rows = table(spark, sf_dir, "lineitem")
+    a, b, c = nonincreasing(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_quantity") / 50)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", a.alias("p15"), b.alias("p30"), c.alias("p60"))
+
+
+@query("""WITH r AS (SELECT event_id, value / 25 - 2 AS x FROM events), p AS (SELECT event_id, 1 / (1 + exp(-(1.3 * x - 0.2))) AS p15, 1 / (1 + exp(-(0.9 * x - 0.1))) AS p30, 1 / (1 + exp(-(2 * x - 1))) AS cancelled, 1 / (1 + exp(-(1.5 * x - 1.2))) AS disrupted FROM r)
+SELECT event_id, CASE WHEN p15 >= p30 THEN p15 ELSE (p15 + p30) / 2 END AS p15, CASE WHEN p15 >= p30 THEN p30 ELSE (p15 + p30) / 2 END AS p30, CASE WHEN disrupted >= cancelled THEN disrupted ELSE (cancelled + disrupted) / 2 END AS disrupted, CASE WHEN disrupted >= cancelled THEN cancelled ELSE (cancelled + disrupted) / 2 END AS cancelled FROM p""")
+def calibrated_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw scores through their logistic curves, then each family made consistent."""
+    x = F.col("value") / 25 - 2
+    late = nonincreasing(platt(x, 1.3, -0.2), platt(x, 0.9, -0.1))
+    off = nonincreasing(platt(x, 1.5, -1.2), platt(x, 2.0, -1.0))
+    return table(spark, sf_dir, "events").select("event_id", late[0].alias("p15"), late[1].alias("p30"), off[0].alias("disrupted"), off[1].alias("cancelled"))
+
+
+@query("""WITH c AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'click') AS n_route, count(*) FILTER (event_type = 'view') AS n_carrier, avg(value) / 100 AS p FROM events GROUP BY user_id)
+SELECT user_id, CASE WHEN n = 0 THEN '0' WHEN n < 100 THEN '1-99' WHEN n < 1000 THEN '100-999' ELSE '1000+' END AS support, CASE WHEN p < 0.16 THEN 'lower' WHEN p < 0.28 THEN 'moderate' ELSE 'higher' END AS risk,
+CASE WHEN n >= 70 THEN 'established' WHEN greatest(n_route, n_carrier) >= 15 THEN 'partial' ELSE 'cold_start' END AS tier, CASE WHEN n >= 70 THEN 'all' WHEN greatest(n_route, n_carrier) >= 15 THEN CASE WHEN n_route >= n_carrier THEN 'route' ELSE 'carrier' END END AS strongest FROM c""")
+def coverage_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well a key is known: by itself, by a wider level, or not at all."""
+    groups = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("n_route"), F.count_if(F.col("event_type") == "view").alias("n_carrier"), (F.avg("value") / 100).alias("p"))
+    partial = F.greatest("n_route", "n_carrier") >= 15
+    tier = F.when(F.col("n") >= 70, "established").when(partial, "partial").otherwise("cold_start")
+    strongest = F.when(F.col("n") >= 70, "all").when(partial & (F.col("n_route") >= F.col("n_carrier")), "route").when(partial, "carrier")
+    return groups.select("user_id", support(F.col("n")).alias("support"), risk_level(F.col("p")).alias("risk"), tier.alias("tier"), strongest.alias("strongest"))
