@@ -1 +1,102 @@
-"""Queries."""
+"""Calendar, clock and geography features, labels and row checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from portolan.functions import calendar, clocks, geo
+from portolan.plans.registry import query
+from portolan.sources.tables import LEGS, legs, table
+
+
+@query("""SELECT o_orderkey, sin(2 * pi() * month(o_orderdate) / 12) AS month_sin, cos(2 * pi() * month(o_orderdate) / 12) AS month_cos, sin(2 * pi() * isodow(o_orderdate) / 7) AS weekday_sin, cos(2 * pi() * isodow(o_orderdate) / 7) AS weekday_cos,
+sin(2 * pi() * day(o_orderdate) / 31) AS day_sin, cos(2 * pi() * day(o_orderdate) / 31) AS day_cos, sin(2 * pi() * (o_orderkey % 24) / 24) AS hour_sin, cos(2 * pi() * (o_orderkey % 24) / 24) AS hour_cos, (o_orderkey % 60) / 60::DOUBLE AS minute, isodow(o_orderdate) >= 6 AS weekend FROM orders""")
+def calendar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day, hour = F.col("o_orderdate"), F.col("o_orderkey") % 24
+    out, weekday = [], F.weekday(day) + 1
+    for name, value, period in (("month", F.month(day), 12), ("weekday", weekday, 7), ("day", F.dayofmonth(day), 31), ("hour", hour, 24)):
+        sine, cosine = calendar.cycle(value, period)
+        out += [sine.alias(f"{name}_sin"), cosine.alias(f"{name}_cos")]
+    return table(spark, sf_dir, "orders").select("o_orderkey", *out, ((F.col("o_orderkey") % 60) / 60).alias("minute"), (weekday >= 6).alias("weekend"))
+
+
+_POINTS = "p AS (SELECT s_suppkey, ((s_suppkey * 37) % 160 - 80)::DOUBLE AS a, ((s_suppkey * 53) % 340 - 170)::DOUBLE AS b, ((s_nationkey * 29) % 140 - 70)::DOUBLE AS c, ((s_nationkey * 71) % 300 - 150)::DOUBLE AS d FROM supplier)"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", ((k * 37) % 160 - 80).cast("double").alias("a"), ((k * 53) % 340 - 170).cast("double").alias("b"), ((n * 29) % 140 - 70).cast("double").alias("c"), ((n * 71) % 300 - 150).cast("double").alias("d"))
+
+
+@query(f"""WITH {_POINTS}, q AS (SELECT *, asin(sin(radians(a)) * cos(50 / 6371.0088::DOUBLE) + cos(radians(a)) * sin(50 / 6371.0088::DOUBLE) * cos(radians(45))) AS e FROM p)
+SELECT s_suppkey, 2 * 6371.0088::DOUBLE * asin(least(1, sqrt(sin(radians(c - a) / 2) ** 2 + cos(radians(a)) * cos(radians(c)) * sin(radians(d - b) / 2) ** 2))) AS km,
+atan2(sin(radians(d - b)) * cos(radians(c)), cos(radians(a)) * sin(radians(c)) - sin(radians(a)) * cos(radians(c)) * cos(radians(d - b))) AS bearing, cos(radians(a)) * cos(radians(b)) AS x, cos(radians(a)) * sin(radians(b)) AS y, sin(radians(a)) AS z, degrees(e) AS to_lat,
+((degrees(radians(b) + atan2(sin(radians(45)) * sin(50 / 6371.0088::DOUBLE) * cos(radians(a)), cos(50 / 6371.0088::DOUBLE) - sin(radians(a)) * sin(e))) + 540) % 360) - 180 AS to_lon FROM q""")
+def great_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance and bearing between two points, the first as a unit vector, and the point 50 km to its north-east."""
+    a, b, c, d = (F.col(x) for x in "abcd")
+    x, y, z = geo.unit_vector(a, b)
+    lat, lon = geo.destination(a, b, F.lit(45.0), F.lit(50.0))
+    out = _points(spark, sf_dir).select("s_suppkey", geo.great_circle(a, b, c, d).alias("km"), geo.bearing(a, b, c, d).alias("bearing"), x.alias("x"), y.alias("y"), z.alias("z"), lat.alias("to_lat"), lon.alias("to_lon"))
+    return out
+
+
+@query("""WITH f AS (SELECT event_id, ts, ts + to_minutes(((user_id % 5) - 2) * 60 + 30) AS l, ts + to_minutes((60 + event_id % 300)) AS arr, user_id FROM events)
+SELECT event_id, sin(2 * pi() * dayofyear(l) / CASE WHEN year(l) % 4 = 0 THEN 366 ELSE 365 END) AS year_day_sin, cos(2 * pi() * (hour(l) + minute(l) / 60.0::DOUBLE) / 24) AS hour_cos, CASE WHEN isodow(l) >= 6 THEN 1.0 ELSE 0.0 END::DOUBLE AS weekend, (60 + event_id % 300)::DOUBLE AS minutes, ln(1 + 60 + event_id % 300) AS minutes_log,
+sin(2 * pi() * (hour(arr) + minute(arr) / 60.0::DOUBLE) / 24) AS arrival_sin, CASE WHEN user_id % 3 = event_id % 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS same_region, CASE WHEN user_id % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS region_0, CASE WHEN user_id % 3 = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS region_1, CASE WHEN user_id % 3 = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS region_2 FROM f""")
+def schedule_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a published schedule alone; leap years are those divisible by four."""
+    e = table(spark, sf_dir, "events")
+    minutes = F.lit(60) + F.col("event_id") % 300
+    local = F.timestamp_micros(F.unix_micros("ts") + (((F.col("user_id") % 5) - 2) * 60 + 30) * 60_000_000)
+    arrival = F.timestamp_micros(F.unix_micros("ts") + minutes * 60_000_000)
+    clock = lambda t: F.hour(t) + F.minute(t) / 60
+    days = F.when(F.year(local) % 4 == 0, 366).otherwise(365)
+    flag = lambda x: x.cast("double")
+    regions = [flag(F.col("user_id") % 3 == r).alias(f"region_{r}") for r in range(3)]
+    return e.select("event_id", F.sin(2 * F.pi() * F.dayofyear(local) / days).alias("year_day_sin"), calendar.cycle(clock(local), 24)[1].alias("hour_cos"), flag(F.weekday(local) >= 5).alias("weekend"), minutes.cast("double").alias("minutes"), F.log1p(minutes).alias("minutes_log"), calendar.cycle(clock(arrival), 24)[0].alias("arrival_sin"), flag(F.col("user_id") % 3 == F.col("event_id") % 3).alias("same_region"), *regions)
+
+
+@query(f"""WITH {LEGS} SELECT record_id, delay >= 15 AS late_15, delay >= 30 AS late_30, delay >= 60 AS late_60, status = 'cancelled' AS cancelled, status IN ('cancelled', 'diverted') AS disrupted FROM legs""")
+def outcome_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delay labels only for trips that arrived; cancelled and disrupted for all."""
+    late = [(F.col("delay") >= t).alias(f"late_{t}") for t in (15, 30, 60)]
+    return legs(spark, sf_dir).select("record_id", *late, (F.col("status") == "cancelled").alias("cancelled"), F.col("status").isin("cancelled", "diverted").alias("disrupted"))
+
+
+@query("""WITH r AS (SELECT event_id, event_type, value, (event_id % 2600)::INTEGER AS hhmm, value BETWEEN 1 AND 80 AS ranged FROM events),
+c AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'cancelled' WHEN NOT (hhmm BETWEEN 0 AND 2400 AND hhmm % 100 < 60) THEN 'invalid_clock' WHEN NOT ranged THEN 'out_of_range' END AS reject_reason, CASE WHEN hhmm BETWEEN 0 AND 2400 AND hhmm % 100 < 60 THEN ((hhmm % 2400) // 100) * 2 + (hhmm % 100) // 30 END AS half_hour, CASE WHEN event_type <> 'click' AND value BETWEEN 2 AND 60 THEN value END AS reading FROM r)
+SELECT event_id, reject_reason, half_hour, reading FROM c""")
+def row_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row with the first reason to reject it, its half hour, and its reading unless its quality code or range is bad."""
+    hhmm = (F.col("event_id") % 2600).cast("int")
+    clock = calendar.valid_clock(hhmm)
+    reason = F.when(F.col("event_type") == "error", "cancelled").when(~clock, "invalid_clock").when(~F.col("value").between(1, 80), "out_of_range")
+    reading = F.when((F.col("event_type") != "click") & F.col("value").between(2, 60), F.col("value"))
+    return table(spark, sf_dir, "events").select("event_id", reason.alias("reject_reason"), F.when(clock, calendar.half_hour(hhmm)).alias("half_hour"), reading.alias("reading"))
+
+
+@query("""WITH w AS (SELECT event_id, DATE '2024-03-09' + (event_id % 4)::INTEGER AS d, (event_id % 24) * 60 + (event_id * 7) % 60 AS m FROM events), l AS (SELECT event_id, d + to_minutes(m) AS l FROM w)
+SELECT event_id, CASE WHEN l >= TIMESTAMP '2024-03-10 02:00' AND l < TIMESTAMP '2024-03-10 03:00' THEN NULL ELSE epoch_us(timezone('UTC', timezone('America/New_York', l))) END AS strict_us,
+CASE WHEN l >= TIMESTAMP '2024-03-10 02:00' AND l < TIMESTAMP '2024-03-10 03:00' THEN epoch_us(TIMESTAMP '2024-03-10 07:00') ELSE epoch_us(timezone('UTC', timezone('America/New_York', l))) END AS shifted_us,
+CASE WHEN l >= TIMESTAMP '2024-03-10 02:00' THEN -240 ELSE -300 END AS offset_after FROM l""")
+def local_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local clocks around the hour that spring skips: refused or moved to its end, and the offset then."""
+    day = F.date_add(F.lit("2024-03-09").cast("date"), (F.col("event_id") % 4).cast("int"))
+    hhmm = ((F.col("event_id") % 24) * 100 + (F.col("event_id") * 7) % 60).cast("int")
+    rows = table(spark, sf_dir, "events").select("event_id", clocks.wall(day, hhmm).alias("l"))
+    shifted = clocks.to_utc_shifting(F.col("l"), "America/New_York")
+    return rows.select("event_id", F.unix_micros(clocks.to_utc_strict(F.col("l"), "America/New_York")).alias("strict_us"), F.unix_micros(shifted).alias("shifted_us"), clocks.offset_minutes(shifted, "America/New_York").alias("offset_after"))
+
+
+#: Two neighbouring boxes and a third that overlaps the second, as (latitude, longitude) corners.
+BOXES = [("west", [(-80, -170), (-80, 0), (80, 0), (80, -170)]), ("east", [(-80, 0), (-80, 170), (80, 170), (80, 0)]), ("far_east", [(0, 100), (0, 170), (80, 170), (80, 100)])]
+
+
+@query("""WITH p AS (SELECT s_suppkey, ((s_suppkey * 37) % 160 - 80)::DOUBLE AS a, ((s_suppkey * 53) % 340 - 170)::DOUBLE AS b FROM supplier)
+SELECT s_suppkey, CASE WHEN abs(a) > 79 OR abs(b) > 169 OR b = 0 OR (a = 0 AND b >= 100) OR (b = 100 AND a > 0) THEN NULL WHEN a > 0 AND b > 100 THEN NULL WHEN b < 0 THEN 'west' ELSE 'east' END AS zone FROM p WHERE abs(a) < 79 AND abs(b) < 169""")
+def zone_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box that holds a point and a ring around it; none near a border or where boxes overlap."""
+    rows = _points(spark, sf_dir).select("s_suppkey", "a", "b").filter((F.abs("a") < 79) & (F.abs("b") < 169))
+    return geo.locate(rows, BOXES, "a", "b").select("s_suppkey", "zone")
