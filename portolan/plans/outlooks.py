@@ -1 +1,128 @@
-"""Queries."""
+"""Evidence and rankings of the request side: outlooks, offers, journeys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from portolan.functions import scores
+from portolan.plans.registry import query
+from portolan.sources.tables import LEGS, legs, table
+
+_EVIDENCE = """e AS (SELECT origin, destination, count(*) AS observations, count(delay) AS known, count(*) FILTER (delay >= 15) AS late_15, count(*) FILTER (delay >= 30) AS late_30, count(*) FILTER (delay >= 60) AS late_60, floor(quantile_cont(delay, 0.5) FILTER (delay >= 15) + 0.5)::BIGINT AS typical_late,
+min(ts)::DATE AS first_day, max(ts)::DATE AS last_day FROM legs WHERE status = 'landed' GROUP BY ALL),
+w AS (SELECT *, CASE WHEN known > 0 THEN floor((late_15 + 1)::DOUBLE / (known + 2) * 100 * 10 + 0.5) / 10 END AS laplace, late_15::DOUBLE / known AS p, 1.959963984540054::DOUBLE AS z FROM e),
+c AS (SELECT *, (p + z * z / (2 * known)) / (1 + z * z / known) AS m, z / (1 + z * z / known) * sqrt(p * (1 - p) / known + z * z / (4 * known * known)) AS d FROM w),
+i AS (SELECT *, floor(greatest(0, m - d) * 100 * 10 + 0.5) / 10 AS low, floor(least(1, m + d) * 100 * 10 + 0.5) / 10 AS high FROM c),
+o AS (SELECT origin, destination, observations, known, late_15, late_30, late_60, typical_late, first_day, last_day, laplace, low, high, CASE WHEN known < 5 THEN 'insufficient' WHEN known < 20 OR high - low > 35 THEN 'limited' WHEN known < 50 OR high - low > 20 THEN 'moderate' ELSE 'strong' END AS confidence FROM i)"""
+
+
+def _outlook(rows: DataFrame) -> DataFrame:
+    late = {t: F.count_if(F.col("delay") >= t) for t in (15, 30, 60)}
+    groups = rows.filter("status = 'landed'").groupBy("origin", "destination").agg(
+        F.count("*").alias("observations"), F.count("delay").alias("known"), *[x.alias(f"late_{t}") for t, x in late.items()],
+        F.floor(F.percentile(F.when(F.col("delay") >= 15, F.col("delay")), 0.5) + 0.5).alias("typical_late"), F.to_date(F.min("ts")).alias("first_day"), F.to_date(F.max("ts")).alias("last_day"),
+    )
+    low, high = scores.wilson(F.col("late_15"), F.col("known"))
+    groups = groups.withColumns({"laplace": scores.laplace(F.col("late_15"), F.col("known")), "low": low, "high": high})
+    return groups.withColumn("confidence", scores.confidence(F.col("known"), F.col("low"), F.col("high")))
+
+
+@query(f"WITH {LEGS}, {_EVIDENCE} SELECT * FROM o")
+def historical_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a route was late, with its interval and what the sample is worth."""
+    return _outlook(legs(spark, sf_dir))
+
+
+@query(f"""WITH {LEGS}, {_EVIDENCE}, j AS (SELECT record_id, unnest([{{'a': origin, 'b': destination}}, {{'a': destination, 'b': (destination + 3) % 12}}]) AS l FROM legs WHERE record_id % 10 = 0),
+x AS (SELECT j.record_id, o.* FROM j LEFT JOIN o ON o.origin = j.l.a AND o.destination = j.l.b)
+SELECT record_id, CASE WHEN bool_and(coalesce(known >= 5 AND laplace IS NOT NULL, false)) THEN floor((1 - product(1 - laplace / 100)) * 100 + 0.5)::BIGINT END AS percent,
+CASE WHEN bool_and(coalesce(known >= 5 AND laplace IS NOT NULL, false)) THEN ['limited', 'moderate', 'strong'][min(CASE confidence WHEN 'limited' THEN 1 WHEN 'moderate' THEN 2 ELSE 3 END)::INTEGER] END AS confidence FROM x GROUP BY record_id""")
+def journey_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chance that any leg of a journey is late; nothing if evidence on one leg is insufficient; the weakest confidence."""
+    rows = legs(spark, sf_dir)
+    both = F.array(F.struct(F.col("origin").alias("a"), F.col("destination").alias("b")), F.struct(F.col("destination").alias("a"), ((F.col("destination") + 3) % 12).alias("b")))
+    asked = rows.filter("record_id % 10 = 0").select("record_id", F.explode(both).alias("l"))
+    found = asked.join(_outlook(rows), (F.col("l.a") == F.col("origin")) & (F.col("l.b") == F.col("destination")), "left")
+    enough = F.bool_and(F.coalesce((F.col("known") >= 5) & F.col("laplace").isNotNull(), F.lit(False)))
+    level = F.when(F.col("confidence") == "limited", 1).when(F.col("confidence") == "moderate", 2).otherwise(3)
+    groups = found.groupBy("record_id").agg(enough.alias("enough"), F.product(1 - F.col("laplace") / 100).alias("none_late"), F.min(level).alias("level"))
+    return groups.select("record_id", F.when(F.col("enough"), F.floor((1 - F.col("none_late")) * 100 + 0.5)).alias("percent"), F.when(F.col("enough"), F.element_at(F.array(*map(F.lit, ["limited", "moderate", "strong"])), F.col("level"))).alias("confidence"))
+
+
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS segments, count(*) FILTER (l_discount > 0) AS scored, max(l_discount) FILTER (l_discount > 0) AS p FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, p AS risk, CASE WHEN scored = 0 THEN 'unavailable' WHEN p < 0.16 THEN 'lower' WHEN p < 0.28 THEN 'moderate' ELSE 'higher' END AS level, CASE WHEN scored = 0 THEN NULL WHEN scored = segments THEN 'complete' ELSE 'partial' END AS coverage, segments, scored FROM g""")
+def itinerary_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest segment risk of an itinerary, and whether all segments could be scored."""
+    known = F.when(F.col("l_discount") > 0, F.col("l_discount"))
+    groups = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("segments"), F.count(known).alias("scored"), F.max(known).alias("risk"))
+    none = F.col("scored") == 0
+    return groups.select("l_orderkey", "risk", F.when(none, "unavailable").otherwise(scores.risk_level(F.col("risk"))).alias("level"), F.when(~none, F.when(F.col("scored") == F.col("segments"), "complete").otherwise("partial")).alias("coverage"), "segments", "scored")
+
+
+_OFFERS = """f AS (SELECT o_custkey, o_orderkey, round(sum(l_extendedprice), 2) AS price, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE sum(l_quantity) END AS minutes, count(*) - 1 AS stops, list_sort(list_distinct(list(l_returnflag))) AS airlines, bool_or(l_tax > 0.05) AS baggage, (o_orderkey % 24)::INTEGER AS hour
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey), k AS (SELECT * FROM f WHERE stops <= 5 AND baggage AND list_contains(airlines, 'N') AND hour >= 5 AND hour < 18 AND (minutes IS NULL OR minutes <= 200)),
+b AS (SELECT *, min(price) OVER w AS p0, max(price) OVER w AS p1, min(minutes) OVER w AS m0, max(minutes) OVER w AS m1 FROM k WINDOW w AS (PARTITION BY o_custkey)),
+s AS (SELECT *, 0.5 * CASE WHEN p1 > p0 THEN (price - p0) / (p1 - p0) ELSE 0 END + 0.35 * CASE WHEN minutes IS NULL THEN 1 WHEN m1 > m0 THEN (minutes - m0) / (m1 - m0) ELSE 0 END + 0.15 * least(stops, 2) / 2 AS score FROM b)"""
+
+
+@query(f"""WITH {_OFFERS} SELECT o_custkey, o_orderkey, score::DOUBLE AS score, array_to_string(airlines, ',') AS airlines, row_number() OVER (PARTITION BY o_custkey ORDER BY round(score, 9), o_orderkey)::INTEGER AS best, row_number() OVER (PARTITION BY o_custkey ORDER BY price, o_orderkey)::INTEGER AS cheapest, row_number() OVER (PARTITION BY o_custkey ORDER BY minutes NULLS LAST, o_orderkey)::INTEGER AS fastest FROM s""")
+def offer_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search's offers filtered, then ranked by price, by duration, and by a blend over what was left."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    offers = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "o_orderkey").agg(
+        F.round(F.sum("l_extendedprice"), 2).alias("price"), F.when(F.col("o_orderkey") % 13 != 0, F.sum("l_quantity")).alias("minutes"), (F.count("*") - 1).alias("stops"), F.sort_array(F.collect_set("l_returnflag")).alias("airlines"), F.bool_or(F.col("l_tax") > 0.05).alias("baggage"),
+    )
+    hour = F.col("o_orderkey") % 24
+    kept = offers.filter((F.col("stops") <= 5) & F.col("baggage") & F.array_contains("airlines", "N") & (hour >= 5) & (hour < 18) & (F.col("minutes").isNull() | (F.col("minutes") <= 200)))
+    search = Window.partitionBy("o_custkey")
+
+    def scaled(c: str):
+        low, high = F.min(c).over(search), F.max(c).over(search)
+        return F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(0.0)
+
+    score = 0.5 * scaled("price") + 0.35 * F.when(F.col("minutes").isNull(), 1.0).otherwise(scaled("minutes")) + 0.15 * F.least("stops", F.lit(2)) / 2
+    kept = kept.withColumn("score", score)
+    place = lambda *order: F.row_number().over(search.orderBy(*order, "o_orderkey"))
+    return kept.select("o_custkey", "o_orderkey", "score", F.array_join("airlines", ",").alias("airlines"), place(F.round("score", 9)).alias("best"), place("price").alias("cheapest"), place(F.col("minutes").asc_nulls_last()).alias("fastest"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'click' THEN 2 * floor(value) ELSE floor(value) END::DOUBLE AS emissions, CASE WHEN event_type = 'error' THEN 'unknown' WHEN event_id % 4 = 0 THEN 'not_allowed' ELSE 'allowed' END AS rule, CASE WHEN event_type <> 'error' AND event_id % 4 <> 0 THEN greatest(value, 20) END AS penalty FROM events""")
+def offer_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested offers: emissions in kilograms summed (none if none are told), and the strictest fare rule with the largest penalty."""
+    kind, value = F.col("event_type"), F.col("value")
+    emission = lambda w, u: F.struct(w.cast("double").alias("weight"), F.lit(u).alias("unit"))
+    told = F.when(kind == "error", F.array(emission(value, "LB"))).when(kind == "click", F.array(emission(F.floor(value), "KG"), emission(F.floor(value), "KG"))).otherwise(F.array(emission(F.floor(value), "KG"), emission(value, "LB")))
+    rule = lambda c, bar, p: F.struct(F.lit(c).alias("category"), bar.alias("barred"), p.alias("penalty"))
+    rules = F.array(rule("REFUND", F.col("event_id") % 4 == 0, value), rule("REFUND", F.lit(False), F.lit(20.0)), rule("EXCHANGE", F.lit(True), F.lit(500.0)))
+    rows = table(spark, sf_dir, "events").select("event_id", told.alias("emissions"), F.when(kind == "error", F.filter(rules, lambda r: r["category"] == "OTHER")).otherwise(rules).alias("rules"))
+    kilos = F.filter("emissions", lambda e: (e["unit"] == "KG") & (e["weight"] >= 0))
+    mine = F.filter("rules", lambda r: r["category"] == "REFUND")
+    rows = rows.select("event_id", kilos.alias("kilos"), mine.alias("mine"))
+    barred = F.exists("mine", lambda r: r["barred"])
+    allowed = F.when(F.size("mine") == 0, "unknown").when(barred, "not_allowed").otherwise("allowed")
+    return rows.select("event_id", F.when(F.size("kilos") > 0, F.aggregate("kilos", F.lit(0.0), lambda s, e: s + e["weight"])).alias("emissions"), allowed.alias("rule"), F.when(allowed == "allowed", F.array_max(F.transform("mine", lambda r: r["penalty"]))).alias("penalty"))
+
+
+@query("""WITH x AS (SELECT o_custkey, o_orderkey, l_linenumber, l_suppkey, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS option, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS link, l_returnflag FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+k AS (SELECT * FROM x WHERE option <= 6 AND link <= 8 AND l_returnflag IN ('A', 'R')), u AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, l_suppkey ORDER BY option, link) AS seen FROM k)
+SELECT o_custkey, option, link, l_suppkey FROM u WHERE seen = 1""")
+def booking_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of a search's first six options, eight each, from approved hosts, each address once."""
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    option = F.dense_rank().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    link = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice"))
+    rows = rows.select("o_custkey", "l_suppkey", "l_returnflag", option.cast("long").alias("option"), link.cast("long").alias("link")).filter("option <= 6 and link <= 8").filter(F.col("l_returnflag").isin("A", "R"))
+    first = rows.groupBy("o_custkey", "l_suppkey").agg(F.min(F.struct("option", "link")).alias("f"))
+    return first.select("o_custkey", "f.option", "f.link", "l_suppkey")
+
+
+@query("""WITH f AS (SELECT event_id, [abs(sin(event_id)), -abs(cos(event_id)), abs(sin(event_id * 2)), -abs(cos(event_id * 3)), value / 100] AS d FROM events WHERE event_id % 5 = 0), u AS (SELECT event_id, unnest(['month', 'hour', 'carrier', 'route', 'distance']) AS factor, unnest(d) AS delta FROM f)
+SELECT event_id, factor, delta, row_number() OVER (PARTITION BY event_id ORDER BY round(abs(delta), 12) DESC, factor)::INTEGER AS rank FROM u QUALIFY rank <= 3""")
+def factor_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three factors of each case that move it most, within the row."""
+    k = F.col("event_id")
+    deltas = {"month": F.abs(F.sin(k)), "hour": -F.abs(F.cos(k)), "carrier": F.abs(F.sin(k * 2)), "route": -F.abs(F.cos(k * 3)), "distance": F.col("value") / 100}
+    items = F.array(*[F.struct((-F.round(F.abs(d), 12)).alias("o"), F.lit(n).alias("factor"), d.alias("delta")) for n, d in deltas.items()])
+    top = table(spark, sf_dir, "events").filter("event_id % 5 = 0").select("event_id", F.posexplode(F.slice(F.array_sort(items), 1, 3)).alias("i", "f"))
+    return top.select("event_id", "f.factor", "f.delta", (F.col("i") + 1).alias("rank"))
