@@ -80,6 +80,8 @@ def flat_words(text: pa.Array, lower: bool = True):
     """(words of all texts one after another, the number of words of each text); nulls count as empty."""
     import numpy as np
 
+    if text.offset:  # ascii_lower misreads what does not begin at the first byte of its buffer
+        text = text.take(pa.array(np.arange(len(text))))
     text = pc.fill_null(text.cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
     flat, parent = pc.list_flatten(lists), pc.list_parent_indices(lists)

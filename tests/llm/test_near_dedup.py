@@ -103,3 +103,15 @@ def test_number_of_hub_rounds_does_not_matter(spark, hub_rounds):
             copy[rng.randrange(60)] = f"e{rng.randrange(9)}"
         docs.append((i, " ".join(copy)))
     checked(spark, docs, hub_rounds=hub_rounds)
+
+
+def test_slices_of_a_batch_give_the_sets_of_its_texts():
+    import numpy as np
+    import pyarrow as pa
+
+    from portolan.llm.near_dedup import shingle_sets
+
+    texts = pa.array([f"Some WORDS {i} of text {i * 7} and a few more ÄÖ" for i in range(50)] + [None, ""])
+    whole, sizes = shingle_sets(texts, 3)
+    parts = [shingle_sets(texts.slice(a, 13), 3) for a in range(0, 52, 13)]
+    assert (np.concatenate([p[0] for p in parts]) == whole).all() and (np.concatenate([p[1] for p in parts]) == sizes).all()
