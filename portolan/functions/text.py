@@ -77,7 +77,7 @@ def minor_units(amount: Column, currency: Column) -> Column:
     """An amount in text as whole minor units; null if it is no plain amount or finer than its currency."""
     places = decimals(currency)
     value = F.when(amount.rlike(r"^(0|[1-9][0-9]*)(\.[0-9]+)?$"), amount.try_cast("decimal(30,9)"))
-    scaled = value * F.element_at(F.array(F.lit(1), F.lit(10), F.lit(100), F.lit(1000)), places + 1)
+    scaled = value * F.when(places == 0, 1).when(places == 2, 100).when(places == 3, 1000)
     return F.when((scaled == F.floor(scaled)) & (scaled <= 9007199254740991), scaled.cast("long"))
 
 
