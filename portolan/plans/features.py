@@ -100,3 +100,42 @@ def zone_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The box that holds a point and a ring around it; none near a border or where boxes overlap."""
     rows = _points(spark, sf_dir).select("s_suppkey", "a", "b").filter((F.abs("a") < 79) & (F.abs("b") < 169))
     return geo.locate(rows, BOXES, "a", "b").select("s_suppkey", "zone")
+
+
+_CANONICAL = """c AS (SELECT event_id, CASE event_id % 17 WHEN 0 THEN ' l h ' WHEN 1 THEN 'TOOLONG' ELSE 'LH' END AS carrier, CASE event_id % 19 WHEN 0 THEN '' ELSE (event_id % 1000)::VARCHAR END AS number, 'A' || chr((65 + user_id % 26)::INTEGER) || 'X' AS origin, 'A' || chr((65 + (user_id * 3) % 26)::INTEGER) || 'X' AS destination, ts AS departure, ts + to_minutes(CASE event_id % 23 WHEN 0 THEN 0 WHEN 1 THEN 2161 ELSE 60 + event_id % 300 END) AS arrival,
+CASE event_type WHEN 'view' THEN 'Arrived' WHEN 'click' THEN ' canceled' WHEN 'signup' THEN 'delayed' ELSE 'landed' END AS status, (event_id % 191) - 95.0 AS latitude, (event_id % 361) - 180.0 AS longitude, CASE event_id % 29 WHEN 0 THEN 900 ELSE 60 END AS offset_minutes FROM events),
+n AS (SELECT *, upper(replace(carrier, ' ', '')) AS k, CASE lower(trim(status)) WHEN 'arrived' THEN 'landed' WHEN 'canceled' THEN 'cancelled' WHEN 'landed' THEN 'landed' END AS s, date_diff('microsecond', departure, arrival) / 3600000000.0 AS h FROM c)"""
+
+
+@query(f"""WITH {_CANONICAL} SELECT event_id, s AS status, CASE WHEN NOT regexp_full_match(k, '[A-Z0-9]{{2,3}}') THEN 'carrier' WHEN NOT regexp_full_match(number, '[A-Z0-9]{{1,6}}') THEN 'number' WHEN origin = destination THEN 'same_ends' WHEN NOT (h > 0 AND h <= 36) THEN 'duration' WHEN s IS NULL THEN 'status' WHEN NOT (latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180) THEN 'coordinates' WHEN NOT offset_minutes BETWEEN -840 AND 840 THEN 'offset' END AS reject_reason,
+md5(k || '|' || number || '|' || origin || '|' || destination || '|' || epoch_us(departure)) AS leg_key FROM n""")
+def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows normalised, keyed and checked rule by rule."""
+    from portolan.operators import validation as v
+
+    e, k, u = table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
+    letter = lambda n: F.concat(F.lit("A"), F.char(n + 65), F.lit("X"))
+    minutes = F.when(k % 23 == 0, 0).when(k % 23 == 1, 2161).otherwise(F.lit(60) + k % 300)
+    raw_status = F.when(F.col("event_type") == "view", "Arrived").when(F.col("event_type") == "click", " canceled").when(F.col("event_type") == "signup", "delayed").otherwise("landed")
+    rows = e.select(
+        "event_id", v.code(F.when(k % 17 == 0, " l h ").when(k % 17 == 1, "TOOLONG").otherwise("LH")).alias("carrier"), F.when(k % 19 == 0, "").otherwise((k % 1000).cast("string")).alias("number"), letter(u % 26).alias("origin"), letter((u * 3) % 26).alias("destination"),
+        F.col("ts").alias("departure"), F.timestamp_micros(F.unix_micros("ts") + minutes * 60_000_000).alias("arrival"), v.status(raw_status).alias("status"), (k % 191 - 95).cast("double").alias("latitude"), (k % 361 - 180).cast("double").alias("longitude"), F.when(k % 29 == 0, 900).otherwise(60).alias("offset_minutes"),
+    )
+    key = F.md5(F.concat_ws("|", "carrier", "number", "origin", "destination", F.unix_micros("departure").cast("string")))
+    return v.audited(rows, v.canonical_rules()).select("event_id", "status", "reject_reason", key.alias("leg_key"))
+
+
+@query(f"""WITH {_POINTS}, l AS (SELECT s_suppkey AS id, a AS lat, b AS lon, s_suppkey % 25 AS country, 'K' || (s_suppkey % 40) AS code FROM p), r AS (SELECT id, lat + CASE WHEN id % 5 = 0 THEN 0.03 WHEN id % 7 = 0 THEN 0.2 ELSE 0.001 END AS lat2, lon AS lon2, CASE WHEN id % 11 = 0 THEN 99 ELSE country END AS country2 FROM l WHERE id % 6 > 0),
+j AS (SELECT l.*, lat2, country2, 2 * 6371.0088::DOUBLE * asin(least(1, sqrt(sin(radians(lat2 - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(lat2)) * sin(radians(lon2 - lon) / 2) ** 2))) AS km, count(*) OVER (PARTITION BY code) AS n FROM l LEFT JOIN r USING (id))
+SELECT id, CASE WHEN lat2 IS NULL THEN 'no_reference' WHEN country <> country2 THEN 'country_differs' WHEN km > 5 THEN 'too_far' WHEN km > 1 THEN 'near_only' WHEN n > 2 THEN 'code_not_unique' ELSE 'accepted' END AS disposition, km FROM j""")
+def identity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two registries merged by exact code, with a check of country and distance, and of the short code's uniqueness."""
+    k = F.col("s_suppkey")
+    left = _points(spark, sf_dir).select(k.alias("id"), F.col("a").alias("lat"), F.col("b").alias("lon"), (k % 25).alias("country"), F.concat(F.lit("K"), (k % 40).cast("string")).alias("code"))
+    shift = F.when(F.col("id") % 5 == 0, 0.03).when(F.col("id") % 7 == 0, 0.2).otherwise(0.001)
+    right = left.filter("id % 6 > 0").select(F.col("id").alias("id2"), (F.col("lat") + shift).alias("lat2"), F.col("lon").alias("lon2"), F.when(F.col("id") % 11 == 0, 99).otherwise(F.col("country")).alias("country2"))
+    uses = left.groupBy("code").agg(F.count("*").alias("n"))
+    rows = left.join(right, F.col("id") == F.col("id2"), "left").join(uses, "code")
+    km = geo.great_circle(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    fate = F.when(F.col("lat2").isNull(), "no_reference").when(F.col("country") != F.col("country2"), "country_differs").when(km > 5, "too_far").when(km > 1, "near_only").when(F.col("n") > 2, "code_not_unique").otherwise("accepted")
+    return rows.select("id", fate.alias("disposition"), km.alias("km"))

@@ -101,3 +101,49 @@ def coverage_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     tier = F.when(F.col("n") >= 70, "established").when(partial, "partial").otherwise("cold_start")
     strongest = F.when(F.col("n") >= 70, "all").when(partial & (F.col("n_route") >= F.col("n_carrier")), "route").when(partial, "carrier")
     return groups.select("user_id", support(F.col("n")).alias("support"), risk_level(F.col("p")).alias("risk"), tier.alias("tier"), strongest.alias("strongest"))
+
+
+#: Two small trees as an export would hold them.
+TREES = [
+    {"feature": "score", "op": "<=", "threshold": 0.3, "missing": "no", "yes": {"leaf": -0.4}, "no": {"feature": "slice", "op": ">", "threshold": 2, "missing": "yes", "yes": {"leaf": 0.25}, "no": {"leaf": 0.1}}},
+    {"feature": "gust", "op": ">=", "threshold": 40, "missing": "yes", "yes": {"leaf": 0.2}, "no": {"feature": "score", "op": "<", "threshold": 0.5, "missing": "no", "yes": {"leaf": -0.1}, "no": {"leaf": 0.3}}},
+]
+
+
+@query(f"""WITH {SCORES}, g AS (SELECT s.*, CASE WHEN e.event_type = 'view' THEN NULL ELSE e.value END AS gust FROM scores s JOIN events e USING (event_id)),
+r AS (SELECT event_id, CASE WHEN score <= 0.3 THEN -0.4 WHEN slice > 2 THEN 0.25 ELSE 0.1 END + CASE WHEN gust IS NULL OR gust >= 40 THEN 0.2 WHEN score < 0.5 THEN -0.1 ELSE 0.3 END AS raw FROM g) SELECT event_id, raw::DOUBLE AS raw, 1 / (1 + exp(-(1.5 * raw - 0.3)))::DOUBLE AS p FROM r""")
+def tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees given as data, each one expression inside code generation; missing values go to their default side."""
+    from portolan.operators.models import ensemble
+
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") != "view", F.col("value")).alias("gust"))
+    rows = scores(spark, sf_dir).join(e, "event_id")
+    raw = ensemble(TREES)
+    return rows.select("event_id", raw.alias("raw"), platt(raw, 1.5, -0.3).alias("p"))
+
+
+@query(f"""WITH {SCORES}, k AS (SELECT DISTINCT user_id FROM events WHERE dayofmonth(ts) <= 3), s AS (SELECT CASE WHEN user_id IN (SELECT user_id FROM k) THEN 'seen' ELSE 'new' END AS membership, score, y FROM scores JOIN events USING (event_id) WHERE dayofmonth(scores.ts) > 3), {_auc_sql('membership')} SELECT membership, {_COLUMNS} FROM m""")
+def cold_start_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics apart for keys met in the fitting days and for new ones."""
+    from portolan.operators.matching import unseen
+
+    users = table(spark, sf_dir, "events").select("event_id", "user_id")
+    rows = scores(spark, sf_dir).join(users, "event_id")
+    marked = unseen(rows.filter(F.dayofmonth("ts") > 3), rows.filter(F.dayofmonth("ts") <= 3), ["user_id"])
+    return op.ranking(marked.withColumn("membership", F.when(F.col("new_user_id"), "new").otherwise("seen")), ["membership"], "score", "y")
+
+
+@query()
+def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees fitted on early cases with early stopping, calibrated on later ones, and measured on the last. No SQL states a fit."""
+    from portolan.operators import models
+
+    e = table(spark, sf_dir, "events").select("event_id", F.col("value"), F.hour("ts").cast("double").alias("hour"), (F.col("user_id") % 8).cast("double").alias("carrier"), (F.col("event_type") == "purchase").cast("double").alias("y"), F.dayofmonth("ts").alias("day"))
+    features = ["value", "hour", "carrier"]
+    model = models.fit_trees(e.filter("day <= 15").withColumn("check", F.col("day") > 12), features, "y", "check", rounds=8, depth=3)
+    scored = models.margins(model, e.filter("day > 15"), features)
+    try:
+        slope, intercept = models.fit_platt(scored.filter("day <= 20"), "raw_score", "y")
+    except ValueError:  # nothing was learned; the scores stay as they are
+        slope, intercept = 1.0, 0.0
+    return op.ranking(scored.filter("day > 20").select(F.lit("test").alias("part"), platt(F.col("raw_score"), slope, intercept).alias("score"), F.col("y").cast("int").alias("y")), ["part"], "score", "y")

@@ -100,3 +100,36 @@ def html_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from portolan.sources.html import first_tables
 
     return first_tables(table(spark, sf_dir, "pages"), "page_id", "html", container="ul", row="li", cell=("a",))
+
+
+@query("""SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, CASE WHEN (props::JSON ->> 'k')::BIGINT > 50 THEN 'high' ELSE 'low' END AS band, sha256('{"k":' || (props::JSON ->> 'k') || ',"t":"' || event_type || '"}') AS content, 'A' || event_type || '>B' || (props::JSON ->> 'k') AS identity FROM events""")
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider JSON under an explicit schema; content hashed in canonical form, and an identity text over nested parts."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.from_json("props", "k long").alias("p"))
+    content = F.sha2(F.to_json(F.struct(F.col("p.k").alias("k"), F.col("event_type").alias("t"))), 256)
+    ends = F.array(F.concat(F.lit("A"), "event_type"), F.concat(F.lit("B"), F.col("p.k").cast("string")))
+    return rows.filter("p.k is not null").select("event_id", F.col("p.k").alias("k"), F.when(F.col("p.k") > 50, "high").otherwise("low").alias("band"), content.alias("content"), F.array_join(F.transform(ends, lambda x: x), ">").alias("identity"))
+
+
+@query("""WITH r AS (SELECT c_custkey, DATE '2024-01-10' + ((c_custkey % 400) - 20)::INTEGER AS dep, DATE '2024-01-10' + ((c_custkey % 390) - 15)::INTEGER AS ret, (c_custkey % 8)::INTEGER AS adults, (c_custkey % 5)::INTEGER AS children, (c_custkey % 4)::INTEGER AS infants FROM customer)
+SELECT c_custkey, array_to_string(list_filter([CASE WHEN dep < DATE '2024-01-09' OR dep > DATE '2024-12-06' THEN 'departure' END, CASE WHEN ret < dep THEN 'return' END, CASE WHEN adults < 1 THEN 'adults' END, CASE WHEN adults + children + infants > 9 THEN 'passengers' END, CASE WHEN infants > adults THEN 'infants' END], lambda x: x IS NOT NULL), ',') AS errors FROM r""")
+def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is wrong with a search: dates from a day before to 331 days after today, nine passengers, an adult for each infant."""
+    k, today = F.col("c_custkey"), F.lit("2024-01-10").cast("date")
+    dep, ret = F.date_add(today, (k % 400 - 20).cast("int")), F.date_add(today, (k % 390 - 15).cast("int"))
+    adults, children, infants = k % 8, k % 5, k % 4
+    wrong = [("departure", ~dep.between(F.date_sub(today, 1), F.date_add(today, 331))), ("return", ret < dep), ("adults", adults < 1), ("passengers", adults + children + infants > 9), ("infants", infants > adults)]
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.array_compact(F.array(*[F.when(bad, name) for name, bad in wrong])), ",").alias("errors"))
+
+
+@query("""WITH c AS (SELECT event_id, epoch_us(ts) AS t, event_type || '/' || (user_id % 10) AS ident FROM events),
+r AS (SELECT event_id, t + 1800000000 * (event_id % 4) AS now, CASE WHEN event_id % 7 = 0 THEN 'other' ELSE ident END AS wanted FROM c WHERE event_id % 3 = 0)
+SELECT event_id, CASE WHEN now >= t + 3600000000 THEN 'expired' WHEN wanted <> ident THEN 'conflict' ELSE 'valid' END AS fate FROM r JOIN c USING (event_id)""")
+def cached_row_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached rows asked for again: expired, in conflict with what was asked, or valid."""
+    e = table(spark, sf_dir, "events")
+    ident = F.concat_ws("/", "event_type", (F.col("user_id") % 10).cast("string"))
+    cached = e.select("event_id", F.unix_micros("ts").alias("t"), ident.alias("ident"))
+    asked = e.filter("event_id % 3 = 0").select(F.col("event_id").alias("id"), (F.unix_micros("ts") + 1_800_000_000 * (F.col("event_id") % 4)).alias("now"), F.when(F.col("event_id") % 7 == 0, "other").otherwise(ident).alias("wanted"))
+    fate = F.when(F.col("now") >= F.col("t") + 3_600_000_000, "expired").when(F.col("wanted") != F.col("ident"), "conflict").otherwise("valid")
+    return asked.join(cached, F.col("id") == F.col("event_id")).select("event_id", fate.alias("fate"))
