@@ -6,8 +6,10 @@ Coordinates are ordered from rare to frequent: two classes that agree on `matche
 in the first (coordinates - matches + 1), so only that prefix is posted and frequent values are skipped.
 
 A posting list is never expanded into its pairs. Its most connected class (the hub) is compared with the
-others first, twice; lists that then lie in one component are done. In the rest, classes of different
-components are compared where sizes and the shingles that nobody shares beside the hub still allow a link.
+others first, twice; lists that then lie in one component are done. What a class has beside the hub, and what it
+lacks of it, tells exactly how much two classes of a list have in common: a pair of which one is not linked to the
+hub must share a known number of these differences, so such pairs come from a join over the rarest of them, with
+prefix and position filters. Only classes too unlike their hub to be compared with it meet the rest of their list.
 Candidates agree on `matches` coordinates at least and links are confirmed on full sets of 64-bit shingle hashes.
 """
 
@@ -173,7 +175,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     sets = materialize(full_sets(docs, active.select("node", "first_id", "set_key"), shingle, broadcast_rows, id_col, text_col), "dedup-sets")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """a, b, na, nb, common and own (what a has beside b) for pairs a, b that agree on enough coordinates."""
+        """a, b, na, nb, common, own (what a has beside b) and lacking (what it lacks of b) for pairs that agree on enough coordinates."""
         sig = active.select("node", "sig", "n")
         pairs = pairs.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
         pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a")
@@ -181,7 +183,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
         pairs = pairs.filter(alike & (agreeing(F.col("sa"), F.col("sb")) >= matches)).select("a", "b", "na", "nb")
         pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
         pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
-        out = pairs.select("a", "b", "na", "nb", F.array_except("ia", "ib").alias("own"))
+        out = pairs.select("a", "b", "na", "nb", F.array_except("ia", "ib").alias("own"), F.array_except("ib", "ia").alias("lacking"))
         return out.withColumn("common", F.col("na") - F.size("own"))
 
     linked = F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent
@@ -197,28 +199,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
             rest = open_lists.join(first.select("key", F.col("top.label").alias("done")), "key")
             hubs = rest.filter("label != done").groupBy("key").agg(F.max(F.struct("weight", F.col("node").alias("id"), "label")).alias("hub"))
             pairs = rest.join(hubs.select("key", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label")), "key").filter("node != hub and label != hub_label")
-        seen = materialize(compared(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "dedup-hubs")
+        seen = compared(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+        seen = materialize(seen if first_hub is None else seen.drop("own", "lacking"), "dedup-hubs")
         first_hub = seen if first_hub is None else first_hub
         found = seen.filter(linked).select("a", "b")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
 
-    # what no other class beside the same hub has can't be common to two of them
-    alone = (
-        first_hub.select("a", "b", F.explode("own").alias("item")).groupBy("b", "item").agg(F.min("a").alias("a"), F.max("a").alias("z"))
-        .filter("a = z").groupBy("a", "b").agg(F.count("*").alias("alone"))
-    )
-    bound = materialize(first_hub.select("a", "b").join(alone, ["a", "b"], "left").groupBy("a", "b").agg(F.coalesce(F.max("alone"), F.lit(0)).alias("alone")), "dedup-bounds")
     hub_of = lists.groupBy("key").agg(F.max(F.struct("weight", F.col("node").alias("id"))).alias("hub")).select("key", F.col("hub.id").alias("hub"))
     left = _open(lists, labels).join(hub_of, "key").filter("node != hub")
-    left = left.join(bound.select(F.col("a").alias("node"), F.col("b").alias("hub"), "alone"), ["node", "hub"], "left").join(active.select("node", "sig", "keys"), "node")
-    x, y = (left.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "n", "label", "alone", "sig", "keys")]) for p in "xy")
-    most_common = F.least(F.col("x_n") - F.col("x_alone"), F.col("y_n") - F.col("y_alone"))
-    possible = F.coalesce(most_common * 100 >= (F.col("x_n") + F.col("y_n") - most_common) * percent, F.lit(True))
+    left = left.join(first_hub.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.lit(True).alias("known")).distinct(), ["node", "hub"], "left")
+    left = materialize(left.select("key", "node", "hub", "n", "label", F.coalesce("known", F.lit(False)).alias("known")), "dedup-open")
+    here = left.filter("known").groupBy("node", "hub").agg(F.max("label").alias("label"))
+    apart = first_hub.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("na").alias("n"), F.col("nb").alias("hub_n"), "own", "lacking").join(here, ["node", "hub"])
+    near = _sharing_differences(apart, percent)
+
+    # classes that were not compared with the hub meet all others of their lists
+    x = left.filter("not known").join(active.select("node", "sig", "keys"), "node")
+    x, y = (t.select(F.col("key").alias(f"{p}_key"), *[F.col(c).alias(f"{p}_{c}") for c in ("node", "n", "label", "known", "sig", "keys")]) for t, p in ((x, "x"), (left.join(active.select("node", "sig", "keys"), "node"), "y")))
     alike = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
-    once = F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("key")
-    rest = x.join(y.withColumnRenamed("key", "y_key"), (F.col("key") == F.col("y_key")) & (F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & alike & possible & (agreeing(F.col("x_sig"), F.col("y_sig")) >= matches) & once)
-    seen = compared(rest.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct())
+    once = F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("x_key")
+    one_way = F.col("y_known") | (F.col("x_node") < F.col("y_node"))
+    rest = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_label") != F.col("y_label")) & one_way & alike & (agreeing(F.col("x_sig"), F.col("y_sig")) >= matches) & once)
+    rest = rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).unionByName(near).distinct()
+    seen = compared(rest)
     more = materialize(seen.filter(linked).select("a", "b"), "dedup-more")
     links = links.unionByName(more)
     if not more.isEmpty():
@@ -233,6 +237,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("node").alias("class_id"))
 
 
+def _sharing_differences(apart: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of classes compared with one hub, at least one not linked to it, that may still be linked with each other.
+
+    apart: node, hub, n, hub_n, label, own, lacking. With l lacking and o own shingles let w = 100 l + percent o. A class is
+    linked to the hub if w <= (100 - percent) hub_n =: w0, and two classes a, b are linked only if they share
+    at least (w_a + w_b - w0) / (100 + percent) of their differences (this is exact: common = hub_n - l_a - l_b + shared).
+    From this follow how many an unlinked class, and a partner of one, must share at the least, and so how long a
+    prefix of the rarest differences has to be; the places of the first shared one bound what can follow.
+    """
+    both = 100 + percent
+    rows = apart.select("node", "hub", "n", "label", (F.size("lacking") * 100 + F.size("own") * percent).cast("long").alias("w"), (F.col("hub_n") * (100 - percent)).alias("w0"), F.concat("own", "lacking").alias("items"))
+    rows = rows.withColumn("size", F.size("items"))
+    items = rows.select("node", "hub", "n", "label", "w", "w0", "size", F.explode("items").alias("item"))
+    common = items.groupBy("hub", "item").agg(F.count("*").alias("df")).filter("df > 1")  # nothing is shared through the others
+    alone = items.join(common, ["hub", "item"]).withColumn("mine", F.count("*").over(Window.partitionBy("hub", "node")))
+    nth = F.row_number().over(Window.partitionBy("hub", "node").orderBy("df", "item")) + F.col("size") - F.col("mine")  # those of one class stand first
+    ranked = alone.withColumn("nth", nth)
+    probe = ranked.filter((F.col("w") > F.col("w0")) & (F.col("nth") <= F.col("size") - F.ceil((F.col("w") - F.col("w0")) / 100) + 1))
+    index = ranked.filter(F.col("nth") <= F.col("size") - F.floor(F.col("w") / both))
+    x, y = (t.select(*[F.col(c).alias(f"{p}_{c}") for c in ("hub", "item", "node", "n", "label", "w", "w0", "size", "nth")]) for t, p in ((probe, "x"), (index, "y")))
+    need = F.col("x_w") + F.col("y_w") - F.col("x_w0")
+    most = 1 + F.least(F.col("x_size") - F.col("x_nth"), F.col("y_size") - F.col("y_nth"))
+    alike = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
+    on = (F.col("x_hub") == F.col("y_hub")) & (F.col("x_item") == F.col("y_item")) & (F.col("x_label") != F.col("y_label")) & alike & (most * both >= need)
+    return x.join(y, on).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
 def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The posting lists that lie in several components, with each class's label."""
     labelled = lists.join(labels.select("node", F.col("label").alias("own_label")), "node", "left").withColumn("label", F.coalesce("own_label", "node")).drop("own_label")
