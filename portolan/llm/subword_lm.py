@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from portolan.llm.common import flat_words, fold, materialize, text_slices
@@ -170,6 +170,38 @@ class Lattice:
                 yield np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(which), size), which
 
 
+def packed(codes: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Each text's codes as bytes of seven bits, the last of a code without the high bit."""
+    length = 1 + (codes >= 1 << 7) + (codes >= 1 << 14) + (codes >= 1 << 21)
+    ends = np.cumsum(length)
+    raw = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(4):
+        has = length > k
+        raw[(ends - length)[has] + k] = ((codes[has] >> 7 * k) & 127) | ((length[has] > k + 1) << 7)
+    offsets = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+
+
+def unpacked(raw: np.ndarray) -> np.ndarray:
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    k = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)
+    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * k, starts) if len(ends) else np.zeros(0, np.int64)
+
+
+def gathered(batches, rows: int = 100_000):
+    """Batches put together to some rows at least, as work goes by word length."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def chunked(docs: DataFrame, chunk_bytes: int, id_col: str, text_col: str, parts: int, held_out: int) -> DataFrame:
     """Rows of texts (codes: the places of a text's words in its chunk's dictionary) and of dictionaries (words is not null)."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -180,23 +212,27 @@ def chunked(docs: DataFrame, chunk_bytes: int, id_col: str, text_col: str, parts
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for a, b in text_slices(batch, batch.schema.names[1], chunk_bytes):
-                flat, counts = flat_words(batch.column(1).slice(a, b - a))
-                flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-                coded = flat.dictionary_encode()
-                codes = coded.indices.to_numpy(zero_copy_only=False).astype("<i4")
-                ends, held = np.cumsum(counts), batch.column(2).slice(a, b - a)
+                n, ids, held = b - a, batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a)
+                texts = batch.slice(a, n)
+                parts = [flat_words(texts.column(1).slice(c, d - c)) for c, d in text_slices(texts, texts.schema.names[1], 2 << 20)]
+                counts = np.concatenate([x for _, x in parts])
+                flat = [x if isinstance(x, pa.Array) else x.combine_chunks() for x, _ in parts]
+                coded = pa.chunked_array(flat).dictionary_encode().combine_chunks() if counts.sum() else flat[0].dictionary_encode()
+                del flat
+                del parts
+                codes, size = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
+                order = np.argsort(-np.bincount(codes, minlength=size), kind="stable")  # frequent words have short codes
+                place = np.empty(size, np.int64)
+                place[order] = np.arange(size)
+                codes, words = place[codes], coded.dictionary.take(pa.array(order)).cast(pa.string())
                 learn = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), counts)
-                size = len(coded.dictionary)
                 train = np.bincount(codes[learn], minlength=size)
-                raw = codes.tobytes()
-                packed = pa.array([raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist())], pa.binary())
-                n = b - a
-                ids = batch.column(0).slice(a, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), ids, held, packed, pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), ids, held, packed(codes, counts), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))], names=names)
                 for at in range(0, size, 4096):
                     m = min(4096, size - at)
-                    words = pa.array([coded.dictionary.slice(at, m).cast(pa.string()).to_pylist()], pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, ids.type), pa.array([False]), pa.nulls(1, pa.binary()), pa.array([at], pa.int32()), words, pa.array([train[at : at + m].tolist()], pa.list_(pa.int64()))], names=names)
+                    one = pa.array([0, m], pa.int32())
+                    lists = pa.ListArray.from_arrays(one, words.slice(at, m)), pa.ListArray.from_arrays(one, pa.array(train[at : at + m]))
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, ids.type), pa.array([False]), pa.nulls(1, pa.binary()), pa.array([at], pa.int32()), *lists], names=names)
                 chunk += 1
 
     names = ["chunk", "doc_id", "held_out", "codes", "first", "words", "train"]
@@ -214,12 +250,12 @@ def learned(words: DataFrame, model_path: str, rounds: int, prior: float, ends:
         def expect(batches, logs=logs):
             lattice = Lattice(model_path, logs)
             total = np.zeros(lattice.size + 1)
-            for batch in batches:
+            for batch in gathered(batches):
                 total += lattice.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(float))
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["piece", "n"])
 
-        found = words.filter("c > 0").select("word", "c").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        found = words.select("word", "c").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         total = prior * base
         for r in found:
             total[r.piece] += r.n
@@ -238,47 +274,52 @@ def score_documents(docs: DataFrame, model_path: str, rounds: int = 2, prior: fl
     """
     tokens = materialize(chunked(docs, chunk_bytes, id_col, text_col, parts, held_out), "lm-tokens")
     entries = tokens.filter("words is not null").select("chunk", "first", F.posexplode(F.arrays_zip("words", "train")).alias("at", "e"))
-    entries = entries.select("chunk", (F.col("first") + F.col("at")).alias("code"), F.col("e.words").alias("word"), F.col("e.train").alias("n"))
-    words = materialize(entries.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
+    entries = entries.select("chunk", (F.col("first") + F.col("at")).cast("int").alias("code"), F.col("e.words").alias("word"), F.col("e.train").alias("n"))
+    # one row for each word and chunk, with the word's count over all; a window holds at most the chunks of one word
+    together_ = Window.partitionBy("word").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nth = F.row_number().over(Window.partitionBy("word").orderBy("chunk"))
+    entries = materialize(entries.select("chunk", "code", "word", F.sum("n").over(together_).alias("c"), (nth == 1).alias("first")), "lm-entries")
+    words = entries.filter("first and c > 0")
     texts = tokens.filter("words is null")
     ends = texts.filter("not held_out").count()
-    distinct, seen = words.filter("c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    distinct, seen = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n, v = seen + ends, distinct + (ends > 0)
     logs = learned(words, model_path, rounds, prior, ends)
     arc, rest = (1.0 / (n + v), v / (n + v)) if n else (0.0, 1.0)
 
     def of(c: np.ndarray, log: np.ndarray):
+        """log10 of the add-one estimate and of the mixture, from counts and natural logs of the lattice."""
         base = np.log10((c + 1.0) / (n + v + 1.0))
-        return base, np.log10(c * arc + rest * np.exp(np.maximum(log, -700.0))) if arc else log / math.log(10)
+        alone = (log + math.log(max(rest, 1e-300))) / math.log(10)
+        mixed = np.log10(np.maximum(c * arc + rest * np.exp(np.maximum(log, -700.0)), 1e-300))
+        return base, np.where((c == 0) & (log < -690), alone, mixed)  # below the smallest double
 
     def score_words(batches):
         lattice = Lattice(model_path, logs)
-        for batch in batches:
-            c = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-            log = lattice.log_probability(batch.column(0).to_pylist())
-            base, mixed = of(c, log)
-            small = (c == 0) & (log < -690)  # below the smallest double
-            mixed = np.where(small, (log + math.log(max(rest, 1e-300))) / math.log(10), mixed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c > 0), pa.array(base), pa.array(mixed), pa.array(log / math.log(10))], names=["word", "known", "base", "score", "lattice"])
-
-    scored = words.mapInArrow(score_words, "word string, known boolean, base double, score double, lattice double")
-    values = entries.select(F.col("chunk").alias("of_chunk"), "code", "word").join(scored, "word").select("of_chunk", "code", "known", "base", "score", "lattice")
+        for table in gathered(batches):
+            coded = table.column("word").combine_chunks().dictionary_encode()
+            log = lattice.log_probability(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            yield from pa.table({"of_chunk": table.column("chunk"), "code": table.column("code"), "c": table.column("c"), "log": pa.array(log)}).to_batches()
+
+    values = entries.select("chunk", "code", "word", "c").mapInArrow(score_words, "of_chunk long, code int, c long, log double")
     (end_base,), (end_score,) = of(np.array([float(ends)]), np.array([logs[-1]]))
     end_lattice, end_known = float(logs[-1]) / math.log(10), int(ends > 0)
     id_kind = docs.schema[id_col].dataType.simpleString()
 
     def together(texts: pa.Table, values: pa.Table) -> pa.Table:
         texts, values = texts.combine_chunks(), values.combine_chunks()
-        size = len(values)
-        table = np.zeros((4, size))
         code = values.column("code").to_numpy()
-        for row, name in zip(table, ("known", "base", "score", "lattice")):
-            row[code] = values.column(name).to_numpy().astype(float)
-        raw = [np.frombuffer(x.as_py(), "<i4") for x in texts.column("codes")]
-        counts = np.array([len(x) for x in raw], np.int64)
-        of_text, codes = np.repeat(np.arange(len(raw)), counts), np.concatenate(raw) if raw else np.zeros(0, np.int32)
-        known, base, score, lattice = (np.bincount(of_text, weights=row[codes], minlength=len(raw)) for row in table)
-        return pa.table({id_col: texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(counts + 1), "n_known": pa.array(known.astype(np.int64) + end_known), "train_tokens": pa.array(np.full(len(raw), n), pa.int64()), "base_score": pa.array(base + end_base), "score": pa.array(score + end_score), "lattice_score": pa.array(lattice + end_lattice)})
+        c, log = np.zeros(len(code)), np.zeros(len(code))
+        c[code], log[code] = values.column("c").to_numpy().astype(float), values.column("log").to_numpy()
+        tables = (c > 0, *of(c, log), log / math.log(10))
+        sums, counts = np.zeros((4, len(texts))), np.zeros(len(texts), np.int64)
+        for i, raw in enumerate(texts.column("codes")):
+            own = unpacked(np.frombuffer(raw.as_buffer(), np.uint8))
+            counts[i] = len(own)
+            for total, table in zip(sums, tables):
+                total[i] = table[own].sum()
+        known, base, score, lattice = sums
+        return pa.table({id_col: texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(counts + 1), "n_known": pa.array(known.astype(np.int64) + end_known), "train_tokens": pa.array(np.full(len(texts), n), pa.int64()), "base_score": pa.array(base + end_base), "score": pa.array(score + end_score), "lattice_score": pa.array(lattice + end_lattice)})
 
     schema = f"`{id_col}` {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
     left = texts.select("chunk", "doc_id", "held_out", "codes").groupBy("chunk")

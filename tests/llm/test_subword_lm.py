@@ -102,3 +102,13 @@ def test_nothing_to_learn_from(spark):
     rows = score_documents(table, PATH).collect()
     assert [r.train_tokens for r in rows] == [0, 0] and all(r.base_score == 0 and r.score < 0 and r.held_out for r in rows)
     assert score_documents(table.limit(0), PATH).count() == 0
+
+
+def test_packed_codes_come_back():
+    from portolan.llm.subword_lm import packed, unpacked
+
+    codes = np.array([0, 127, 128, 16383, 16384, 2097151, 2097152, 5, 0])
+    rows = packed(codes, np.array([0, 3, 0, 5, 1]))
+    got = [unpacked(np.frombuffer(x.as_py(), np.uint8)).tolist() for x in rows]
+    assert got == [[], [0, 127, 128], [], [16383, 16384, 2097151, 2097152, 5], [0]]
+    assert packed(np.zeros(0, np.int64), np.array([0, 0])).to_pylist() == [b"", b""]
