@@ -24,8 +24,8 @@ def margins(model, df: DataFrame, features: list[str]) -> DataFrame:
 
 def fit_platt(df: DataFrame, score: str, label: str) -> tuple[float, float]:
     """(slope, intercept) of a logistic curve over one score; ValueError if the slope is not positive."""
-    ready = VectorAssembler(inputCols=[score], outputCol="x").transform(df)
-    fitted = LogisticRegression(featuresCol="x", labelCol=label, regParam=0.0, standardization=False, maxIter=200, tol=1e-10).fit(ready)
+    ready = VectorAssembler(inputCols=[score], outputCol="platt_input").transform(df)
+    fitted = LogisticRegression(featuresCol="platt_input", labelCol=label, regParam=0.0, standardization=False, maxIter=200, tol=1e-10).fit(ready)
     slope, intercept = float(fitted.coefficients[0]), float(fitted.intercept)
     if slope <= 0:
         raise ValueError(f"calibration slope is {slope}")

@@ -12,10 +12,11 @@ def latest_reports(stream: DataFrame, key: list[str], order: list[str]) -> DataF
     return stream.groupBy(*key).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in key]), F.struct(*order)).alias("r")).select(*key, "r.*")
 
 
-def quota_decisions(stream: DataFrame, window: int, limit: int) -> DataFrame:
+def quota_decisions(stream: DataFrame, window: int, limit: int, forget: bool = True) -> DataFrame:
     """event_id, user_id, allowed for each request (event_id, user_id, t); requests of a micro-batch are taken in order of t.
 
-    State is one window and count for each user, dropped after two windows without a request.
+    State is one window and count for each user, dropped after two windows without a request unless forget is False
+    (a timeout by the clock keeps a query that should end with its input going).
     """
 
     def decide(key, batches, state):
@@ -31,7 +32,8 @@ def quota_decisions(stream: DataFrame, window: int, limit: int) -> DataFrame:
             allowed.append(used < limit)
             used += allowed[-1]
         state.update((opened, used))
-        state.setTimeoutDuration(max(1, 2 * window // 1000))
+        if forget:
+            state.setTimeoutDuration(max(1, 2 * window // 1000))
         yield rows[["event_id", "user_id"]].assign(allowed=allowed)
 
-    return stream.groupBy("user_id").applyInPandasWithState(decide, "event_id long, user_id long, allowed boolean", "opened long, used int", "append", "ProcessingTimeTimeout")
+    return stream.groupBy("user_id").applyInPandasWithState(decide, "event_id long, user_id long, allowed boolean", "opened long, used int", "append", "ProcessingTimeTimeout" if forget else "NoTimeout")
