@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from portolan.llm.common import fold, text_slices
 
 UNDETERMINED = "und"
-SPACE = np.uint8(32)
 #: Fixed odd multipliers for n-grams of 1, 2, ... bytes.
 SPREAD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -106,11 +105,11 @@ def learn(docs: DataFrame, per_language: int, landmarks: int, ridge: float, gram
     def found(batches):
         for batch in batches:
             for a, b in text_slices(batch, "text"):
-                sets = [x.astype(np.int32).tobytes() for x in presences(batch.column("text").slice(a, b - a), grams, bits)]
+                sets = [x.astype(np.uint32 if bits > 16 else np.uint16).tobytes() for x in presences(batch.column("text").slice(a, b - a), grams, bits)]
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), pa.array(sets, pa.binary())], names=["lang", "found"])
 
     rows = sample(docs, per_language, id_col, text_col, lang_col, parts, held_out).select("text", "lang").mapInArrow(found, "lang string, found binary").collect()
-    return fit([(r.lang, np.frombuffer(bytes(r.found), np.int32)) for r in rows], landmarks, ridge, bits)
+    return fit([(r.lang, np.frombuffer(r.found, np.uint32 if bits > 16 else np.uint16)) for r in rows], landmarks, ridge, bits)
 
 
 def predicted(model: Model, text: pa.Array, grams: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +122,7 @@ def predicted(model: Model, text: pa.Array, grams: tuple[int, ...], bits: int) -
     for i, found in enumerate(presences(text, grams, bits)):
         sets.append(found)
         at.append(i)
-        if len(sets) == 256 or i == len(text) - 1:
+        if len(sets) == 64 or i == len(text) - 1:
             margin = model.scores(sets)
             exp = np.exp(4.0 * (margin - margin.max(1, keepdims=True)))
             pred[at], score[at] = names[margin.argmax(1)], (exp / exp.sum(1, keepdims=True)).max(1)
@@ -143,7 +142,7 @@ def identify(docs: DataFrame, per_language: int = 400, landmarks: int = 128, rid
 
     def predict(batches):
         for batch in batches:
-            for a, b in text_slices(batch, batch.schema.names[1], 4 << 20):
+            for a, b in text_slices(batch, batch.schema.names[1], 2 << 20):
                 part = batch.slice(a, b - a)
                 pred, score = predicted(model, part.column(1), grams, bits)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
@@ -159,7 +158,7 @@ def keep_identified(docs: DataFrame, per_language: int = 400, landmarks: int = 1
 
     def keep(batches):
         for batch in batches:
-            for a, b in text_slices(batch, text_col, 4 << 20):
+            for a, b in text_slices(batch, text_col, 2 << 20):
                 part = batch.slice(a, b - a)
                 pred, _ = predicted(model, part.column(text_col), grams, bits)
                 yield part.filter(pa.array(pred != UNDETERMINED))

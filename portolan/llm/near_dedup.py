@@ -6,7 +6,7 @@ Coordinates are ordered from rare to frequent: two classes that agree on `matche
 in the first (coordinates - matches + 1), so only that prefix is posted and frequent values are skipped.
 
 A posting list is never expanded into its pairs. Its most connected class (the hub) is compared with the
-others first, twice; lists that then lie in one component are done. What a class has beside the hub, and what it
+others first (hub_rounds times); lists that then lie in one component are done. What a class has beside the hub, and what it
 lacks of it, tells exactly how much two classes of a list have in common: a pair of which one is not linked to the
 hub must share a known number of these differences, so such pairs come from a join over the rarest of them, with
 prefix and position filters. Only classes too unlike their hub to be compared with it meet the rest of their list.
@@ -74,7 +74,7 @@ def sketches(docs: DataFrame, shingle: int, coordinates: int, id_col: str, text_
         import xxhash
 
         for batch in batches:
-            for a, b in text_slices(batch, batch.schema.names[1]):
+            for a, b in text_slices(batch, batch.schema.names[1], 2 << 20):
                 hashes, sizes = shingle_sets(batch.column(1).slice(a, b - a), shingle)
                 to = np.cumsum(sizes)
                 full = np.flatnonzero(sizes)
@@ -105,7 +105,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, broadcast_rows:
         import xxhash
 
         for batch in batches:
-            for a, b in text_slices(batch, "text_"):
+            for a, b in text_slices(batch, "text_", 2 << 20):
                 part = batch.slice(a, b - a)
                 hashes, sizes = shingle_sets(part.column("text_"), shingle)
                 to, nodes, parts = np.cumsum(sizes), [], []
@@ -144,7 +144,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = 32, matches: int = 14, hub_rounds: int = 2, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = 32, matches: int = 14, hub_rounds: int = 1, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id (the smallest id reachable), kept, n_links, class_id.
 
     Texts are linked where 100 * intersection >= percent * union of their shingle sets; `matches` of `coordinates`

@@ -55,7 +55,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from portolan.llm.near_dedup import near_duplicates
 
-    return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85, matches=16).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85, matches=16, hub_rounds=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 #: Exact links between shingle sets, and the smallest id that each text reaches over them.
