@@ -1,11 +1,12 @@
 """Personal data: base entities by pattern, further terms by what they disclose, in DataFrame functions only.
 
-E-mail addresses, IP addresses, card and phone numbers are the protected entities. A term beside an entity c
+E-mail addresses, IP addresses, card and phone numbers are the protected entities. A term in the texts of an entity c
 discloses it as far as knowing the term explains c away: with counts over distinct texts,
     disclosure(c, t) = PMI(c; t) / IC(c) = 1 + ln(n(c, t) / n(t)) / ln(N / n(c)),
-which is 1 where the term stands nowhere else and falls as the term is met in other texts. Terms met beside c in
-enough texts are generalised from one threshold on and removed from a higher one. Only pairs met near an entity
-are counted, each text once, and n(t) is counted over all texts for those terms alone.
+which is 1 where the term stands nowhere else and falls as the term is met in other texts. Terms met with c in
+enough texts are generalised from one threshold on and removed from a higher one. Pairs are counted over whole
+texts, each text once, and a told term is marked at every place of the texts that hold its entity; pairs that
+cannot reach the threshold whatever their count are left out of the counting.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ PATTERNS = {
 #: A text without this has no match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TERM = r"\p{L}{3,}"
+#: Terms placed at a time, and the parts of a very common entity.
+BLOCK, SALTS = 256, 32
+PLACES = "array<struct<term:string,start:int,end:int>>"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[WORD]", "removed": ""}
 
@@ -93,62 +97,100 @@ def span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _contexts(found: DataFrame, window: int) -> DataFrame:
-    """id, tie, entity, term, start, end: the whole terms within `window` code points of each base span."""
-    each = found.select("id", "tie", "text", "base", F.explode("base").alias("span"))
-    length = F.length("text")
-    low, high = F.greatest(F.col("span.start") - window, F.lit(0)), F.least(F.col("span.end") + window, length)
-    sides = F.array(
-        F.struct(low.alias("from"), F.substring(F.col("text"), low + 1, F.col("span.start") - low).alias("part"), (low > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-        F.struct(F.col("span.end").alias("from"), F.substring(F.col("text"), F.col("span.end") + 1, high - F.col("span.end")).alias("part"), F.lit(False).alias("cut_left"), (high < length).alias("cut_right")),
-    )
-    each = each.select("id", "tie", "base", F.concat_ws(":", "span.kind", ascii_lower(F.col("span.value"))).alias("entity"), F.explode(sides).alias("side"))
-    each = each.select("id", "tie", "base", "entity", "side", F.explode(matches(F.col("side.part"), TERM, "term", lambda v: F.lit(True))).alias("t"))
-    whole = ~(F.col("side.cut_left") & (F.col("t.start") == 0)) & ~(F.col("side.cut_right") & (F.col("t.end") == F.length("side.part")))
-    each = each.filter(whole).withColumn("start", F.col("side.from") + F.col("t.start")).withColumn("end", F.col("side.from") + F.col("t.end"))
+def placed_terms(text: Column) -> Column:
+    """(term, start, end) of all terms of a text, lower-cased, in code points; blocks keep the work linear in the text."""
+    none = F.array().cast(PLACES)
+
+    def of_block(hits: Column, gaps: Column, at: Column) -> Column:
+        part = F.slice(hits, at + 1, F.lit(BLOCK))
+        return F.zip_with(F.slice(gaps, at + 1, F.size(part)), part, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
+
+    def placed(hits: Column, gaps: Column) -> Column:
+        def head(acc: Column, at: Column) -> Column:
+            width = F.aggregate(of_block(hits, gaps, at), F.lit(0), lambda total, x: total + x["gap"] + F.length(x["hit"]))
+            here = F.array(F.struct(at.alias("at"), acc["at"].alias("from")))
+            return F.struct((acc["at"] + width).alias("at"), F.concat(acc["heads"], here).alias("heads"))
+
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            end = start + F.length(x["hit"])
+            one = F.array(F.struct(F.lower(x["hit"]).alias("term"), start.alias("start"), end.alias("end"))).cast(PLACES)
+            return F.struct(end.alias("at"), F.concat(acc["found"], one).alias("found"))
+
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,from:int>>").alias("heads"))
+        heads = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(hits) - 1, F.lit(0)), F.lit(BLOCK)), zero, head, lambda acc: acc["heads"])
+        inner = lambda h: F.aggregate(of_block(hits, gaps, h["at"]), F.struct(h["from"].alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+        return F.flatten(F.transform(heads, inner))
+
+    gaps = F.transform(F.split(text, TERM, -1), lambda x: F.length(x))
+    return let(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda hits: let(gaps, lambda g: placed(hits, g)))
+
+
+def _few(table: DataFrame, most: int) -> DataFrame:
+    """A written table, for broadcast if its counted rows are at most `most`."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def spread_of_terms(texts: DataFrame, rows: DataFrame, broadcast_rows: int) -> DataFrame:
+    """term, n_term: the distinct texts that hold each term; only texts with copies are told apart by name."""
+    copied = materialize(rows.groupBy("tie").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("tie").alias("copied")), "pii-copied")
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda x: F.lower(x)))
+    each = texts.select("tie", terms.alias("terms")).join(_few(copied, broadcast_rows), F.col("tie") == F.col("copied"), "left")
+    seen = each.select("copied", F.explode("terms").alias("term")).groupBy("term", "copied").agg(F.count("*").alias("n"))
+    return seen.groupBy("term").agg(F.sum(F.when(F.col("copied").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
+
+
+def term_spans(texts: DataFrame, rows: DataFrame, support: int, generalise: float, broadcast_rows: int) -> DataFrame:
+    """tie, term, start, end, disclosure: every place of each term that discloses an entity of its text."""
+    total = rows.agg(F.count_distinct("tie")).first()[0]
+    holders = rows.select("tie", F.explode("base").alias("b")).select(F.concat_ws(":", "b.kind", ascii_lower(F.col("b.value"))).alias("entity"), "tie").distinct()
+    # no pair is met in more texts than its entity; with PMI at most that of n_pair = n_entity, a term spread beyond `reach` stays below the threshold
+    reach = F.col("n_entity") * F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(1.0 - generalise)) * (1 + 1e-9)
+    bearing = holders.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity").between(support, total - 1)).withColumn("reach", reach)
+    bearing = materialize(bearing, "pii-entities")
+    widest = bearing.agg(F.max("reach")).first()[0]
+    if widest is None:
+        return rows.select("tie", F.lit("").alias("term"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0.0).alias("disclosure")).limit(0)
+    held = materialize(holders.join(_few(bearing, broadcast_rows), "entity"), "pii-held")
+    ties = _few(materialize(held.select("tie").distinct(), "pii-ties"), broadcast_rows)
+
+    # all terms outside base spans in the texts that hold such an entity, each text once
+    whole = texts.join(ties, "tie", "left_semi").groupBy("tie").agg(F.first("text").alias("text"))
+    each = whole.withColumn("base", base_spans(F.col("text"))).select("tie", "base", F.explode(placed_terms(F.col("text"))).alias("t")).select("tie", "base", "t.*")
     free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    return each.filter(free).select("id", "tie", "entity", F.lower("t.value").alias("term"), "start", "end")
-
-
-def disclosures(texts: DataFrame, met: DataFrame, holders: DataFrame, total: int, support: int, generalise: float, broadcast_rows: int) -> DataFrame:
-    """entity, term, disclosure for the pairs met in `support` texts at least, from `generalise` on."""
-    pairs = met.select("entity", "term", "tie").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_pair")).filter(F.col("n_pair") >= support)
-    pairs = materialize(pairs, "pii-pairs")
-    terms = materialize(pairs.select("term").distinct(), "pii-terms")
-    few = terms.count()
-    if not few:
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
-    if few <= broadcast_rows:  # some 40 bytes a term; beyond that both sides are shuffled
-        terms = F.broadcast(terms)
-    spread = texts.select("tie", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).join(terms, "term")
-    spread = spread.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    bearing = holders.distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    places = materialize(each.filter(free).select("tie", "term", "start", "end"), "pii-places")
+
+    spread = spread_of_terms(texts, rows, broadcast_rows).filter(F.col("n_term").between(support, widest))
+    near = places.groupBy("tie", "term").agg(F.count("*").alias("times")).join(spread, "term").select("tie", "term", "n_term")
+    met = materialize(near.join(held, "tie").filter(F.col("n_term") <= F.col("reach")).select("tie", "entity", "term", "n_term", "n_entity"), "pii-met")
     score = 1 + F.log(F.col("n_pair") / F.col("n_term")) / F.log(F.lit(float(total)) / F.col("n_entity"))
-    known = pairs.join(spread, "term").join(bearing, "entity").filter(F.col("n_entity") < total)
-    return known.select("entity", "term", score.alias("disclosure")).filter(F.col("disclosure") >= generalise)
+    pairs = met.groupBy("entity", "term", "n_term", "n_entity").agg(F.count("*").alias("n_pair")).filter(F.col("n_pair") >= support)
+    told = materialize(pairs.select("entity", "term", score.alias("disclosure")).filter(F.col("disclosure") >= generalise), "pii-told")
+    if told.count() <= broadcast_rows:
+        found = met.join(F.broadcast(told), ["entity", "term"])
+    else:  # an entity of very many texts is spread over salts
+        salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = met.withColumn("salt", F.pmod("tie", F.lit(SALTS)).cast("int")).join(salted, ["entity", "term", "salt"])
+    return places.join(found.groupBy("tie", "term").agg(F.max("disclosure").alias("disclosure")), ["tie", "term"])
 
 
-def personal_data(docs: DataFrame, window: int = 80, support: int = 3, generalise: float = 0.85, remove: float = 0.95, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def personal_data(docs: DataFrame, support: int = 3, generalise: float = 0.85, remove: float = 0.95, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(one row for each row of docs with its base spans, term spans by (id, tie)).
 
     The first has id, tie (a hash of the text) and base (spans by kind, then start); the second has id, tie and
-    terms: spans of kind `generalised` or `removed`, by start, for the texts that have any. Null texts count as empty:
-    no spans. Rows that repeat an id and a text get the same spans; copies of a text count once as evidence. Empty
-    tables give empty results; other columns are ignored.
+    terms: spans of kind `generalised` or `removed`, by start, for the texts that have any. A term is counted, and
+    marked, wherever it stands in a text that holds the entity. Null texts count as empty: no spans. Rows that repeat
+    an id and a text get the same spans; copies of a text count once as evidence. Empty tables give empty results;
+    other columns are ignored.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    found = texts.withColumn("base", base_spans(F.col("text")))
-    # positions and values of all entities, and of the terms near them, in one pass
-    rows = materialize(found.select("id", "tie", "base"), "pii-rows")
-    near = materialize(_contexts(found.filter(F.size("base") > 0), window), "pii-near")
-    total = rows.agg(F.count_distinct("tie")).first()[0]
-    holders = rows.select("tie", F.explode("base").alias("b")).select(F.concat_ws(":", "b.kind", ascii_lower(F.col("b.value"))).alias("entity"), "tie")
-    told = disclosures(texts, near, holders, total, support, generalise, broadcast_rows)
-    terms = near.join(told, ["entity", "term"]).groupBy("id", "tie", "start", "end").agg(F.max("disclosure").alias("disclosure"), F.max("term").alias("value"))
+    rows = materialize(texts.withColumn("base", base_spans(F.col("text"))).select("id", "tie", "base"), "pii-rows")
+    spans = term_spans(texts.select("tie", "text"), rows, support, generalise, broadcast_rows)
     kind = F.when(F.col("disclosure") >= remove, "removed").otherwise("generalised")
-    span = F.struct(kind.alias("kind"), "start", "end", "value")
-    # a text's terms near its entities, never more than the text holds
-    return rows, terms.groupBy("id", "tie").agg(F.array_sort(F.collect_list(F.struct("start", span.alias("span")))).alias("s")).select("id", "tie", F.col("s.span").cast(SPAN).alias("terms"))
+    span = F.struct(kind.alias("kind"), "start", "end", F.col("term").alias("value"))
+    # a text's told terms, never more than the text holds
+    by_text = spans.groupBy("tie").agg(F.array_sort(F.collect_list(F.struct("start", span.alias("span")))).alias("s")).select("tie", F.col("s.span").cast(SPAN).alias("terms"))
+    return rows, rows.select("id", "tie").distinct().join(by_text, "tie").select("id", "tie", "terms")
 
 
 def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -64,6 +64,50 @@ def test_terms_that_disclose(spark):
     assert sanitised(table).columns == table.columns
 
 
+def test_terms_far_from_their_entity(spark):
+    far = "plain filler words go on and on. " * 40
+    docs = [(i, f"Zanzibar letterhead {i} {far} write to boss@ship.example.org now {far} ZANZIBAR {far * i} signed zanzibar") for i in range(4)]
+    docs += [(100 + i, f"{far} write now, signed {i}") for i in range(60)]
+    rows, terms = personal_data(spark.createDataFrame(docs, "doc_id long, text string"))
+    found = {r.id: r.terms for r in terms.collect()}
+    assert set(found) == {0, 1, 2, 3}
+    for key, spans in found.items():
+        assert [(s.start, s.end) for s in spans if s.value == "zanzibar"] == [m.span() for m in re.finditer("zanzibar", docs[key][1].lower())]
+        assert not {s.value for s in spans} & {"filler", "signed", "write", "now", "boss"}
+    for r in sanitised(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        assert "zanzibar" not in r.text.lower()
+
+
+def test_whole_texts_against_plain_counts(spark):
+    import math
+    import random
+
+    rng, docs = random.Random(5), []
+    people = [f"p{i}@x.example.org" for i in range(6)]
+    for i in range(150):
+        words = [f"{rng.choice(['Ä', 'b', 'İ', '😀 c'])}{'abcdefghij'[rng.randrange(10)] * 3}{'klmnop'[rng.randrange(6)]}" for _ in range(rng.choice([0, 5, 700]))]
+        for k in range(6):
+            if rng.random() < 0.06:
+                words[:0], words[len(words):] = [f"own{'stuvwx'[k] * 2}"], [f"{people[k].upper()} , ", f"also{'stuvwx'[k] * 2}"]
+        docs.append((i, " ".join(words)))
+    docs += [(500, docs[0][1]), (501, docs[7][1]), (7, docs[7][1])]
+    term = re.compile(r"[^\W\d_]{3,}")
+    texts = {t: ({t[a:b].lower() for a, b in plain(t)["email"]}, {m[0].lower() for m in term.finditer(t)}, [m for m in term.finditer(t) if not any(a < m.end() and b > m.start() for a, b in plain(t)["email"])]) for _, t in docs}
+    told = {}
+    for e in people:
+        having = [x for x in texts.values() if e in x[0]]
+        for w in {m[0].lower() for x in having for m in x[2]}:
+            n = sum(any(m[0].lower() == w for m in x[2]) for x in having)
+            score = 1 + math.log(n / sum(w in x[1] for x in texts.values())) / math.log(len(texts) / len(having))
+            if n >= 3 and score >= 0.85:
+                told.setdefault(e, set()).add(w)
+    want = {(i, m.start(), m.end()) for i, t in docs for m in texts[t][2] if any(m[0].lower() in told.get(e, ()) for e in texts[t][0])}
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for options in ({}, {"broadcast_rows": 0}):
+        got = [(r.id, s.start, s.end) for r in personal_data(table, **options)[1].collect() for s in r.terms]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_redaction_of_overlaps_and_nulls(spark):
     docs = [(1, None), (2, ""), (3, "call +49 30 4111111111 or a@b.c!"), (4, "+4111111111111111 x 1.2.3.4")]
     got = {r.doc_id: r.text for r in sanitised(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
