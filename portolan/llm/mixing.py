@@ -5,7 +5,8 @@ constraint for each source, so they have the form exp(lambda * size / mean size)
 dual separates by source; each Newton step is one distributed aggregate over the (source, size) histogram,
 kept inside a shrinking bracket. Rates become whole copies by systematic rounding along the sizes of a
 source, then over hashed blocks of a size's documents, so that no window holds more than a block or the
-distinct sizes of a source; a final step moves single copies to close what rounding has left.
+distinct sizes of a source. The larger sizes' copies then stay, and the rates of the smaller ones take up the words
+that rounding has left, again rounded along the sizes; a final step moves single copies.
 """
 
 from __future__ import annotations
@@ -68,11 +69,60 @@ def dual(cells: DataFrame, goals: DataFrame, most: float, steps: int) -> DataFra
     return materialize(state, "mix-dual").select("source", "lam", "mean_size", "target", "source_size")
 
 
+def _rounded(rated: DataFrame, most: int) -> DataFrame:
+    """quota: whole copies of each (source, size), the running sum of n * w along descending sizes cut at integers; gap: words left."""
+    whole = Window.partitionBy("source")
+    along = whole.orderBy(F.col("size").desc())
+    out = (
+        rated.withColumn("upto", F.sum(F.col("n") * F.col("w")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("before", F.coalesce(F.lag(F.floor(F.col("upto") + 0.5)).over(along), F.lit(0)))
+        .withColumn("quota", F.greatest(F.least(F.floor(F.col("upto") + 0.5) - F.col("before"), F.col("n") * most), F.lit(0)))
+    )
+    return out.withColumn("gap", F.col("target") - F.sum(F.col("quota") * F.col("size")).over(whole)).select("source", "size", "n", "target", "w", "quota", "gap")
+
+
+def _tilted(state: DataFrame, most: int) -> DataFrame:
+    """The sizes above a bound keep their copies; the rates up to it take up the words left, moved towards 0 or `most`.
+
+    For each size as the bound, `owed` is what the rates up to it lack, and `room` how far they can be moved. A bound
+    promises a gap of half its size where at most half the room is needed. The largest bound that promises an eighth
+    of the gap is taken, so that many documents share the words, or else the one that promises least.
+    """
+    whole = Window.partitionBy("source")
+    larger = whole.orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    smaller = whole.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    mass = F.col("n") * F.col("size")
+    out = (
+        state.withColumn("slack", F.col("target") - F.sum(mass * F.col("w")).over(whole))
+        .withColumn("owed", F.col("slack") + F.coalesce(F.sum((F.col("n") * F.col("w") - F.col("quota")) * F.col("size")).over(larger), F.lit(0.0)))
+        .withColumn("room", F.when(F.col("owed") < 0, F.sum(mass * F.col("w")).over(smaller)).otherwise(F.sum(mass * (most - F.col("w"))).over(smaller)))
+        .withColumn("promised", F.greatest(F.abs("owed") - F.col("room") / 2, F.lit(0.0)) + F.col("size") / 2)
+        .withColumn("enough", F.greatest(F.min("promised").over(whole), F.abs("gap") / 8))
+        .withColumn("best", F.max(F.when(F.col("promised") <= F.col("enough"), F.struct("size", "owed", "room"))).over(whole))
+    )
+    left = 1 - F.when(F.col("best.room") > 0, F.least(F.abs("best.owed") / F.col("best.room"), F.lit(1.0))).otherwise(0.0)
+    moved = F.when(F.col("best.owed") < 0, F.col("w") * left).otherwise(most - (most - F.col("w")) * left)
+    return out.select("source", "size", "n", "target", F.when(F.col("size") > F.col("best.size"), F.col("quota") / F.col("n")).otherwise(moved).alias("w"))
+
+
+def retilted(state: DataFrame, most: int) -> DataFrame:
+    """state with what rounding has left of each source taken up by its smaller sizes, until no source comes nearer."""
+    while True:
+        after = _rounded(_tilted(state, most), most).select(F.col("source").alias("as"), F.col("size").alias("az"), F.col("w").alias("aw"), F.col("quota").alias("aq"), F.col("gap").alias("ag"))
+        nearer = F.abs("ag") < F.abs("gap") - 0.5
+        pick = [F.when(nearer, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("aw", "w"), ("aq", "quota"), ("ag", "gap"))]
+        both = state.join(after, F.col("source").eqNullSafe(F.col("as")) & (F.col("size") == F.col("az")))
+        state = materialize(both.select("source", "size", "n", "target", *pick, nearer.alias("nearer")), "mix-quotas")
+        if state.filter("nearer").isEmpty():
+            return state.drop("nearer")
+        state = state.drop("nearer")
+
+
 def mix(docs: DataFrame, most: int = 3, steps: int = 18, blocks: int = 64, block_rows: int = 100_000, close_rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Each row's size, source_size, target, copies and taken (copies * size).
 
     Rows of one source with null or empty text have size 0 and keep one copy. The words taken from a source come
-    within about half of one of its shorter documents of the target. Copies are from 0 to `most`. Results depend on the rows alone,
+    within about half of one of its shorter documents of the target, as far as those up to some size hold enough words. Copies are from 0 to `most`. Results depend on the rows alone,
     so reruns agree; repeated rows of one id count as documents of their own and may get different copies, the
     repeats being numbered. Null sources are a source. An empty table gives an empty result.
     """
@@ -91,14 +141,9 @@ def mix(docs: DataFrame, most: int = 3, steps: int = 18, blocks: int = 64, block
     g = goals.withColumnRenamed("source", "s")
 
     # whole copies of each (source, size): the running sum of rates along descending sizes, cut at integers
-    along = Window.partitionBy("source").orderBy(F.col("size").desc())
     w = F.when(F.col("target") >= F.col("source_size") * F.lit(float(most)), F.lit(float(most))).otherwise(_rate(F.col("lam"), F.col("size") / F.col("mean_size"), most))
-    quota = (
-        cells.filter("size > 0").join(g, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("upto", F.sum(F.col("n") * w).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("before", F.coalesce(F.lag(F.floor(F.col("upto") + 0.5)).over(along), F.lit(0)))
-        .select("source", "size", F.least(F.floor(F.col("upto") + 0.5) - F.col("before"), F.col("n") * most).alias("quota"), F.col("n").alias("cell_n"))
-    )
+    rated = cells.filter("size > 0").join(g, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", "target", w.alias("w"))
+    quota = retilted(materialize(_rounded(rated, most), "mix-quotas"), most).select("source", "size", "quota", F.col("n").alias("cell_n"))
     # the copies of a size over hashed blocks, then over the rows of a block
     keyed = sized.withColumn("block", bucket_of(F.struct("id", "tie"), blocks, 7))
     by_block = keyed.filter("size > 0").groupBy("source", "size", "block").agg(F.count("*").alias("block_n"))

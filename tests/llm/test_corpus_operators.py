@@ -151,6 +151,38 @@ def test_mixing_meets_targets(spark):
         assert abs(taken[s] - goal[s]) <= max(30, 0.005 * goal[s])
 
 
+def test_mixing_of_skewed_sources(spark):
+    from pyspark.sql import functions as F
+
+    from portolan.llm.mixing import _rounded, mix, retilted
+
+    def table(sizes):
+        rows = [(i, s, " ".join(["w"] * n)) for i, (s, n) in enumerate((s, n) for s in sizes for n in sizes[s])]
+        return spark.createDataFrame(rows, "doc_id long, source string, text string")
+
+    # weights 1, 2, 3: one long text beside many short ones, no source at its limit
+    skewed = {"a": [20_000] + [60] * 500, "b": [30_000] + [40 + i % 40 for i in range(500)], "c": [25_000] + [50] * 800}
+    taken, target = defaultdict(int), {}
+    for r in mix(table(skewed)).collect():
+        assert 0 <= r.copies <= 3
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 40 for s in skewed), (taken, target)
+
+    # the reviewer's sources: rates tilted alike, so the long text's rounding leaves much of it open
+    cases = {"x": ([(1_000_000, 1), (500, 4000)], 0.9), "y": ([(1_000_000, 1)] + [(400 + i, 10) for i in range(400)], 0.85), "z": ([(20_000, 1), (60, 1000)], 0.9), None: ([(20_000, 1), (60, 1000)], 1.1)}
+    rows = [(k, z, n, share * sum(a * b for a, b in c), float(share)) for k, (c, share) in cases.items() for z, n in c]
+    start = _rounded(spark.createDataFrame(rows, "source string, size long, n long, target double, w double"), 3)
+    end = retilted(start, 3).collect()
+    assert start.agg(F.max(F.abs("gap") / F.col("target"))).first()[0] > 0.01
+    assert len(end) == len(rows) and all(0 <= r.quota <= 3 * r.n for r in end)
+    for k, (c, share) in cases.items():
+        got = sum(r.quota * r.size for r in end if r.source == k)
+        assert abs(got - share * sum(a * b for a, b in c)) <= min(z for z, _ in c), k
+    thinned = [r.quota / r.n for r in end if r.source == "y" and r.size < 800]
+    assert max(thinned) - min(thinned) <= 0.35  # all sizes give, not a few alone
+
+
 def test_mixing_of_odd_rows(spark, docs):
     from portolan.llm.mixing import mix, mixed_documents
 
