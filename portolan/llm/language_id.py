@@ -153,13 +153,20 @@ def identify(docs: DataFrame, per_language: int = 400, landmarks: int = 128, rid
 
 
 def keep_identified(docs: DataFrame, per_language: int = 400, landmarks: int = 128, ridge: float = 0.1, grams: tuple[int, ...] = (1, 2, 3), bits: int = 15, parts: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that `identify` gives a language; all columns stay, and no text is shuffled."""
+    """The rows of docs that `identify` gives a language; all columns stay, and no text is shuffled.
+
+    That is every row with a letter: the model names one of its languages for each. Where there was nothing to learn
+    from, the rows with a letter stay too.
+    """
     model = learn(docs, per_language, landmarks, ridge, grams, bits, parts, held_out, id_col, text_col, lang_col)
 
     def keep(batches):
         for batch in batches:
             for a, b in text_slices(batch, text_col, 2 << 20):
                 part = batch.slice(a, b - a)
+                if not model.languages:
+                    yield part.filter(pc.fill_null(pc.match_substring_regex(part.column(text_col), r"\p{L}"), False))
+                    continue
                 pred, _ = predicted(model, part.column(text_col), grams, bits)
                 yield part.filter(pa.array(pred != UNDETERMINED))
 

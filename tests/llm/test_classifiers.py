@@ -100,3 +100,10 @@ def test_toxicity_of_odd_rows(spark):
     assert {len(r.spans) for r in rows if r.doc_id == 102} == {20000}
     assert {r.score for r in score_toxicity(table, labels.limit(0)).collect()} == {0.0}
     assert score_toxicity(table.limit(0), labels).count() == 0
+
+
+def test_unlabelled_documents_with_letters_stay(spark):
+    from portolan.llm.language_id import keep_identified
+
+    docs = spark.createDataFrame([(1, "clean words", None), (2, "12 34 --", None), (3, None, None), (4, "ä", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in keep_identified(docs).collect()) == [1, 4]
