@@ -17,25 +17,24 @@ from pyspark.sql import functions as F
 from portolan.llm.common import WORD, bucket_of, materialize
 
 
-def targets(sources: DataFrame, most: float, rounds: int) -> DataFrame:
+def targets(sources: DataFrame, most: float) -> DataFrame:
     """source_size -> target: shares by weight 1, 2, 3, ..., at most `most` times the source's size each.
 
-    `sources` has one row for each source. What exceeds a limit is shared again by weight among the others,
-    until none is above; each round closes a source at least, and few are needed.
+    `sources` has one row for each source. What exceeds a limit is shared again by weight among the others, until
+    none is above: sources close by ascending limit for a weight, each if its share of what is left then reaches it.
     """
     every = Window.partitionBy(F.lit(0))
+    order = every.orderBy(F.col("limit_") / F.col("weight"), F.col("source").asc_nulls_last())
     out = (
-        sources.withColumn("weight", F.pmod(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(3)).cast("double") + 1)
+        sources.withColumn("weight", F.pmod(F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(3)).cast("double") + 1)
         .withColumn("total", F.sum("source_size").over(every).cast("double"))
         .withColumn("limit_", F.col("source_size") * F.lit(float(most)))
-        .withColumn("closed", F.lit(False))
+        .withColumn("left_", F.col("total") - F.coalesce(F.sum("limit_").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+        .withColumn("level", F.col("left_") / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
     )
-    for _ in range(rounds):
-        taken = F.sum(F.when(F.col("closed"), F.col("limit_")).otherwise(0.0)).over(every)
-        open_weight = F.sum(F.when(F.col("closed"), 0.0).otherwise(F.col("weight"))).over(every)
-        out = out.withColumn("share", F.when(F.col("closed"), F.col("limit_")).otherwise((F.col("total") - taken) * F.col("weight") / open_weight))
-        out = out.withColumn("closed", F.col("closed") | (F.col("share") >= F.col("limit_")))
-    return out.select("source", "source_size", F.least("share", "limit_").alias("target"))
+    # the first source that stays open sets the level of all that do
+    out = out.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") < F.col("limit_"), F.struct(F.col("limit_") / F.col("weight"), F.col("source").isNull(), "source", "level"))).over(every)["level"])
+    return out.select("source", "source_size", F.least(F.col("level") * F.col("weight"), "limit_").alias("target"))
 
 
 def _rate(lam: Column, z: Column, most: float) -> Column:
@@ -134,7 +133,7 @@ def mix(docs: DataFrame, most: int = 3, steps: int = 18, blocks: int = 64, block
     blocks = max(blocks, -(-rows // block_rows))
     cells = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-cells")
     sources = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("filled"))
-    goals = targets(sources.select("source", "source_size"), most, 8).withColumnRenamed("source", "s")
+    goals = targets(sources.select("source", "source_size"), most).withColumnRenamed("source", "s")
     means = sources.select(F.col("source").alias("m"), F.greatest(F.col("source_size") / F.greatest("filled", F.lit(1)), F.lit(1.0)).alias("mean_size"))
     goals = goals.join(means, F.col("s").eqNullSafe(F.col("m"))).withColumnRenamed("s", "source").drop("m")
     goals = dual(cells.filter("size > 0"), goals, most, steps)

@@ -183,6 +183,24 @@ def test_mixing_of_skewed_sources(spark):
     assert max(thinned) - min(thinned) <= 0.35  # all sizes give, not a few alone
 
 
+def test_targets_of_sources_that_close_one_after_another(spark):
+    from portolan.llm.mixing import targets
+
+    names = [f"s{i:02}" for i in range(39)]
+    for sizes in ([int(1.5 ** i) + 1 for i in range(39)], [0, 7] + [3 ** (i % 20) for i in range(37)]):
+        rows, total, limit = list(zip(names, sizes)), sum(sizes), {s: 3.0 * n for s, n in zip(names, sizes)}
+        closed = set()
+        while True:
+            weight = {s: i % 3 + 1 for i, s in enumerate(names) if s not in closed}
+            level = (total - sum(limit[s] for s in closed)) / sum(weight.values())
+            if not (above := {s for s in weight if level * weight[s] >= limit[s]}):
+                break
+            closed |= above
+        got = {r.source: r.target for r in targets(spark.createDataFrame(rows, "source string, source_size long"), 3).collect()}
+        assert all(abs(got[s] - (limit[s] if s in closed else level * weight[s])) <= 1e-9 * total for s in names)
+        assert abs(sum(got.values()) - total) <= 1e-9 * total
+
+
 def test_mixing_of_odd_rows(spark, docs):
     from portolan.llm.mixing import mix, mixed_documents
 
