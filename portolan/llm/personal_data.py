@@ -1,12 +1,15 @@
 """Personal data: base entities by pattern, further terms by what they disclose, in DataFrame functions only.
 
-E-mail addresses, IP addresses, card and phone numbers are the protected entities. A term in the texts of an entity c
-discloses it as far as knowing the term explains c away: with counts over distinct texts,
-    disclosure(c, t) = PMI(c; t) / IC(c) = 1 + ln(n(c, t) / n(t)) / ln(N / n(c)),
-which is 1 where the term stands nowhere else and falls as the term is met in other texts. Terms met with c in
-enough texts are generalised from one threshold on and removed from a higher one. Pairs are counted over whole
-texts, each text once, and a told term is marked at every place of the texts that hold its entity; pairs that
-cannot reach the threshold whatever their count are left out of the counting.
+E-mail addresses, IP addresses, card and phone numbers are the protected entities, each at two levels: the value, and
+the group that it belongs to (mail domain, network, issuer, area). Over N documents, n(c) with an entity c, n(t) with
+a term t and n(c, t) with both, a term discloses an entity as far as knowing the term explains the entity away:
+    P(c | t) = (n(c, t) + m * n(c) / N) / (n(t) + m)
+    disclosure(c, t) = PMI(c; t) / IC(c) = 1 + ln P(c | t) / ln(N / n(c)).
+It is near 1 where the term stands nowhere else and falls as the term is met in other documents; m is the weight of the
+prior, so that few documents are little evidence (no floor on the number of documents is needed). Terms are
+generalised from one threshold on and removed from a higher one. Pairs are counted over whole texts, and a told term
+is marked at every place of the texts that hold its entity. Pairs that cannot reach the threshold whatever their
+count are left out of the counting, and entities that stand in the same texts are counted as one.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ PATTERNS = {
 #: A text without this has no match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TERM = r"\p{L}{3,}"
-#: Terms placed at a time, and the parts of a very common entity.
-BLOCK, SALTS = 256, 32
+#: Elements of an array gone through at a time, so that the work stays linear in long texts.
+BLOCK = 64
 PLACES = "array<struct<term:string,start:int,end:int>>"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[WORD]", "removed": ""}
@@ -65,26 +68,44 @@ def _of(kind: str):
     return lambda span: span["kind"] == kind
 
 
+def running(values: Column, merge, zero: int = 0) -> Column:
+    """For each element of an array of int the merged elements before it, block by block."""
+    none, first = F.array().cast("array<int>"), F.lit(zero)
+
+    def over(part: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(part, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def blocks(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(BLOCK)), lambda a: F.slice(v, a, F.lit(BLOCK)))
+        totals = lambda p: F.transform(p, lambda x: F.aggregate(x, first, merge))
+        return let(parts, lambda p: let(over(totals(p), first), lambda heads: F.flatten(F.zip_with(p, heads, over))))
+
+    return let(values, blocks)
+
+
+def _lengths(parts: Column) -> Column:
+    return F.transform(parts, lambda x: F.length(x))
+
+
+def _starts(gaps: Column, hits: Column) -> Column:
+    """Where each hit starts: gaps are the lengths of the pieces between the hits, hits their own lengths."""
+    widths = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: g + h)
+    return F.zip_with(running(widths, lambda a, x: a + x), F.slice(gaps, F.lit(1), F.size(hits)), lambda at, g: at + g)
+
+
 def matches(text: Column, pattern: str, kind: str, keep) -> Column:
     """Spans of the leftmost non-overlapping matches that keep(value) accepts, in code points, end exclusive.
 
     The pieces between matches tell where each one stands.
     """
-    none = F.array().cast(SPAN)
 
     def placed(hits: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + x["gap"]
-            end = start + F.length(x["hit"])
-            one = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["hit"].alias("value"))).cast(SPAN)
-            return F.struct(end.alias("at"), F.when(keep(x["hit"]), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+        starts = _starts(_lengths(F.split(text, pattern, -1)), _lengths(hits))
+        span = lambda hit, at: F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(hit)).alias("end"), hit.alias("value"))
+        return F.filter(F.zip_with(hits, starts, span), lambda x: keep(x["value"])).cast(SPAN)
 
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
-
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.exists(hits, keep), placed(hits)).otherwise(none))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.exists(hits, keep), placed(hits)).otherwise(F.array().cast(SPAN)))
 
 
 def base_spans(text: Column) -> Column:
@@ -97,33 +118,28 @@ def span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def placed_terms(text: Column) -> Column:
-    """(term, start, end) of all terms of a text, lower-cased, in code points; blocks keep the work linear in the text."""
-    none = F.array().cast(PLACES)
+def _free(text: Column) -> Column:
+    """The pieces of a text between its e-mail addresses; no other entity holds letters."""
+    return F.when(F.contains(text, F.lit("@")), F.split(text, PATTERNS["email"], -1)).otherwise(F.array(text))
 
-    def of_block(hits: Column, gaps: Column, at: Column) -> Column:
-        part = F.slice(hits, at + 1, F.lit(BLOCK))
-        return F.zip_with(F.slice(gaps, at + 1, F.size(part)), part, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
 
-    def placed(hits: Column, gaps: Column) -> Column:
-        def head(acc: Column, at: Column) -> Column:
-            width = F.aggregate(of_block(hits, gaps, at), F.lit(0), lambda total, x: total + x["gap"] + F.length(x["hit"]))
-            here = F.array(F.struct(at.alias("at"), acc["at"].alias("from")))
-            return F.struct((acc["at"] + width).alias("at"), F.concat(acc["heads"], here).alias("heads"))
+def distinct_terms(text: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(_free(text), lambda x: F.transform(F.regexp_extract_all(x, F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))))
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + x["gap"]
-            end = start + F.length(x["hit"])
-            one = F.array(F.struct(F.lower(x["hit"]).alias("term"), start.alias("start"), end.alias("end"))).cast(PLACES)
-            return F.struct(end.alias("at"), F.concat(acc["found"], one).alias("found"))
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,from:int>>").alias("heads"))
-        heads = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(hits) - 1, F.lit(0)), F.lit(BLOCK)), zero, head, lambda acc: acc["heads"])
-        inner = lambda h: F.aggregate(of_block(hits, gaps, h["at"]), F.struct(h["from"].alias("at"), none.alias("found")), step, lambda acc: acc["found"])
-        return F.flatten(F.transform(heads, inner))
+def placed_terms(text: Column) -> Column:
+    """(term, start, end) of all terms of a text outside its e-mail addresses, lower-cased, in code points."""
+
+    def of_piece(piece: Column, at: Column) -> Column:
+        def placed(hits: Column) -> Column:
+            starts = _starts(_lengths(F.split(piece, TERM, -1)), _lengths(hits))
+            return F.zip_with(hits, starts, lambda hit, s: F.struct(F.lower(hit).alias("term"), (at + s).alias("start"), (at + s + F.length(hit)).alias("end")))
 
-    gaps = F.transform(F.split(text, TERM, -1), lambda x: F.length(x))
-    return let(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda hits: let(gaps, lambda g: placed(hits, g)))
+        return let(F.regexp_extract_all(piece, F.lit(TERM), F.lit(0)), placed)
+
+    addresses = F.concat(_lengths(F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0))), F.array(F.lit(0)))
+    both = lambda pieces: F.zip_with(pieces, running(F.zip_with(_lengths(pieces), addresses, lambda g, h: g + h), lambda a, x: a + x), of_piece)
+    return F.flatten(let(_free(text), both)).cast(PLACES)
 
 
 def _few(table: DataFrame, most: int) -> DataFrame:
@@ -131,75 +147,94 @@ def _few(table: DataFrame, most: int) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
-def spread_of_terms(texts: DataFrame, rows: DataFrame, broadcast_rows: int) -> DataFrame:
-    """term, n_term: the distinct texts that hold each term; only texts with copies are told apart by name."""
-    copied = materialize(rows.groupBy("tie").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("tie").alias("copied")), "pii-copied")
-    terms = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda x: F.lower(x)))
-    each = texts.select("tie", terms.alias("terms")).join(_few(copied, broadcast_rows), F.col("tie") == F.col("copied"), "left")
-    seen = each.select("copied", F.explode("terms").alias("term")).groupBy("term", "copied").agg(F.count("*").alias("n"))
-    return seen.groupBy("term").agg(F.sum(F.when(F.col("copied").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
-
-
-def term_spans(texts: DataFrame, rows: DataFrame, support: int, generalise: float, broadcast_rows: int) -> DataFrame:
-    """tie, term, start, end, disclosure: every place of each term that discloses an entity of its text."""
-    total = rows.agg(F.count_distinct("tie")).first()[0]
-    holders = rows.select("tie", F.explode("base").alias("b")).select(F.concat_ws(":", "b.kind", ascii_lower(F.col("b.value"))).alias("entity"), "tie").distinct()
-    # no pair is met in more texts than its entity; with PMI at most that of n_pair = n_entity, a term spread beyond `reach` stays below the threshold
-    reach = F.col("n_entity") * F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(1.0 - generalise)) * (1 + 1e-9)
-    bearing = holders.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity").between(support, total - 1)).withColumn("reach", reach)
-    bearing = materialize(bearing, "pii-entities")
-    widest = bearing.agg(F.max("reach")).first()[0]
-    if widest is None:
-        return rows.select("tie", F.lit("").alias("term"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0.0).alias("disclosure")).limit(0)
-    held = materialize(holders.join(_few(bearing, broadcast_rows), "entity"), "pii-held")
-    ties = _few(materialize(held.select("tie").distinct(), "pii-ties"), broadcast_rows)
-
-    # all terms outside base spans in the texts that hold such an entity, each text once
-    whole = texts.join(ties, "tie", "left_semi").groupBy("tie").agg(F.first("text").alias("text"))
-    each = whole.withColumn("base", base_spans(F.col("text"))).select("tie", "base", F.explode(placed_terms(F.col("text"))).alias("t")).select("tie", "base", "t.*")
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    places = materialize(each.filter(free).select("tie", "term", "start", "end"), "pii-places")
-
-    spread = spread_of_terms(texts, rows, broadcast_rows).filter(F.col("n_term").between(support, widest))
-    near = places.groupBy("tie", "term").agg(F.count("*").alias("times")).join(spread, "term").select("tie", "term", "n_term")
-    met = materialize(near.join(held, "tie").filter(F.col("n_term") <= F.col("reach")).select("tie", "entity", "term", "n_term", "n_entity"), "pii-met")
-    score = 1 + F.log(F.col("n_pair") / F.col("n_term")) / F.log(F.lit(float(total)) / F.col("n_entity"))
-    pairs = met.groupBy("entity", "term", "n_term", "n_entity").agg(F.count("*").alias("n_pair")).filter(F.col("n_pair") >= support)
-    told = materialize(pairs.select("entity", "term", score.alias("disclosure")).filter(F.col("disclosure") >= generalise), "pii-told")
-    if told.count() <= broadcast_rows:
-        found = met.join(F.broadcast(told), ["entity", "term"])
-    else:  # an entity of very many texts is spread over salts
-        salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        found = met.withColumn("salt", F.pmod("tie", F.lit(SALTS)).cast("int")).join(salted, ["entity", "term", "salt"])
-    return places.join(found.groupBy("tie", "term").agg(F.max("disclosure").alias("disclosure")), ["tie", "term"])
-
-
-def personal_data(docs: DataFrame, support: int = 3, generalise: float = 0.85, remove: float = 0.95, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(one row for each row of docs with its base spans, term spans by (id, tie)).
-
-    The first has id, tie (a hash of the text) and base (spans by kind, then start); the second has id, tie and
-    terms: spans of kind `generalised` or `removed`, by start, for the texts that have any. A term is counted, and
-    marked, wherever it stands in a text that holds the entity. Null texts count as empty: no spans. Rows that repeat
-    an id and a text get the same spans; copies of a text count once as evidence. Empty tables give empty results;
-    other columns are ignored.
+def entities(base: Column) -> Column:
+    """The values of a text's spans and the groups that they belong to."""
+
+    def group(kind: Column, value: Column) -> Column:
+        digits = _digits(value)
+        return (
+            F.when(kind == "email", F.concat(F.lit("@"), F.substring_index(value, "@", -1)))
+            .when(kind == "ip", F.substring_index(value, ".", 2))
+            .when(kind == "card", F.substring(digits, 1, 6))
+            .otherwise(F.substring(digits, F.lit(1), F.greatest(F.length(digits) - 7, F.lit(1))))  # without the subscriber's number
+        )
+
+    def keys(b: Column) -> Column:
+        value = F.when(b["kind"].isin("card", "phone"), _digits(b["value"])).otherwise(ascii_lower(b["value"]))
+        return F.array(F.concat(b["kind"], F.lit(":"), value), F.concat(b["kind"], F.lit(" group:"), group(b["kind"], ascii_lower(b["value"]))))
+
+    return F.array_distinct(F.flatten(F.transform(base, keys)))
+
+
+def disclosing(holders: DataFrame, texts: DataFrame, total: int, prior: float, generalise: float, broadcast_rows: int) -> DataFrame:
+    """tie, term, disclosure: the terms of each text in `holders` that disclose an entity of it.
+
+    holders: tie, text, base and n (documents with that text), one row for each text with an entity; texts: all of them.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    rows = materialize(texts.withColumn("base", base_spans(F.col("text"))).select("id", "tie", "base"), "pii-rows")
-    spans = term_spans(texts.select("tie", "text"), rows, support, generalise, broadcast_rows)
+    named = materialize(holders.select("tie", "n", F.explode(entities(F.col("base"))).alias("entity")), "pii-entities")
+    # entities of the same texts are one: two exclusive-or sums over the texts name the set
+    stats = named.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.bit_xor("tie").alias("a"), F.bit_xor(F.xxhash64("tie")).alias("b")).filter(F.col("n_entity") < total)
+    q = F.pow(F.col("n_entity") / total, F.lit(1.0 - generalise))  # P(c | t) at the threshold
+    low = prior * (q - F.col("n_entity") / total) / (1 - q) * (1 - 1e-9)
+    high = (F.col("n_entity") * (1 + prior / total) / q - prior) * (1 + 1e-9)
+    stats = materialize(stats.withColumns({"low": low, "high": high}), "pii-entity-counts")
+    widest = stats.agg(F.max("high")).first()[0]
+    if widest is None:
+        return holders.select("tie", F.lit("").alias("term"), F.lit(0.0).alias("disclosure")).limit(0)
+    held = materialize(named.join(_few(stats, broadcast_rows), "entity").select("tie", "n", "a", "b", "n_entity", "low", "high").distinct(), "pii-held")
+
+    counted = texts.select(F.explode(distinct_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") <= widest)
+    own = holders.select("tie", F.explode(distinct_terms(F.col("text"))).alias("term"))
+    near = own.join(counted, "term").select(F.col("tie").alias("near_tie"), "term", "n_term")
+    inside = (F.col("tie") == F.col("near_tie")) & F.col("n_term").between(F.col("low"), F.col("high"))
+    met = materialize(near.join(held, inside).select("tie", "n", "a", "b", "n_entity", "term", "n_term"), "pii-met")
+    score = 1 + F.log((F.col("n_pair") + prior * F.col("n_entity") / total) / (F.col("n_term") + prior)) / F.log(total / F.col("n_entity"))
+    pairs = met.groupBy("a", "b", "n_entity", "term", "n_term").agg(F.sum("n").alias("n_pair"))
+    told = materialize(pairs.select("a", "b", "n_entity", "term", score.alias("disclosure")).filter(F.col("disclosure") >= generalise), "pii-told")
+    return met.join(_few(told, broadcast_rows), ["a", "b", "n_entity", "term"]).groupBy("tie", "term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def term_spans(marked: DataFrame, texts: DataFrame, total: int, prior: float, generalise: float, remove: float, broadcast_rows: int) -> DataFrame:
+    """tie, terms: the spans of disclosing terms, by start, for each text that has any."""
+    holders = marked.filter(F.size("base") > 0).groupBy("tie").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("n"))
+    holders = materialize(holders, "pii-holders")
+    told = materialize(disclosing(holders, texts, total, prior, generalise, broadcast_rows), "pii-terms")
+    having = holders.join(told.select("tie").distinct(), "tie", "left_semi")
+    places = having.select("tie", F.explode(placed_terms(F.col("text"))).alias("t")).select("tie", "t.*")
     kind = F.when(F.col("disclosure") >= remove, "removed").otherwise("generalised")
     span = F.struct(kind.alias("kind"), "start", "end", F.col("term").alias("value"))
-    # a text's told terms, never more than the text holds
-    by_text = spans.groupBy("tie").agg(F.array_sort(F.collect_list(F.struct("start", span.alias("span")))).alias("s")).select("tie", F.col("s.span").cast(SPAN).alias("terms"))
-    return rows, rows.select("id", "tie").distinct().join(by_text, "tie").select("id", "tie", "terms")
+    spans = places.join(told, ["tie", "term"]).groupBy("tie").agg(F.array_sort(F.collect_list(F.struct("start", span.alias("span")))).alias("s"))
+    return materialize(spans.select("tie", F.col("s.span").cast(SPAN).alias("terms")), "pii-spans")  # never more than the text holds
+
 
+def personal_data(docs: DataFrame, prior: float = 1.0, generalise: float = 0.9, remove: float = 0.95, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(one row for each row of docs with its base spans, term spans by text).
 
-def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    The first has id, tie (a hash of the text) and base (spans by kind, then start); the second has tie and terms: spans
+    of kind `generalised` or `removed`, by start, for the texts that have any. Null texts count as empty: no spans.
+    Every row is a document, so copies of a text are counted each; rows with one text get the same spans. Empty tables
+    give empty results; other columns are ignored.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    marked = texts.withColumn("tie", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
+    marked = materialize(marked.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "pii-rows")  # the one matching pass
+    return marked.select("id", "tie", "base"), term_spans(marked, texts, max(1, marked.count()), prior, generalise, remove, broadcast_rows)
+
+
+def with_terms(rows: DataFrame, terms: DataFrame, broadcast_rows: int) -> DataFrame:
+    """rows (base, tie) with their terms under `terms`; only rows with an entity can have any, the others are not moved."""
+    none = F.array().cast(SPAN)
+    named = _few(terms.select(F.col("tie").alias("of_tie"), "terms"), broadcast_rows // 10)
+    bearing = rows.filter(F.size("base") > 0).join(named, F.col("tie") == F.col("of_tie"), "left").drop("of_tie").withColumn("terms", F.coalesce("terms", none))
+    return rows.filter(F.size("base") == 0).withColumn("terms", none).unionByName(bearing)
+
+
+def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000, **options) -> DataFrame:
     """id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms for each row of docs."""
-    rows, terms = personal_data(docs, id_col=id_col, text_col=text_col, **options)
-    terms = terms.select(F.col("id").alias("t_id"), F.col("tie").alias("t_tie"), "terms")
-    all_rows = rows.join(terms, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("tie") == F.col("t_tie")), "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))
+    rows, terms = personal_data(docs, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows, **options)
     counts = [F.size(F.filter("base", _of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return all_rows.select(F.col("id").alias(id_col), *counts, F.sha2(span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_list(F.concat("base", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
+    digest = F.sha2(span_list(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return with_terms(rows, terms, broadcast_rows).select(F.col("id").alias(id_col), *counts, digest, span_list(F.concat("base", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -207,23 +242,31 @@ def redacted(text: Column, spans: Column) -> Column:
     tags = F.create_map(*[F.lit(x) for pair in TAGS.items() for x in pair])
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.element_at(tags, x["kind"]))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
+    def cut(found: Column) -> Column:
+        ends = F.transform(found, lambda x: x["end"])
+        before = running(ends, lambda a, x: F.greatest(a, x))  # how far the spans before each one reach
+        facts = F.zip_with(found, before, lambda x, b: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), b.alias("before")))
+
+        def of_block(block: Column) -> Column:
+            low = block[0]["before"]
+            part = F.substring(text, low + 1, F.array_max(F.transform(block, lambda x: F.greatest(x["before"], x["end"]))) - low)
+            piece = lambda p: lambda x: F.when(x["start"] >= x["before"], F.concat(F.substring(p, x["before"] - low + 1, x["start"] - x["before"]), F.element_at(tags, x["kind"]))).otherwise("")
+            return let(part, lambda p: F.array_join(F.transform(block, piece(p)), ""))
+
+        blocks = let(facts, lambda f: F.transform(F.sequence(F.lit(1), F.size(f), F.lit(BLOCK)), lambda a: of_block(F.slice(f, a, F.lit(BLOCK)))))
+        last = F.array_max(ends)
+        return F.concat(F.array_join(blocks, ""), F.substring(text, last + 1, F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
-    return F.when(F.size(spans) > 0, cut).otherwise(text)
+    return F.when(F.size(spans) > 0, let(ordered, cut)).otherwise(text)
 
 
-def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000, **options) -> DataFrame:
+def sanitised(docs: DataFrame, prior: float = 1.0, generalise: float = 0.9, remove: float = 0.95, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with all personal data replaced in the text; the other columns stay. A null text stays null."""
-    _, terms = personal_data(docs, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows, **options)
-    terms = materialize(terms.select(F.col("id").alias("pii_id_"), F.col("tie").alias("pii_tie_"), "terms"), "pii-terms-by-row").withColumnRenamed("terms", "pii_terms_")
-    side = F.broadcast(terms) if terms.count() <= broadcast_rows // 10 else terms
-    joined = docs.join(side, F.col(id_col).eqNullSafe(F.col("pii_id_")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("pii_tie_")), "left")
-    whole = F.coalesce(F.col(text_col), F.lit(""))
-    spans = F.concat(base_spans(whole), F.coalesce("pii_terms_", F.array().cast(SPAN)))
-    clean = let(spans, lambda s: redacted(F.col(text_col), s))
-    return joined.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    columns = [f"c{i}" for i in range(len(docs.columns))]  # no name can clash
+    at = columns[docs.columns.index(text_col)]
+    rows = docs.toDF(*columns).withColumn("text", F.coalesce(F.col(at), F.lit(""))).withColumn("tie", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
+    rows = materialize(rows.drop("text"), "pii-documents")  # the one matching pass
+    texts = rows.select(F.coalesce(F.col(at), F.lit("")).alias("text"), "tie", "base")
+    terms = term_spans(texts, texts, max(1, rows.count()), prior, generalise, remove, broadcast_rows)
+    clean = redacted(F.col(at), F.concat("base", "terms"))
+    return with_terms(rows, terms, broadcast_rows).select(*[(clean if c == at else F.col(c)).alias(name) for c, name in zip(columns, docs.columns)])

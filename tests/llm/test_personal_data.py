@@ -55,7 +55,7 @@ def test_terms_that_disclose(spark):
     docs += [(200, docs[0][1])]  # a copy is no further evidence
     table = spark.createDataFrame(docs, "doc_id long, text string")
     rows, terms = personal_data(table)
-    found = {r.id: {x.value for x in r.terms} for r in terms.collect()}
+    found = {r.id: {x.value for x in r.terms} for r in rows.join(terms, "tie").collect()}
     assert set(found) == {*range(6), 200}
     assert all({"captain", "zanzibar", "wrote"} <= x and not x & {"the", "night", "about", "harbour"} for x in found.values())
     text = {r.doc_id: r.text for r in sanitised(table).collect()}
@@ -69,7 +69,7 @@ def test_terms_far_from_their_entity(spark):
     docs = [(i, f"Zanzibar letterhead {i} {far} write to boss@ship.example.org now {far} ZANZIBAR {far * i} signed zanzibar") for i in range(4)]
     docs += [(100 + i, f"{far} write now, signed {i}") for i in range(60)]
     rows, terms = personal_data(spark.createDataFrame(docs, "doc_id long, text string"))
-    found = {r.id: r.terms for r in terms.collect()}
+    found = {r.id: r.terms for r in rows.join(terms, "tie").collect()}
     assert set(found) == {0, 1, 2, 3}
     for key, spans in found.items():
         assert [(s.start, s.end) for s in spans if s.value == "zanzibar"] == [m.span() for m in re.finditer("zanzibar", docs[key][1].lower())]
@@ -83,29 +83,79 @@ def test_whole_texts_against_plain_counts(spark):
     import random
 
     rng, docs = random.Random(5), []
-    people = [f"p{i}@x.example.org" for i in range(6)]
+    people = [f"p{i}@{'xyz'[i % 3]}.example.org" for i in range(6)] + ["10.1.2.3", "10.1.7.7", "+49 30 1234567", "4111 1111 1111 1111"]
     for i in range(150):
         words = [f"{rng.choice(['Ä', 'b', 'İ', '😀 c'])}{'abcdefghij'[rng.randrange(10)] * 3}{'klmnop'[rng.randrange(6)]}" for _ in range(rng.choice([0, 5, 700]))]
-        for k in range(6):
+        for k, person in enumerate(people):
             if rng.random() < 0.06:
-                words[:0], words[len(words):] = [f"own{'stuvwx'[k] * 2}"], [f"{people[k].upper()} , ", f"also{'stuvwx'[k] * 2}"]
+                words[:0], words[len(words):] = [f"own{'qrstuvwxyz'[k] * 2}"], [f"Ö{person.upper()} , ", f"also{'qrstuvwxyz'[k] * 2}"]
         docs.append((i, " ".join(words)))
     docs += [(500, docs[0][1]), (501, docs[7][1]), (7, docs[7][1])]
     term = re.compile(r"[^\W\d_]{3,}")
-    texts = {t: ({t[a:b].lower() for a, b in plain(t)["email"]}, {m[0].lower() for m in term.finditer(t)}, [m for m in term.finditer(t) if not any(a < m.end() and b > m.start() for a, b in plain(t)["email"])]) for _, t in docs}
+
+    def keys(text):
+        out, found = set(), plain(text)
+        for kind, spans in found.items():
+            for a, b in spans:
+                v = text[a:b].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", text[a:b])
+                group = {"email": v[v.rfind("@"):], "ip": ".".join(v.split(".")[:2]), "card": v[:6], "phone": v[: max(len(v) - 7, 1)]}[kind]
+                out |= {f"{kind}:{v}", f"{kind} group:{group}"}
+        return out
+
+    def terms_of(text):
+        hidden = plain(text)["email"]
+        masked = "".join("0" if any(a <= i < b for a, b in hidden) else c for i, c in enumerate(text))
+        return [(m[0].lower(), m.start(), m.end()) for m in term.finditer(masked)]
+
+    entities, terms, total = {t: keys(t) for _, t in docs}, {t: terms_of(t) for _, t in docs}, len(docs)
+    sets = {t: {x[0] for x in found} for t, found in terms.items()}
     told = {}
-    for e in people:
-        having = [x for x in texts.values() if e in x[0]]
-        for w in {m[0].lower() for x in having for m in x[2]}:
-            n = sum(any(m[0].lower() == w for m in x[2]) for x in having)
-            score = 1 + math.log(n / sum(w in x[1] for x in texts.values())) / math.log(len(texts) / len(having))
-            if n >= 3 and score >= 0.85:
-                told.setdefault(e, set()).add(w)
-    want = {(i, m.start(), m.end()) for i, t in docs for m in texts[t][2] if any(m[0].lower() in told.get(e, ()) for e in texts[t][0])}
+    for e in set().union(*entities.values()):
+        having = [t for _, t in docs if e in entities[t]]
+        for w in set().union(*(sets[t] for t in having)):
+            p = (sum(w in sets[t] for t in having) + len(having) / total) / (sum(w in sets[t] for _, t in docs) + 1)
+            score = 1 + math.log(p) / math.log(total / len(having))
+            for t in having:
+                if w in sets[t] and score >= 0.85:
+                    told[t, w] = max(score, told.get((t, w), 0))
+    remove = sorted(set(told.values()))[len(set(told.values())) // 2] - 1e-9
+    want = {(i, a, b, "removed" if told[t, w] >= remove else "generalised") for i, t in docs for w, a, b in terms[t] if (t, w) in told}
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    options = {"generalise": 0.85, "remove": remove}
+    for more in ({}, {"broadcast_rows": 0}):
+        rows, spans = personal_data(table, **options, **more)
+        got = {(r.id, s.start, s.end, s.kind) for r in rows.join(spans, "tie").collect() for s in r.terms}
+        assert got == want and {k for *_, k in want} == {"removed", "generalised"}
+    # the disclosures themselves
+    from portolan.llm.personal_data import base_spans, disclosing
+
+    texts = table.select("text").withColumn("tie", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
+    holders = texts.filter(F.size("base") > 0).groupBy("tie").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("n"))
+    scores = {(r.text, r.term): r.disclosure for r in disclosing(holders, texts, total, 1.0, 0.85, 10).join(holders, "tie").collect()}
+    assert scores.keys() == told.keys() and all(math.isclose(x, told[k], rel_tol=1e-9) for k, x in scores.items())
+
+
+def test_terms_of_the_test_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    report = span_report(docs).selectExpr("n_email + n_ip + n_card + n_phone as base", "n_terms").collect()
+    assert any(r.n_terms for r in report) and not any(r.n_terms for r in report if not r.base)
+
+
+def test_long_texts(spark):
+    docs = [(1, "1." * 30000), (2, " ".join(f"u{i}@h{i % 97}.org zebra{i} Wort{'abcdefghij'[i % 10] * 3}" for i in range(20000))), (3, "a@b.co x " * 20000), (4, "plain Wortaaa")]
     table = spark.createDataFrame(docs, "doc_id long, text string")
-    for options in ({}, {"broadcast_rows": 0}):
-        got = [(r.id, s.start, s.end) for r in personal_data(table, **options)[1].collect() for s in r.terms]
-        assert len(got) == len(set(got)) and set(got) == want and want
+    got = {r.doc_id: r for r in span_report(table).collect()}
+    assert (got[1].n_ip, got[2].n_email, got[3].n_email) == (7500, 20000, 20000) and got[2].n_phone == 0
+    text = {r.doc_id: r.text for r in sanitised(table).collect()}
+    assert text[1] == "[IP]." * 7500 and text[3] == "[EMAIL] x " * 20000
+    assert text[2] == " ".join(f"[EMAIL] zebra{i} Wort{'abcdefghij'[i % 10] * 3}" for i in range(20000)) and text[4] == docs[3][1]
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "tie", "base", "terms", "of_tie", "c0", "c1"]
+    table = spark.createDataFrame([(1, "x a@b.co", 1, 2, 3, 4, 5, 6), (2, None, 1, 2, 3, 4, 5, 6)], f"doc_id long, text string, {', '.join(n + ' int' for n in names[2:])}")
+    assert sorted(map(tuple, sanitised(table).collect())) == [(1, "x [EMAIL]", 1, 2, 3, 4, 5, 6), (2, None, 1, 2, 3, 4, 5, 6)] and sanitised(table).columns == names
+    assert {r.doc_id: r.n_email for r in span_report(table).collect()} == {1: 1, 2: 0}
 
 
 def test_redaction_of_overlaps_and_nulls(spark):
