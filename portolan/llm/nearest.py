@@ -1,10 +1,12 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard, results merged.
 
 Equal vectors are one node with its smallest ids, so that copies can't fill each other's neighbour lists. Nodes are
-dealt to shards of bounded size by hash. A shard's graph is built layer by layer from the top: nodes stand in the
+dealt to shards by hash; shards grow with the table up to a size that a task can hold, so that the work of building
+grows in proportion and queries meet few shards. A shard's graph is built layer by layer from the top: nodes stand in the
 order of their levels, so that a layer is a prefix of them and its links are one flat array of fixed width. Whole
-batches of nodes are searched, linked and pruned at once with array operations. Queries come in blocks; each block
-meets each shard, and the shards' best are merged by exact distances on the original vectors.
+batches of nodes are searched, linked and pruned at once with array operations. Queries come in large blocks, so that a
+graph is loaded once for many of them; each block meets each shard with a beam that widens with the root of the
+shard's size, and the shards' best are merged by exact distances on the original vectors.
 """
 
 from __future__ import annotations
@@ -23,10 +25,16 @@ INDEX = "dim int, shard long, ids array<array<long>>, vectors binary, sizes arra
 
 def distances(points: np.ndarray, queries: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Squared distance of each query to its own row of point numbers."""
-    apart = points[which] - queries[:, None, :]
+    apart = np.subtract(points[which], queries[:, None, :])
     return np.einsum("qnd,qnd->qn", apart, apart)
 
 
+def working(points: np.ndarray, single: bool) -> np.ndarray:
+    """The points as the graph work sees them: in single precision where the column has no more and no square leaves its range."""
+    top = np.abs(points).max(initial=0.0)
+    return points.astype(np.float32 if single and 1e-15 < top < 1e15 else np.float64)
+
+
 def beam(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int, together: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """The ef nearest nodes found for each query from its entry nodes (-1: none): (nodes, squared distances), -1 and inf where fewer."""
     n, width = len(queries), links.shape[1]
@@ -34,7 +42,7 @@ def beam(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.n
     seen = np.zeros((n, len(points) + 1), bool)  # the last column stands for -1
     seen[:, -1] = True
     nodes = np.full((n, ef), -1)
-    dist = np.full((n, ef), np.inf)
+    dist = np.full((n, ef), np.inf, points.dtype)
     done = np.ones((n, ef), bool)
     new = entry
     while True:
@@ -46,7 +54,7 @@ def beam(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.n
         np.put_along_axis(twice, order[:, 1:], ranked[:, 1:] == ranked[:, :-1], 1)
         fresh &= ~twice
         seen[rows, new] = True
-        d = np.where(fresh, distances(points, queries, new), np.inf)
+        d = np.where(fresh, distances(points, queries, new), np.inf).astype(points.dtype)
         nodes, dist, done = np.concatenate([nodes, np.where(fresh, new, -1)], 1), np.concatenate([dist, d], 1), np.concatenate([done, ~fresh], 1)
         best = np.argsort(np.where(nodes < 0, np.inf, dist), axis=1, kind="stable")[:, :ef]
         nodes, dist, done = (np.take_along_axis(x, best, 1) for x in (nodes, dist, done))
@@ -59,6 +67,14 @@ def beam(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.n
         new = np.where(chosen[:, :, None] >= 0, links[chosen], -1).reshape(n, together * width)
 
 
+def nearest_of(nodes: np.ndarray, dist: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` nearest of each row's nodes (-1: none), in no order."""
+    if nodes.shape[1] <= most:
+        return nodes, dist
+    place = np.argpartition(np.where(nodes < 0, np.inf, dist), most - 1, axis=1)[:, :most]
+    return np.take_along_axis(nodes, place, 1), np.take_along_axis(dist, place, 1)
+
+
 def select(points: np.ndarray, own: np.ndarray, nodes: np.ndarray, dist: np.ndarray, most: int) -> np.ndarray:
     """For each of own at most `most` of its candidates: nearer to it than to any chosen before, then the nearest left over."""
     order = np.argsort(np.where(nodes < 0, np.inf, dist), axis=1, kind="stable")
@@ -130,7 +146,7 @@ def build(points: np.ndarray, m: int, ef: int, seed: int = 0) -> tuple[np.ndarra
                 entry = np.concatenate([entry, np.zeros((len(batch), 1), int)], 1)  # some node of the layer in any case
                 found, far = beam(points[:size], links, points[batch], entry, ef)
                 nodes, dist = np.concatenate([nodes, found], 1), np.concatenate([dist, far], 1)
-            link(points, links, batch, select(points, batch, nodes, dist, m))
+            link(points, links, batch, select(points, batch, *nearest_of(nodes, dist, ef), m))
             at += len(batch)
         layers.insert(0, links)
     return order, layers
@@ -149,38 +165,46 @@ def _usable(vector):
     return vector.isNotNull() & F.coalesce(~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(table: DataFrame, k: int = 10, every: int = 100, m: int = 16, ef_build: int = 64, ef_search: int = 160, shard_rows: int = 4096, block_rows: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def shard_count(rows: int, shard_rows: int, most_shard_rows: int, early: int = 8) -> int:
+    """Shards of about shard_rows until there are `early` of them, then no more until they are full."""
+    return max(1, -(-rows // most_shard_rows), min(early, -(-rows // shard_rows)))
+
+
+def nearest(table: DataFrame, k: int = 10, every: int = 100, m: int = 16, ef_build: int = 64, ef_search: int = 256, shard_rows: int = 16384, most_shard_rows: int = 131072, block_rows: int = 16384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each row whose id is divisible by `every`.
 
     score is the Euclidean distance in double precision; ties go to smaller ids. Vectors that are null, zero or hold a
     null or non-finite component take no part, nor do rows without an id; vectors of another length are not
     compared. A repeated row counts once. Copies of a query's vector are candidates at distance 0. Fewer than k
-    candidates are all returned. An empty table gives an empty result; other columns are ignored.
+    candidates are all returned. An empty table gives an empty result; other columns are ignored. ef_search is the
+    width of the beam in a shard of shard_rows.
     """
+    single = table.schema[vector_col].dataType.elementType.typeName() == "float"
     vectors = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter(F.col("id").isNotNull() & _usable(F.col("vector")))
     first = Window.partitionBy("vector").orderBy("id")
     few = vectors.distinct().withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k + 1)
     nodes = few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("dim", F.size("vector"))  # k + 1 ids at most
     nodes = materialize(nodes, "ann-nodes")
-    shards = {r.dim: max(1, -(-r.n // shard_rows)) for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    shards = {r.dim: shard_count(r.n, shard_rows, most_shard_rows) for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     count = F.lit(1)
     for dim, n in shards.items():
         count = F.when(F.col("dim") == dim, F.lit(n)).otherwise(count)
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), count).cast("long"))
+    tasks = 4 * sum(shards.values()) or 1  # by number, so that no two shards are put together for being small
 
     def index(group: pa.Table) -> pa.Table:
         ids = group.column("ids").to_pylist()
         dim = group.column("dim")[0].as_py()
         points = group.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), dim)
         by_id = np.argsort([x[0] for x in ids], kind="stable")  # the same graph however the rows arrive
-        order, layers = build(points[by_id], m, ef_build)
+        order, layers = build(working(points[by_id], single), m, ef_build)
         order = by_id[order]
         width = max(x.shape[1] for x in layers)
         flat = np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1])), constant_values=-1) for x in layers]).astype("<i4")
         row = {"dim": dim, "shard": group.column("shard")[0].as_py(), "ids": [ids[i] for i in order], "vectors": points[order].tobytes(), "sizes": [len(x) for x in layers], "links": flat.tobytes(), "width": width}
         return pa.Table.from_pylist([row], schema=pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("ids", pa.list_(pa.list_(pa.int64()))), ("vectors", pa.binary()), ("sizes", pa.list_(pa.int32())), ("links", pa.binary()), ("width", pa.int32())]))
 
-    graphs = materialize(nodes.select("dim", "shard", "ids", "vector").groupBy("dim", "shard").applyInArrow(index, INDEX), "ann-index")
+    graphs = materialize(nodes.select("dim", "shard", "ids", "vector").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(index, INDEX), "ann-index")
     asked = vectors.filter(F.col("id") % every == 0).distinct().withColumn("dim", F.size("vector"))
     asked = materialize(asked, "ann-queries")
     blocks = max(1, -(-asked.count() // block_rows))
@@ -198,15 +222,21 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, m: int = 16, ef_bui
                 queries = batch.column("queries")[row].values
                 keys = queries.field("id").to_numpy()
                 wanted = queries.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), dim)
-                found, _ = beam(points, layers[0], wanted, descend(points, layers[1:], wanted), ef_search)
-                exact = np.sqrt(np.where(found >= 0, distances(points, wanted, found), np.inf))
-                out = []
-                for key, places, far in zip(keys.tolist(), found.tolist(), exact.tolist()):
-                    near = sorted((d, i) for p, d in zip(places, far) if p >= 0 for i in ids[p] if i != key)[:k]
-                    out += [(key, i, d) for d, i in near]
+                own = working(points, single and np.abs(wanted).max(initial=0.0) < 1e15)
+                ef, out = int(ef_search * max(1.0, len(points) / shard_rows) ** 0.5), []
+                for at in range(0, len(keys), 256):
+                    part = wanted[at : at + 256]
+                    found, _ = beam(own, layers[0], part.astype(own.dtype), descend(own, layers[1:], part.astype(own.dtype)), ef)
+                    exact = np.sqrt(np.where(found >= 0, distances(points, part, found), np.inf))
+                    best = np.argsort(exact, axis=1, kind="stable")[:, : k + 1]
+                    far = np.take_along_axis(exact, best[:, -1:], 1)  # ties with the last one count
+                    for key, places, d, last in zip(keys[at : at + 256].tolist(), found, exact, far[:, 0].tolist()):
+                        ok = (places >= 0) & (d <= last)
+                        near = sorted((x, i) for p, x in zip(places[ok].tolist(), d[ok].tolist()) for i in ids[p] if i != key)[:k]
+                        out += [(key, i, x) for x, i in near]
                 a, b, c = zip(*out) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = asked.join(graphs, ["dim", "shard"]).select("dim", "ids", "vectors", "sizes", "links", "width", "queries").mapInArrow(search, "query_id long, vec_id long, score double")
+    found = asked.repartition(tasks, "dim", "shard").join(graphs.repartition(tasks, "dim", "shard"), ["dim", "shard"]).select("dim", "ids", "vectors", "sizes", "links", "width", "queries").mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from portolan.llm.nearest import beam, build, descend, nearest
+from portolan.llm.nearest import beam, build, descend, nearest, shard_count
 
 
 def brute(rows, every, k):
@@ -63,3 +63,37 @@ def test_odd_rows(spark):
     want = {q: x for q, x in brute(rows, 100, 10).items() if x}
     assert {q: sorted(x) for q, x in got.items()} == want
     assert nearest(table.limit(0)).count() == 0
+
+
+def test_recall_over_shards_of_the_default_size(spark):
+    rng = np.random.default_rng(3)
+    n, centres = 52_000, rng.normal(size=(300, 16)) * 2
+    points = (centres[rng.integers(0, 300, n)] + rng.normal(size=(n, 16))).astype(np.float32)
+    assert shard_count(n, 16384, 131072) == 4
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(points.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in nearest(table, every=200).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    exact = points.astype(np.float64)
+    hits = 0
+    for q, found in got.items():
+        d = ((exact - exact[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(found & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert len(got) == 260 and hits / (10 * len(got)) >= 0.95
+
+
+def test_shards_grow_with_the_table():
+    counts = [shard_count(n, 16384, 131072) for n in (0, 1, 16384, 16385, 100_000, 1_000_000, 1_048_577, 10_000_000)]
+    assert counts == [1, 1, 1, 2, 7, 8, 9, 77]
+
+
+def test_large_and_small_magnitudes(spark):
+    rng = np.random.default_rng(5)
+    for scale, kind in ((1e30, "float"), (1e-30, "float"), (1e200, "double"), (1.0, "double")):
+        rows = [(i, v) for i, v in enumerate((rng.normal(size=(300, 6)) * min(scale, 1e150)).astype(np.float32 if kind == "float" else np.float64).tolist())]
+        got = {}
+        for r in nearest(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        want = brute(rows, 100, 10)
+        assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
