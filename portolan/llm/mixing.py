@@ -4,9 +4,11 @@ Targets are shares of all words. Document rates minimise the relative entropy to
 constraint for each source, so they have the form exp(lambda * size / mean size), capped at `most`. The convex
 dual separates by source; each Newton step is one distributed aggregate over the (source, size) histogram,
 kept inside a shrinking bracket. Rates become whole copies by systematic rounding along the sizes of a
-source, then over hashed blocks of a size's documents, so that no window holds more than a block or the
-distinct sizes of a source. The larger sizes' copies then stay, and the rates of the smaller ones take up the words
-that rounding has left, again rounded along the sizes; a final step moves single copies.
+source. The larger sizes' copies then stay, and the rates of the smaller ones take up the words that rounding has
+left, again rounded along the sizes; at last copies of one or two sizes are exchanged, as long as that comes nearer
+to the target. All this is on the histogram. A document's copies follow from its source, its size and the hash of
+its id and text: those with the smallest hashes take one copy more. So no window holds more than a block of
+hashes or the distinct sizes of a source, and a corpus is mixed without moving its texts.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from portolan.llm.common import WORD, bucket_of, materialize
+from portolan.llm.common import WORD, materialize
 
 
 def targets(sources: DataFrame, most: float) -> DataFrame:
@@ -41,14 +43,14 @@ def _rate(lam: Column, z: Column, most: float) -> Column:
     return F.least(F.exp(F.least(lam * z, F.lit(50.0))), F.lit(float(most)))
 
 
-def dual(cells: DataFrame, goals: DataFrame, most: float, steps: int) -> DataFrame:
-    """lambda for each source, by safeguarded Newton iterations over cells (source, size, n).
+def dual(cells: DataFrame, goals: DataFrame, most: float, steps: int, exact: float = 1e-9) -> DataFrame:
+    """lambda for each source, by safeguarded Newton iterations over cells (source, size, n); every `steps` of them the gaps are tested.
 
     The multiplier per mean size solves sum n * min(most, exp(lambda z)) * size = target with z = size / mean size.
     """
     cells = cells.select(F.col("source").alias("cell_source"), "size", "n")
     state = goals.select("source", "target", "source_size", "mean_size", F.lit(0.0).alias("lam"), F.lit(-60.0).alias("low"), F.lit(60.0).alias("high"))
-    for step in range(steps):
+    for step in range(60):
         # one row for each source: a checked bound would not help, the join is as small as the list of sources
         seen = (
             cells.join(state, F.col("cell_source").eqNullSafe(F.col("source")))
@@ -62,10 +64,15 @@ def dual(cells: DataFrame, goals: DataFrame, most: float, steps: int) -> DataFra
         newton = F.col("lam") + F.when(F.col("slope") > 0, (F.col("target") - F.col("value")) / F.col("slope"))
         nearer = seen.withColumn("next_low", low).withColumn("next_high", high).withColumn("newton", newton)
         inside = (F.col("newton") > F.col("next_low")) & (F.col("newton") < F.col("next_high"))
-        state = nearer.select("source", "target", "source_size", "mean_size", F.when(inside, F.col("newton")).otherwise((F.col("next_low") + F.col("next_high")) / 2).alias("lam"), F.col("next_low").alias("low"), F.col("next_high").alias("high"))
-        if step % 6 == 5:
+        state = nearer.select("source", "target", "source_size", "mean_size", F.when(inside, F.col("newton")).otherwise((F.col("next_low") + F.col("next_high")) / 2).alias("lam"), F.col("next_low").alias("low"), F.col("next_high").alias("high"), (F.abs(F.col("value") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0))).alias("off"))
+        if step % steps == steps - 1:
             state = materialize(state, "mix-dual")
-    return materialize(state, "mix-dual").select("source", "lam", "mean_size", "target", "source_size")
+            # a source at its limit, or one that its bracket has closed on, comes no nearer
+            if state.filter((F.col("off") > exact) & (F.col("high") - F.col("low") > 1e-12) & (F.col("target") < F.col("source_size") * most)).isEmpty():
+                break
+    else:
+        raise RuntimeError("the rates did not settle")
+    return state.select("source", "lam", "mean_size", "target", "source_size")
 
 
 def _rounded(rated: DataFrame, most: int) -> DataFrame:
@@ -117,80 +124,120 @@ def retilted(state: DataFrame, most: int) -> DataFrame:
         state = state.drop("nearer")
 
 
-def mix(docs: DataFrame, most: int = 3, steps: int = 18, blocks: int = 64, block_rows: int = 100_000, close_rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Each row's size, source_size, target, copies and taken (copies * size).
+def exchanged(state: DataFrame, most: int) -> DataFrame:
+    """state (source, size, n, target, quota, gap) after moves of one or two copies, as long as they bring a source nearer to its target.
 
-    Rows of one source with null or empty text have size 0 and keep one copy. The words taken from a source come
-    within about half of one of its shorter documents of the target, as far as those up to some size hold enough words. Copies are from 0 to `most`. Results depend on the rows alone,
-    so reruns agree; repeated rows of one id count as documents of their own and may get different copies, the
-    repeats being numbered. Null sources are a source. An empty table gives an empty result.
+    A copy of a size more or less is a signed number of words. To each such number v the one nearest to gap - v is
+    found next to it in their order; 0 stands for moving one copy alone.
     """
-    sized = materialize(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text_col)).alias("tie")),
-        "mix-sizes",
-    )
-    rows = sized.count()
-    blocks = max(blocks, -(-rows // block_rows))
+    state = materialize(state.select("source", "size", "n", "target", "quota", "gap"), "mix-exchange")
+    while True:
+        up, down = F.when(F.col("quota") < F.col("n") * most, F.col("size")), F.when(F.col("quota") > 0, -F.col("size"))
+        moves = state.select("source", "gap", F.explode(F.array(up, down, F.lit(0).cast("long"))).alias("v")).filter("v is not null").distinct()
+        # wanted partners and moves in one order: what is nearest to a wanted number stands beside it
+        both = moves.select("source", "gap", F.col("v").cast("double").alias("at"), F.col("v").alias("move"), F.lit(None).cast("long").alias("first"))
+        both = both.unionByName(moves.select("source", "gap", (F.col("gap") - F.col("v")).alias("at"), F.lit(None).cast("long").alias("move"), F.col("v").alias("first")))
+        order = Window.partitionBy("source").orderBy("at", F.col("move").isNull())
+        below = F.last("move", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        above = F.first("move", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+        pairs = both.withColumns({"below": below, "above": above}).withColumn("second", F.explode(F.array("below", "above"))).filter("first is not null and second is not null and first <> second")
+        pairs = pairs.withColumn("left_", F.abs(F.col("gap") - F.col("first") - F.col("second"))).filter(F.col("left_") < F.abs("gap") - 0.5)
+        best = pairs.groupBy("source").agg(F.min(F.struct("left_", F.abs("first").alias("far"), "first", "second")).alias("b"))
+        best = materialize(best.select(F.col("source").alias("bs"), F.col("b.first").alias("one"), F.col("b.second").alias("two")), "mix-moves")
+        if best.isEmpty():
+            return state
+        moved = state.join(best, F.col("source").eqNullSafe(F.col("bs")), "left")  # one row a source
+        steps = [F.when(F.abs(m) == F.col("size"), F.signum(m)).otherwise(0) for m in (F.coalesce("one", F.lit(0)), F.coalesce("two", F.lit(0)))]
+        moved = moved.select("source", "size", "n", "target", (F.col("quota") + steps[0] + steps[1]).cast("long").alias("quota"), (F.col("gap") - F.coalesce("one", F.lit(0)) - F.coalesce("two", F.lit(0))).alias("gap"))
+        state = materialize(moved, "mix-exchange")
+
+
+def mix_plan(docs: DataFrame, most: int, steps: int, blocks: int, block_rows: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the rows as id, source, size, h; one row for each source; one for each source and size: base, edge, more, ties).
+
+    A document's copies are base, and one more if its hash h is below edge, or is edge and all of its `ties` rows take one
+    (more = ties); of ties that are split, rows of one id and one text, `more` take it.
+    """
+    sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col), F.col(text_col)).alias("h")), "mix-sizes")
+    blocks = max(blocks, -(-sized.count() // block_rows))
     cells = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-cells")
     sources = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("filled"))
     goals = targets(sources.select("source", "source_size"), most).withColumnRenamed("source", "s")
     means = sources.select(F.col("source").alias("m"), F.greatest(F.col("source_size") / F.greatest("filled", F.lit(1)), F.lit(1.0)).alias("mean_size"))
     goals = goals.join(means, F.col("s").eqNullSafe(F.col("m"))).withColumnRenamed("s", "source").drop("m")
-    goals = dual(cells.filter("size > 0"), goals, most, steps)
+    goals = dual(cells.filter("size > 0"), materialize(goals, "mix-goals"), most, steps)
     g = goals.withColumnRenamed("source", "s")
 
     # whole copies of each (source, size): the running sum of rates along descending sizes, cut at integers
     w = F.when(F.col("target") >= F.col("source_size") * F.lit(float(most)), F.lit(float(most))).otherwise(_rate(F.col("lam"), F.col("size") / F.col("mean_size"), most))
     rated = cells.filter("size > 0").join(g, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", "target", w.alias("w"))
-    quota = retilted(materialize(_rounded(rated, most), "mix-quotas"), most).select("source", "size", "quota", F.col("n").alias("cell_n"))
-    # the copies of a size over hashed blocks, then over the rows of a block
-    keyed = sized.withColumn("block", bucket_of(F.struct("id", "tie"), blocks, 7))
-    by_block = keyed.filter("size > 0").groupBy("source", "size", "block").agg(F.count("*").alias("block_n"))
-    q = quota.select(F.col("source").alias("qs"), F.col("size").alias("qz"), "quota", "cell_n")
+    quota = exchanged(retilted(materialize(_rounded(rated, most), "mix-quotas"), most), most)
+    quota = quota.withColumn("base", F.floor(F.col("quota") / F.col("n"))).withColumn("rest", F.col("quota") - F.col("base") * F.col("n"))
+
+    # the hash up to which documents take one copy more: first its block, in the order of the hashes, then its place there
+    q = materialize(quota.select(F.col("source").alias("qs"), F.col("size").alias("qz"), "base", "rest"), "mix-rests")
+    cell = lambda s, z: F.col("source").eqNullSafe(F.col(s)) & (F.col("size") == F.col(z))
+    keyed = sized.filter("size > 0").withColumn("block", F.floor((F.shiftright("h", 32) + F.lit(1 << 31)) * blocks / F.lit(1 << 32)).cast("int"))
     over = Window.partitionBy("source", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    share = by_block.join(q, F.col("source").eqNullSafe(F.col("qs")) & (F.col("size") == F.col("qz"))).withColumn("upto_n", F.sum("block_n").over(over))
-    edge = lambda n: F.floor(F.col("quota") * n / F.col("cell_n"))
-    share = share.select(F.col("source").alias("bs"), F.col("size").alias("bz"), F.col("block").alias("bb"), "block_n", (edge(F.col("upto_n")) - edge(F.col("upto_n") - F.col("block_n"))).alias("block_quota"))
-    at = Window.partitionBy("source", "size", "block").orderBy(F.xxhash64("id", "tie"), "id", "tie")
-    ranked = keyed.withColumn("rank", F.row_number().over(at))
-    k, n = F.col("block_quota"), F.col("block_n")
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(k / n) + (F.col("rank") <= k - F.floor(k / n) * n).cast("long"))
-    out = ranked.join(share, F.col("source").eqNullSafe(F.col("bs")) & (F.col("size") == F.col("bz")) & (F.col("block") == F.col("bb")), "left")
-    out = materialize(out.select("id", "source", "size", "tie", "rank", F.coalesce(copies, F.lit(0)).cast("long").alias("copies")), "mix-copies")
-
-    # what rounding has left of each source: one copy more or less of the document that closes most of it
-    moves = None
-    for _ in range(close_rounds):
-        moved = out if moves is None else _moved(out, moves)
-        left = moved.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got")).withColumnRenamed("source", "ls")
-        left = left.join(g.select("s", "target"), F.col("ls").eqNullSafe(F.col("s"))).select("ls", (F.col("target") - F.col("got")).alias("gap"))
-        room = moved.filter("size > 0").join(left, F.col("source").eqNullSafe(F.col("ls")))
-        step = F.when((F.col("gap") > 0) & (F.col("copies") < most), 1).when((F.col("gap") < 0) & (F.col("copies") > 0), -1)
-        after = F.abs(F.col("gap") - F.col("step") * F.col("size"))
-        best = (
-            room.withColumn("step", step).filter(F.col("step").isNotNull() & (after < F.abs(F.col("gap")) - 0.5))
-            .groupBy("source").agg(F.min(F.struct(after.alias("after"), F.xxhash64("id").alias("h"), "id", "tie", "rank", "step")).alias("b"))
-            .select(F.col("source").alias("ms"), F.col("b.id").alias("mi"), F.col("b.tie").alias("mt"), F.col("b.rank").alias("mr"), F.col("b.step").alias("move"))
-        )
-        moves = materialize(best if moves is None else moves.unionByName(best), "mix-moves")
-    out = _moved(out, moves)
-    out = out.join(g, F.col("source").eqNullSafe(F.col("s")), "left")
-    return out.select(F.col("id").alias(id_col), "source", "size", "tie", "rank", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def _moved(out: DataFrame, moves: DataFrame) -> DataFrame:
-    """At most a few rows for each source are moved; the join is by all that names a row."""
-    m = moves.groupBy("ms", "mi", "mt", "mr").agg(F.sum("move").alias("move"))
-    same = F.col("id").eqNullSafe(F.col("mi")) & F.col("tie").eqNullSafe(F.col("mt")) & (F.col("rank") == F.col("mr")) & F.col("source").eqNullSafe(F.col("ms"))
-    return out.join(m, same, "left").select("id", "source", "size", "tie", "rank", (F.col("copies") + F.coalesce("move", F.lit(0))).alias("copies"))
-
-
-def mixed_documents(docs: DataFrame, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed corpus: each document as often as its copies say, with the columns of docs."""
-    plan = mix(docs, most, id_col=id_col, text_col=text_col, source_col=source_col)
-    plan = plan.groupBy(F.xxhash64(id_col, "tie").alias("mix_plan")).agg(F.sum("copies").alias("all_"), F.count("*").alias("rows_"))
-    joined = docs.withColumn("mix_key", F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col)))).join(plan, F.col("mix_key") == F.col("mix_plan"))
-    # repeated rows of one document share its copies evenly: each takes its part of the sum
-    each = F.floor(F.col("all_") * F.col("nth_") / F.col("rows_")) - F.floor(F.col("all_") * (F.col("nth_") - 1) / F.col("rows_"))
-    joined = joined.withColumn("nth_", F.row_number().over(Window.partitionBy("mix_key").orderBy("mix_key"))).withColumn("each_", each.cast("int"))
-    return joined.filter("each_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("each_")))).select(*docs.columns)
+    by_block = keyed.groupBy("source", "size", "block").agg(F.count("*").alias("own")).withColumn("upto", F.sum("own").over(over))
+    split = by_block.join(q.filter("rest > 0"), cell("qs", "qz")).filter("upto >= rest and upto - own < rest")
+    split = split.select("qs", "qz", F.col("block").alias("qb"), (F.col("rest") - F.col("upto") + F.col("own")).alias("open"))
+    inside = keyed.join(split, cell("qs", "qz") & (F.col("block") == F.col("qb"))).groupBy("source", "size", "open", "h").agg(F.count("*").alias("ties"))
+    within = inside.withColumn("upto", F.sum("ties").over(Window.partitionBy("source", "size").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)))
+    edges = within.filter("upto >= open and upto - ties < open").select(F.col("source").alias("es"), F.col("size").alias("ez"), F.col("h").alias("edge"), (F.col("open") - F.col("upto") + F.col("ties")).alias("more"), "ties")
+    plan = q.join(edges, F.col("qs").eqNullSafe(F.col("es")) & (F.col("qz") == F.col("ez")), "left").select("qs", "qz", "base", "edge", "more", "ties")
+    return sized, goals, materialize(plan, "mix-plan")
+
+
+def size_of(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def hash_of(key: Column, text: Column) -> Column:
+    return F.xxhash64(key, text, F.coalesce(text, F.lit("")) == "")
+
+
+def copied(rows: DataFrame, plan: DataFrame, source: str, size: str, h: str, broadcast_rows: int) -> DataFrame:
+    """rows with their `copies_`. Ties that are split are rows alike; they are numbered part by part, so that no window holds them all."""
+    plan = F.broadcast(plan) if plan.count() <= broadcast_rows else plan
+    joined = rows.join(plan, F.col(source).eqNullSafe(F.col("qs")) & (F.col(size) == F.col("qz")), "left")
+    tied = F.coalesce((F.col(h) == F.col("edge")) & (F.col("more") < F.col("ties")), F.lit(False))
+    more = F.coalesce((F.col(h) <= F.col("edge")).cast("long"), F.lit(0))
+    copies = F.when(F.col(size) == 0, F.lit(1)).otherwise(F.col("base") + more).cast("long")
+    plain = joined.filter(~tied).withColumn("copies_", copies)
+    if plan.filter("more < ties").isEmpty():
+        return plain.drop("qs", "qz", "base", "edge", "more", "ties")
+    alike = materialize(joined.filter(tied).withColumn("part_", F.spark_partition_id()), "mix-alike")
+    counts = alike.groupBy("qs", "qz", "part_").agg(F.count("*").alias("own"))
+    before = counts.withColumn("before", F.sum("own").over(Window.partitionBy("qs", "qz").orderBy("part_")) - F.col("own"))
+    before = before.select(F.col("qs").alias("bs"), F.col("qz").alias("bz"), F.col("part_").alias("bp"), "before")
+    placed = alike.join(before, F.col("qs").eqNullSafe(F.col("bs")) & (F.col("qz") == F.col("bz")) & (F.col("part_") == F.col("bp")))
+    nth = F.col("before") + F.row_number().over(Window.partitionBy("qs", "qz", "part_").orderBy("edge"))
+    placed = placed.withColumn("copies_", F.col("base") + (nth <= F.col("more")).cast("long")).drop("part_", "bs", "bz", "bp", "before")
+    return plain.unionByName(placed).drop("qs", "qz", "base", "edge", "more", "ties")
+
+
+def mix(docs: DataFrame, most: int = 3, steps: int = 6, blocks: int = 64, block_rows: int = 100_000, broadcast_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Each row's size, source_size, target, copies and taken (copies * size).
+
+    Rows with null or empty text have size 0 and keep one copy. The words taken from a source come
+    as near to its target as moves of one or two copies can bring them, once the smaller documents have taken up what
+    rounding leaves. Copies are from 0 to `most`. Results depend on the rows alone, so reruns agree; repeated rows of one id and text
+    count as documents of their own and may get different copies. Null sources are a source. An empty table gives an
+    empty result.
+    """
+    sized, goals, plan = mix_plan(docs, most, steps, blocks, block_rows, id_col, text_col, source_col)
+    out = copied(sized, plan, "source", "size", "h", broadcast_rows)
+    out = out.join(goals.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s")), "left")
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", F.col("copies_").alias("copies"), (F.col("copies_") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, most: int = 3, steps: int = 6, blocks: int = 64, block_rows: int = 100_000, broadcast_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mixed corpus: each document as often as its copies say, with the columns of docs. Texts are not shuffled while the plan is small."""
+    _, _, plan = mix_plan(docs, most, steps, blocks, block_rows, id_col, text_col, source_col)
+    columns = [f"c{i}" for i in range(len(docs.columns))]  # no name can clash
+    key, text, source = (F.col(columns[docs.columns.index(c)]) for c in (id_col, text_col, source_col))
+    rows = docs.toDF(*columns).withColumns({"source_": source, "size_": size_of(text), "h_": hash_of(key, text)})
+    rows = copied(rows, plan, "source_", "size_", "h_", broadcast_rows).filter("copies_ > 0")
+    rows = rows.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int"))))
+    return rows.select(*[F.col(c).alias(name) for c, name in zip(columns, docs.columns)])

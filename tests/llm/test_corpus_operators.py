@@ -210,6 +210,29 @@ def test_mixing_of_odd_rows(spark, docs):
     assert mixed_documents(docs).columns == docs.columns
 
 
+def test_mixing_of_repeated_rows_and_clashing_names(spark):
+    from portolan.llm.mixing import mix, mixed_documents
+
+    rows = [(7, "the same row", "a", 1)] * 301 + [(i, " ".join(["w"] * (i % 9)), "ab"[i % 2], i) for i in range(400)] + [(9, None, None, 0), (10, "null source", None, 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, copies_ long")
+    names = ["doc_id", "text", "source", "size_", "h_", "base", "edge", "more", "ties", "part_", "qs"]
+    clash = table.toDF(*names[:4]).selectExpr("*", *[f"1 as {n}" for n in names[4:]]).repartition(5)
+    for broadcast_rows in (0, 200_000):
+        taken, target, copies = defaultdict(int), {}, defaultdict(int)
+        for r in mix(table, broadcast_rows=broadcast_rows).collect():
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+            copies[r.doc_id] += r.copies
+            assert 0 <= r.copies <= 3
+        assert all(abs(taken[s] - target[s]) <= 1 for s in taken)
+        mixed = mixed_documents(clash, broadcast_rows=broadcast_rows)
+        assert mixed.columns == names
+        got = defaultdict(int)
+        for r in mixed.collect():
+            got[r.doc_id] += 1
+        assert got == {k: n for k, n in copies.items() if n}
+
+
 @pytest.mark.parametrize("few", [0, 32, 256])
 def test_densified_bins_follow_their_walks(spark, monkeypatch, few):
     import random
