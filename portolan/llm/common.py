@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,20 +22,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of checkpoints, which all executors share; a temporary one only where none is configured."""
+    """The folder of checkpoints, which all executors share. In local mode a temporary one where none is configured."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="portolan-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="portolan-"))
     return sc.getCheckpointDir()
 
 
+#: Tables written by this process and not yet deleted.
+WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the written tables from number `since` on, but the last `keep`: what was read from them must be written before."""
+    for path in WRITTEN[since : len(WRITTEN) - keep]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del WRITTEN[since : len(WRITTEN) - keep]
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body names it."""
     return F.transform(F.array(value), body)[0]
@@ -58,6 +75,12 @@ def bucket_of(key: Column, buckets: int, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets)).cast("int")
 
 
+def hash_limit(total: int, wanted: int) -> int:
+    """The 64-bit hash up to which `wanted` of `total` hashes stand, and a few more, so that no exact rank needs all of them."""
+    share = min(1.0, (wanted + 6 * wanted**0.5 + 50) / max(total, 1))
+    return min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))

@@ -151,23 +151,23 @@ def _count_above(edges: list[int], key: Column) -> Column:
     return F.aggregate(_ints(steps), F.lit(0), lambda acc, s: F.when(F.coalesce(F.get(bound, acc + s - 1) > key, F.lit(False)), acc + s).otherwise(acc))
 
 
-def with_next(docs: DataFrame, bucket_rows: int = 1024, most_buckets: int = 8192, id_col: str = "doc_id", carry: tuple[str, ...] = ("text", "packed")) -> DataFrame:
+def with_next(docs: DataFrame, bucket_rows: int = 1024, id_col: str = "doc_id", carry: tuple[str, ...] = ("text", "packed")) -> DataFrame:
     """docs with next_<column>: the value in the row after it by descending id; after the last row, the first's.
 
-    Rows are dealt by ranges of ids (sampled bounds, at most most_buckets of them) and the first row of a range is
+    Rows are dealt by ranges of ids (sampled bounds, as many as the rows ask for) and the first row of a range is
     also sent to the end of the range before it, so that one shuffle and a window in each range suffice. Equal
     ids stand in the order of the first carried column; null ids come last.
     """
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
     rows = docs.count()
-    count = max(1, min(most_buckets, -(-rows // bucket_rows)))
+    count = max(1, -(-rows // max(bucket_rows, int(rows**0.5))))  # a range has the root of the rows, so that bounds and ranges both fit a task
     edges = docs.agg(F.percentile_approx(key, [i / count for i in range(1, count)] or [0.5], max(10_000, 4 * count))).first()[0] or []
     edges = sorted(set(edges), reverse=True) if count > 1 else []
     # bucket b holds keys k with edges[b-1] >= k ... : as many edges above k as b
     placed = docs.withColumn("bucket_", _count_above(edges, key)).withColumn("key_", key)
     tops = sorted((r[0], r[1]) for r in placed.groupBy("bucket_").agg(F.max("key_")).collect())  # one row for each bucket
     ghosts = [(top, tops[i - 1][0]) for i, (_, top) in enumerate(tops)]
-    ghosts = docs.sparkSession.createDataFrame(ghosts, "top_ bigint, before_ int")  # at most most_buckets rows
+    ghosts = docs.sparkSession.createDataFrame(ghosts, "top_ bigint, before_ int")  # one row for each range
     placed = placed.join(F.broadcast(ghosts), placed["key_"] == ghosts["top_"], "left")
     own, ghost = F.struct(F.col("bucket_").alias("b"), F.lit(0).alias("ghost")), F.struct(F.col("before_").alias("b"), F.lit(1).alias("ghost"))
     placed = placed.withColumn("place_", F.explode(F.when(F.col("before_").isNull(), F.array(own)).otherwise(F.array(own, ghost))))

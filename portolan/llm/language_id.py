@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from portolan.llm.common import fold, text_slices
+from portolan.llm.common import fold, hash_limit, text_slices
 
 UNDETERMINED = "und"
 #: Fixed odd multipliers for n-grams of 1, 2, ... bytes.
@@ -46,9 +46,12 @@ def presences(text: pa.Array, grams: tuple[int, ...], bits: int):
 def sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str, parts: int, held_out: int) -> DataFrame:
     """At most per_language labelled learning rows of each language: those with the smallest hashes of id and text."""
     learn = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.coalesce(fold(F.col(id_col), parts), F.lit(-1)) != held_out))
-    keyed = learn.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(text_col, id_col).alias("h"))
-    by_lang = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = keyed.withColumn("nth", F.row_number().over(by_lang)).filter(F.col("nth") <= per_language).select("h", "lang").distinct()
+    keyed = learn.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col, id_col).alias("h"))
+    # the rows below a hash known from each language's count; a rank then meets few rows more than it keeps
+    totals = keyed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()  # one row a language
+    limits = docs.sparkSession.createDataFrame([(r.lang, hash_limit(r.n, per_language)) for r in totals], "of_lang string, most long")
+    few = keyed.join(F.broadcast(limits), (F.col("lang") == F.col("of_lang")) & (F.col("h") <= F.col("most"))).select("lang", "h").distinct()
+    chosen = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("nth") <= per_language).select("h", "lang")
     picked = learn.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col, id_col).alias("h"))
     return picked.join(F.broadcast(chosen), ["h", "lang"]).dropDuplicates(["h", "lang"])  # per_language rows a language at most
 

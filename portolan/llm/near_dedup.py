@@ -271,10 +271,21 @@ def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(several, "key", "left_semi")
 
 
-def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with the columns of docs. Ids name documents: rows that repeat one stay or go together."""
-    verdicts = near_duplicates(docs, id_col=id_col, **options)
-    kept = materialize(verdicts.filter("kept").select(F.col(id_col).alias("kept_id_")).distinct(), "dedup-kept")
-    if kept.count() <= broadcast_rows:  # some 20 bytes an id; beyond that both sides are shuffled
-        kept = F.broadcast(kept)
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id_")), "left_semi")
+def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with the columns of docs.
+
+    Ids name documents: rows that repeat one stay or go together, but of those with one id and one text a single row
+    stays (any, if their other columns differ).
+    """
+    verdicts = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    kept = materialize(verdicts.filter("kept").groupBy(F.col(id_col).alias("kept_id_")).agg(F.count("*").alias("rows_")), "dedup-kept")
+    columns = [f"c{i}" for i in range(len(docs.columns))]  # no name can clash
+    key, text = (F.col(columns[docs.columns.index(c)]) for c in (id_col, text_col))
+    rows = docs.toDF(*columns)
+    few = lambda t: F.broadcast(t) if t.count() <= broadcast_rows else t  # noqa: E731  some 20 bytes an id; beyond that both sides are shuffled
+    single = rows.join(few(kept.filter("rows_ = 1")), key.eqNullSafe(F.col("kept_id_")), "left_semi")
+    several = kept.filter("rows_ > 1")
+    if not several.isEmpty():
+        alike = rows.join(few(several), key.eqNullSafe(F.col("kept_id_")), "left_semi").withColumns({"k1_": F.xxhash64(text), "k2_": F.length(text)})
+        single = single.unionByName(alike.dropDuplicates([columns[docs.columns.index(id_col)], "k1_", "k2_"]).drop("k1_", "k2_"))
+    return single.toDF(*docs.columns)

@@ -4,8 +4,9 @@ The vocabulary and its scores are those of a sentencepiece model. Its pieces nev
 lattice falls apart into its words (each with a space mark before it) and the forward recursion, in log space,
 runs once for each distinct word. Scores are turned into a prior over pieces and sharpened on the learning texts
 by expectation maximisation, with the forward-backward counts of all segmentations of all learning words. A word
-met in learning is also an arc of its own; arcs and lattice are weighted by the share of first occurrences
-(N tokens, V distinct: c / (N + V) for the arc, V / (N + V) for the lattice), so that the sum stays below one.
+met in learning is also an arc of its own. With N tokens, V of them distinct, and r = novelty * V / (N + V), the arc of a
+word met c times weighs (1 - r) c / N and the lattice r: a proper mixture, whose share for what is new is a part of the
+share of first occurrences, small enough that learning texts are not scored below the add-one estimate.
 
 Words are counted once for each chunk of texts before anything is shuffled; a chunk's dictionary then comes back
 to its texts with the score of each of its words. Every step's memory is bounded by a chunk or by the vocabulary.
@@ -17,7 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portolan.llm.common import flat_words, fold, materialize, text_slices
@@ -264,7 +265,7 @@ def learned(words: DataFrame, model_path: str, rounds: int, prior: float, ends:
     return logs
 
 
-def score_documents(docs: DataFrame, model_path: str, rounds: int = 2, prior: float = 1000.0, chunk_bytes: int = 16 << 20, parts: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, model_path: str, rounds: int = 2, prior: float = 1000.0, novelty: float = 0.25, chunk_bytes: int = 16 << 20, parts: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score (all log10) for each row of docs.
 
     Learns from the rows whose crc32(id) mod parts is not held_out. Words are runs without ASCII white space, A-Z
@@ -275,17 +276,14 @@ def score_documents(docs: DataFrame, model_path: str, rounds: int = 2, prior: fl
     tokens = materialize(chunked(docs, chunk_bytes, id_col, text_col, parts, held_out), "lm-tokens")
     entries = tokens.filter("words is not null").select("chunk", "first", F.posexplode(F.arrays_zip("words", "train")).alias("at", "e"))
     entries = entries.select("chunk", (F.col("first") + F.col("at")).cast("int").alias("code"), F.col("e.words").alias("word"), F.col("e.train").alias("n"))
-    # one row for each word and chunk, with the word's count over all; a window holds at most the chunks of one word
-    together_ = Window.partitionBy("word").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nth = F.row_number().over(Window.partitionBy("word").orderBy("chunk"))
-    entries = materialize(entries.select("chunk", "code", "word", F.sum("n").over(together_).alias("c"), (nth == 1).alias("first")), "lm-entries")
-    words = entries.filter("first and c > 0")
+    words = materialize(entries.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
     texts = tokens.filter("words is null")
     ends = texts.filter("not held_out").count()
-    distinct, seen = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    distinct, seen = words.filter("c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n, v = seen + ends, distinct + (ends > 0)
-    logs = learned(words, model_path, rounds, prior, ends)
-    arc, rest = (1.0 / (n + v), v / (n + v)) if n else (0.0, 1.0)
+    logs = learned(words.filter("c > 0"), model_path, rounds, prior, ends)
+    rest = novelty * v / (n + v) if n else 1.0
+    arc = (1.0 - rest) / n if n else 0.0
 
     def of(c: np.ndarray, log: np.ndarray):
         """log10 of the add-one estimate and of the mixture, from counts and natural logs of the lattice."""
@@ -297,11 +295,12 @@ def score_documents(docs: DataFrame, model_path: str, rounds: int = 2, prior: fl
     def score_words(batches):
         lattice = Lattice(model_path, logs)
         for table in gathered(batches):
-            coded = table.column("word").combine_chunks().dictionary_encode()
-            log = lattice.log_probability(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-            yield from pa.table({"of_chunk": table.column("chunk"), "code": table.column("code"), "c": table.column("c"), "log": pa.array(log)}).to_batches()
+            log = lattice.log_probability(table.column("word").to_pylist())
+            yield from pa.table({"word": table.column("word"), "c": table.column("c"), "log": pa.array(log)}).to_batches()
 
-    values = entries.select("chunk", "code", "word", "c").mapInArrow(score_words, "of_chunk long, code int, c long, log double")
+    # each word is scored once; a word has one row in each chunk that holds it, never more
+    scored = materialize(words.mapInArrow(score_words, "word string, c long, log double"), "lm-scores")
+    values = entries.join(scored, "word").select(F.col("chunk").alias("of_chunk"), "code", "c", "log")
     (end_base,), (end_score,) = of(np.array([float(ends)]), np.array([logs[-1]]))
     end_lattice, end_known = float(logs[-1]) / math.log(10), int(ends > 0)
     id_kind = docs.schema[id_col].dataType.simpleString()

@@ -9,7 +9,7 @@ import pytest
 from portolan.llm.language_id import fit, identify, keep_identified, presences
 from portolan.llm.toxicity import CLASSES, Chain, fit_chain, observations, score_toxicity
 
-SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+MIDDLE = "/root/testdata/sf0.01"
 
 
 def test_presences_are_distinct_grams():
@@ -22,7 +22,46 @@ def test_presences_are_distinct_grams():
     assert (empty == null).all()
 
 
-def test_folded_scores_equal_kernel_scores():
+def made_up(n, seed):
+    rng = np.random.default_rng(seed)
+    return [("abc"[i % 3], np.unique(rng.integers(60 * (i % 3), 300 + 60 * (i % 3), 40 + i % 17)).astype(np.int32)) for i in range(n)]
+
+
+def cosine(x, y):
+    return len(np.intersect1d(x, y)) / np.sqrt(len(x) * len(y))
+
+
+def test_model_equals_kernel_ridge_regression():
+    """With every row a landmark: the dual problem, over the kernel alone."""
+    rows, fresh, ridge = made_up(45, 1), made_up(20, 2), 0.1
+    model = fit(rows, 10_000, ridge, 10)
+    kernel = np.array([[cosine(x, y) for _, y in rows] for _, x in rows])
+    share = np.full(len(rows), 1 / 15) * len(rows) / 3
+    system = np.block([[kernel + ridge * np.diag(1 / share), np.ones((45, 1))], [np.ones((1, 45)), np.zeros((1, 1))]])
+    for j, lang in enumerate(model.languages):
+        y = np.array([1.0 if x == lang else -1.0 for x, _ in rows])
+        *alpha, bias = np.linalg.solve(system, np.append(y, 0.0))
+        want = [sum(a * cosine(x, own) for a, (_, own) in zip(alpha, rows)) + bias for _, x in rows + fresh]
+        assert np.allclose(model.scores([x for _, x in rows + fresh])[:, j], want, atol=2e-3)
+
+
+def test_landmarks_equal_nystroem_regression():
+    rows, fresh, ridge = made_up(60, 3), made_up(20, 4), 0.1
+    model = fit(rows, 12, ridge, 10)
+    ordered = sorted(rows, key=lambda r: (r[0], r[1].tobytes()))
+    marks = [own for lang in "abc" for own in [x for l, x in ordered if l == lang][::5][:4]]
+    k = lambda xs: np.array([[cosine(x, m) for m in marks] for x in xs])
+    # the ridge penalty of a function sum w_i k(x, m_i) is w' K w
+    kn, km = k([x for _, x in ordered]), k(marks)
+    for j, lang in enumerate(model.languages):
+        y = np.array([1.0 if l == lang else -1.0 for l, _ in ordered])
+        system = np.block([[kn.T @ kn + ridge * km, kn.sum(0)[:, None]], [kn.sum(0)[None], np.array([[60.0]])]])
+        w = np.linalg.solve(system, np.append(kn.T @ y, y.sum()))
+        want = k([x for _, x in fresh]) @ w[:-1] + w[-1]
+        assert np.allclose(model.scores([x for _, x in fresh])[:, j], want, atol=2e-3)
+
+
+def test_scores_do_not_depend_on_the_batch():
     rng = np.random.default_rng(1)
     rows = [("ab"[i % 2], np.unique(rng.integers(0 if i % 2 else 100, 300 if i % 2 else 400, 60)).astype(np.int32)) for i in range(40)]
     model = fit(rows, 10, 0.1, 9)
@@ -31,6 +70,26 @@ def test_folded_scores_equal_kernel_scores():
     assert np.allclose(model.scores([rows[0][1], rows[1][1]])[0], model.scores([rows[0][1]])[0], atol=1e-5)
 
 
+def test_samples_are_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from portolan.llm.language_id import sample as texts_of
+    from portolan.llm.toxicity import sample as labelled
+
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('text ', id % 3500) as text", "if(id % 10 = 0, 'de', 'en') as lang").unionByName(spark.range(3000).selectExpr("5L as doc_id", "'text 5' as text", "'en' as lang"))
+    got = {(r.lang, r.text, r.h) for r in texts_of(docs, 50, "doc_id", "text", "lang", 5, 0).collect()}
+    rows = docs.withColumn("h", F.xxhash64("text", "doc_id")).filter("pmod(crc32(cast(cast(doc_id as string) as binary)), 5) <> 0").distinct().collect()
+    for lang in ("de", "en"):
+        assert {x for x in got if x[0] == lang} == {(r.lang, r.text, r.h) for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.h)[:50]}
+    labels = spark.range(4000).selectExpr("id as doc_id", "if(id % 20 = 0, 1, 0) as toxic")
+    picked, totals = labelled(docs.filter("doc_id <> 5"), labels, 30, 200, "doc_id", "text", "toxic", 5, 0)
+    known = labels.withColumn("h", F.xxhash64("doc_id")).filter("pmod(crc32(cast(cast(doc_id as string) as binary)), 5) <> 0").collect()
+    for label, most in ((1, 30), (0, 200)):
+        best = sorted((r for r in known if r.toxic == label), key=lambda r: r.h)[:most]
+        assert totals[label] == sum(r.toxic == label for r in known)
+        assert sorted(r.text for r in picked.collect() if r.toxic == label) == sorted(f"text {r.doc_id % 3500}" for r in best if r.doc_id != 5)
+
+
 def test_languages_of_held_out_texts(spark):
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
     rows = identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -71,7 +130,7 @@ def test_chain_equals_sum_over_all_paths(seed):
 
 
 def test_chain_of_texts_without_tokens():
-    chain = fit_chain(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.array([0, 3]), np.array([0, 1]))
+    chain = fit_chain(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.array([0, 3]), np.zeros(0, bool))
     partition, marginal = chain.forward_backward(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.array([0, 5]))
     assert np.isfinite(partition).all() and len(marginal) == 0
     of, at, kind, counts = observations(pa.array(["", None, "a  bad-word, b"]), {"=bad-word": 9.0})
@@ -89,6 +148,49 @@ def test_toxicity_of_held_out_texts(spark):
     assert {"idiot", "moron"} <= words
 
 
+def test_scores_and_spans_against_all_tokens_in_turn(spark):
+    """The learned model applied by a plain forward-backward over every token."""
+    import math
+    import re
+
+    from portolan.llm.toxicity import BEGINNINGS, EDGE, learn
+
+    docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
+    model = learn(docs, labels, 3000, 9000, 4000, 5, 0, "doc_id", "text", "toxic")
+    assert model.odds and model.learned and model.slope > 0
+    a, b, c = np.exp(model.weights[:3])
+    emit = np.exp(np.concatenate(([0.0], model.weights[3:])))
+    rows = {r.doc_id: r for r in score_toxicity(docs, labels).collect()}
+    for doc in docs.collect():
+        if doc.doc_id % 8 and not rows[doc.doc_id].spans:
+            continue
+        words = [(m.start(), m.end(), m[0].lower().strip(EDGE)) for m in re.finditer(r"[^\x20\x09-\x0D]+", doc.text or "")]
+        kinds = []
+        for *_, w in words:
+            names = ([f"={w}"] if w else []) + [f"{n}{w[:n]}" for n in BEGINNINGS if len(w) > n]
+            best = max([model.odds.get(x, -1.0) for x in names], default=-1.0)
+            kinds.append(sum(best >= x for x in CLASSES))
+        move = np.array([[1.0, a], [b, c]])
+        forward, v = [], np.array([1.0, 0.0])
+        for k in kinds:
+            v = v @ (move * np.array([1.0, emit[k]]))
+            v /= v.sum()
+            forward.append(v)
+        clean, spans, v = 0.0, [], np.ones(2)
+        for (start, end, _), k, f in reversed(list(zip(words, kinds, forward))):
+            toxic = f[1] * v[1] / (f @ v)
+            if k:
+                clean += math.log1p(-min(toxic, 1 - 1e-9))
+                spans += [(start, end)] * bool(toxic >= 0.5)
+            v = (move * np.array([1.0, emit[k]])) @ v
+            v /= v.sum()
+        line = model.intercept + model.slope * min(20, max(-20, math.log(max(-math.expm1(clean), 1e-9)) - clean))
+        got = rows[doc.doc_id]
+        assert math.isclose(got.score, 1 / (1 + math.exp(-line)), rel_tol=1e-6, abs_tol=1e-9)
+        assert [(s.start, s.end) for s in got.spans] == spans[::-1]
+    assert any(r.spans for r in rows.values())
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = [(i, f"{'bad ' if i % 3 == 0 else ''}plain words {i} here", i) for i in range(90)] + [(100, None, 0), (101, "", 0), (101, "  ", 0), (102, "bad " * 20000, 0), (None, "bad", 0)]
     table = spark.createDataFrame(docs, "doc_id long, text string, score int")

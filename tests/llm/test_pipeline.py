@@ -70,3 +70,53 @@ def test_run_is_registered_and_repeats(spark):
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     first = corpus_pipeline.run(spark, SF).groupBy().sum("length", "ids_crc32", "doc_tokens").first()
     assert first == corpus_pipeline.run(spark, SF).groupBy().sum("length", "ids_crc32", "doc_tokens").first()
+
+
+def test_run_deletes_what_it_wrote(spark):
+    from portolan.llm import common
+
+    common.release(spark)
+    before = len(common.WRITTEN)
+    rows = corpus_pipeline.run(spark, SF)
+    assert before == 0 and len(common.WRITTEN) == 1 and rows.count() > 0
+    common.release(spark)
+    assert not common.WRITTEN
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from portolan.llm.common import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master), conf=conf))
+
+
+def test_functions_do_not_need_the_package_on_workers(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from portolan.llm.common import flat_words
+    from portolan.llm.subword_lm import Lattice
+    from portolan.llm.toxicity import Chain, Model
+
+    (tmp_path / "x").write_bytes(cloudpickle.dumps((flat_words, Lattice, Chain, Model)))
+    code = "import pickle, sys; print([x.__name__ for x in pickle.load(open(sys.argv[1], 'rb'))], 'portolan' in sys.modules)"
+    out = subprocess.run([sys.executable, "-c", code, str(tmp_path / "x")], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin"})
+    assert out.stdout.strip() == "['flat_words', 'Lattice', 'Chain', 'Model'] False", out.stderr
+
+
+def test_exact_repeats_of_a_row_go(spark):
+    from portolan.llm.near_dedup import keep_one
+
+    rows = [(1, "one two three four five six", 0)] * 3 + [(2, "one two three four five six", 0), (3, "other words stand in this text", 0), (3, "and here are still more of them", 0), (4, None, 0), (4, None, 0), (5, "", 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, rows_ int")
+    kept = keep_one(table, broadcast_rows=0)
+    assert kept.columns == table.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(1, rows[0][1]), (3, rows[5][1]), (3, rows[4][1]), (4, ""), (5, "")]

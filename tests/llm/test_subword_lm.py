@@ -94,6 +94,33 @@ def test_learning_helps_on_held_out_texts(spark):
     held = [r for r in rows if r.held_out]
     prior = [r for r in score_documents(docs, PATH, rounds=0).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.lattice_score for r in held) > sum(r.lattice_score for r in prior)
+    assert sum(r.score for r in held) > sum(r.score for r in prior)
+
+
+def test_scores_against_plain_sums(spark):
+    """score and lattice_score from the learned pieces, word by word, over all segmentations."""
+    from portolan.llm.subword_lm import learned
+
+    docs = [(i, " ".join(["the cat", "thtion sat", "größe 漢字x", "odd"][j] for j in range(4) if (i >> j) & 1)) for i in range(1, 40)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r for r in score_documents(table, PATH, chunk_bytes=200).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
+    c = Counter(w for i, t in docs if not held[i] for w in t.split())
+    ends = sum(not x for x in held.values())
+    n, v = sum(c.values()) + ends, len(c) + 1
+    logs = learned(spark.createDataFrame(list(c.items()), "word string, c long"), PATH, 2, 1000.0, ends)
+    lattice, rest = Lattice(PATH, logs), 0.25 * v / (n + v)
+    log = {w: slow(lattice, w)[0] for w in {w for _, t in docs for w in t.split()}}
+    for i, t in docs:
+        parts = [(c[w], log[w]) for w in t.split()] + [(ends, logs[-1])]
+        assert math.isclose(rows[i].lattice_score, sum(x for _, x in parts) / math.log(10), rel_tol=1e-9)
+        assert math.isclose(rows[i].score, sum(math.log10((1 - rest) * k / n + rest * math.exp(x)) for k, x in parts), rel_tol=1e-9)
+
+
+def test_score_is_above_base_on_learning_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    score, base = score_documents(docs, PATH).filter("not held_out").selectExpr("sum(score)", "sum(base_score)").first()
+    assert score > base
 
 
 def test_nothing_to_learn_from(spark):
