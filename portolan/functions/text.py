@@ -4,37 +4,41 @@ from __future__ import annotations
 
 import unicodedata
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _latin_folding() -> tuple[str, str]:
-    """Latin letters with marks, and the letters that their decomposition begins with."""
-    marked = [chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFKD", chr(c))) > 1 and unicodedata.normalize("NFKD", chr(c))[0].isascii() and unicodedata.normalize("NFKD", chr(c))[0].isalpha()]
-    return "".join(marked), "".join(unicodedata.normalize("NFKD", c)[0] for c in marked)
+def normalized(text: Column, form: str) -> Column:
+    """The text in a Unicode normal form (NFC, NFD, NFKC, NFKD); no built-in function has them, so Python does it, once for each distinct text of a batch."""
 
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        known = {x: unicodedata.normalize(form, x) for x in pc.unique(batch).to_pylist() if x is not None and not x.isascii()}
+        return pa.array([known.get(x, x) for x in batch.to_pylist()], pa.string()) if known else batch.cast(pa.string())
 
-MARKED, PLAIN = _latin_folding()
+    return run(text)
 
 
 def unmarked(text: Column) -> Column:
-    """Latin letters without their marks; combining marks go."""
-    return F.regexp_replace(F.translate(text, MARKED, PLAIN), r"\p{M}+", "")
+    """Letters of all scripts by their compatible decomposition, without marks; sharp s as two letters."""
+    return F.replace(F.regexp_replace(normalized(text, "NFKD"), r"\p{M}+", ""), F.lit("ß"), F.lit("ss"))
 
 
 def header_key(text: Column) -> Column:
     """Lower-case letters and digits of a heading, joined by underscores."""
-    return F.regexp_replace(F.regexp_replace(F.lower(unmarked(text)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(F.replace(unmarked(text), F.lit("ẞ"), F.lit("ss"))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
 def search_text(text: Column) -> Column:
     """Unmarked lower case, everything but letters and digits as single spaces."""
-    return F.trim(F.regexp_replace(F.lower(unmarked(text)), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.replace(unmarked(text), F.lit("ẞ"), F.lit("ss"))), "[^a-z0-9]+", " "))
 
 
 def category(text: Column, missing: str = "__MISSING__") -> Column:
-    """Upper case, single spaces; null and blank are one category."""
-    plain = F.upper(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    """Compatible characters, upper case, single spaces; null and blank are one category."""
+    plain = F.upper(F.trim(F.regexp_replace(normalized(text, "NFKC"), r"\s+", " ")))
     return F.when(plain.isNull() | (plain == ""), missing).otherwise(plain)
 
 
@@ -55,12 +59,33 @@ def codes(text: Column, pattern: str = "^[A-Z0-9]{3}/[A-Z0-9]{1,6}$") -> Column:
     return F.array_distinct(F.slice(items, F.lit(1), F.when(bad == 0, F.size(items)).otherwise(bad - 1).cast("int")))
 
 
+def _digits_only(text: Column) -> Column:
+    return (text != "") & (F.translate(text, "0123456789", "") == "")
+
+
 def duration_minutes(text: Column) -> Column:
-    """Minutes of an ISO 8601 duration of days, hours and minutes; seconds are dropped, zero is null."""
-    pattern = r"^P(?:([0-9]+)D)?(?:T(?:([0-9]+)H)?(?:([0-9]+)M)?(?:[0-9]+(?:\.[0-9]+)?S)?)?$"
-    part = lambda i: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(text, pattern, i), F.lit("")), F.lit("999999999")).cast("long"), F.lit(0))
-    minutes = part(1) * 1440 + part(2) * 60 + part(3)
-    return F.when(text.rlike(pattern) & (minutes > 0), minutes)
+    """Minutes of an ISO 8601 duration of days, hours and minutes; seconds are dropped, zero is null.
+
+    The text is taken apart at its unit letters, each at most once and in order; what is left must be numbers.
+    """
+    body, time = F.substring_index(F.substring(text, 2, 1 << 30), "T", 1), F.when(F.contains(text, F.lit("T")), F.substring_index(text, "T", -1)).otherwise("")
+    minutes, valid = F.lit(0).cast("long"), F.startswith(text, F.lit("P")) & (F.size(F.split(text, "T")) <= 2)
+    rest = {"D": body, "H": time, "M": None, "S": None}
+    after = None
+    for unit, worth in (("D", 1440), ("H", 60), ("M", 1), ("S", 0)):
+        part = rest[unit] if rest[unit] is not None else after
+        has = F.contains(part, F.lit(unit))
+        number = F.when(has, F.substring_index(part, unit, 1)).otherwise("0")
+        after = F.when(has, F.substring(part, F.length(F.substring_index(part, unit, 1)) + 2, F.lit(1 << 30))).otherwise(part)
+        if unit == "S":  # seconds may have a fraction
+            whole, fraction = F.substring_index(number, ".", 1), F.when(F.contains(number, F.lit(".")), F.substring(number, F.length(F.substring_index(number, ".", 1)) + 2, F.lit(1 << 30))).otherwise("0")
+            valid = valid & _digits_only(whole) & _digits_only(fraction) & (after == "")
+        else:
+            valid = valid & _digits_only(number)
+            minutes = minutes + F.coalesce(number.try_cast("long"), F.lit(0)) * worth
+            if unit == "D":
+                valid = valid & (after == "")
+    return F.when(valid & (minutes > 0), minutes)
 
 
 #: Currencies without and with three decimals; all others have two.
@@ -76,7 +101,10 @@ def decimals(currency: Column) -> Column:
 def minor_units(amount: Column, currency: Column) -> Column:
     """An amount in text as whole minor units; null if it is no plain amount or finer than its currency."""
     places = decimals(currency)
-    value = F.when(amount.rlike(r"^(0|[1-9][0-9]*)(\.[0-9]+)?$"), amount.try_cast("decimal(30,9)"))
+    whole = F.substring_index(amount, ".", 1)
+    fraction = F.when(F.contains(amount, F.lit(".")), F.substring(amount, F.length(whole) + 2, F.lit(1 << 30))).otherwise("0")
+    plain = _digits_only(whole) & _digits_only(fraction) & ((F.length(whole) == 1) | ~F.startswith(whole, F.lit("0")))
+    value = F.when(plain, amount.try_cast("decimal(30,9)"))
     scaled = value * F.when(places == 0, 1).when(places == 2, 100).when(places == 3, 1000)
     return F.when((scaled == F.floor(scaled)) & (scaled <= 9007199254740991), scaled.cast("long"))
 

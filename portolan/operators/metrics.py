@@ -1,7 +1,7 @@
 """Metrics of scored cases for any number of slices at once.
 
 Everything works on one row for each slice and distinct score, so ties are settled before any order matters and
-the rows that a window sees are at most the distinct scores.
+running sums are taken within buckets of scores, with the sums of the other buckets added.
 """
 
 from __future__ import annotations
@@ -17,17 +17,37 @@ def by_score(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     return df.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
 
 
+def cumulated(cells: DataFrame, by: list[str], score: str, buckets: int = 4096) -> DataFrame:
+    """cells (by..., score, n, pos) with below_n and below_pos (lower scores), above_n and above_pos (this and higher ones).
+
+    Probabilities are cut into buckets; a window holds the scores of one bucket, or one row for each bucket. Other
+    scores fall into the outer buckets.
+    """
+    cells = cells.withColumn("bucket_", F.greatest(F.least(F.floor(F.col(score) * buckets), F.lit(buckets)), F.lit(-1)))
+    per = cells.groupBy(*by, "bucket_").agg(F.sum("n").alias("n_"), F.sum("pos").alias("pos_"))
+    order = Window.partitionBy(*by).orderBy("bucket_")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    sums = [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{side}_{c}") for side, w in (("before", before), ("after", after)) for c in ("n_", "pos_")]
+    carried = per.select(*[F.col(c).alias(f"{c}_") for c in by], F.col("bucket_").alias("bucket__"), *sums)
+    same = F.col("bucket_") == F.col("bucket__")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    within = Window.partitionBy(*by, "bucket_").orderBy(score)
+    low, high = within.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(0, Window.unboundedFollowing)
+    own = {f"{side}{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for side, w in (("low_", low), ("high_", high)) for c in ("n", "pos")}
+    joined = cells.withColumns(own).join(carried, same)
+    totals = {"below_n": F.col("low_n") + F.col("before_n_"), "below_pos": F.col("low_pos") + F.col("before_pos_"), "above_n": F.col("high_n") + F.col("after_n_"), "above_pos": F.col("high_pos") + F.col("after_pos_")}
+    return joined.select(*cells.drop("bucket_").columns, *[v.alias(k) for k, v in totals.items()])
+
+
 def ranking(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """by..., n, pos, prevalence, auc, ap, brier, log_loss. auc, ap and log_loss are null where a class is missing."""
-    cells = by_score(df, by, score, label)
-    up = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    cells = cumulated(by_score(df, by, score, label), by, score)
     p = F.greatest(F.least(F.col(score), F.lit(1.0 - EPSILON)), F.lit(EPSILON))
     neg = F.col("n") - F.col("pos")
-    cells = cells.withColumn("neg_below", F.coalesce(F.sum(neg).over(up), F.lit(0))).withColumn("n_above", F.sum("n").over(down)).withColumn("pos_above", F.sum("pos").over(down))
     sums = cells.groupBy(*by).agg(
         F.sum("n").alias("n"), F.sum("pos").alias("pos"),
-        F.sum(F.col("pos") * (F.col("neg_below") + neg / 2)).alias("pairs"), F.sum(F.col("pos") * F.col("pos_above") / F.col("n_above")).alias("precisions"),
+        F.sum(F.col("pos") * (F.col("below_n") - F.col("below_pos") + neg / 2)).alias("pairs"), F.sum(F.col("pos") * F.col("above_pos") / F.col("above_n")).alias("precisions"),
         F.sum(F.col("pos") * (F.col(score) - 1) ** 2 + neg * F.col(score) ** 2).alias("squares"), F.sum(-F.col("pos") * F.log(p) - neg * F.log(1 - p)).alias("logs"),
     )
     both = (F.col("pos") > 0) & (F.col("pos") < F.col("n"))
@@ -51,11 +71,12 @@ def calibration(df: DataFrame, by: list[str], score: str, label: str, bins: int
 
 def thresholds(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """by..., threshold, tp, fp, fn, tn, precision, recall, f1, accuracy for each distinct score as a threshold (score >= threshold)."""
-    cells = by_score(df, by, score, label)
-    down = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    cells = cumulated(by_score(df, by, score, label), by, score).withColumnsRenamed({"above_n": "at_least", "above_pos": "tp"})
     totals = cells.groupBy(*by).agg(F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos"))
-    cells = cells.withColumn("at_least", F.sum("n").over(down)).withColumn("tp", F.sum("pos").over(down))
-    cells = cells.join(F.broadcast(totals), by) if by else cells.join(F.broadcast(totals))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    cells = cells.join(totals.withColumnsRenamed({c: f"of_{c}" for c in by}), same)  # one row a slice
     fp, fn = F.col("at_least") - F.col("tp"), F.col("all_pos") - F.col("tp")
     tn = F.col("all_n") - F.col("all_pos") - fp
     return cells.select(

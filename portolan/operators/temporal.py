@@ -30,12 +30,24 @@ def as_of(queries: DataFrame, observations: DataFrame, key: str, at: str, values
     return found.select("row_.*", *columns)
 
 
-def known_before(queries: DataFrame, events: DataFrame, by: list[str], at: str, measures: list[str], span: int) -> DataFrame:
+def fitting_span(events: DataFrame, by: list[str], at: str, span: int, most: int) -> int:
+    """span, halved until no group has more than `most` events in one span, or a span is an instant. Few rows reach the driver."""
+    while span > 1:
+        busiest = events.groupBy(*by, F.floor(F.col(at) / span)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if busiest <= most:
+            break
+        span = max(1, span // max(2, -(-busiest // most)))
+    return span
+
+
+def known_before(queries: DataFrame, events: DataFrame, by: list[str], at: str, measures: list[str], span: int, most: int = 2_000_000) -> DataFrame:
     """queries with the sum of each measure over the events of the same group strictly before `at`.
 
     Ties see neither each other nor what happens at that instant. Events are first summed for each group, instant; then
-    running sums stay within a span, and the sums of earlier spans are added: one row for each group and span.
+    running sums stay within a span, and the sums of earlier spans are added: one row for each group and span. Spans are
+    at most `span` long and hold at most about `most` events of a group.
     """
+    span = fitting_span(events, by, at, span, most)
     bucket = F.floor(F.col(at) / span).cast("long")
     summed = events.groupBy(*by, at).agg(*[F.sum(m).alias(m) for m in measures]).withColumn("span_", bucket)
     by_span = summed.groupBy(*by, "span_").agg(*[F.sum(m).alias(m) for m in measures])

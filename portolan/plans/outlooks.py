@@ -34,7 +34,7 @@ def historical_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outlook(legs(spark, sf_dir))
 
 
-@query(f"""WITH {LEGS}, {_EVIDENCE}, j AS (SELECT record_id, unnest([{{'a': origin, 'b': destination}}, {{'a': destination, 'b': (destination + 3) % 12}}]) AS l FROM legs WHERE record_id % 10 = 0),
+@query(f"""WITH {LEGS}, {_EVIDENCE}, j AS (SELECT record_id, unnest([{{'a': origin, 'b': destination}}, {{'a': destination, 'b': (destination + 3) % 12}}]) AS l FROM legs),
 x AS (SELECT j.record_id, o.* FROM j LEFT JOIN o ON o.origin = j.l.a AND o.destination = j.l.b)
 SELECT record_id, CASE WHEN bool_and(coalesce(known >= 5 AND laplace IS NOT NULL, false)) THEN floor((1 - product(1 - laplace / 100)) * 100 + 0.5)::BIGINT END AS percent,
 CASE WHEN bool_and(coalesce(known >= 5 AND laplace IS NOT NULL, false)) THEN ['limited', 'moderate', 'strong'][min(CASE confidence WHEN 'limited' THEN 1 WHEN 'moderate' THEN 2 ELSE 3 END)::INTEGER] END AS confidence FROM x GROUP BY record_id""")
@@ -42,7 +42,7 @@ def journey_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chance that any leg of a journey is late; nothing if evidence on one leg is insufficient; the weakest confidence."""
     rows = legs(spark, sf_dir)
     both = F.array(F.struct(F.col("origin").alias("a"), F.col("destination").alias("b")), F.struct(F.col("destination").alias("a"), ((F.col("destination") + 3) % 12).alias("b")))
-    asked = rows.filter("record_id % 10 = 0").select("record_id", F.explode(both).alias("l"))
+    asked = rows.select("record_id", F.explode(both).alias("l"))
     found = asked.join(_outlook(rows), (F.col("l.a") == F.col("origin")) & (F.col("l.b") == F.col("destination")), "left")
     enough = F.bool_and(F.coalesce((F.col("known") >= 5) & F.col("laplace").isNotNull(), F.lit(False)))
     level = F.when(F.col("confidence") == "limited", 1).when(F.col("confidence") == "moderate", 2).otherwise(3)
@@ -117,12 +117,12 @@ def booking_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("o_custkey", "f.option", "f.link", "l_suppkey")
 
 
-@query("""WITH f AS (SELECT event_id, [abs(sin(event_id)), -abs(cos(event_id)), abs(sin(event_id * 2)), -abs(cos(event_id * 3)), value / 100] AS d FROM events WHERE event_id % 5 = 0), u AS (SELECT event_id, unnest(['month', 'hour', 'carrier', 'route', 'distance']) AS factor, unnest(d) AS delta FROM f)
+@query("""WITH f AS (SELECT event_id, [abs(sin(event_id)), -abs(cos(event_id)), abs(sin(event_id * 2)), -abs(cos(event_id * 3)), value / 100] AS d FROM events), u AS (SELECT event_id, unnest(['month', 'hour', 'carrier', 'route', 'distance']) AS factor, unnest(d) AS delta FROM f)
 SELECT event_id, factor, delta, row_number() OVER (PARTITION BY event_id ORDER BY round(abs(delta), 12) DESC, factor)::INTEGER AS rank FROM u QUALIFY rank <= 3""")
 def factor_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three factors of each case that move it most, within the row."""
     k = F.col("event_id")
     deltas = {"month": F.abs(F.sin(k)), "hour": -F.abs(F.cos(k)), "carrier": F.abs(F.sin(k * 2)), "route": -F.abs(F.cos(k * 3)), "distance": F.col("value") / 100}
     items = F.array(*[F.struct((-F.round(F.abs(d), 12)).alias("o"), F.lit(n).alias("factor"), d.alias("delta")) for n, d in deltas.items()])
-    top = table(spark, sf_dir, "events").filter("event_id % 5 = 0").select("event_id", F.posexplode(F.slice(F.array_sort(items), 1, 3)).alias("i", "f"))
+    top = table(spark, sf_dir, "events").select("event_id", F.posexplode(F.slice(F.array_sort(items), 1, 3)).alias("i", "f"))
     return top.select("event_id", "f.factor", "f.delta", (F.col("i") + 1).alias("rank"))

@@ -23,8 +23,13 @@ def query(sql: str | None = None):
     return register
 
 
+def sql_of(f: Query) -> str:
+    """The SQL of a registered query, for another one that goes on from its rows."""
+    return _SQL[f.__name__]
+
+
 def _load() -> None:
-    from portolan.plans import features, matching, measures, outlooks, rates, states, temporal, texts  # noqa: F401
+    from portolan.plans import audits, features, matching, measures, outlooks, rates, states, temporal, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -1,7 +1,10 @@
 """Expressions on cases that the tables lack: nulls, ties, edges, known values."""
 
 import datetime
+import decimal
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +92,33 @@ def test_points_on_borders(spark):
 def test_distance_of_antipodes_and_of_nothing(spark):
     (row,) = column(spark, [(0.0, 0.0, 0.0, 180.0)], "a double, b double, c double, d double", geo.great_circle(*map(F.col, "abcd")), geo.great_circle(F.col("a"), F.col("b"), F.col("a"), F.col("b")))
     assert math.isclose(row[0], math.pi * geo.RADIUS_KM) and row[1] == 0
+
+
+def test_keys_of_other_scripts_and_forms(spark):
+    import unicodedata
+
+    words = ["Straße ﬁn №5", "ＦＵＬＬ width", "Ａ１", "ǅungla", "İstanbul", "x²", "Ωmega Ñ", "한국", "été", None]
+    got = column(spark, [(w,) for w in words], "x string", text.header_key(F.col("x")), text.category(F.col("x")))
+    for w, (key, category) in zip(words, got):
+        if w is None:
+            assert key is None and category == "__MISSING__"
+            continue
+        plain = "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)).casefold()
+        assert key == re.sub("[^a-z0-9]+", "_", plain).strip("_")
+        assert category == " ".join(unicodedata.normalize("NFKC", w).upper().split())
+
+
+def test_durations_and_amounts_against_their_formats(spark):
+    rng = random.Random(4)
+    texts = ["P", "PT", "P1D", "PT1H", "P1DT2H3M4S", "PT1.5S", "PT.5S", "PT5.S", "P1H", "PT1D", "T1H", "P1DT", "PT1M2H", "PT1HT1M", " PT1H", "P-1D", "P1D1D", "", None]
+    texts += ["".join(rng.choice("PDTHMS0123.") for _ in range(rng.randrange(1, 8))) for _ in range(600)] + ["P" + "".join(f"{rng.randrange(99)}{u}" for u in "DTHMS" if rng.random() < 0.6) for _ in range(300)]
+    shape = re.compile(r"P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:\d+(?:\.\d+)?S)?)?")
+    for t, (got,) in zip(texts, column(spark, [(t,) for t in texts], "x string", text.duration_minutes(F.col("x")))):
+        m = shape.fullmatch(t or "")
+        want = sum(int(v or 0) * w for v, w in zip(m.groups(), (1440, 60, 1))) if m else 0
+        assert got == (want or None), t
+    amounts = ["0", "00", "01", "1.", ".5", "1.50", "-1", "+1", "1e3", "12", "0.05", "1.2.3", "", None] + ["".join(rng.choice("0123.") for _ in range(rng.randrange(1, 7))) for _ in range(400)]
+    for a, (got,) in zip(amounts, column(spark, [(a,) for a in amounts], "x string", text.minor_units(F.col("x"), F.lit("USD")))):
+        m = re.fullmatch(r"(?:0|[1-9]\d*)(?:\.\d+)?", a or "")
+        value = decimal.Decimal(a) * 100 if m else None
+        assert got == (int(value) if m and value == int(value) else None), a

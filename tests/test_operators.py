@@ -125,3 +125,43 @@ def test_streams_equal_batches(spark, tmp_path):
     start, step = states.quota_step(window, 2)
     folded = states.fold(spark.read.parquet(str(tmp_path / "in")), "user_id", ["t", "event_id"], start, step, "allowed boolean, opened long, wait long")
     assert {(r.event_id, r.allowed) for r in spark.table("quota").collect()} == {(r.event_id, r.allowed) for r in folded.collect()}
+
+
+def test_cumulated_counts_in_buckets(spark):
+    import random
+
+    from portolan.operators.metrics import best_f1, cumulated, ranking
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([rng.random(), 0.0, 1.0, 0.5, -3.0, 7.0]), rng.randrange(2)) for _ in range(400)]
+    table = spark.createDataFrame(rows, "k string, score double, y int")
+    cells = table.groupBy("k", "score").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    for r in cumulated(cells, ["k"], "score", 8).collect():
+        own = [x for x in rows if x[0] == r.k]
+        low, high = [x for x in own if x[1] < r.score], [x for x in own if x[1] >= r.score]
+        assert (r.below_n, r.below_pos, r.above_n, r.above_pos) == (len(low), sum(x[2] for x in low), len(high), sum(x[2] for x in high))
+    assert ranking(table, [], "score", "y").count() == 1 and best_f1(table, ["k"], "score", "y").count() == 3
+
+
+def test_spans_follow_the_density(spark):
+    from portolan.operators.temporal import fitting_span, known_before
+
+    events = spark.range(1000).selectExpr("'a' as k", "id % 500 as t", "1 as n")
+    assert fitting_span(events, ["k"], "t", 1000, 2000) == 1000 and fitting_span(events, ["k"], "t", 1000, 50) <= 25
+    asked = spark.createDataFrame([(i, "a", i) for i in range(0, 600, 37)], "q int, k string, t long")
+    want = {(i, 2 * min(i, 500)) for i in range(0, 600, 37)}
+    for most in (1, 50, 10_000):
+        assert {(r.q, r.n) for r in known_before(asked, events, ["k"], "t", ["n"], 1000, most).collect()} == want
+
+
+def test_boosted_trees_beat_a_constant(spark):
+    from portolan.operators import models
+
+    rows = spark.range(3000).selectExpr("cast(id % 97 as double) as a", "cast(id % 13 as double) as b", "cast(pmod(hash(id), 100) < (id % 97) as double) as y", "id % 5 = 0 as check", "id % 3 as part")
+    model = models.fit_trees(rows.filter("part < 2"), ["a", "b"], "y", "check", rounds=8, depth=3)
+    scored = models.margins(model, rows.filter("part = 2"), ["a", "b"])
+    slope, intercept = models.fit_platt(scored, "raw_score", "y")
+    assert slope > 0
+    p = 1 / (1 + F.exp(-(F.col("raw_score") * slope + intercept)))
+    brier, constant = scored.select(F.avg((p - F.col("y")) ** 2), F.var_pop("y")).first()
+    assert brier < 0.9 * constant
