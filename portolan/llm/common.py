@@ -86,6 +86,24 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))
 
 
+def freeing(run):
+    """run, and then what it has freed goes back to the system: Python workers outlive their tasks and stages."""
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # other C libraries have no such call
+            pass
+
+    return wrapped
+
+
 def text_slices(table: pa.RecordBatch | pa.Table, column: str, most: int = 8 << 20):
     """Row ranges (start, stop) of at most about `most` bytes of text, one row at least."""
     lengths = pc.fill_null(pc.binary_length(table.column(column)), 0).to_numpy(zero_copy_only=False)

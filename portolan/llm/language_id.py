@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from portolan.llm.common import fold, hash_limit, text_slices
+from portolan.llm.common import fold, freeing, hash_limit, text_slices
 
 UNDETERMINED = "und"
 #: Fixed odd multipliers for n-grams of 1, 2, ... bytes.
@@ -111,7 +111,7 @@ def learn(docs: DataFrame, per_language: int, landmarks: int, ridge: float, gram
                 sets = [x.astype(np.uint32 if bits > 16 else np.uint16).tobytes() for x in presences(batch.column("text").slice(a, b - a), grams, bits)]
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), pa.array(sets, pa.binary())], names=["lang", "found"])
 
-    rows = sample(docs, per_language, id_col, text_col, lang_col, parts, held_out).select("text", "lang").mapInArrow(found, "lang string, found binary").collect()
+    rows = sample(docs, per_language, id_col, text_col, lang_col, parts, held_out).select("text", "lang").mapInArrow(freeing(found), "lang string, found binary").collect()
     return fit([(r.lang, np.frombuffer(r.found, np.uint32 if bits > 16 else np.uint16)) for r in rows], landmarks, ridge, bits)
 
 
@@ -152,7 +152,7 @@ def identify(docs: DataFrame, per_language: int = 400, landmarks: int = 128, rid
 
     kind = docs.schema[id_col].dataType.simpleString()
     held = F.coalesce(fold(F.col(id_col), parts) == held_out, F.lit(False)).alias("held_out")
-    return docs.select(F.col(id_col), F.col(text_col), held).mapInArrow(predict, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col(id_col), F.col(text_col), held).mapInArrow(freeing(predict), f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, per_language: int = 400, landmarks: int = 128, ridge: float = 0.1, grams: tuple[int, ...] = (1, 2, 3), bits: int = 15, parts: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -173,4 +173,4 @@ def keep_identified(docs: DataFrame, per_language: int = 400, landmarks: int = 1
                 pred, _ = predicted(model, part.column(text_col), grams, bits)
                 yield part.filter(pa.array(pred != UNDETERMINED))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(freeing(keep), docs.schema)

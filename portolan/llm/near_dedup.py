@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from portolan.llm.common import flat_words, materialize, text_slices
+from portolan.llm.common import flat_words, freeing, materialize, text_slices
 
 _draw = random.Random(7)
 #: Odd multipliers, one for each coordinate that may be asked for.
@@ -92,7 +92,7 @@ def sketches(docs: DataFrame, shingle: int, coordinates: int, id_col: str, text_
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n_shingles", "set_key", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, sig array<int>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(freeing(run), f"doc_id {kind}, n_shingles long, set_key binary, sig array<int>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, broadcast_rows: int, id_col: str, text_col: str) -> DataFrame:
@@ -118,7 +118,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, broadcast_rows:
                 items = pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), items)], names=["node", "items"])
 
-    return texts.select("node", "set_key", "text_").mapInArrow(run, "node long, items array<bigint>")
+    return texts.select("node", "set_key", "text_").mapInArrow(freeing(run), "node long, items array<bigint>")
 
 
 def agreeing(a: Column, b: Column) -> Column:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from portolan.llm.common import freeing
+
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 SPECIAL = "<|endoftext|>"
 
@@ -35,11 +37,13 @@ def byte_bpe_encoder(json_path: str, ranks_path: str, long_run: int = 2000):
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    library = Tokenizer.from_file(json_path)
+    library = []  # loaded for the first text that needs it
 
     def encode(text: str) -> np.ndarray:
         if SPECIAL in text or len(text) > long_run and max(map(len, text.split()), default=len(text)) > long_run:
-            return np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            if not library:
+                library.append(Tokenizer.from_file(json_path))
+            return np.array(library[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.array(fast.encode_ordinary(text), dtype="<u4")
 
     return encode
@@ -159,4 +163,4 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, tiers: tuple[int, ...
         if held:
             yield emit()
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(freeing(run), f"`{id_col}` {kind}, {SCHEMA}")
