@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import unicodedata
 import zipfile
 from collections.abc import Iterator
 
@@ -11,12 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from portolan.functions.text import MARKED, PLAIN
-
 
 def plain_key(name: str) -> str:
     """A heading as lower-case letters and digits joined by underscores, marks dropped."""
-    folded = name.lstrip("﻿").translate(str.maketrans(MARKED, PLAIN)).lower()
+    parts = unicodedata.normalize("NFKD", name.lstrip("﻿").replace("ß", "ss").replace("ẞ", "ss"))
+    folded = "".join(c for c in parts if not unicodedata.category(c).startswith("M")).lower()
     return "_".join("".join(c if c.isascii() and c.isalnum() else " " for c in folded).split())
 
 
