@@ -37,8 +37,8 @@ def destination(lat: Column, lon: Column, degrees: Column, km: Column, radius: f
     return F.degrees(lat2), F.pmod(F.degrees(lon2) + 540, F.lit(360.0)) - 180
 
 
-def inside(xs: np.ndarray, ys: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """Which points lie in a closed ring of (x, y) corners, its edge included."""
+def inside(xs: np.ndarray, ys: np.ndarray, ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which points lie in a closed ring of (x, y) corners, and which on its edge."""
     found, edge = np.zeros(len(xs), bool), np.zeros(len(xs), bool)
     for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, axis=0)):
         cross = (x2 - x1) * (ys - y1) - (y2 - y1) * (xs - x1)
@@ -47,22 +47,36 @@ def inside(xs: np.ndarray, ys: np.ndarray, ring: np.ndarray) -> np.ndarray:
         if y1 != y2:
             crosses = (y1 > ys) != (y2 > ys)
             found ^= crosses & (xs < (x2 - x1) * (ys - y1) / (y2 - y1) + x1)
+    return found, edge
+
+
+def within(xs: np.ndarray, ys: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
+    """Which points lie in an odd number of rings: in a zone of several polygons with holes, whose edges belong to it."""
+    found, edge = np.zeros(len(xs), bool), np.zeros(len(xs), bool)
+    for ring in rings:
+        low, high = ring.min(axis=0), ring.max(axis=0)
+        near = np.flatnonzero((xs >= low[0]) & (xs <= high[0]) & (ys >= low[1]) & (ys <= high[1]))
+        if len(near):
+            held, on = inside(xs[near], ys[near], ring)
+            found[near] ^= held
+            edge[near] |= on
     return found | edge
 
 
-def locate(points: DataFrame, polygons: list[tuple[str, list[tuple[float, float]]]], lat: str, lon: str, guard_km: float = 1.0, bearings: int = 8) -> DataFrame:
+def locate(points: DataFrame, polygons: list[tuple[str, list]], lat: str, lon: str, guard_km: float = 1.0, bearings: int = 8) -> DataFrame:
     """points with zone and disposition: the one polygon that holds the point and all points around it.
 
     `resolved` if the point and its ring of guards lie in one and the same polygon, else `near_border`, `overlap` or
-    `outside`. polygons is a small list of (name, [(lat, lon), ...]), by its nature bounded; it is read in each task.
+    `outside`. polygons is a small list of (name, [(lat, lon), ...]), by its nature bounded; it is read in each task. In place
+    of one ring a zone may have a list of rings, those of holes among them.
     """
-    rings = [(name, np.array([(b, a) for a, b in corners], float)) for name, corners in polygons]
+    rings = [(name, [np.array([(b, a) for a, b in ring], float) for ring in (shape if isinstance(shape[0], list) else [shape])]) for name, shape in polygons]
 
     def one(lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
         """Bit i: in polygon i, for Python's unbounded integers."""
         out = np.zeros(len(lats), object)
-        for i, (_, ring) in enumerate(rings):
-            out += inside(lons, lats, ring).astype(object) * (1 << i)
+        for i, (_, parts) in enumerate(rings):
+            out += within(lons, lats, parts).astype(object) * (1 << i)
         return out
 
     def run(batches):

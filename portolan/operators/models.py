@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -48,3 +50,46 @@ def tree_value(node: dict, depth: int = 0) -> Column:
 
 def ensemble(trees: list[dict], start: float = 0.0) -> Column:
     return sum((tree_value(t) for t in trees), F.lit(start))
+
+
+def tree_fault(node: object, features: set[str]) -> str | None:
+    """What keeps a tree from being scored."""
+    if not isinstance(node, dict):
+        return "node"
+    if "leaf" in node:
+        return None if isinstance(node["leaf"], (int, float)) and math.isfinite(node["leaf"]) else "leaf"
+    if node.get("feature") not in features:
+        return "feature"
+    if node.get("op") not in COMPARE or node.get("missing") not in ("yes", "no"):
+        return "branch"
+    if not isinstance(node.get("threshold"), (int, float)) or not math.isfinite(node["threshold"]):
+        return "threshold"
+    return tree_fault(node.get("yes"), features) or tree_fault(node.get("no"), features)
+
+
+def model_faults(model: dict) -> list[str]:
+    """All faults of a stored model: features, and heads of name, trees, start, slope and intercept. None means that it may be scored."""
+    features, heads = model.get("features") or [], model.get("heads") or []
+    faults = ["features"] if not features or len(set(features)) < len(features) else []
+    faults += ["heads"] if not heads or len({h.get("name") for h in heads}) < len(heads) else []
+    for head in heads:
+        numbers = [head.get(k) for k in ("start", "slope", "intercept")]
+        if not all(isinstance(x, (int, float)) and math.isfinite(x) for x in numbers) or head["slope"] <= 0:
+            faults.append(f"{head.get('name')}: calibration")
+        found = {f for f in (tree_fault(t, set(features)) for t in head.get("trees") or [None]) if f}
+        faults += [f"{head.get('name')}: {f}" for f in sorted(found)]
+    return faults
+
+
+def score_heads(df: DataFrame, model: dict) -> DataFrame:
+    """df with the calibrated probability of each head under its name; ValueError if the model is faulty."""
+    if faults := model_faults(model):
+        raise ValueError(f"the model is faulty: {faults}")
+    raw = {h["name"]: ensemble(h["trees"], h["start"]) * F.lit(float(h["slope"])) + F.lit(float(h["intercept"])) for h in model["heads"]}
+    return df.withColumns({name: F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) for name, z in raw.items()})
+
+
+def disparities(df: DataFrame, ours: str, theirs: str, most: float = 1e-9) -> DataFrame:
+    """Rows whose two scores differ by more than `most`, and rows where either is null or NaN; a parity gate is assert_empty of these."""
+    gap = F.abs(F.col(ours) - F.col(theirs))
+    return df.filter(F.coalesce(F.isnan(gap) | (gap > most), F.lit(True)))

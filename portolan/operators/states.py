@@ -80,3 +80,11 @@ def expire(rows: DataFrame, key: str, expires: str, now: Column, most: int, kept
         old = old.join(kept.select(key), key, "left_anti")
     gone = old.orderBy(expires, key).limit(max(1, min(500, most))).select(key)
     return rows.join(F.broadcast(gone), key, "left_anti")  # 500 keys at most
+
+
+def rebuild_table(rows: DataFrame, name: str) -> None:
+    """A table written anew from rows, which may read the old one, and then put in its place."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").saveAsTable(f"{name}_next")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {name}_next RENAME TO {name}")

@@ -165,3 +165,23 @@ def test_boosted_trees_beat_a_constant(spark):
     p = 1 / (1 + F.exp(-(F.col("raw_score") * slope + intercept)))
     brier, constant = scored.select(F.avg((p - F.col("y")) ** 2), F.var_pop("y")).first()
     assert brier < 0.9 * constant
+
+
+def test_stored_models_are_checked_before_they_score(spark):
+    tree = {"feature": "a", "op": "<", "threshold": 1.0, "missing": "no", "yes": {"leaf": -1.0}, "no": {"leaf": 1.0}}
+    model = {"features": ["a"], "heads": [{"name": "late", "trees": [tree], "start": 0.0, "slope": 2.0, "intercept": 0.5}]}
+    rows = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, None)], "id int, a double")
+    scored = models.score_heads(rows, model).withColumn("other", F.col("late") + F.when(F.col("id") == 2, 1e-3).when(F.col("id") == 3, F.lit(None)).otherwise(0.0))
+    assert [round(r.late, 6) for r in scored.orderBy("id").collect()] == [0.182426, 0.924142, 0.924142]
+    assert sorted(r.id for r in models.disparities(scored, "late", "other").collect()) == [2, 3]
+    bad = {"features": ["a", "a"], "heads": [{"name": "late", "trees": [tree | {"feature": "z"}, {"leaf": float("nan")}, tree | {"op": "!="}, tree | {"no": None}], "start": 0.0, "slope": 0.0, "intercept": 0.0}]}
+    assert models.model_faults(bad) == ["features", "late: calibration", "late: branch", "late: feature", "late: leaf", "late: node"]
+    with pytest.raises(ValueError, match="faulty"):
+        models.score_heads(rows, {"features": ["a"]})
+
+
+def test_a_table_is_rebuilt_from_itself(spark):
+    spark.createDataFrame([(1, "x"), (2, None)], "id int, v string").write.mode("overwrite").saveAsTable("rebuilt")
+    states.rebuild_table(spark.table("rebuilt").filter("v is not null").withColumn("added", F.lit(0)), "rebuilt")
+    assert [tuple(r) for r in spark.table("rebuilt").collect()] == [(1, "x", 0)]
+    spark.sql("DROP TABLE rebuilt")

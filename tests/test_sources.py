@@ -1,13 +1,15 @@
 """Readers and their checks on small files."""
 
 import hashlib
+import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from portolan.functions import geo
 from portolan.operators import validation
-from portolan.sources import files
+from portolan.sources import files, registers
 from portolan.sources.html import first_tables
 
 
@@ -72,3 +74,60 @@ def test_tables_in_pages(spark):
     pages = spark.createDataFrame([(1, page), (2, None), (3, "no table")], "id int, html string")
     assert [tuple(r) for r in first_tables(pages, "id", "html", "b").collect()] == [(1, 0, 0, "H & M"), (1, 0, 1, "two words"), (1, 1, 0, "1in")]
     assert [r.text for r in first_tables(pages, "id", "html").collect()] == ["no"]
+
+
+def test_yearly_archives(spark, tmp_path):
+    def pack(name, year, change=lambda members: members):
+        members = change({d.strftime("%Y/%Y-%m-%d.csv"): f"\ufeffa,b\r\n{d.month},{d.day}\r\n" for d in registers.days_of(year)})
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(f"{year}/", "")
+            for member, text in members.items():
+                z.writestr(member, text)
+
+    pack("plan_2024.zip", 2024)
+    pack("short_2023.zip", 2023, lambda m: {k: v for k, v in m.items() if not k.endswith("-31.csv")})
+    pack("blank_2022.zip", 2022, lambda m: m | {"2022/2022-05-01.csv": ""})
+    pack("bytes_2021.zip", 2021, lambda m: m | {"2021/2021-05-01.csv": b"\xff\xfe"})
+    pack("other.zip", 2020)
+    (tmp_path / "torn_2019.zip").write_bytes(b"nothing")
+    members = registers.read_daily_members(spark, f"{tmp_path}/*.zip").cache()
+    assert {r.archive: r.fault for r in members.filter("fault is not null").collect()} == {"short_2023.zip": "calendar", "blank_2022.zip": "empty", "bytes_2021.zip": "encoding", "other.zip": "year", "torn_2019.zip": "broken"}
+    lines = registers.daily_lines(members)
+    assert [tuple(r) for r in lines.groupBy("archive", "line").count().orderBy("line").collect()] == [("plan_2024.zip", 0, 366), ("plan_2024.zip", 1, 366)]
+    assert lines.filter("line = 1 and value = concat_ws(',', month(day), day(day))").count() == 366
+    assert lines.filter("line = 0 and value = 'a,b'").count() == 366
+
+
+def test_boundaries_with_holes(spark, tmp_path):
+    square = lambda a, b: [[a, a], [b, a], [b, b], [a, b], [a, a]]
+    feature = lambda zone, kind, coordinates: {"type": "Feature", "properties": {"tzid": zone}, "geometry": {"type": kind, "coordinates": coordinates}}
+
+    def pack(name, document):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("all.json", document if isinstance(document, str) else json.dumps(document))
+
+    pack("good.zip", {"type": "FeatureCollection", "features": [feature("ring", "Polygon", [square(0, 10), square(4, 6)]), feature("two", "MultiPolygon", [[square(20, 22)], [square(30, 32)]])]})
+    pack("bad.zip", {"type": "FeatureCollection", "features": [feature("open", "Polygon", [square(0, 1)[:4]]), feature("", "Polygon", [square(0, 1)]), feature("dot", "Point", [0, 0]), feature("far", "Polygon", [square(0, 300)]), feature("text", "Polygon", [["x"]]), None]})
+    pack("none.zip", "{}")
+    pack("torn.zip", "{")
+    found = registers.read_boundaries(spark, f"{tmp_path}/*.zip").cache()
+    assert [r.fault for r in found.filter("archive = 'bad.zip'").orderBy("position").collect()] == ["ring", "name", "type", "coordinates", "coordinates", "feature"]
+    assert {r.archive: r.fault for r in found.filter("position is null").collect()} == {"none.zip": "collection", "torn.zip": "broken"}
+    good = found.filter("archive = 'good.zip'")
+    points = spark.createDataFrame([(1, 2.0, 2.0), (2, 5.0, 5.0), (3, 21.0, 21.0), (4, 31.0, 31.0), (5, 26.0, 26.0)], "id int, lat double, lon double")
+    assert {r.id: (r.zone, r.disposition) for r in geo.locate(points, registers.zone_rings(good), "lat", "lon").collect()} == {1: ("ring", "resolved"), 2: (None, "outside"), 3: ("two", "resolved"), 4: ("two", "resolved"), 5: (None, "outside")}
+    for table, what in ((found, "faulty"), (good.union(good), "twice")):
+        with pytest.raises(ValueError, match=what):
+            registers.zone_rings(table)
+    with pytest.raises(ValueError, match="corners"):
+        registers.zone_rings(good, most_corners=3)
+
+
+def test_registers_of_places(spark):
+    rows = [("eddf", "fra", " Frankfurt  Main", "de", "50.03", "8.57"), ("EDDF", "FRA ", "Frankfurt Main", "DE", "50.03", "8.57"), (None, "JFK", "Kennedy", "US", "40.6", "-73.8"), ("", " ", "x", "US", "1", "1"), ("ABCDE", None, "x", "US", "1", "1"), ("ABCD", None, "", "US", "1", "1"), ("ABCD", None, "x", "US", "91", "1"), (None,) * 6]
+    checked = registers.places(spark.createDataFrame(rows, "icao string, iata string, name string, country string, lat string, lon string"))
+    assert {(r.icao, r.iata, r.n_rows) for r in registers.place_index(checked).collect()} == {("EDDF", "FRA", 2), (None, "JFK", 1)}
+    assert {r.reason: r.n for r in validation.accounting(checked).collect()} == {"accepted": 2, "no_code": 2, "icao": 1, "name": 1, "coordinates": 1}
+    other = registers.places(spark.createDataFrame([*rows, ("EDDF", None, "Elsewhere", "DE", "1", "1")], "icao string, iata string, name string, country string, lat string, lon string"))
+    with pytest.raises(ValueError, match="icao"):
+        registers.place_index(other)
