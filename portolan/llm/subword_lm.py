@@ -265,20 +265,22 @@ def learned(words: DataFrame, model_path: str, rounds: int, prior: float, ends:
     return logs
 
 
-def score_documents(docs: DataFrame, model_path: str, rounds: int = 2, prior: float = 1000.0, novelty: float = 0.25, chunk_bytes: int = 16 << 20, parts: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, model_path: str, rounds: int = 2, prior: float = 1000.0, novelty: float = 0.25, chunk_bytes: int = 16 << 20, most_tasks: int = 20_000, parts: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score (all log10) for each row of docs.
 
     Learns from the rows whose crc32(id) mod parts is not held_out. Words are runs without ASCII white space, A-Z
     lower-cased; each text ends with one more token. base_score adds one to each count; score is the mixture, lattice_score
     the subword lattice alone. Null, empty and blank texts are just the end. Repeated rows count as often as they come;
     a null id counts as not held out. With nothing to learn from, the prior alone scores. Other columns are ignored.
+    Texts meet their words' scores in as many tasks as there are chunks, most_tasks at most (then several chunks a task, one after another).
     """
     tokens = materialize(chunked(docs, chunk_bytes, id_col, text_col, parts, held_out), "lm-tokens")
     entries = tokens.filter("words is not null").select("chunk", "first", F.posexplode(F.arrays_zip("words", "train")).alias("at", "e"))
     entries = entries.select("chunk", (F.col("first") + F.col("at")).cast("int").alias("code"), F.col("e.words").alias("word"), F.col("e.train").alias("n"))
     words = materialize(entries.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
     texts = tokens.filter("words is null")
-    ends = texts.filter("not held_out").count()
+    ends, chunks = texts.agg(F.count_if(~F.col("held_out")), F.count_distinct("chunk")).first()
+    tasks = min(max(chunks, 1), most_tasks)  # a chunk or some of them a task, whatever the session's number of partitions
     distinct, seen = words.filter("c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n, v = seen + ends, distinct + (ends > 0)
     logs = learned(words.filter("c > 0"), model_path, rounds, prior, ends)
@@ -321,5 +323,5 @@ def score_documents(docs: DataFrame, model_path: str, rounds: int = 2, prior: fl
         return pa.table({id_col: texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(counts + 1), "n_known": pa.array(known.astype(np.int64) + end_known), "train_tokens": pa.array(np.full(len(texts), n), pa.int64()), "base_score": pa.array(base + end_base), "score": pa.array(score + end_score), "lattice_score": pa.array(lattice + end_lattice)})
 
     schema = f"`{id_col}` {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
-    left = texts.select("chunk", "doc_id", "held_out", "codes").groupBy("chunk")
-    return left.cogroup(values.groupBy("of_chunk")).applyInArrow(together, schema)
+    left = texts.select("chunk", "doc_id", "held_out", "codes").repartition(tasks, "chunk").groupBy("chunk")
+    return left.cogroup(values.repartition(tasks, "of_chunk").groupBy("of_chunk")).applyInArrow(together, schema)
