@@ -2,7 +2,8 @@
 
 What needs no order beyond "first" or "last" is an aggregation. What depends on the rows before it is a fold over
 rows sorted by key and time within partitions: rows stream through, and a task holds the state of one key, however
-many rows the key has.
+many rows the key has. Where the states are few, a key is cut into spans whose moves are composed first, so that no
+key is one task's work.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from portolan.operators.temporal import fitting_span
+
 
 def upsert(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key."""
@@ -69,6 +72,34 @@ def transition_step(first: str, rules: dict[str, tuple[tuple[str, ...], str]]) -
     return lambda: first, step
 
 
+def transitions(rows: DataFrame, key: str, at: str, order: list[str], first: str, rules: dict[str, tuple[tuple[str, ...], str]], span: int, most: int = 100_000) -> DataFrame:
+    """rows (with a column kind) and whether each request applied, and the state after it; each key begins in the state `first`.
+
+    Spans of `at` are at most `span` long and hold about `most` requests of a key. A span is a map from the state before
+    it to the state after it; the maps of a key, one row a span, are followed in order, and then each span is gone
+    through from its own first state. order begins with `at`. Kinds without a rule change nothing; a null key is a key.
+    """
+    names = sorted({first, *[s for expected, after in rules.values() for s in (*expected, after)]})
+    same = F.array(*[F.lit(i) for i in range(len(names))])
+    moves = same
+    for kind, (expected, after) in rules.items():
+        moves = F.when(F.col("kind") == kind, F.array(*[F.lit(names.index(after if s in expected else s)) for s in names])).otherwise(moves)
+    rows = rows.withColumn("id_", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+    rows = rows.withColumn("span_", F.coalesce(F.floor(F.col(at) / fitting_span(rows, ["id_"], at, span, most)).cast("long"), F.lit(-(1 << 63))))
+    told = F.sort_array(F.collect_list(F.struct(*order, moves.alias("moves_"))))
+    composed = F.aggregate(told, same, lambda now, r: F.transform(now, lambda s: F.get(r["moves_"], s)))
+
+    def follow(state, row):
+        return int(row.map_[state]), (names[state],)
+
+    maps = rows.groupBy("id_", "span_").agg(composed.alias("map_"))
+    entered = fold(maps, "id_", ["span_"], lambda: names.index(first), follow, "before_ string").drop("map_")
+    _, step = transition_step(first, rules)
+    parts = rows.join(entered, ["id_", "span_"]).withColumn("part_", F.concat_ws("@", F.col("span_").cast("string"), "id_"))
+    done = fold(parts, "part_", order, lambda: None, lambda state, row: step(row.before_ if state is None else state, row), "applied boolean, state string")
+    return done.drop("id_", "span_", "part_", "before_")
+
+
 def live(rows: DataFrame, expires: str, now: Column) -> DataFrame:
     return rows.filter(F.col(expires) > now)
 

@@ -48,8 +48,7 @@ UNION ALL SELECT s.user_id, e.i, e.event_id, r.becomes IS NOT NULL, coalesce(r.b
 SELECT event_id, applied, state FROM s WHERE i > 0""")
 def guarded_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each request of a booking with whether it applied, and the state after it."""
-    start, step = op.transition_step("new", RULES)
-    rows = op.fold(_events(spark, sf_dir).select("event_id", "user_id", "kind", "t"), "user_id", ["t", "event_id"], start, step, "applied boolean, state string")
+    rows = op.transitions(_events(spark, sf_dir).select("event_id", "user_id", "kind", "t"), "user_id", "t", ["t", "event_id"], "new", RULES, 24 * HOUR)
     return rows.select("event_id", "applied", "state")
 
 

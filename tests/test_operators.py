@@ -95,6 +95,24 @@ def test_quota_windows_open_with_the_first_request(spark):
     assert got == {0: (True, 0), 1: (True, 0), 2: (False, 0), 3: (True, 10), 4: (True, 10), 5: (True, 21)}
 
 
+def test_spans_of_transitions_equal_one_fold(spark):
+    rng = random.Random(5)
+    rules = {"open": (("new", "shut"), "open"), "shut": (("open",), "shut"), "end": (("shut", "open"), "ended")}
+    data = [(i, rng.choice(["a", "a", "a", "b", None]), None if i == 7 else rng.randrange(60), rng.choice(["open", "shut", "shut", "other", None] + ["end"] * (i % 9 == 0))) for i in range(300)]
+    state, want = {}, {}
+    for i, k, t, kind in sorted(data, key=lambda r: (-1 if r[2] is None else r[2], r[0])):
+        expected, after = rules.get(kind, ((), None))
+        was = state.get(k, "new")
+        state[k] = after if was in expected else was
+        want[i] = (was in expected, state[k])
+    rows = spark.createDataFrame(data, "id int, k string, t long, kind string")
+    for most in (1, 20, 1000):
+        got = states.transitions(rows, "k", "t", ["t", "id"], "new", rules, 32, most)
+        assert got.columns == ["id", "k", "t", "kind", "applied", "state"]
+        assert {r.id: (r.applied, r.state) for r in got.collect()} == want
+    assert states.transitions(rows.limit(0), "k", "t", ["t", "id"], "new", rules, 32).count() == 0
+
+
 def test_trees_send_missing_values_to_their_side(spark):
     tree = {"feature": "x", "op": "<=", "threshold": 1.0, "missing": "no", "yes": {"leaf": 1.0}, "no": {"feature": "y", "op": ">", "threshold": 0, "missing": "yes", "yes": {"leaf": 2.0}, "no": {"leaf": 3.0}}}
     rows = spark.createDataFrame([(1.0, None), (1.5, None), (None, -1.0), (2.0, 0.0)], "x double, y double")
