@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,24 +35,67 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-#: Tables written by this process and not yet deleted.
-WRITTEN: list[str] = []
+#: The tables that the innermost call of `tables` has to delete; each thread has its own.
+_OPEN: ContextVar[list[str] | None] = ContextVar("portolan_tables", default=None)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table goes with the innermost `tables` around this call, or else when the driver ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    WRITTEN.append(path)
+    files, where = _hadoop(df.sparkSession, path)
+    files.deleteOnExit(where)
+    if (mine := _OPEN.get()) is not None:
+        mine.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Delete the written tables from number `since` on, but the last `keep`: what was read from them must be written before."""
-    for path in WRITTEN[since : len(WRITTEN) - keep]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    del WRITTEN[since : len(WRITTEN) - keep]
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        files, where = _hadoop(spark, path)
+        files.delete(where, True)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table that `materialize` wrote for df: what was read from it must be written before."""
+    delete(df.sparkSession, sorted(_folders(df)))
+
+
+@contextmanager
+def tables(spark: SparkSession):
+    """All tables that are written inside are deleted at its end, and no others: write what was read from them before.
+
+    What is inside gets a function keep(df): tables that df reads go to the next `tables` around this one, or stay
+    until the driver ends.
+    """
+    mine: list[str] = []
+    outer, kept = _OPEN.get(), []
+    token = _OPEN.set(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        folders = {name.rsplit("/", 1)[-1] for name in _folders(df)}
+        kept.extend(path for path in mine if path.rsplit("/", 1)[-1] in folders)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _OPEN.reset(token)
+        delete(spark, [path for path in mine if path not in kept])
+        if outer is not None:
+            outer.extend(kept)
 
 
 def let(value: Column, body) -> Column:
@@ -81,6 +127,20 @@ def hash_limit(total: int, wanted: int) -> int:
     return min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))
 
 
+def finite(vector: Column) -> Column:
+    """Whether a vector is there, has a component, and none of them is null or not finite."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce((F.size(vector) > 0) & ~bad, F.lit(False))
+
+
+def matrix(vectors: pa.ListArray, dim: int) -> np.ndarray:
+    """Finite vectors as rows of doubles; ValueError if one has another length."""
+    lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    if (lengths != dim).any():
+        raise ValueError(f"vectors of {sorted(set(lengths.tolist()))[:4]} components, not all of {dim}")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), dim)
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))

@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm.common import read
+from portolan.llm.common import read, tables
+
+
+def scoped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, after which only those of its tables stay that its result is read from."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with tables(spark) as keep:
+            return keep(query(spark, sf_dir))
+
+    return run
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +106,55 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_report(read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portolan.llm.vector_codes import coded_vectors
+
+    return coded_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Every part against every entry in whole numbers, so often."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (SELECT row, p.part, min(list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT * 64 + entry) AS best FROM p JOIN b{i} b ON p.part = b.part GROUP BY row, p.part)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT p.part, best % 64 AS entry, unnest(p.v) AS c, generate_subscripts(p.v, 1) AS pos FROM p JOIN a{i} a ON p.row = a.row AND p.part = a.part),
+m{i} AS (SELECT part, entry, pos, (sum(c) - ((sum(c) % count(*)) + count(*)) % count(*)) // count(*) AS c FROM s{i} GROUP BY ALL), n{i} AS (SELECT part, entry, list(c::BIGINT ORDER BY pos) AS v FROM m{i} GROUP BY ALL),
+b{i + 1} AS (SELECT b.part, b.entry, coalesce(n.v, b.v) AS v FROM b{i} b LEFT JOIN n{i} n ON b.part = n.part AND b.entry = n.entry)""")
+    return ",\n".join(steps)
+
+
+VECTOR_CODES_SQL = f"""WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+e AS (SELECT row, x, unnest(range(16)) AS part FROM k), p AS (SELECT row, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] AS v FROM e), b0 AS (SELECT part, row - 1 AS entry, v FROM p WHERE row <= 64),
+{_lloyd_sql(2)},
+c AS (SELECT row, string_agg(lower(lpad(to_hex((best % 64)::BIGINT), 2, '0')), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error FROM a2 GROUP BY row),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (row), h"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portolan.llm.whitening import whiten
+
+    return whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from portolan.llm.bpe import round_trip
+
+    return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_nearest, op2_fingerprints, op3_token_counts, op4_packing, op5_subword_lm, op6_language_id, op7_near_dedup, op8_mixing, op9_toxicity, op10_personal_data]
-    return {f.__name__: f for f in found}
+    found = [
+        op1_nearest, op2_fingerprints, op3_token_counts, op4_packing, op5_subword_lm, op6_language_id, op7_near_dedup, op8_mixing, op9_toxicity, op10_personal_data,
+        op11_vector_codes, op12_whitening, op13_bpe,
+    ]
+    return {f.__name__: scoped(f) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only op7: the others depend on tokenizers, hashes or fitted models, and are tested against brute force."""
-    return {"op7_near_dedup": NEAR_DEDUP_SQL}
+    """The others depend on tokenizers, hashes, fitted models or eigenvectors, and are tested against brute force."""
+    return {"op7_near_dedup": NEAR_DEDUP_SQL, "op11_vector_codes": VECTOR_CODES_SQL}

@@ -72,15 +72,67 @@ def test_run_is_registered_and_repeats(spark):
     assert first == corpus_pipeline.run(spark, SF).groupBy().sum("length", "ids_crc32", "doc_tokens").first()
 
 
+def written(spark):
+    """The tables in the shared folder."""
+    import os
+
+    from portolan.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    return {name for name in os.listdir(folder) if "-" in name and not name.startswith(".")}
+
+
 def test_run_deletes_what_it_wrote(spark):
-    from portolan.llm import common
+    from portolan.llm.common import tables
 
-    common.release(spark)
-    before = len(common.WRITTEN)
+    before = written(spark)
     rows = corpus_pipeline.run(spark, SF)
-    assert before == 0 and len(common.WRITTEN) == 1 and rows.count() > 0
-    common.release(spark)
-    assert not common.WRITTEN
+    left = written(spark) - before
+    assert len(left) == 1 and next(iter(left)).startswith("pipeline-mixing-") and rows.count() > 0
+    with tables(spark):
+        assert corpus_pipeline.run(spark, SF).count() > 0
+    assert written(spark) - before == left
+
+
+def test_runs_at_once_leave_each_other_alone(spark):
+    """A run that ends deletes its tables while another one, of another thread, still reads its own."""
+    import threading
+
+    from portolan.llm.common import tables
+
+    before, reading, ended, counts = written(spark), threading.Event(), threading.Event(), {}
+
+    def slow():
+        with tables(spark):
+            with tables(spark) as keep:
+                own = keep(materialize(spark.range(1000), "slow-one"))
+            reading.set()
+            ended.wait(60)
+            counts["slow"] = own.count()
+
+    def quick():
+        reading.wait(60)
+        with tables(spark):
+            counts["quick"] = materialize(spark.range(10), "quick-one").count()
+        counts["between"] = written(spark) - before
+        ended.set()
+
+    threads = [threading.Thread(target=f) for f in (slow, quick)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert counts.pop("slow") == 1000 and counts.pop("quick") == 10
+    assert [name[:9] for name in counts["between"]] == ["slow-one-"] and written(spark) == before
+
+
+def test_queries_keep_only_what_their_results_read(spark):
+    from portolan.llm.queries import queries
+
+    before = written(spark)
+    rows = queries()["op11_vector_codes"](spark, SF)
+    assert {name.rsplit("-", 1)[0].split("-")[0] for name in written(spark) - before} == {"codes"} and len(written(spark) - before) == 2
+    assert rows.count() > 0
 
 
 def test_shared_folder_is_asked_for_on_a_cluster():
