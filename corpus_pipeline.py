@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm.common import WRITTEN, materialize, read, release
+from portolan.llm.common import drop, materialize, read, tables
 from portolan.llm.language_id import keep_identified
 from portolan.llm.mixing import mixed_documents
 from portolan.llm.near_dedup import keep_one
@@ -46,8 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, mine = read(spark, sf_dir, "documents"), len(WRITTEN)
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        release(spark, mine, keep=1)  # all that this run wrote but the last stage's rows
+        with tables(spark) as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if before is not None:
+            drop(before)  # the rows of the stage before, which are no longer read
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
