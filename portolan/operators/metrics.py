@@ -6,9 +6,11 @@ running sums are taken within buckets of scores, with the sums of the other buck
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from portolan.operators.running import exclusive_sums, order_key
+
 #: The smallest distance of a probability from 0 and 1 in logarithms.
 EPSILON = 2.220446049250313e-16
 
@@ -17,27 +19,14 @@ def by_score(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     return df.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
 
 
-def cumulated(cells: DataFrame, by: list[str], score: str, buckets: int = 4096) -> DataFrame:
-    """cells (by..., score, n, pos) with below_n and below_pos (lower scores), above_n and above_pos (this and higher ones).
+def cumulated(cells: DataFrame, by: list[str], score: str) -> DataFrame:
+    """cells (by..., score, n, pos) with below_n and below_pos (lower scores), above_n and above_pos (this and higher ones), all_n and all_pos.
 
-    Probabilities are cut into buckets; a window holds the scores of one bucket, or one row for each bucket. Other
-    scores fall into the outer buckets.
+    Any scores will do, however close together: sums run in buckets of scores that hold a bounded number of them.
     """
-    cells = cells.withColumn("bucket_", F.greatest(F.least(F.floor(F.col(score) * buckets), F.lit(buckets)), F.lit(-1)))
-    per = cells.groupBy(*by, "bucket_").agg(F.sum("n").alias("n_"), F.sum("pos").alias("pos_"))
-    order = Window.partitionBy(*by).orderBy("bucket_")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    sums = [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{side}_{c}") for side, w in (("before", before), ("after", after)) for c in ("n_", "pos_")]
-    carried = per.select(*[F.col(c).alias(f"{c}_") for c in by], F.col("bucket_").alias("bucket__"), *sums)
-    same = F.col("bucket_") == F.col("bucket__")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
-    within = Window.partitionBy(*by, "bucket_").orderBy(score)
-    low, high = within.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(0, Window.unboundedFollowing)
-    own = {f"{side}{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for side, w in (("low_", low), ("high_", high)) for c in ("n", "pos")}
-    joined = cells.withColumns(own).join(carried, same)
-    totals = {"below_n": F.col("low_n") + F.col("before_n_"), "below_pos": F.col("low_pos") + F.col("before_pos_"), "above_n": F.col("high_n") + F.col("after_n_"), "above_pos": F.col("high_pos") + F.col("after_pos_")}
-    return joined.select(*cells.drop("bucket_").columns, *[v.alias(k) for k, v in totals.items()])
+    told = exclusive_sums(cells.withColumn("key_", order_key(F.col(score))), by, "key_", [score], ["n", "pos"])
+    told = told.withColumnsRenamed({"before_n": "below_n", "before_pos": "below_pos"})
+    return told.withColumns({"above_n": F.col("all_n") - F.col("below_n"), "above_pos": F.col("all_pos") - F.col("below_pos")}).drop("key_")
 
 
 def ranking(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
@@ -72,11 +61,6 @@ def calibration(df: DataFrame, by: list[str], score: str, label: str, bins: int
 def thresholds(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """by..., threshold, tp, fp, fn, tn, precision, recall, f1, accuracy for each distinct score as a threshold (score >= threshold)."""
     cells = cumulated(by_score(df, by, score, label), by, score).withColumnsRenamed({"above_n": "at_least", "above_pos": "tp"})
-    totals = cells.groupBy(*by).agg(F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos"))
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
-    cells = cells.join(totals.withColumnsRenamed({c: f"of_{c}" for c in by}), same)  # one row a slice
     fp, fn = F.col("at_least") - F.col("tp"), F.col("all_pos") - F.col("tp")
     tn = F.col("all_n") - F.col("all_pos") - fp
     return cells.select(

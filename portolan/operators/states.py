@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from portolan.operators.quotas import key_text
 from portolan.operators.temporal import fitting_span
 
 
@@ -29,22 +30,26 @@ def insert_or_ignore(rows: DataFrame, key: list[str], order: list[str], content:
 
 
 def fold(rows: DataFrame, key: str, order: list[str], start: Callable, step: Callable, schema: str) -> DataFrame:
-    """rows with the columns of `schema` from step(state, row) -> (state, values), in order within each key."""
+    """rows with the columns of `schema` from step(state, row) -> (state, values), in order within each key. A null key is a key.
+
+    One task goes through a key's rows; quotas.fixed_window and transitions do without that.
+    """
     names = [c.split()[0] for c in schema.split(", ")]
+    rows = rows.withColumn("key_", key_text(key))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, state = object(), None
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                if getattr(row, key) != held:
-                    held, state = getattr(row, key), start()
+                if row.key_ != held:
+                    held, state = row.key_, start()
                 state, values = step(state, row)
                 out.append(values)
             yield pd.concat([pdf, pd.DataFrame(out, columns=names)], axis=1)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{kept}, {schema}")
+    return rows.repartition("key_").sortWithinPartitions("key_", *order).mapInPandas(run, f"{kept}, {schema}").drop("key_")
 
 
 def quota_step(window: int, limit: int) -> tuple[Callable, Callable]:
@@ -84,7 +89,7 @@ def transitions(rows: DataFrame, key: str, at: str, order: list[str], first: str
     moves = same
     for kind, (expected, after) in rules.items():
         moves = F.when(F.col("kind") == kind, F.array(*[F.lit(names.index(after if s in expected else s)) for s in names])).otherwise(moves)
-    rows = rows.withColumn("id_", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+    rows = rows.withColumn("id_", key_text(key))
     rows = rows.withColumn("span_", F.coalesce(F.floor(F.col(at) / fitting_span(rows, ["id_"], at, span, most)).cast("long"), F.lit(-(1 << 63))))
     told = F.sort_array(F.collect_list(F.struct(*order, moves.alias("moves_"))))
     composed = F.aggregate(told, same, lambda now, r: F.transform(now, lambda s: F.get(r["moves_"], s)))
@@ -114,8 +119,17 @@ def expire(rows: DataFrame, key: str, expires: str, now: Column, most: int, kept
 
 
 def rebuild_table(rows: DataFrame, name: str) -> None:
-    """A table written anew from rows, which may read the old one, and then put in its place."""
-    spark = rows.sparkSession
+    """A table written anew from rows, which may read the old one, and then put in its place.
+
+    The old table is moved aside before the new one takes its name, and goes last: whatever fails, one of them stands, under its
+    name or as <name>_old, and the next call begins by putting it back.
+    """
+    spark, catalog = rows.sparkSession, rows.sparkSession.catalog
+    if catalog.tableExists(f"{name}_old") and not catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {name}_old RENAME TO {name}")
     rows.write.mode("overwrite").saveAsTable(f"{name}_next")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {name}_old")
+    if catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {name} RENAME TO {name}_old")
     spark.sql(f"ALTER TABLE {name}_next RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {name}_old")

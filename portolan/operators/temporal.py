@@ -15,9 +15,10 @@ def as_of(queries: DataFrame, observations: DataFrame, key: str, at: str, values
     """queries with, for each of values, its latest non-null observation at or before `at` (`<v>`, `<v>_age`), if not older than most_age.
 
     `at` is an integer instant in both tables. An observation can serve its own span of most_age and the next one, so it
-    is sent to both, and each span is a window of its own. Observations at one instant: the largest value.
+    is sent to both, and each span is a window of its own. Observations at one instant: the largest value. A null key meets
+    nothing.
     """
-    seen = observations.groupBy(key, at).agg(*[F.max(v).alias(v) for v in values])
+    seen = observations.filter(F.col(key).isNotNull()).groupBy(key, at).agg(*[F.max(v).alias(v) for v in values])
     span = F.floor(F.col(at) / most_age).cast("long")
     seen = seen.select(key, F.col(at).alias("t_"), F.explode(F.array(span, span + 1)).alias("span_"), F.lit(0).alias("side_"), *values)
     asked = queries.withColumn("row_", F.struct(*queries.columns)).select(key, F.col(at).alias("t_"), span.alias("span_"), F.lit(1).alias("side_"), "row_")

@@ -77,12 +77,12 @@ def guarded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(returned, "o_orderkey", "left").select("o_orderkey", F.coalesce("returned", F.lit(False)).alias("returned"))
 
 
-@query("""WITH s AS (SELECT DISTINCT ts::DATE AS snapshot FROM events WHERE event_id % 3 = 0), d AS (SELECT ts::DATE AS day, event_id FROM events WHERE event_type = 'purchase')
+@query("""WITH s AS (SELECT DISTINCT ts::DATE AS snapshot FROM events), d AS (SELECT ts::DATE AS day, event_id FROM events WHERE event_type = 'purchase')
 SELECT day, count(*) AS n, any_value(s.snapshot) AS snapshot FROM d LEFT JOIN s ON s.snapshot = d.day - 8 GROUP BY day""")
 def snapshot_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each service day with the snapshot of eight days before, if there is one."""
     e = table(spark, sf_dir, "events")
-    snapshots = e.filter("event_id % 3 = 0").select(F.to_date("ts").alias("snapshot")).distinct()
+    snapshots = e.select(F.to_date("ts").alias("snapshot")).distinct()
     days = e.filter("event_type = 'purchase'").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     return days.join(snapshots, F.col("snapshot") == F.date_sub("day", 8), "left").select("day", "n", "snapshot")
 

@@ -77,14 +77,14 @@ def bounded_month_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.bounded_sample(rows, "month", F.col("o_orderkey"), 1000).select("month", "o_orderkey", "o_totalprice", F.col("place").cast("long").alias("place"))
 
 
-@query(f"""WITH {SHIPMENTS}, g AS (SELECT avg(late::DOUBLE) AS prior FROM shipments WHERE month <= 9), r AS (SELECT route, (sum(late) + 150 * any_value(prior)) / (count(*) + 150) AS rate FROM shipments, g WHERE month <= 9 AND carrier <> 'NO' GROUP BY route)
+@query(f"""WITH {SHIPMENTS}, g AS (SELECT avg(late::DOUBLE) AS prior FROM shipments WHERE month <= 9), r AS (SELECT route, (sum(late) + 150 * any_value(prior)) / (count(*) + 150) AS rate FROM shipments, g WHERE month <= 9 GROUP BY route)
 SELECT month, count(*) AS n, count(r.rate) AS n_known, sum(coalesce(r.rate, prior)) AS rate_sum FROM shipments LEFT JOIN r USING (route), g WHERE month > 9 GROUP BY month""")
 def rate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later months looked up in the frozen rates of earlier ones; unknown routes get the common rate."""
     rows = shipments(spark, sf_dir)
     early = rows.filter("month <= 9")
     prior = early.agg(F.avg(F.col("late").cast("double")).alias("prior"))
-    known = early.filter("carrier <> 'NO'").groupBy("route").agg(F.sum("late").alias("pos"), F.count("*").alias("n_route")).join(F.broadcast(prior)).select("route", op.shrunk(F.col("pos"), F.col("n_route"), F.col("prior"), F.lit(150.0)).alias("rate"))
+    known = early.groupBy("route").agg(F.sum("late").alias("pos"), F.count("*").alias("n_route")).join(F.broadcast(prior)).select("route", op.shrunk(F.col("pos"), F.col("n_route"), F.col("prior"), F.lit(150.0)).alias("rate"))
     later = rows.filter("month > 9").join(known, "route", "left").join(F.broadcast(prior))
     return later.groupBy("month").agg(F.count("*").alias("n"), F.count("rate").alias("n_known"), F.sum(F.coalesce("rate", "prior")).alias("rate_sum"))
 

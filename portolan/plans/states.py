@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portolan.operators import states as op
+from portolan.operators.quotas import fixed_window
 from portolan.plans.registry import query
 from portolan.sources.tables import table
 
@@ -32,9 +33,7 @@ a AS (SELECT e.user_id, event_id, t, s, row_number() OVER (PARTITION BY e.user_i
 SELECT event_id, user_id, k <= 2 AS allowed, s AS opened, CASE WHEN k <= 2 THEN 0 ELSE greatest(1, ceil((s + 86400000000 - t) / 1000000.0))::BIGINT END AS retry_after FROM a""")
 def fixed_window_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two requests a day for each user, the day beginning with the first request after the last day's end."""
-    start, step = op.quota_step(24 * HOUR, 2)
-    rows = op.fold(_events(spark, sf_dir).select("event_id", "user_id", "t"), "user_id", ["t", "event_id"], start, step, "allowed boolean, opened long, retry_after long")
-    return rows.drop("t")
+    return fixed_window(_events(spark, sf_dir).select("event_id", "user_id", "t"), "user_id", "t", ["t", "event_id"], 24 * HOUR, 2).drop("t")
 
 
 #: kind -> (states in which it applies, state after it)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import io
+import re
 import unicodedata
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,16 +23,43 @@ def plain_key(name: str) -> str:
     return "_".join("".join(c if c.isascii() and c.isalnum() else " " for c in folded).split())
 
 
+def headers(spark: SparkSession, path: str, sep: str = ",", together: int = 16) -> dict[tuple[str, ...], list[str]]:
+    """Header -> files that begin with it. Each file is opened for its first line, `together` at a time."""
+    files = sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())  # names only
+    first = lambda file: tuple(spark.read.option("header", True).option("sep", sep).csv(_literal(file)).columns)
+    found: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(together) as pool:
+        for file, header in zip(files, pool.map(first, files)):
+            found.setdefault(header, []).append(file)
+    return found
+
+
+def _literal(file: str) -> str:
+    """A file's name for a reader, which takes some characters as patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", file)
+
+
 def read_delimited(spark: SparkSession, path: str, needed: list[str], sep: str = ",", aliases: dict[str, str] | None = None) -> DataFrame:
-    """All columns as text under plain names, only those needed; ValueError if one is missing. Malformed rows keep their text in `_corrupt`."""
-    header = spark.read.option("header", True).option("sep", sep).csv(path).columns
-    keys = [(aliases or {}).get(plain_key(h), plain_key(h)) for h in header]
-    missing = sorted(set(needed) - set(keys))
-    if missing:
-        raise ValueError(f"columns are missing: {missing}")
-    schema = T.StructType([T.StructField(k, T.StringType()) for k in keys] + [T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(schema).option("header", True).option("sep", sep).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
-    return rows.select(*needed, "_corrupt")
+    """The needed columns as text under plain names; malformed rows keep their text in `_corrupt`.
+
+    Each file is read by its own header, so that files may order their columns differently or have further ones. ValueError if a
+    needed column is missing in a file, or stands in it twice. No file at all is Spark's own error; files without any line have no rows.
+    """
+    parts = []
+    for header, found in sorted(headers(spark, path, sep).items()):
+        if not header:
+            continue
+        keys = [(aliases or {}).get(plain_key(h), plain_key(h)) for h in header]
+        missing, twice = sorted(set(needed) - set(keys)), sorted(k for k in set(needed) if keys.count(k) > 1)
+        if missing or twice:
+            raise ValueError(f"columns are {'missing' if missing else 'doubled'}: {missing or twice} in {found[0]} and {len(found) - 1} more")
+        names = [k if k in needed else f"_other{i}" for i, k in enumerate(keys)]
+        schema = T.StructType([T.StructField(k, T.StringType()) for k in names] + [T.StructField("_corrupt", T.StringType())])
+        rows = spark.read.schema(schema).option("header", True).option("sep", sep).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+        parts.append(rows.csv([_literal(f) for f in found]).select(*needed, "_corrupt"))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([T.StructField(k, T.StringType()) for k in [*needed, "_corrupt"]]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_noted(spark: SparkSession, path: str, header: list[str], sep: str = ";") -> DataFrame:

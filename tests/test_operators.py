@@ -11,7 +11,7 @@ from portolan.streaming import stores
 
 
 def test_as_of_skips_nulls_and_is_inclusive(spark):
-    seen = spark.createDataFrame([("a", 100, 1.0, None), ("a", 150, None, 5.0), ("a", 150, None, 7.0), ("b", 10, 2.0, 2.0)], "k string, t long, v double, w double")
+    seen = spark.createDataFrame([("a", 100, 1.0, None), ("a", 150, None, 5.0), ("a", 150, None, 7.0), ("b", 10, 2.0, 2.0), (None, 4, 9.0, 9.0)], "k string, t long, v double, w double")
     asked = spark.createDataFrame([(1, "a", 100), (2, "a", 160), (3, "a", 201), (4, "a", 99), (5, "c", 100), (6, "b", 110), (7, "b", 111), (8, None, 5)], "id int, k string, t long")
     got = {r.id: (r.v, r.v_age, r.w) for r in temporal.as_of(asked, seen, "k", "t", ["v", "w"], 100).collect()}
     assert got == {1: (1.0, 0, None), 2: (1.0, 60, 7.0), 3: (None, None, 7.0), 4: (None, None, None), 5: (None, None, None), 6: (2.0, 100, 2.0), 7: (None, None, None), 8: (None, None, None)}

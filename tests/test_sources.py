@@ -21,6 +21,20 @@ def test_headings_without_marks_and_in_any_order(spark, tmp_path):
         files.read_delimited(spark, str(tmp_path / "a.csv"), ["gate"], ";")
 
 
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    (tmp_path / "one [x].csv").write_text("x,y\n1,2\n3,4\n")
+    (tmp_path / "two.csv").write_text("Y,extra,X\n20,e,10\n40,,30\n")
+    (tmp_path / "none.csv").write_text("")
+    rows = files.read_delimited(spark, str(tmp_path), ["x", "y"])
+    assert sorted((r.x, r.y) for r in rows.collect()) == [("1", "2"), ("10", "20"), ("3", "4"), ("30", "40")]
+    (tmp_path / "bad.csv").write_text("x,z\n1,2\n")
+    with pytest.raises(ValueError, match=r"missing: \['y'\].*bad.csv"):
+        files.read_delimited(spark, str(tmp_path), ["x", "y"])
+    (tmp_path / "bad.csv").write_text("x,y,X\n1,2,3\n")
+    with pytest.raises(ValueError, match="doubled"):
+        files.read_delimited(spark, str(tmp_path), ["x", "y"])
+
+
 def test_rows_are_accounted_for(spark, tmp_path):
     (tmp_path / "b.csv").write_text("Carrier,Minutes\nLH,15\n,3\nXX,abc\nLH,2000\nLH,-1\n")
     rows = files.read_delimited(spark, str(tmp_path / "b.csv"), ["carrier", "minutes"])
