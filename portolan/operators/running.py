@@ -58,6 +58,19 @@ def exclusive_sums(rows: DataFrame, by: list[str], key: str, order: list[str], m
     return joined.select(*kept, *[(F.col(f"own_{m}") + F.col(f"carried_{m}")).alias(f"before_{m}") for m in measures], *[f"all_{m}" for m in measures])
 
 
+def exact_quantile(rows: DataFrame, by: list[str], value: str, share: float, name: str) -> DataFrame:
+    """by..., name: the exact quantile of each group's non-null values, between two of them by proportion. Groups without any are left out.
+
+    Values are counted, ranked by running sums in bounded buckets and picked by rank, so that no task holds a group's values.
+    """
+    cells = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v_")).agg(F.count("*").alias("n_"))
+    ranked = exclusive_sums(cells.withColumn("key_", order_key(F.col("v_"))), by, "key_", ["v_"], ["n_"])
+    at = (F.col("all_n_") - 1) * F.lit(float(share))
+    pick = lambda place: F.max(F.when((F.col("before_n_") <= place) & (place < F.col("before_n_") + F.col("n_")), F.col("v_")))
+    ends = ranked.groupBy(*by).agg(pick(F.floor(at)).alias("low_"), pick(F.ceil(at)).alias("high_"), F.max(at - F.floor(at)).alias("part_"))
+    return ends.select(*by, (F.col("low_") + (F.col("high_") - F.col("low_")) * F.col("part_")).alias(name))
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the folder of spark.checkpoint.dir, which goes when the driver ends: it cuts lineage and survives lost executors.
 

@@ -102,6 +102,38 @@ def zone_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.locate(rows, BOXES, "a", "b").select("s_suppkey", "zone")
 
 
+#: A zone for each nation: a hexagon around its place with a hole of the same form in every second one; neighbours overlap.
+_ZONES = """z AS (SELECT n_nationkey AS k, (n_nationkey % 5) * 60 - 120.0::DOUBLE AS x, (n_nationkey // 5) * 28 - 56.0::DOUBLE AS y, 26 + (n_nationkey * 7) % 13 + 0.25::DOUBLE AS w, 11 + (n_nationkey * 3) % 7 + 0.125::DOUBLE AS h FROM nation),
+t AS (SELECT k, x, y, w, h, unnest([{'r': 1.0, 'i': 0}, {'r': 1.0, 'i': 1}, {'r': 1.0, 'i': 2}, {'r': 1.0, 'i': 3}, {'r': 1.0, 'i': 4}, {'r': 1.0, 'i': 5}, {'r': 0.5, 'i': 0}, {'r': 0.5, 'i': 1}, {'r': 0.5, 'i': 2}, {'r': 0.5, 'i': 3}, {'r': 0.5, 'i': 4}, {'r': 0.5, 'i': 5}]) AS c FROM z),
+e AS (SELECT 'zone ' || k AS zone, x + w * c.r * [1.0, 0.5, -0.5, -1.0, -0.5, 0.5, 1.0][c.i + 1] AS x1, y + h * c.r * [0.0, 1.0, 1.0, 0.0, -1.0, -1.0, 0.0][c.i + 1] AS y1, x + w * c.r * [1.0, 0.5, -0.5, -1.0, -0.5, 0.5, 1.0][c.i + 2] AS x2, y + h * c.r * [0.0, 1.0, 1.0, 0.0, -1.0, -1.0, 0.0][c.i + 2] AS y2 FROM t WHERE c.r = 1 OR k % 2 = 0)"""
+
+
+def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    x, y = (n % 5) * 60 - 120.0, F.floor(n / 5) * 28 - 56.0
+    w, h = 26 + (n * 7) % 13 + 0.25, 11 + (n * 3) % 7 + 0.125
+    ring = lambda r: F.array(*[F.array((x + w * r * a).cast("double"), (y + h * r * b).cast("double")) for a, b in ((1.0, 0.0), (0.5, 1.0), (-0.5, 1.0), (-1.0, 0.0), (-0.5, -1.0), (0.5, -1.0))])
+    rings = F.when(n % 2 == 0, F.array(ring(1.0), ring(0.5))).otherwise(F.array(ring(1.0)))
+    return table(spark, sf_dir, "nation").select(F.concat(F.lit("zone "), n.cast("string")).alias("zone"), rings.alias("rings"))
+
+
+@query(f"""WITH {_ZONES}, p AS (SELECT c_custkey, ((c_custkey * 104729) % 16000) / 100.0::DOUBLE - 80 AS a, ((c_custkey * 7919) % 36000) / 100.0::DOUBLE - 180 AS o FROM customer),
+g AS (SELECT *, unnest([NULL, 0, 45, 90, 135, 180, 225, 270, 315]) AS b FROM p), s AS (SELECT *, radians(a) AS ra, radians(b::DOUBLE) AS rb, 80 / 6371.0088::DOUBLE AS d FROM g),
+l AS (SELECT *, asin(sin(ra) * cos(d) + cos(ra) * sin(d) * cos(rb)) AS la FROM s),
+q AS (SELECT c_custkey, b IS NULL AS home, CASE WHEN b IS NULL THEN a ELSE degrees(la) END AS y, CASE WHEN b IS NULL THEN o ELSE fmod(degrees(radians(o) + atan2(sin(rb) * sin(d) * cos(ra), cos(d) - sin(ra) * sin(la))) + 540, 360) - 180 END AS x FROM l),
+i AS (SELECT c_custkey, home, x, y, zone FROM q, e GROUP BY ALL HAVING sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1),
+n AS (SELECT q.c_custkey, q.home, count(i.zone) AS n, min(i.zone) AS zone FROM q LEFT JOIN i ON q.c_custkey = i.c_custkey AND q.home = i.home AND q.x = i.x AND q.y = i.y GROUP BY q.c_custkey, q.home, q.x, q.y),
+f AS (SELECT c_custkey, max(n) FILTER (home) AS h, max(zone) FILTER (home) AS zone, bool_and(n = 1) AND min(zone) = max(zone) AS one FROM n GROUP BY c_custkey)
+SELECT c_custkey, CASE WHEN h = 1 AND one THEN zone END AS zone, CASE WHEN h = 0 THEN 'outside' WHEN h > 1 THEN 'overlap' WHEN one THEN 'resolved' ELSE 'near_border' END AS disposition FROM f""")
+def zone_cover_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zone of each customer's place and of a ring of 80 km around it, by a grid over the zones; the SQL tests every point against every edge."""
+    from portolan.operators.zones import located
+
+    k = F.col("c_custkey")
+    points = table(spark, sf_dir, "customer").select("c_custkey", ((k * 104729) % 16000 / 100.0 - 80).alias("a"), ((k * 7919) % 36000 / 100.0 - 180).alias("o"))
+    return located(points, _zones(spark, sf_dir), "a", "o", guard_km=80.0, size=4.0, band=0.5).select("c_custkey", "zone", "disposition")
+
+
 _CANONICAL = """c AS (SELECT event_id, CASE event_id % 17 WHEN 0 THEN ' l h ' WHEN 1 THEN 'TOOLONG' ELSE 'LH' END AS carrier, CASE event_id % 19 WHEN 0 THEN '' ELSE (event_id % 1000)::VARCHAR END AS number, 'A' || chr((65 + user_id % 26)::INTEGER) || 'X' AS origin, 'A' || chr((65 + (user_id * 3) % 26)::INTEGER) || 'X' AS destination, ts AS departure, ts + to_minutes(CASE event_id % 23 WHEN 0 THEN 0 WHEN 1 THEN 2161 ELSE 60 + event_id % 300 END) AS arrival,
 CASE event_type WHEN 'view' THEN 'Arrived' WHEN 'click' THEN ' canceled' WHEN 'signup' THEN 'delayed' ELSE 'landed' END AS status, (event_id % 191) - 95.0 AS latitude, (event_id % 361) - 180.0 AS longitude, CASE event_id % 29 WHEN 0 THEN 900 ELSE 60 END AS offset_minutes FROM events),
 n AS (SELECT *, upper(replace(carrier, ' ', '')) AS k, CASE lower(trim(status)) WHEN 'arrived' THEN 'landed' WHEN 'canceled' THEN 'cancelled' WHEN 'landed' THEN 'landed' END AS s, date_diff('microsecond', departure, arrival) / 3600000000.0 AS h FROM c)"""

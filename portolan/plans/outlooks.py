@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from portolan.functions import scores
+from portolan.operators.running import exact_quantile
 from portolan.plans.registry import query
 from portolan.sources.tables import LEGS, legs, table
 
@@ -19,10 +20,13 @@ o AS (SELECT origin, destination, observations, known, late_15, late_30, late_60
 
 def _outlook(rows: DataFrame) -> DataFrame:
     late = {t: F.count_if(F.col("delay") >= t) for t in (15, 30, 60)}
-    groups = rows.filter("status = 'landed'").groupBy("origin", "destination").agg(
+    landed = rows.filter("status = 'landed'")
+    groups = landed.groupBy("origin", "destination").agg(
         F.count("*").alias("observations"), F.count("delay").alias("known"), *[x.alias(f"late_{t}") for t, x in late.items()],
-        F.floor(F.percentile(F.when(F.col("delay") >= 15, F.col("delay")), 0.5) + 0.5).alias("typical_late"), F.to_date(F.min("ts")).alias("first_day"), F.to_date(F.max("ts")).alias("last_day"),
+        F.to_date(F.min("ts")).alias("first_day"), F.to_date(F.max("ts")).alias("last_day"),
     )
+    typical = exact_quantile(landed.filter("delay >= 15"), ["origin", "destination"], "delay", 0.5, "median_")
+    groups = groups.join(typical, ["origin", "destination"], "left").withColumn("typical_late", F.floor(F.col("median_") + 0.5)).drop("median_")
     low, high = scores.wilson(F.col("late_15"), F.col("known"))
     groups = groups.withColumns({"laplace": scores.laplace(F.col("late_15"), F.col("known")), "low": low, "high": high})
     return groups.withColumn("confidence", scores.confidence(F.col("known"), F.col("low"), F.col("high")))

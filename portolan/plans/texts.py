@@ -28,6 +28,26 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy("score", "p_name", "p_partkey"))).select("rank", "p_partkey", "score")
 
 
+_NORMAL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS entry, p_name AS title, 'p' || p_partkey AS code, {_NORMAL.format("p_brand")} AS place, {_NORMAL.format("p_name")} AS name, {_NORMAL.format("p_type")} AS land FROM part),
+r AS (SELECT unnest([p_name, split_part(p_name, ' ', 2), p_brand, substr(p_name, 3, 5), p_type || ' ' || split_part(p_name, ' ', 1), 'P-' || p_partkey, split_part(p_name, ' ', 2) || ' ' || right(p_brand, 1), left(p_name, 1), p_type || ' none']) AS raw FROM part),
+q AS (SELECT DISTINCT rtrim(left({_NORMAL.format("raw")}, 60)) AS query FROM r), m AS (SELECT query, entry, title, code, CASE WHEN code = replace(query, ' ', '') THEN 0 WHEN place = query THEN 10 WHEN name = query THEN 12 WHEN starts_with(code, replace(query, ' ', '')) THEN 18 WHEN starts_with(place, query) THEN 20
+WHEN starts_with(name, query) THEN 24 WHEN len(list_filter(string_split(query, ' '), lambda w: NOT contains(code || ' ' || place || ' ' || name || ' ' || land, w))) = 0 THEN 40 + coalesce(least(nullif(instr(place, query), 0), nullif(instr(name, query), 0)) - 1, 20) END AS score FROM q, t WHERE len(query) >= 2)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY score, title, code, entry)::INTEGER AS rank, entry, score::INTEGER AS score FROM m WHERE score IS NOT NULL QUALIFY rank <= 8""")
+def indexed_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight best parts for each of all the searches that parts suggest: names, words of them, brands, middles of words, codes. The SQL tries every part for every search."""
+    from portolan.operators.search import search
+
+    parts = table(spark, sf_dir, "part")
+    entries = parts.select(F.col("p_partkey").alias("entry"), F.col("p_name").alias("title"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("code"), *[fn.search_text(F.col(c)).alias(n) for c, n in (("p_brand", "place"), ("p_name", "name"), ("p_type", "land"))])
+    first, second = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
+    suggested = [F.col("p_name"), second, F.col("p_brand"), F.substring("p_name", 3, 5), F.concat_ws(" ", "p_type", first), F.concat(F.lit("P-"), F.col("p_partkey").cast("string")), F.concat_ws(" ", second, F.right("p_brand", F.lit(1))), F.substring("p_name", 1, 1), F.concat("p_type", F.lit(" none"))]
+    asked = parts.select(F.explode(F.array(*suggested)).alias("raw")).distinct().select(fn.search_text(F.col("raw")).alias("query"))
+    return search(entries, asked)
+
+
 @query("""WITH h AS (SELECT p_partkey, '  Código ' || p_type || ' – Nº' || p_size AS raw, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 5 = 0 THEN '  ' ELSE ' ' || lower(p_brand) || '   x ' END AS c FROM part),
 k AS (SELECT p_partkey, regexp_replace(regexp_replace(lower(strip_accents(replace(raw, 'º', 'o'))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key, raw, CASE WHEN c IS NULL OR trim(c) = '' THEN '__MISSING__' ELSE upper(trim(regexp_replace(c, '\\s+', ' ', 'g'))) END AS category FROM h)
 SELECT p_partkey, key, category, left(key, 48) || '_' || left(sha256(raw), 10) AS token, 'P' || left(sha256(p_partkey || '|' || category), 24) AS record_id FROM k""".replace("\\\\s", "\\s"))
