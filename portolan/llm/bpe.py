@@ -105,8 +105,9 @@ def merged(rules: Rules, content: np.ndarray, lengths: np.ndarray) -> tuple[np.n
         keep[takes + 1] = False
         now = np.cumsum(keep) - 1
         symbols, word, rank = symbols[keep], word[keep], rank[keep]
-        changed = now[takes]
-        changed = np.unique(np.concatenate([changed, changed[changed > 0] - 1]))
+        stale = np.zeros(len(symbols) + 1, bool)  # the merged symbols' pairs and the ones before them; the last place is for none before
+        stale[now[takes]] = stale[now[takes] - 1] = True
+        changed = np.flatnonzero(stale[:-1])
         inner = changed[changed < len(symbols) - 1]
         rank[changed] = NONE
         rank[inner] = np.where(word[inner] == word[inner + 1], rules.rank(symbols[inner], symbols[inner + 1]), NONE)
@@ -128,57 +129,60 @@ class Encoder:
         self.words = regex.compile(public_tokenizers.PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.rules.special, key=len, reverse=True))) or r"(?!)")
 
-    def pieces(self, text: str):
-        """Pre-tokens in order; the id of a special token in place of its string."""
-        at = 0
+    def pieces(self, text: str) -> tuple[list[str | None], list[int]]:
+        """(pre-tokens in order, None in place of a special token's string; the ids of those)."""
+        if not self.special.search(text):
+            return self.words.findall(text), []
+        out, ids, at = [], [], 0
         for found in self.special.finditer(text):
-            yield from self.words.findall(text[at : found.start()])
-            yield self.rules.special[found[0]]
+            out += self.words.findall(text[at : found.start()])
+            out.append(None)
+            ids.append(self.rules.special[found[0]])
             at = found.end()
-        yield from self.words.findall(text[at:] if at else text)
+        return out + self.words.findall(text[at:]), ids
 
-    def ids(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, pieces: list[str | None], special: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, number of ids of each piece)."""
-        strange = [(i, p) for i, p in enumerate(pieces) if isinstance(p, int)]
-        for i, _ in strange:
-            pieces[i] = None
         coded = pa.array(pieces, pa.large_string()).dictionary_encode()
         words = coded.dictionary.cast(pa.large_binary())
         lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        content = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
-        ids, counts = merged(self.rules, content, lengths)
-        ids, starts = np.append(ids, [i for _, i in strange]), np.cumsum(np.append(0, counts))[:-1]
-        which = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        own = which < 0  # a special token is one id behind all words
-        counts, starts = np.append(counts, np.ones(len(strange), np.int64)), np.append(starts, len(ids) - len(strange) + np.arange(len(strange)))
-        which[own] = len(words) + np.arange(len(strange))
+        ids, counts = merged(self.rules, np.frombuffer(b"".join(words.to_pylist()), np.uint8), lengths)
+        starts = np.cumsum(counts) - counts
+        if special:  # each is one id behind all words
+            which = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            which[which < 0] = len(words) + np.arange(len(special))
+            starts, counts, ids = np.append(starts, len(ids) + np.arange(len(special))), np.append(counts, np.ones(len(special), np.int64)), np.append(ids, special)
+        else:
+            which = coded.indices.to_numpy(zero_copy_only=False)
         n = counts[which]
-        flat = np.repeat(starts[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return ids[flat].astype(np.int64), n
+        ends = np.cumsum(n)
+        return ids[np.repeat(starts[which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32), n
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; pre-tokens are encoded together in chunks of bounded size, across texts and within long ones."""
+        """The ids of each text; pre-tokens are encoded together in chunks of about `chunk` letters, across texts and within long ones."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
-        held, rows, size = [], [], 0
+        held, special, rows, size = [], [], [], 0
 
         def flush() -> None:
-            nonlocal held, rows, size
-            ids, n = self.ids(held)
+            nonlocal held, special, rows, size
+            ids, n = self.ids(held, special)
             ends = np.cumsum(np.append(0, n))
             for row, a, b in rows:
                 out[row].append(ids[ends[a] : ends[b]])
-            held, rows, size = [], [], 0
+            held, special, rows, size = [], [], [], 0
 
         for row, text in enumerate(texts):
-            first = len(held)
-            for piece in self.pieces(text or ""):
-                held.append(piece)
-                size += len(piece) if isinstance(piece, str) else 1
+            pieces, own = self.pieces(text or "")
+            step = max(1, len(pieces) * self.chunk // max(len(text or ""), self.chunk))  # all of them, but in a long text
+            for at in range(0, max(1, len(pieces)), step):
+                part = pieces[at : at + step]
+                mine = part.count(None) if own else 0
+                rows.append((row, len(held), len(held) + len(part)))
+                held += part
+                special, own = special + own[:mine], own[mine:]
+                size += len(text or "") * len(part) // max(1, len(pieces)) + 1
                 if size >= self.chunk:
-                    rows.append((row, first, len(held)))
                     flush()
-                    first = 0
-            rows.append((row, first, len(held)))
         flush()
         return [np.concatenate(x) if len(x) > 1 else x[0] for x in out]
 
@@ -200,7 +204,7 @@ def encode(docs: DataFrame, json_path: str, text_col: str = "text") -> DataFrame
                 batch = whole.slice(a, b - a)
                 ids = encoder.encode(batch.column(text).to_pylist())
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, "ids_"])
 
     return docs.toDF(*names).mapInArrow(freeing(run), schema).toDF(*docs.columns, "ids")
