@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from portolan.llm.common import WORD, materialize
 
 
+#: Rounds of nearing a target; each at least brings a source half a word nearer, and in practice an eighth of its gap or less is left.
+ROUNDS = 100
+
+
 def targets(sources: DataFrame, most: float) -> DataFrame:
     """source_size -> target: shares by weight 1, 2, 3, ..., at most `most` times the source's size each.
 
@@ -32,7 +36,7 @@ def targets(sources: DataFrame, most: float) -> DataFrame:
         .withColumn("total", F.sum("source_size").over(every).cast("double"))
         .withColumn("limit_", F.col("source_size") * F.lit(float(most)))
         .withColumn("left_", F.col("total") - F.coalesce(F.sum("limit_").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("level", F.col("left_") / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("level", F.col("left_") / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))))
     )
     # the first source that stays open sets the level of all that do
     out = out.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") < F.col("limit_"), F.struct(F.col("limit_") / F.col("weight"), F.col("source").isNull(), "source", "level"))).over(every)["level"])
@@ -113,7 +117,7 @@ def _tilted(state: DataFrame, most: int) -> DataFrame:
 
 def retilted(state: DataFrame, most: int) -> DataFrame:
     """state with what rounding has left of each source taken up by its smaller sizes, until no source comes nearer."""
-    while True:
+    for _ in range(ROUNDS):
         after = _rounded(_tilted(state, most), most).select(F.col("source").alias("as"), F.col("size").alias("az"), F.col("w").alias("aw"), F.col("quota").alias("aq"), F.col("gap").alias("ag"))
         nearer = F.abs("ag") < F.abs("gap") - 0.5
         pick = [F.when(nearer, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("aw", "w"), ("aq", "quota"), ("ag", "gap"))]
@@ -122,6 +126,7 @@ def retilted(state: DataFrame, most: int) -> DataFrame:
         if state.filter("nearer").isEmpty():
             return state.drop("nearer")
         state = state.drop("nearer")
+    raise RuntimeError(f"rounding did not settle in {ROUNDS} rounds")
 
 
 def exchanged(state: DataFrame, most: int) -> DataFrame:
@@ -131,15 +136,15 @@ def exchanged(state: DataFrame, most: int) -> DataFrame:
     found next to it in their order; 0 stands for moving one copy alone.
     """
     state = materialize(state.select("source", "size", "n", "target", "quota", "gap"), "mix-exchange")
-    while True:
+    for _ in range(ROUNDS):
         up, down = F.when(F.col("quota") < F.col("n") * most, F.col("size")), F.when(F.col("quota") > 0, -F.col("size"))
         moves = state.select("source", "gap", F.explode(F.array(up, down, F.lit(0).cast("long"))).alias("v")).filter("v is not null").distinct()
         # wanted partners and moves in one order: what is nearest to a wanted number stands beside it
         both = moves.select("source", "gap", F.col("v").cast("double").alias("at"), F.col("v").alias("move"), F.lit(None).cast("long").alias("first"))
         both = both.unionByName(moves.select("source", "gap", (F.col("gap") - F.col("v")).alias("at"), F.lit(None).cast("long").alias("move"), F.col("v").alias("first")))
-        order = Window.partitionBy("source").orderBy("at", F.col("move").isNull())
-        below = F.last("move", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        above = F.first("move", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+        # two opposite orders, each with a frame that only grows: one that ends at the last row would be summed anew for every row
+        up_, down_ = (F.col("at").asc(), F.col("move").isNull().asc()), (F.col("at").desc(), F.col("move").isNull().desc())
+        below, above = (F.last("move", True).over(Window.partitionBy("source").orderBy(*way).rowsBetween(Window.unboundedPreceding, 0)) for way in (up_, down_))
         pairs = both.withColumns({"below": below, "above": above}).withColumn("second", F.explode(F.array("below", "above"))).filter("first is not null and second is not null and first <> second")
         pairs = pairs.withColumn("left_", F.abs(F.col("gap") - F.col("first") - F.col("second"))).filter(F.col("left_") < F.abs("gap") - 0.5)
         best = pairs.groupBy("source").agg(F.min(F.struct("left_", F.abs("first").alias("far"), "first", "second")).alias("b"))
@@ -150,6 +155,7 @@ def exchanged(state: DataFrame, most: int) -> DataFrame:
         steps = [F.when(F.abs(m) == F.col("size"), F.signum(m)).otherwise(0) for m in (F.coalesce("one", F.lit(0)), F.coalesce("two", F.lit(0)))]
         moved = moved.select("source", "size", "n", "target", (F.col("quota") + steps[0] + steps[1]).cast("long").alias("quota"), (F.col("gap") - F.coalesce("one", F.lit(0)) - F.coalesce("two", F.lit(0))).alias("gap"))
         state = materialize(moved, "mix-exchange")
+    raise RuntimeError(f"exchanges did not settle in {ROUNDS} rounds")
 
 
 def mix_plan(docs: DataFrame, most: int, steps: int, blocks: int, block_rows: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
