@@ -1,11 +1,8 @@
-"""Distances, bearings and points on a sphere, and points in polygons."""
+"""Distances, bearings and points on a sphere."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Mean radius of the Earth in km.
@@ -35,62 +32,3 @@ def destination(lat: Column, lon: Column, degrees: Column, km: Column, radius: f
     lat2 = F.asin(F.sin(a) * F.cos(d) + F.cos(a) * F.sin(d) * F.cos(t))
     lon2 = o + F.atan2(F.sin(t) * F.sin(d) * F.cos(a), F.cos(d) - F.sin(a) * F.sin(lat2))
     return F.degrees(lat2), F.pmod(F.degrees(lon2) + 540, F.lit(360.0)) - 180
-
-
-def inside(xs: np.ndarray, ys: np.ndarray, ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which points lie in a closed ring of (x, y) corners, and which on its edge."""
-    found, edge = np.zeros(len(xs), bool), np.zeros(len(xs), bool)
-    for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, axis=0)):
-        cross = (x2 - x1) * (ys - y1) - (y2 - y1) * (xs - x1)
-        on = (np.abs(cross) < 1e-12) & (xs >= min(x1, x2)) & (xs <= max(x1, x2)) & (ys >= min(y1, y2)) & (ys <= max(y1, y2))
-        edge |= on
-        if y1 != y2:
-            crosses = (y1 > ys) != (y2 > ys)
-            found ^= crosses & (xs < (x2 - x1) * (ys - y1) / (y2 - y1) + x1)
-    return found, edge
-
-
-def within(xs: np.ndarray, ys: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
-    """Which points lie in an odd number of rings: in a zone of several polygons with holes, whose edges belong to it."""
-    found, edge = np.zeros(len(xs), bool), np.zeros(len(xs), bool)
-    for ring in rings:
-        low, high = ring.min(axis=0), ring.max(axis=0)
-        near = np.flatnonzero((xs >= low[0]) & (xs <= high[0]) & (ys >= low[1]) & (ys <= high[1]))
-        if len(near):
-            held, on = inside(xs[near], ys[near], ring)
-            found[near] ^= held
-            edge[near] |= on
-    return found | edge
-
-
-def locate(points: DataFrame, polygons: list[tuple[str, list]], lat: str, lon: str, guard_km: float = 1.0, bearings: int = 8) -> DataFrame:
-    """points with zone and disposition: the one polygon that holds the point and all points around it.
-
-    `resolved` if the point and its ring of guards lie in one and the same polygon, else `near_border`, `overlap` or
-    `outside`. polygons is a small list of (name, [(lat, lon), ...]), by its nature bounded; it is read in each task. In place
-    of one ring a zone may have a list of rings, those of holes among them.
-    """
-    rings = [(name, [np.array([(b, a) for a, b in ring], float) for ring in (shape if isinstance(shape[0], list) else [shape])]) for name, shape in polygons]
-
-    def one(lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
-        """Bit i: in polygon i, for Python's unbounded integers."""
-        out = np.zeros(len(lats), object)
-        for i, (_, parts) in enumerate(rings):
-            out += within(lons, lats, parts).astype(object) * (1 << i)
-        return out
-
-    def run(batches):
-        for pdf in batches:
-            lats, lons = pdf[lat].to_numpy(float), pdf[lon].to_numpy(float)
-            home, same = one(lats, lons), np.ones(len(pdf), bool)
-            for k in range(bearings):
-                a, o, t, d = np.radians(lats), np.radians(lons), 2 * math.pi * k / bearings, guard_km / RADIUS_KM
-                lat2 = np.arcsin(np.sin(a) * math.cos(d) + np.cos(a) * math.sin(d) * math.cos(t))
-                lon2 = o + np.arctan2(math.sin(t) * math.sin(d) * np.cos(a), math.cos(d) - np.sin(a) * np.sin(lat2))
-                same &= one(np.degrees(lat2), (np.degrees(lon2) + 540) % 360 - 180) == home
-            names = [rings[int(h).bit_length() - 1][0] if h and h & (h - 1) == 0 else None for h in home]
-            fate = ["outside" if not h else "overlap" if h & (h - 1) else "resolved" if s else "near_border" for h, s in zip(home, same)]
-            yield pdf.assign(zone=[n if f == "resolved" else None for n, f in zip(names, fate)], disposition=fate)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema) + ", zone string, disposition string"
-    return points.mapInPandas(run, schema)

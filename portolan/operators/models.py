@@ -93,3 +93,18 @@ def disparities(df: DataFrame, ours: str, theirs: str, most: float = 1e-9) -> Da
     """Rows whose two scores differ by more than `most`, and rows where either is null or NaN; a parity gate is assert_empty of these."""
     gap = F.abs(F.col(ours) - F.col(theirs))
     return df.filter(F.coalesce(F.isnan(gap) | (gap > most), F.lit(True)))
+
+
+def exported(model, features: list[str]) -> list[dict]:
+    """Fitted boosted trees in the node format of tree_value, each leaf with its tree's weight: their sum is the margin.
+
+    A value goes left up to the threshold. NaN and null go right, as the fitted model takes NaN. Trees are bounded by their depth and number.
+    """
+
+    def walk(node, weight: float) -> dict:
+        if node.numDescendants() == 0:
+            return {"leaf": weight * float(node.prediction())}
+        split = node.split()
+        return {"feature": features[split.featureIndex()], "op": "<=", "threshold": float(split.threshold()), "missing": "no", "yes": walk(node.leftChild(), weight), "no": walk(node.rightChild(), weight)}
+
+    return [walk(tree._java_obj.rootNode(), float(weight)) for tree, weight in zip(model.trees, model.treeWeights)]

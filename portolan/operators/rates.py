@@ -67,11 +67,12 @@ def bounded_sample(df: DataFrame, fold: str, key: Column, most: int) -> DataFram
     return ranked.join(F.broadcast(budgets(df, fold, most)), F.col(fold) == F.col("fold_")).filter(F.col("place") <= F.col("quota")).drop("fold_", "hash_", "quota")
 
 
-def ranked_vocabulary(df: DataFrame, caps: dict[str, int]) -> DataFrame:
-    """field, value, n and rank by (-n, value), at most the field's cap. The largest cap is cut before the shuffle."""
+def ranked_vocabulary(df: DataFrame, caps: dict[str, int], nulls: bool = True) -> DataFrame:
+    """field, value, n and rank by (-n, value), at most the field's cap; null is a value too, unless nulls is False. The largest cap is cut before the shuffle."""
     cap = F.lit(None).cast("int")
     for name, most in caps.items():
         cap = F.when(F.col("level") == name, F.lit(most)).otherwise(cap)
-    groups = keyed(df, list(caps)).groupBy("level", "key").agg(F.count("*").alias("n"))
+    pairs = keyed(df, list(caps))
+    groups = (pairs if nulls else pairs.filter("key is not null")).groupBy("level", "key").agg(F.count("*").alias("n"))
     place = Window.partitionBy("level").orderBy(F.col("n").desc(), "key")
     return groups.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= max(caps.values())).filter(F.col("rank") <= cap).withColumnsRenamed({"level": "field", "key": "value"})

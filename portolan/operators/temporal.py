@@ -87,3 +87,14 @@ def consecutive_months(months: DataFrame, month: str) -> DataFrame:
     """Each first-of-month date with whether it directly follows the one before it. One row a month."""
     before = F.lag(month).over(Window.orderBy(month))
     return months.select(month, F.coalesce(before == F.add_months(month, -1), F.lit(True)).alias("consecutive"))
+
+
+def with_snapshot(predictions: DataFrame, snapshot: DataFrame, by: list[str], at: str, as_of: int, measures: list[str]) -> DataFrame:
+    """predictions with the measures of a snapshot taken at `as_of`, 0 for groups it has not.
+
+    The plan itself fails on a prediction older than the snapshot, or without a time: such a row must not be scored with what was known later, and is not dropped silently either.
+    """
+    late = F.coalesce(F.col(at) >= as_of, F.lit(False))
+    checked = predictions.withColumn(at, F.when(late, F.col(at)).otherwise(F.raise_error(F.concat(F.lit(f"a prediction is older than its snapshot of {as_of}: "), F.coalesce(F.col(at).cast("string"), F.lit("no time")))).cast("long")))
+    joined = checked.join(snapshot.select(*by, *measures), by, "left")
+    return joined.select(*predictions.columns, *[F.coalesce(m, F.lit(0)).alias(m) for m in measures])

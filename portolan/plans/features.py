@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portolan.functions import calendar, clocks, geo
+from portolan.operators.zones import located
 from portolan.plans.registry import query
 from portolan.sources.tables import LEGS, legs, table
 
@@ -99,7 +100,8 @@ SELECT s_suppkey, CASE WHEN abs(a) > 79 OR abs(b) > 169 OR b = 0 OR (a = 0 AND b
 def zone_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The box that holds a point and a ring around it; none near a border or where boxes overlap."""
     rows = _points(spark, sf_dir).select("s_suppkey", "a", "b")
-    return geo.locate(rows, BOXES, "a", "b").select("s_suppkey", "zone")
+    boxes = spark.createDataFrame([(name, [[(float(b), float(a)) for a, b in ring]]) for name, ring in BOXES], "zone string, rings array<array<array<double>>>")
+    return located(rows, boxes, "a", "b", size=8.0, band=8.0).select("s_suppkey", "zone")
 
 
 #: A zone for each nation: a hexagon around its place with a hole of the same form in every second one; neighbours overlap.
@@ -127,8 +129,6 @@ f AS (SELECT c_custkey, max(n) FILTER (home) AS h, max(zone) FILTER (home) AS zo
 SELECT c_custkey, CASE WHEN h = 1 AND one THEN zone END AS zone, CASE WHEN h = 0 THEN 'outside' WHEN h > 1 THEN 'overlap' WHEN one THEN 'resolved' ELSE 'near_border' END AS disposition FROM f""")
 def zone_cover_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The zone of each customer's place and of a ring of 80 km around it, by a grid over the zones; the SQL tests every point against every edge."""
-    from portolan.operators.zones import located
-
     k = F.col("c_custkey")
     points = table(spark, sf_dir, "customer").select("c_custkey", ((k * 104729) % 16000 / 100.0 - 80).alias("a"), ((k * 7919) % 36000 / 100.0 - 180).alias("o"))
     return located(points, _zones(spark, sf_dir), "a", "o", guard_km=80.0, size=4.0, band=0.5).select("c_custkey", "zone", "disposition")
@@ -171,3 +171,25 @@ def identity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     km = geo.great_circle(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     fate = F.when(F.col("lat2").isNull(), "no_reference").when(F.col("country") != F.col("country2"), "country_differs").when(km > 5, "too_far").when(km > 1, "near_only").when(F.col("n") > 2, "code_not_unique").otherwise("accepted")
     return rows.select("id", fate.alias("disposition"), km.alias("km"))
+
+
+_OUTCOMES = """c AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'landed' WHEN 'click' THEN 'cancelled' WHEN 'signup' THEN 'diverted' WHEN 'purchase' THEN 'landed' ELSE 'scheduled' END AS status, ts AS departure, (user_id % 27 - 13) * 60 AS offset_minutes,
+CASE WHEN event_id % 41 = 0 THEN ts::DATE ELSE (ts + to_minutes((user_id % 27 - 13) * 60))::DATE END AS service_date, CASE WHEN event_id % 5 > 0 THEN ts + to_minutes((event_id % 50)::INTEGER) END AS actual_departure,
+CASE WHEN event_type IN ('view', 'purchase', 'signup') AND event_id % 6 > 0 OR event_id % 31 = 0 THEN ts + to_minutes((event_id % 300)::INTEGER) END AS actual_arrival, CASE WHEN event_type <> 'error' OR event_id % 13 = 0 THEN ts + to_minutes((event_id % 400)::INTEGER) END AS outcome_seen FROM events)"""
+
+
+@query(f"""WITH {_OUTCOMES} SELECT event_id, CASE WHEN actual_arrival < actual_departure THEN 'actual_order' WHEN status IN ('cancelled', 'scheduled') AND actual_arrival IS NOT NULL THEN 'arrival_of_none' WHEN status = 'scheduled' AND outcome_seen IS NOT NULL THEN 'outcome_of_none'
+WHEN status = 'landed' AND outcome_seen < actual_arrival THEN 'landed_early' WHEN status = 'diverted' AND outcome_seen < actual_departure THEN 'diverted_early' WHEN service_date <> (departure + to_minutes(offset_minutes))::DATE THEN 'service_date' END AS reject_reason FROM c""")
+def canonical_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips with their actual times and when these were seen, each with the first reason to reject it."""
+    from portolan.operators import validation as v
+
+    e, k, kind = table(spark, sf_dir, "events"), F.col("event_id"), F.col("event_type")
+    status = F.when(kind.isin("view", "purchase"), "landed").when(kind == "click", "cancelled").when(kind == "signup", "diverted").otherwise("scheduled")
+    later = lambda minutes: F.timestamp_micros(F.unix_micros("ts") + minutes.cast("long") * 60_000_000)
+    offset = (F.col("user_id") % 27 - 13) * 60
+    rows = e.select(
+        "event_id", status.alias("status"), F.col("ts").alias("departure"), offset.alias("offset_minutes"), F.to_date(F.when(k % 41 == 0, F.col("ts")).otherwise(later(offset))).alias("service_date"), F.when(k % 5 > 0, later(k % 50)).alias("actual_departure"),
+        F.when((kind.isin("view", "purchase", "signup") & (k % 6 > 0)) | (k % 31 == 0), later(k % 300)).alias("actual_arrival"), F.when((kind != "error") | (k % 13 == 0), later(k % 400)).alias("outcome_seen"),
+    )
+    return v.audited(rows, v.outcome_rules()).select("event_id", "reject_reason")

@@ -147,3 +147,16 @@ def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     except ValueError:  # nothing was learned; the scores stay as they are
         slope, intercept = 1.0, 0.0
     return op.ranking(scored.filter("day > 20").select(F.lit("test").alias("part"), platt(F.col("raw_score"), slope, intercept).alias("score"), F.col("y").cast("int").alias("y")), ["part"], "score", "y")
+
+
+@query("SELECT dayofmonth(ts)::INTEGER AS day, count(*) AS n, true AS agrees FROM events WHERE dayofmonth(ts) > 20 GROUP BY ALL")
+def exported_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted trees written as data and scored as expressions, against the fitted model, for every case of the last days; they may differ by 1e-9."""
+    from portolan.operators import models
+
+    e = table(spark, sf_dir, "events").select("event_id", "value", F.hour("ts").cast("double").alias("hour"), (F.col("user_id") % 8).cast("double").alias("carrier"), (F.col("event_type") == "purchase").cast("double").alias("y"), F.dayofmonth("ts").alias("day"))
+    features = ["value", "hour", "carrier"]
+    model = models.fit_trees(e.filter("day <= 15").withColumn("check", F.col("day") > 12), features, "y", "check", rounds=4, depth=3)
+    scored = models.margins(model, e.filter("day > 20"), features).withColumn("exported", models.ensemble(models.exported(model, features)))
+    close = F.coalesce(F.abs(F.col("raw_score") - F.col("exported")) <= 1e-9, F.lit(False))
+    return scored.groupBy("day").agg(F.count("*").alias("n"), F.bool_and(close).alias("agrees"))

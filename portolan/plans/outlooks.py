@@ -130,3 +130,67 @@ def factor_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.array(*[F.struct((-F.round(F.abs(d), 12)).alias("o"), F.lit(n).alias("factor"), d.alias("delta")) for n, d in deltas.items()])
     top = table(spark, sf_dir, "events").select("event_id", F.posexplode(F.slice(F.array_sort(items), 1, 3)).alias("i", "f"))
     return top.select("event_id", "f.factor", "f.delta", (F.col("i") + 1).alias("rank"))
+
+
+#: An order as an offer: its first two lines are the way out, the others the way back; prices in three ways of writing, two of them faulty at times.
+_DOCUMENTS = """l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS i FROM lineitem),
+s AS (SELECT l_orderkey, i, l_shipdate, l_quantity, CASE WHEN l_quantity > 48 THEN 'x1' ELSE 'A' || chr((65 + l_suppkey % 26)::INTEGER) || chr((65 + l_partkey % 26)::INTEGER) END AS a, 'B' || chr((65 + l_partkey % 26)::INTEGER) || chr((65 + l_suppkey % 26)::INTEGER) AS b, l_returnflag || l_linestatus AS code, l_returnflag AS r, l_linestatus AS z, l_partkey,
+  strftime(l_shipdate, '%Y-%m-%dT08:00:00') AS dep, strftime(l_shipdate + to_hours(6 + l_quantity::INTEGER), '%Y-%m-%dT%H:00:00') AS arr FROM l),
+v AS (SELECT *, l_quantity > 2 AND l_quantity <= 48 AS sound, a || ':' || b || ':' || code || ':' || l_partkey || ':' || dep || ':' || arr AS ident FROM s),
+g AS (SELECT l_orderkey, count(*) FILTER (i > 2) AS n_back, count(*) FILTER (i <= 2) AS n_out, bool_and(sound) AS sound, arg_min(a, i) AS first_a, arg_max(b, i) FILTER (i <= 2) AS out_b, min_by(dep, i) AS first_dep, string_agg(ident, '|' ORDER BY i) FILTER (i <= 2) AS out_ident, string_agg(ident, '|' ORDER BY i) FILTER (i > 2) AS back_ident,
+  arg_min(a, i) FILTER (i > 2) AS back_a, arg_max(b, i) AS last_b, list(code || '=Air ' || r ORDER BY i) AS carriers, list(z || 'X=Op ' || z ORDER BY i) AS operators FROM v GROUP BY l_orderkey),
+o AS (SELECT o_orderkey, o_orderstatus, g.*, CASE o_orderstatus WHEN 'F' THEN 'USD' WHEN 'O' THEN 'JPY' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'eur' ELSE 'KWD' END END AS currency, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN floor(o_totalprice)::BIGINT::VARCHAR WHEN o_orderkey % 23 = 0 THEN '-5.00' ELSE (floor(o_totalprice)::BIGINT)::VARCHAR || '.25' END AS amount,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'business' WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'economy' END AS cabin, o_orderkey % 17 = 0 AS self_transfer, o_orderkey % 19 = 0 AS other_way, o_orderkey % 29 = 0 AS other_day FROM orders JOIN g ON o_orderkey = l_orderkey)"""
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as captured JSON, and what was asked for."""
+    lines, k = table(spark, sf_dir, "lineitem"), F.col("o_orderkey")
+    letter = lambda c: F.char((65 + F.col(c) % 26).cast("int"))
+    carrier = lambda c, n: F.struct(c.alias("code"), n.alias("name"))
+    stamp = lambda t, p: F.date_format(t, p)
+    arrival = F.timestamp_micros(F.unix_micros("l_shipdate") + (6 + F.col("l_quantity").cast("int")).cast("long") * 3_600_000_000)
+    segment = F.struct(
+        F.when(F.col("l_quantity") > 48, "x1").otherwise(F.concat(F.lit("A"), letter("l_suppkey"), letter("l_partkey"))).alias("origin"), F.concat(F.lit("B"), letter("l_partkey"), letter("l_suppkey")).alias("destination"),
+        stamp("l_shipdate", "yyyy-MM-dd'T08:00:00'").alias("departure"), stamp(arrival, "yyyy-MM-dd'T'HH:00:00").alias("arrival"), F.col("l_partkey").cast("string").alias("number"),
+        carrier(F.concat("l_returnflag", "l_linestatus"), F.concat(F.lit("Air "), "l_returnflag")).alias("carrier"), carrier(F.concat("l_linestatus", F.lit("X")), F.concat(F.lit("Op "), "l_linestatus")).alias("operator"),
+    )
+    listed = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", segment.alias("s")))).alias("every"))  # an order's few lines
+    rows = table(spark, sf_dir, "orders").join(listed, k == F.col("l_orderkey")).withColumn("every", F.col("every.s"))
+    out, back = F.slice("every", 1, 2), F.slice("every", 3, 1 << 20)
+    currency = F.when(F.col("o_orderstatus") == "F", "USD").when(F.col("o_orderstatus") == "O", "JPY").when(k % 3 == 0, "eur").otherwise("KWD")
+    whole = F.floor("o_totalprice").cast("string")
+    amount = F.when((F.col("o_orderstatus") == "O") & (k % 2 == 0), whole).when(k % 23 == 0, "-5.00").otherwise(F.concat(whole, F.lit(".25")))
+    cabin = F.when(k % 7 == 0, "business").when(k % 5 != 0, "economy")
+    document = F.to_json(F.struct(F.struct(amount.alias("amount"), currency.alias("currency")).alias("price"), cabin.alias("cabin"), (k % 17 == 0).alias("self_transfer"), F.struct(out.alias("segments")).alias("outbound"), F.when(F.size(back) > 0, F.struct(back.alias("segments"))).alias("inbound")))
+    start, end = F.get("every", F.lit(0)), F.element_at(out, -1)
+    first_day = F.to_date(F.substring(start["departure"], 1, 10))
+    back_day = F.to_date(F.substring(F.get(back, F.lit(0))["departure"], 1, 10))
+    return rows.select(
+        "o_orderkey", document.alias("document"), F.when(k % 19 == 0, "ZZZ").otherwise(start["origin"]).alias("want_origin"), end["destination"].alias("want_destination"), F.when(k % 29 == 0, F.date_add(first_day, 1)).otherwise(first_day).alias("want_departure"),
+        F.when(k % 4 != 0, back_day).alias("want_return"), F.lit("economy").alias("want_cabin"),
+    )
+
+
+@query(f"""WITH {_DOCUMENTS}, j AS (SELECT *, n_back > 0 AND o_orderkey % 4 <> 0 AS returns, CASE WHEN self_transfer THEN 'self_transfer' WHEN amount = '-5.00' OR currency = 'eur' THEN 'price' WHEN cabin = 'business' THEN 'cabin' WHEN (n_back > 0 AND o_orderkey % 4 <> 0) <> (n_back > 0) THEN 'return' WHEN NOT sound THEN 'segment' WHEN other_way OR other_day THEN 'itinerary' WHEN n_back > 0 AND (back_a <> out_b OR last_b <> first_a) THEN 'itinerary' END AS reject_reason FROM o),
+a AS (SELECT o_orderkey, string_agg(x, ',' ORDER BY p) AS airlines FROM (SELECT o_orderkey, x, min(p) AS p FROM (SELECT o_orderkey, unnest(list_concat(carriers, operators)) AS x, unnest(list_concat(list_transform(range(len(carriers)), lambda i: 2 * i), list_transform(range(len(carriers)), lambda i: 2 * i + 1))) AS p FROM j WHERE reject_reason IS NULL) GROUP BY ALL) GROUP BY o_orderkey)
+SELECT j.o_orderkey, reject_reason, CASE WHEN reject_reason IS NULL THEN currency END AS currency, CASE WHEN reject_reason IS NULL THEN CASE currency WHEN 'USD' THEN (amount::DECIMAL(18, 2) * 100)::BIGINT WHEN 'KWD' THEN (amount::DECIMAL(18, 2) * 1000)::BIGINT WHEN 'JPY' THEN CASE WHEN contains(amount, '.') THEN NULL ELSE amount::BIGINT END END END AS minor_units,
+CASE WHEN reject_reason IS NULL THEN (n_out - 1 + CASE WHEN returns THEN n_back - 1 ELSE 0 END)::INTEGER END AS connections, airlines, CASE WHEN reject_reason IS NULL THEN 'slice-1|' || first_a || '|' || out_b || '|' || out_ident || CASE WHEN returns THEN '||slice-2|' || back_a || '|' || last_b || '|' || back_ident ELSE '' END END AS identity FROM j LEFT JOIN a ON j.o_orderkey = a.o_orderkey""")
+def normalized_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured JSON of nested offers to rows: all or nothing on segments, carriers in first-seen order, amounts in minor units, an identity over all segments."""
+    from portolan.operators.offers import normalized
+
+    airlines = F.array_join(F.transform("airlines", lambda a: F.concat_ws("=", a["code"], a["name"])), ",").alias("airlines")
+    return normalized(_documents(spark, sf_dir), "document").select("o_orderkey", "reject_reason", "currency", "minor_units", "connections", airlines, "identity")
+
+
+@query(f"""WITH {_DOCUMENTS}, c AS (SELECT orders.o_custkey, o.o_orderkey, currency, o_totalprice AS price FROM o JOIN orders ON o.o_orderkey = orders.o_orderkey), w AS (SELECT *, min(price) OVER q AS low, max(price) OVER q AS high FROM c WINDOW q AS (PARTITION BY o_custkey)), n AS (SELECT o_custkey, count(DISTINCT currency) AS n_currencies, array_to_string(list_sort(list(DISTINCT currency)), ',') AS currencies FROM c GROUP BY o_custkey)
+SELECT o_custkey, o_orderkey, n_currencies, currencies, CASE WHEN n_currencies > 1 THEN 0.5 WHEN high > low THEN (price - low) / (high - low) ELSE 0 END::DOUBLE AS price_part FROM w JOIN n USING (o_custkey)""")
+def currency_aware_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search's prices on a scale from its cheapest to its dearest offer, or 0.5 for all of them where their currencies differ."""
+    docs = _documents(spark, sf_dir).select("o_orderkey", F.get_json_object("document", "$.price.currency").alias("currency"))
+    offers = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("price")).join(docs, "o_orderkey")
+    groups = offers.groupBy(F.col("o_custkey").alias("c_")).agg(F.min("price").alias("low"), F.max("price").alias("high"), F.sort_array(F.collect_set("currency")).alias("currencies"))  # a few currencies
+    rows = offers.join(groups, F.col("o_custkey") == F.col("c_"))
+    part = F.when(F.size("currencies") > 1, 0.5).when(F.col("high") > F.col("low"), (F.col("price") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    return rows.select("o_custkey", "o_orderkey", F.size("currencies").cast("long").alias("n_currencies"), F.array_join("currencies", ",").alias("currencies"), part.alias("price_part"))

@@ -150,3 +150,24 @@ def category_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = parts.select("p_partkey", "p_brand").join(F.broadcast(words), "p_brand", "left").join(F.broadcast(total))
     n = F.coalesce("n_value", F.lit(0))
     return joined.select("p_partkey", F.coalesce("place", F.lit(0)).alias("slot"), F.col("place").isNull().cast("int").alias("unknown"), F.log1p(n).alias("log_count"), (n / F.col("total")).alias("frequency"))
+
+
+_FIELDS5 = {"p_brand": 16, "p_type": 3, "p_size": 20, "p_first": 5, "p_last": 64}
+_PARTS5 = "t AS (SELECT p_partkey, p_size <= 30 AS fitted, p_brand, p_type, p_size::VARCHAR AS p_size, split_part(p_name, ' ', 1) AS p_first, CASE WHEN p_size % 9 = 0 THEN NULL ELSE split_part(p_name, ' ', 2) END AS p_last FROM part)"
+
+
+@query(f"""WITH {_PARTS5}, k AS ({" UNION ALL ".join(f"SELECT p_partkey, fitted, {i} AS f, {c} AS value, {cap} AS cap FROM t" for i, (c, cap) in enumerate(_FIELDS5.items()))}),
+g AS (SELECT f, value, any_value(cap) AS cap, count(*) AS n FROM k WHERE fitted GROUP BY ALL), v AS (SELECT f, value, n, row_number() OVER (PARTITION BY f ORDER BY n DESC, value) AS rank FROM g WHERE value IS NOT NULL QUALIFY rank <= cap),
+w AS (SELECT f, count(*) AS known FROM v GROUP BY f), b AS (SELECT f, known, (sum(known + 3) OVER (ORDER BY f) - known - 3) AS base FROM w), m AS (SELECT count(*) AS total FROM t WHERE fitted),
+x AS (SELECT p_partkey, base, known, rank, n, total FROM k JOIN b USING (f) LEFT JOIN v ON k.f = v.f AND k.value = v.value, m)
+SELECT p_partkey, (CASE WHEN rank IS NULL THEN base + known ELSE base + rank - 1 END)::INTEGER AS place, 1.0::DOUBLE AS value FROM x UNION ALL SELECT p_partkey, (base + known + 1)::INTEGER, ln(1 + n) FROM x WHERE rank IS NOT NULL UNION ALL SELECT p_partkey, (base + known + 2)::INTEGER, n::DOUBLE / total FROM x WHERE rank IS NOT NULL""")
+def sparse_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of each part's sparse vector over five fields, by a vocabulary of the parts up to size 30."""
+    from portolan.operators.categories import encoded, vocabulary
+    from portolan.operators.running import settled
+
+    first, last = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("string").alias("p_size"), first.alias("p_first"), F.when(F.col("p_size") % 9 != 0, last).alias("p_last"))
+    words = settled(vocabulary(parts.filter(F.col("p_size").cast("int") <= 30), _FIELDS5), "categories")  # at most as many rows as the caps add up to
+    vectors = encoded(parts, words, list(_FIELDS5))
+    return vectors.select("p_partkey", F.explode(F.arrays_zip("features.indices", "features.values")).alias("e")).select("p_partkey", F.col("e.indices").alias("place"), F.col("e.values").alias("value"))

@@ -97,8 +97,9 @@ def frozen_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, as_of = legs(spark, sf_dir), 1705708800000000
     known = rows.filter(F.col("outcome_us") < as_of).groupBy("origin").agg(F.count("*").alias("n"), F.sum((F.col("status") == "cancelled").cast("int")).alias("pos"))
     told = rows.filter(F.col("pred_us") < as_of).groupBy("origin").agg(F.count("*").alias("scheduled"))
-    later = rows.filter(F.col("pred_us") >= as_of).join(known, "origin", "left").join(told, "origin", "left")
-    return later.select("record_id", "origin", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "pos", "scheduled")])
+    snapshot = told.join(known, "origin", "full")
+    later = rows.filter(F.col("pred_us") >= as_of)  # an earlier one would fail the plan
+    return op.with_snapshot(later, snapshot, ["origin"], "pred_us", as_of, ["n", "pos", "scheduled"]).select("record_id", "origin", "n", "pos", "scheduled")
 
 
 _REVISIONS = """r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, epoch_us(l_shipdate) AS observed, epoch_us(o_orderdate) - 604800000000 AS cutoff, l_returnflag, l_linestatus, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey),

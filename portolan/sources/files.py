@@ -26,7 +26,7 @@ def plain_key(name: str) -> str:
 def headers(spark: SparkSession, path: str, sep: str = ",", together: int = 16) -> dict[tuple[str, ...], list[str]]:
     """Header -> files that begin with it. Each file is opened for its first line, `together` at a time."""
     files = sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())  # names only
-    first = lambda file: tuple(spark.read.option("header", True).option("sep", sep).csv(_literal(file)).columns)
+    first = lambda file: tuple(x or "" for x in spark.read.option("sep", sep).csv(_literal(file)).first() or ())
     found: dict[tuple[str, ...], list[str]] = {}
     with ThreadPoolExecutor(together) as pool:
         for file, header in zip(files, pool.map(first, files)):

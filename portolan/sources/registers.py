@@ -135,14 +135,11 @@ def read_boundaries(spark: SparkSession, path: str, name: str = "tzid", most_byt
     return files.mapInPandas(run, "archive string, position long, zone string, rings array<array<array<double>>>, fault string")
 
 
-def zone_rings(features: DataFrame, most_corners: int = 10_000_000) -> list[tuple[str, list[list[tuple[float, float]]]]]:
-    """The boundaries as geo.locate takes them. ValueError if one has a fault, a zone comes twice, or they are no small table."""
+def zone_shapes(features: DataFrame) -> DataFrame:
+    """zone, rings of the boundaries, as zones.located takes them. ValueError if one has a fault or a zone comes twice; of the corners none comes here."""
     assert_empty(features.filter("fault is not null").select("archive", "position", "zone", "fault"), "faulty boundaries")
     assert_empty(conflicts(features, ["zone"], ["position"]), "zones that come twice")
-    corners = features.agg(F.sum(F.aggregate("rings", F.lit(0), lambda n, ring: n + F.size(ring)))).first()[0] or 0
-    if corners > most_corners:
-        raise ValueError(f"{corners} corners are more than {most_corners}")
-    return [(r.zone, [[(lat, lon) for lon, lat in ring] for ring in r.rings]) for r in features.orderBy("zone").collect()]
+    return features.select("zone", "rings")
 
 
 def places(rows: DataFrame) -> DataFrame:

@@ -82,13 +82,6 @@ def test_text_that_cannot_be_read_is_null(spark):
     assert [x for x, in column(spark, [(" 5.00 ",), ("5.5",), ("",), ("x",), (None,), ("1e2",)], "x string", text.integral(F.col("x")))] == [5, None, None, None, None, 100]
 
 
-def test_points_on_borders(spark):
-    boxes = [("a", [(0, 0), (0, 10), (10, 10), (10, 0)]), ("b", [(0, 10), (0, 20), (10, 20), (10, 10)])]
-    points = spark.createDataFrame([(1, 5.0, 5.0), (2, 5.0, 10.0), (3, 5.0, 9.999), (4, 50.0, 5.0), (5, 5.0, 15.0)], "id int, lat double, lon double")
-    got = {r.id: (r.zone, r.disposition) for r in geo.locate(points, boxes, "lat", "lon").collect()}
-    assert got == {1: ("a", "resolved"), 2: (None, "overlap"), 3: (None, "near_border"), 4: (None, "outside"), 5: ("b", "resolved")}
-
-
 def test_distance_of_antipodes_and_of_nothing(spark):
     (row,) = column(spark, [(0.0, 0.0, 0.0, 180.0)], "a double, b double, c double, d double", geo.great_circle(*map(F.col, "abcd")), geo.great_circle(F.col("a"), F.col("b"), F.col("a"), F.col("b")))
     assert math.isclose(row[0], math.pi * geo.RADIUS_KM) and row[1] == 0

@@ -7,8 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from portolan.functions import geo
-from portolan.operators import validation
+from portolan.operators import validation, zones
 from portolan.sources import files, registers
 from portolan.sources.html import first_tables
 
@@ -129,12 +128,10 @@ def test_boundaries_with_holes(spark, tmp_path):
     assert {r.archive: r.fault for r in found.filter("position is null").collect()} == {"none.zip": "collection", "torn.zip": "broken"}
     good = found.filter("archive = 'good.zip'")
     points = spark.createDataFrame([(1, 2.0, 2.0), (2, 5.0, 5.0), (3, 21.0, 21.0), (4, 31.0, 31.0), (5, 26.0, 26.0)], "id int, lat double, lon double")
-    assert {r.id: (r.zone, r.disposition) for r in geo.locate(points, registers.zone_rings(good), "lat", "lon").collect()} == {1: ("ring", "resolved"), 2: (None, "outside"), 3: ("two", "resolved"), 4: ("two", "resolved"), 5: (None, "outside")}
+    assert {r.id: (r.zone, r.disposition) for r in zones.located(points, registers.zone_shapes(good), "lat", "lon").collect()} == {1: ("ring", "resolved"), 2: (None, "outside"), 3: ("two", "resolved"), 4: ("two", "resolved"), 5: (None, "outside")}
     for table, what in ((found, "faulty"), (good.union(good), "twice")):
         with pytest.raises(ValueError, match=what):
-            registers.zone_rings(table)
-    with pytest.raises(ValueError, match="corners"):
-        registers.zone_rings(good, most_corners=3)
+            registers.zone_shapes(table)
 
 
 def test_registers_of_places(spark):
