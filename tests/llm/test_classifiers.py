@@ -129,8 +129,43 @@ def test_chain_equals_sum_over_all_paths(seed):
     assert np.isclose(partition[0], np.log(total)) and np.allclose(marginal, toxic[hits] / total)
 
 
+def test_likelihood_of_labels_by_summing_over_all_taggings():
+    """A clean text has one tagging, a toxic one all those with a toxic token."""
+    from portolan.llm.toxicity import any_toxic, likelihood
+
+    rng = np.random.default_rng(7)
+    chain, texts, want = Chain(rng.normal(size=3 + len(CLASSES)) - 1), [], 0.0
+    toxic = np.array([True, False, True, False, True])
+    for label in toxic:
+        kinds = rng.integers(0, len(CLASSES) + 1, 6) * (rng.random(6) < 0.5)
+        total = fits = 0.0
+        for path in itertools.product((0, 1), repeat=6):
+            weight, last = 1.0, 0
+            for state, kind in zip(path, kinds):
+                weight *= chain.steps[kind][last, state]
+                last = state
+            total += weight
+            fits += weight if any(path) == label else 0.0
+        want += np.log(fits / total)
+        texts.append((kinds, np.log((total - 1) / 1)))
+    of = np.concatenate([np.full((k > 0).sum(), i) for i, (k, _) in enumerate(texts)])
+    at, kind = (np.concatenate([f(k) for k, _ in texts]) for f in (lambda k: np.flatnonzero(k), lambda k: k[k > 0]))
+    partition, _ = chain.forward_backward(of, at, kind, np.full(5, 6))
+    assert np.isclose(likelihood(partition, toxic), want) and np.allclose(any_toxic(partition), [odds for _, odds in texts])
+
+
+def test_repeated_ids_stay_within_the_sample(spark):
+    from portolan.llm.toxicity import sample
+
+    docs = spark.createDataFrame([(7, f"copy {i}") for i in range(500)] + [(7, "copy 1")] * 300 + [(i, f"text {i}") for i in range(100, 160)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1)] + [(i, i % 2) for i in range(100, 160)], "doc_id long, toxic int")
+    rows, totals = sample(docs, labels, 10, 12, "doc_id", "text", "toxic", 5, 4)
+    got = [r.toxic for r in rows.collect()]
+    assert got.count(1) == 10 and got.count(0) == 12 and totals[1] + totals[0] < 62
+
+
 def test_chain_of_texts_without_tokens():
-    chain = fit_chain(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.array([0, 3]), np.zeros(0, bool))
+    chain = fit_chain(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.array([0, 3]), np.zeros(2, bool))
     partition, marginal = chain.forward_backward(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.array([0, 5]))
     assert np.isfinite(partition).all() and len(marginal) == 0
     of, at, kind, counts = observations(pa.array(["", None, "a  bad-word, b"]), {"=bad-word": 9.0})
@@ -171,20 +206,20 @@ def test_scores_and_spans_against_all_tokens_in_turn(spark):
             best = max([model.odds.get(x, -1.0) for x in names], default=-1.0)
             kinds.append(sum(best >= x for x in CLASSES))
         move = np.array([[1.0, a], [b, c]])
-        forward, v = [], np.array([1.0, 0.0])
+        forward, v, total = [], np.array([1.0, 0.0]), 0.0
         for k in kinds:
             v = v @ (move * np.array([1.0, emit[k]]))
+            total += math.log(v.sum())
             v /= v.sum()
             forward.append(v)
-        clean, spans, v = 0.0, [], np.ones(2)
+        spans, v = [], np.ones(2)
         for (start, end, _), k, f in reversed(list(zip(words, kinds, forward))):
             toxic = f[1] * v[1] / (f @ v)
             if k:
-                clean += math.log1p(-min(toxic, 1 - 1e-9))
                 spans += [(start, end)] * bool(toxic >= 0.5)
             v = (move * np.array([1.0, emit[k]])) @ v
             v /= v.sum()
-        line = model.intercept + model.slope * min(20, max(-20, math.log(max(-math.expm1(clean), 1e-9)) - clean))
+        line = model.intercept + model.slope * min(20, max(-20, math.log(max(math.expm1(min(total, 30)), 1e-9)) if total <= 30 else total))
         got = rows[doc.doc_id]
         assert math.isclose(got.score, 1 / (1 + math.exp(-line)), rel_tol=1e-6, abs_tol=1e-9)
         assert [(s.start, s.end) for s in got.spans] == spans[::-1]
