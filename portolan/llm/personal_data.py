@@ -29,7 +29,8 @@ PATTERNS = {
 }
 #: A text without this has no match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-TERM = r"\p{L}{3,}"
+#: A run of letters and digits with a letter in it: words, names of one letter, codes. Numbers alone are no terms.
+TERM = r"(?<![\p{L}\p{N}])\p{N}*+\p{L}[\p{L}\p{N}]*+"
 #: Elements of an array gone through at a time, so that the work stays linear in long texts.
 BLOCK = 64
 PLACES = "array<struct<term:string,start:int,end:int>>"
@@ -173,7 +174,7 @@ def disclosing(holders: DataFrame, texts: DataFrame, total: int, prior: float, g
     """
     named = materialize(holders.select("tie", "n", F.explode(entities(F.col("base"))).alias("entity")), "pii-entities")
     # entities of the same texts are one: two exclusive-or sums over the texts name the set
-    stats = named.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.bit_xor("tie").alias("a"), F.bit_xor(F.xxhash64("tie")).alias("b")).filter(F.col("n_entity") < total)
+    stats = named.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.bit_xor(F.xxhash64("tie")).alias("a"), F.bit_xor(F.xxhash64("tie", F.lit(1))).alias("b")).filter(F.col("n_entity") < total)
     q = F.pow(F.col("n_entity") / total, F.lit(1.0 - generalise))  # P(c | t) at the threshold
     low = prior * (q - F.col("n_entity") / total) / (1 - q) * (1 - 1e-9)
     high = (F.col("n_entity") * (1 + prior / total) / q - prior) * (1 + 1e-9)
@@ -210,13 +211,13 @@ def term_spans(marked: DataFrame, texts: DataFrame, total: int, prior: float, ge
 def personal_data(docs: DataFrame, prior: float = 1.0, generalise: float = 0.9, remove: float = 0.95, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(one row for each row of docs with its base spans, term spans by text).
 
-    The first has id, tie (a hash of the text) and base (spans by kind, then start); the second has tie and terms: spans
+    The first has id, tie (128 bits of hash of the text) and base (spans by kind, then start); the second has tie and terms: spans
     of kind `generalised` or `removed`, by start, for the texts that have any. Null texts count as empty: no spans.
     Every row is a document, so copies of a text are counted each; rows with one text get the same spans. Empty tables
     give empty results; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marked = texts.withColumn("tie", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
+    marked = texts.withColumn("tie", F.md5(F.col("text").cast("binary"))).withColumn("base", base_spans(F.col("text")))
     marked = materialize(marked.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "pii-rows")  # the one matching pass
     return marked.select("id", "tie", "base"), term_spans(marked, texts, max(1, marked.count()), prior, generalise, remove, broadcast_rows)
 
@@ -264,7 +265,7 @@ def sanitised(docs: DataFrame, prior: float = 1.0, generalise: float = 0.9, remo
     """docs with all personal data replaced in the text; the other columns stay. A null text stays null."""
     columns = [f"c{i}" for i in range(len(docs.columns))]  # no name can clash
     at = columns[docs.columns.index(text_col)]
-    rows = docs.toDF(*columns).withColumn("text", F.coalesce(F.col(at), F.lit(""))).withColumn("tie", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
+    rows = docs.toDF(*columns).withColumn("text", F.coalesce(F.col(at), F.lit(""))).withColumn("tie", F.md5(F.col("text").cast("binary"))).withColumn("base", base_spans(F.col("text")))
     rows = materialize(rows.drop("text"), "pii-documents")  # the one matching pass
     texts = rows.select(F.coalesce(F.col(at), F.lit("")).alias("text"), "tie", "base")
     terms = term_spans(texts, texts, max(1, rows.count()), prior, generalise, remove, broadcast_rows)

@@ -64,6 +64,17 @@ def test_terms_that_disclose(spark):
     assert sanitised(table).columns == table.columns
 
 
+def test_codes_and_short_names_disclose(spark):
+    docs = [(i, f"KX{i}Q7 met Ng and ö at {i} o'clock, write to boss@ship.example.org") for i in range(6)]
+    docs += [(100 + i, f"met and at {i} o'clock, write to nobody {i}") for i in range(60)]
+    rows, terms = personal_data(spark.createDataFrame(docs, "doc_id long, text string"))
+    found = {r.id: {x.value for x in r.terms} for r in rows.join(terms, "tie").collect()}
+    assert set(found) == set(range(6)) and all(x == {f"kx{i}q7", "ng", "ö"} or x == {"ng", "ö"} for i, x in found.items()), found
+    many = [(1000 + i, f"filler {i} words") for i in range(3000)]
+    rows, terms = personal_data(spark.createDataFrame([(0, "the code KX0Q7 is of a@b.example"), *many], "doc_id long, text string"))
+    assert {x.value for r in terms.collect() for x in r.terms} >= {"kx0q7"}
+
+
 def test_terms_far_from_their_entity(spark):
     far = "plain filler words go on and on. " * 40
     docs = [(i, f"Zanzibar letterhead {i} {far} write to boss@ship.example.org now {far} ZANZIBAR {far * i} signed zanzibar") for i in range(4)]
@@ -91,7 +102,7 @@ def test_whole_texts_against_plain_counts(spark):
                 words[:0], words[len(words):] = [f"own{'qrstuvwxyz'[k] * 2}"], [f"Ö{person.upper()} , ", f"also{'qrstuvwxyz'[k] * 2}"]
         docs.append((i, " ".join(words)))
     docs += [(500, docs[0][1]), (501, docs[7][1]), (7, docs[7][1])]
-    term = re.compile(r"[^\W\d_]{3,}")
+    term = re.compile(r"[^\W_]*[^\W\d_][^\W_]*")
 
     def keys(text):
         out, found = set(), plain(text)
@@ -104,7 +115,7 @@ def test_whole_texts_against_plain_counts(spark):
 
     def terms_of(text):
         hidden = plain(text)["email"]
-        masked = "".join("0" if any(a <= i < b for a, b in hidden) else c for i, c in enumerate(text))
+        masked = "".join(" " if any(a <= i < b for a, b in hidden) else c for i, c in enumerate(text))
         return [(m[0].lower(), m.start(), m.end()) for m in term.finditer(masked)]
 
     entities, terms, total = {t: keys(t) for _, t in docs}, {t: terms_of(t) for _, t in docs}, len(docs)
