@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 DIRECT = {"Africa": "Africa", "Europe": "Europe", "Asia": "Asia", "Oceania": "Oceania"}
 
 
-def derived_region(code: Column, region: Column, subregion: Column, between: Column, overrides: dict[str, str], western_asia: list[str]) -> Column:
-    """struct(region, reason): a region, or the first reason why there is none.
+def derived_region(code: Column, region: Column, subregion: Column, between: Column, overrides: dict[str, str], western_asia: list[str], long_code: Column, number: Column, country: Column) -> Column:
+    """struct(region, reason): a region, or the first reason why there is none. The continent without a region needs all its codes and its name.
 
     overrides maps the codes of the Middle East to the subregion that each must still have; western_asia lists the
     codes that are known in Western Asia. Both are policies and given by the caller.
@@ -29,7 +29,7 @@ def derived_region(code: Column, region: Column, subregion: Column, between: Col
         (expected.isNotNull(), "Middle East", None),
         (direct.isNotNull(), direct, None),
         (F.coalesce(region == "Americas", F.lit(False)), F.when(southern, "South America").otherwise("North America"), None),
-        ((code == "AQ") & bare, "Other", None),
+        (F.coalesce((code == "AQ") & (long_code == "ATA") & (number == "010") & (country == "Antarctica"), F.lit(False)) & bare, "Other", None),
         (region.isNull(), None, "no_region"),
     ]
     out = F.struct(F.lit(None).cast("string").alias("region"), F.lit("unknown_region").alias("reason"))

@@ -21,11 +21,11 @@ WESTERN_ASIA = ["AA", "AB", "AD", "AE"]
 
 
 @query("""WITH c AS (SELECT c_custkey, CASE c_custkey % 31 WHEN 30 THEN 'AQ' ELSE 'A' || chr((65 + c_custkey % 9)::INTEGER) END AS code, [NULL, 'Africa', 'Europe', 'Asia', 'Oceania', 'Americas', 'Atlantis'][1 + c_custkey % 7] AS region, [NULL, 'Western Asia', 'Northern Africa', 'South America', 'Caribbean'][1 + (c_custkey // 7) % 5] AS sub,
-CASE WHEN c_custkey % 10 = 3 THEN 'South America' END AS mid FROM customer)
+CASE WHEN c_custkey % 10 = 3 THEN 'South America' END AS mid, CASE WHEN c_custkey % 31 = 30 AND c_custkey % 4 < 3 THEN 'ATA' ELSE 'XXX' END AS long, CASE WHEN c_custkey % 31 = 30 AND c_custkey % 5 < 4 THEN '010' END AS num, CASE WHEN c_custkey % 31 = 30 AND c_custkey % 3 < 2 THEN 'Antarctica' ELSE 'Land' END AS land FROM customer)
 SELECT c_custkey, CASE WHEN sub = 'Western Asia' AND code NOT IN ('AA', 'AB', 'AD', 'AE') THEN NULL WHEN code IN ('AA', 'AB', 'AC') THEN CASE WHEN sub IS NOT DISTINCT FROM CASE code WHEN 'AC' THEN 'Northern Africa' ELSE 'Western Asia' END THEN 'Middle East' END
-WHEN region IN ('Africa', 'Europe', 'Asia', 'Oceania') THEN region WHEN region = 'Americas' THEN CASE WHEN sub = 'South America' OR mid = 'South America' THEN 'South America' ELSE 'North America' END WHEN code = 'AQ' AND region IS NULL AND sub IS NULL AND mid IS NULL THEN 'Other' END AS region,
+WHEN region IN ('Africa', 'Europe', 'Asia', 'Oceania') THEN region WHEN region = 'Americas' THEN CASE WHEN sub = 'South America' OR mid = 'South America' THEN 'South America' ELSE 'North America' END WHEN code = 'AQ' AND long = 'ATA' AND num = '010' AND land = 'Antarctica' AND region IS NULL AND sub IS NULL AND mid IS NULL THEN 'Other' END AS region,
 CASE WHEN sub = 'Western Asia' AND code NOT IN ('AA', 'AB', 'AD', 'AE') THEN 'unknown_western_asia' WHEN code IN ('AA', 'AB', 'AC') THEN CASE WHEN sub IS DISTINCT FROM CASE code WHEN 'AC' THEN 'Northern Africa' ELSE 'Western Asia' END THEN 'override_conflict' END
-WHEN region IN ('Africa', 'Europe', 'Asia', 'Oceania', 'Americas') THEN NULL WHEN code = 'AQ' AND region IS NULL AND sub IS NULL AND mid IS NULL THEN NULL WHEN region IS NULL THEN 'no_region' ELSE 'unknown_region' END AS reason FROM c""")
+WHEN region IN ('Africa', 'Europe', 'Asia', 'Oceania', 'Americas') THEN NULL WHEN code = 'AQ' AND long = 'ATA' AND num = '010' AND land = 'Antarctica' AND region IS NULL AND sub IS NULL AND mid IS NULL THEN NULL WHEN region IS NULL THEN 'no_region' ELSE 'unknown_region' END AS reason FROM c""")
 def region_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Countries to regions: overrides checked against their source, direct names, the Americas cut in two, and why there is none."""
     k = F.col("c_custkey")
@@ -33,8 +33,8 @@ def region_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(k % 31 == 30, "AQ").otherwise(F.concat(F.lit("A"), F.char(k % 9 + 65)))
     region = pick([None, "Africa", "Europe", "Asia", "Oceania", "Americas", "Atlantis"], k % 7)
     sub = pick([None, "Western Asia", "Northern Africa", "South America", "Caribbean"], F.floor(k / 7) % 5)
-    rows = table(spark, sf_dir, "customer").select("c_custkey", code.alias("code"), region.alias("region"), sub.alias("sub"), F.when(k % 10 == 3, "South America").alias("mid"))
-    found = regions.derived_region(F.col("code"), F.col("region"), F.col("sub"), F.col("mid"), MIDDLE_EAST, WESTERN_ASIA)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", code.alias("code"), region.alias("region"), sub.alias("sub"), F.when(k % 10 == 3, "South America").alias("mid"), F.when((k % 31 == 30) & (k % 4 < 3), "ATA").otherwise("XXX").alias("long"), F.when((k % 31 == 30) & (k % 5 < 4), "010").alias("num"), F.when((k % 31 == 30) & (k % 3 < 2), "Antarctica").otherwise("Land").alias("land"))
+    found = regions.derived_region(F.col("code"), F.col("region"), F.col("sub"), F.col("mid"), MIDDLE_EAST, WESTERN_ASIA, F.col("long"), F.col("num"), F.col("land"))
     return rows.select("c_custkey", found.alias("f")).select("c_custkey", "f.region", "f.reason")
 
 

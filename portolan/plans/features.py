@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portolan.functions import calendar, clocks, geo
+from portolan.functions.schedule import REGIONS, schedule_vector
 from portolan.operators.zones import located
 from portolan.plans.registry import query
 from portolan.sources.tables import LEGS, legs, table
@@ -193,3 +194,29 @@ def canonical_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((kind.isin("view", "purchase", "signup") & (k % 6 > 0)) | (k % 31 == 0), later(k % 300)).alias("actual_arrival"), F.when((kind != "error") | (k % 13 == 0), later(k % 400)).alias("outcome_seen"),
     )
     return v.audited(rows, v.outcome_rules()).select("event_id", "reject_reason")
+
+
+_VECTOR = """b AS (SELECT event_id, ts AS dep, ts + to_minutes((60 + event_id % 300)::INTEGER) AS arr, (user_id % 5 - 2) * 60 + 30 AS oo, (event_id % 7 - 3) * 60 AS d_o, (user_id % 160) - 80.0::DOUBLE AS a, (user_id * 7 % 340) - 170.0::DOUBLE AS b, (event_id % 150) - 75.0::DOUBLE AS c, (event_id * 3 % 340) - 170.0::DOUBLE AS d,
+  user_id % 9 AS oc, event_id % 9 AS dc, ['Africa', 'ASIA', 'Europe ', 'Middle-East', 'north  america', 'Oceania', 'South America', 'Atlantis'][1 + user_id % 8] AS orr, ['Africa', 'ASIA', 'Europe ', 'Middle-East', 'north  america', 'Oceania', 'South America', 'Atlantis'][1 + event_id % 8] AS dr, CASE WHEN event_id % 3 > 0 THEN 'A320' END AS craft FROM events),
+l AS (SELECT *, dep + to_minutes(oo::INTEGER) AS ld, arr + to_minutes(d_o::INTEGER) AS la, (60 + event_id % 300)::DOUBLE AS mins, sin((radians(c) - radians(a)) / 2) ** 2 + cos(radians(a)) * cos(radians(c)) * sin((radians(d) - radians(b)) / 2) ** 2 AS h,
+  atan2(sin(radians(d) - radians(b)) * cos(radians(c)), cos(radians(a)) * sin(radians(c)) - sin(radians(a)) * cos(radians(c)) * cos(radians(d) - radians(b))) AS ang,
+  {'africa': 'africa', 'asia': 'asia', 'europe': 'europe', 'middle east': 'middle_east', 'north america': 'north_america', 'oceania': 'oceania', 'south america': 'south_america', 'atlantis': 'other'} AS m FROM b),
+t AS (SELECT *, 2 * 6371.0088::DOUBLE * asin(least(1, sqrt(h))) AS km, ['africa', 'asia', 'europe', 'middle_east', 'north_america', 'oceania', 'south_america', 'other'] AS r, trim(regexp_replace(lower(replace(orr, '-', ' ')), '\\s+', ' ', 'g')) AS ro, trim(regexp_replace(lower(replace(dr, '-', ' ')), '\\s+', ' ', 'g')) AS rd FROM l),
+u AS (SELECT *, CASE WHEN list_contains(r, replace(ro, ' ', '_')) THEN replace(ro, ' ', '_') ELSE 'other' END AS to_, CASE WHEN list_contains(r, replace(rd, ' ', '_')) THEN replace(rd, ' ', '_') ELSE 'other' END AS td FROM t)"""
+_CIRCLES = {"month": "month(ld) / 12.0", "weekday": "isodow(ld) / 7.0", "year_day": "(dayofyear(ld) / (CASE WHEN year(ld) % 4 = 0 THEN 366.0 ELSE 365.0 END)::DOUBLE) / 1.0", "origin_departure_hour": "(hour(ld) + minute(ld) / 60.0::DOUBLE) / 24.0", "destination_arrival_hour": "(hour(la) + minute(la) / 60.0::DOUBLE) / 24.0", "utc_departure_hour": "(hour(dep) + minute(dep) / 60.0::DOUBLE) / 24.0"}
+
+
+@query(f"""WITH {_VECTOR} SELECT event_id, {", ".join(f"sin(2 * pi() * {x}) AS {n}_sin, cos(2 * pi() * {x}) AS {n}_cos" for n, x in _CIRCLES.items())}, (isodow(ld) >= 6)::INTEGER::DOUBLE AS is_origin_weekend, mins AS scheduled_duration_minutes, ln(1 + mins) AS scheduled_duration_log1p, km AS great_circle_distance_km, ln(1 + km) AS great_circle_distance_log1p, sin(ang) AS bearing_sin, cos(ang) AS bearing_cos,
+(d_o - oo) / 60.0::DOUBLE AS timezone_change_hours, (oc = dc)::INTEGER::DOUBLE AS same_country, (lower(orr) = lower(dr))::INTEGER::DOUBLE AS same_region, (oc <> dc)::INTEGER::DOUBLE AS is_international, cos(radians(a)) * cos(radians(b)) AS origin_ecef_x, cos(radians(a)) * sin(radians(b)) AS origin_ecef_y, sin(radians(a)) AS origin_ecef_z,
+cos(radians(c)) * cos(radians(d)) AS destination_ecef_x, cos(radians(c)) * sin(radians(d)) AS destination_ecef_y, sin(radians(c)) AS destination_ecef_z, (craft IS NULL)::INTEGER::DOUBLE AS aircraft_family_missing, {", ".join(f"(to_ = '{r}')::INTEGER::DOUBLE AS origin_region_{r}, (td = '{r}')::INTEGER::DOUBLE AS destination_region_{r}" for r in REGIONS)} FROM u""")
+def schedule_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 46 features of each published schedule."""
+    k, u = F.col("event_id"), F.col("user_id")
+    regions = F.array(*map(F.lit, ("Africa", "ASIA", "Europe ", "Middle-East", "north  america", "Oceania", "South America", "Atlantis")))
+    number = lambda x: x.cast("double")
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").alias("departure"), F.timestamp_micros(F.unix_micros("ts") + (60 + k % 300) * 60_000_000).alias("arrival"), ((u % 5 - 2) * 60 + 30).alias("origin_offset"), ((k % 7 - 3) * 60).alias("destination_offset"),
+        number(u % 160 - 80).alias("origin_lat"), number(u * 7 % 340 - 170).alias("origin_lon"), number(k % 150 - 75).alias("destination_lat"), number(k * 3 % 340 - 170).alias("destination_lon"), (u % 9).alias("origin_country"), (k % 9).alias("destination_country"),
+        F.get(regions, (u % 8).cast("int")).alias("origin_region"), F.get(regions, (k % 8).cast("int")).alias("destination_region"), F.when(k % 3 > 0, "A320").alias("aircraft"),
+    )
+    return rows.select("event_id", *[v.alias(n) for n, v in schedule_vector().items()])

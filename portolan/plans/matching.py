@@ -185,6 +185,38 @@ def season_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(found, "season", "left").select("season", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("covered"))
 
 
+@query("""WITH d AS (SELECT ts + to_days((user_id * 11 % 800)::INTEGER) AS t, user_id % 2 = 0 AS north FROM events), p AS (SELECT CASE WHEN year(t) = 2024 THEN 'train' ELSE 'later' END AS part, strftime(t, '%Y-%m') AS month, CASE WHEN month(t) IN (12, 1, 2) THEN 'winter' WHEN month(t) <= 5 THEN 'spring' WHEN month(t) <= 8 THEN 'summer' ELSE 'autumn' END AS s, north FROM d),
+q AS (SELECT part, month, CASE WHEN north THEN s ELSE CASE s WHEN 'winter' THEN 'summer' WHEN 'spring' THEN 'autumn' WHEN 'summer' THEN 'winter' ELSE 'spring' END END AS season FROM p), u AS (SELECT part, unnest(['summer', 'autumn', 'winter', 'spring']) AS season FROM (SELECT DISTINCT part FROM q))
+SELECT part, 'month' AS kind, month AS name, count(*) AS n FROM q GROUP BY ALL UNION ALL SELECT u.part, 'season', u.season, count(q.season) FROM u LEFT JOIN q ON u.part = q.part AND u.season = q.season GROUP BY ALL""")
+def month_and_season_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each part by month and by the season at their place; a season that a part lacks counts 0. One pass over the rows."""
+    from portolan.functions.calendar import season
+
+    at = F.timestamp_micros(F.unix_micros("ts") + (F.col("user_id") * 11 % 800).cast("long") * 86_400_000_000)
+    rows = table(spark, sf_dir, "events").select(at.alias("t"), F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1).alias("latitude"))
+    rows = rows.select(F.when(F.year("t") == 2024, "train").otherwise("later").alias("part"), F.date_format("t", "yyyy-MM").alias("month"), season(F.month("t"), F.col("latitude")).alias("season"))
+    cells = rows.groupBy("part", "month", "season").agg(F.count("*").alias("n"))  # few: all else is on these
+    kinds = F.array(F.struct(F.lit("month").alias("kind"), F.col("month").alias("name")), F.struct(F.lit("season").alias("kind"), F.col("season").alias("name")))
+    counted = cells.select("part", F.explode(kinds).alias("k"), "n").select("part", "k.kind", "k.name", "n")
+    none = cells.select("part", F.lit("season").alias("kind"), F.explode(F.array(*map(F.lit, ("summer", "autumn", "winter", "spring")))).alias("name"), F.lit(0).cast("long").alias("n"))
+    return counted.unionByName(none).groupBy("part", "kind", "name").agg(F.sum("n").alias("n"))
+
+
+@query("""WITH s AS (SELECT c_custkey, 'K' || (c_custkey % 90) AS icao, CASE WHEN c_custkey % 3 = 0 THEN 'USW' ELSE 'USC' END || lpad((c_custkey * 37 % 1000)::VARCHAR, 5, '0') AS station, CASE c_custkey % 5 WHEN 0 THEN 'CITY AIRPORT' WHEN 1 THEN 'FIELD AP' WHEN 2 THEN 'MAP ROOM' ELSE c_mktsegment END AS name FROM customer),
+a AS (SELECT 'K' || s_suppkey % 110 AS icao, count(*) AS n_suppliers FROM supplier GROUP BY ALL)
+SELECT a.icao, n_suppliers, station, name FROM a LEFT JOIN (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY icao ORDER BY starts_with(station, 'USW') DESC, (contains(name, 'AIRPORT') OR contains(name, ' AP')) DESC, station, c_custkey) = 1) s ON a.icao = s.icao""")
+def station_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each wanted place the station of its code that is preferred: first-order ones, then those at an airport, then by id; places without any keep nulls."""
+    k = F.col("c_custkey")
+    name = F.when(k % 5 == 0, "CITY AIRPORT").when(k % 5 == 1, "FIELD AP").when(k % 5 == 2, "MAP ROOM").otherwise(F.col("c_mktsegment"))
+    station = F.concat(F.when(k % 3 == 0, "USW").otherwise("USC"), F.lpad((k * 37 % 1000).cast("string"), 5, "0"))
+    stations = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("K"), (k % 90).cast("string")).alias("icao"), station.alias("station"), name.alias("name"))
+    wanted = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("K"), (F.col("s_suppkey") % 110).cast("string")).alias("icao")).agg(F.count("*").alias("n_suppliers"))
+    order = F.struct(~F.startswith("station", F.lit("USW")), ~(F.contains("name", F.lit("AIRPORT")) | F.contains("name", F.lit(" AP"))), "station", "c_custkey")
+    best = stations.groupBy("icao").agg(F.min_by(F.struct("station", "name"), order).alias("s"))  # a minimum, aggregated before the shuffle
+    return wanted.join(best, "icao", "left").select("icao", "n_suppliers", "s.station", "s.name")
+
+
 @query("""SELECT r_name AS name FROM region EXCEPT SELECT r_name FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 9500""")
 def missing_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected names that have no row."""
