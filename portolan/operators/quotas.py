@@ -5,7 +5,8 @@ that came before. It is found without going through a key's requests one by one:
 at or after its window's end, and that pointer never stays within a span of one window's length. Pointers over
 blocks of 2, 4, 8, ... spans are composed, but only from requests by which a chain can enter a block: those of its
 first span, and the first ones of later spans. So the tables shrink from level to level; from the top down each level
-then tells one more opening of each block. Every join is on (key, instant), so that no key is one task's work.
+then tells one more opening of each block. Every join is on (key, instant), so that no key is one task's work. Keys of few
+requests need none of this: their requests are gone through in order, all keys in one pass.
 """
 
 from __future__ import annotations
@@ -13,15 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from portolan.operators.folds import fold, key_text
 from portolan.operators.running import settled
 from portolan.operators.temporal import fitting_span
 
 
-def key_text(key: str) -> Column:
-    """A key as text that is never null: a null key is a key of its own."""
-    return F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
-
-
 def next_at_or_after(nodes: DataFrame, ahead: int, slot: int) -> DataFrame:
     """nodes (id_, t_) with out_: the first instant of the same key at or after t_ + ahead. Windows hold one slot of a key, or one row for each slot."""
     slot_of = lambda t: F.floor(t / slot).cast("long")
@@ -65,9 +62,37 @@ def fixed_window(rows: DataFrame, key: str, at: str, order: list[str], window: i
     """rows with allowed, opened and retry_after (seconds, 0 where allowed): at most `limit` requests in each window of a key.
 
     `at` is a long in microseconds and order begins with it. Refused requests are not counted and open no window. A null key is a key; a request
-    without an instant gets nulls. Rows that agree in all of `order` are one request. An empty table gives an empty result.
+    without an instant gets nulls. Rows that agree in all of `order` are one request. Keys of more than `most` requests are spread over many
+    tasks; both ways give the same rows. An empty table gives an empty result.
     """
-    named = rows.withColumns({"id_": key_text(key), "t_": F.col(at).cast("long")}).withColumn("span_", F.floor(F.col("t_") / window).cast("long"))
+    named = rows.withColumns({"id_": key_text(key), "t_": F.col(at).cast("long")})
+    hot = settled(named.groupBy("id_").agg(F.count("*").alias("n_")).filter(F.col("n_") > most).select("id_"), "quota-hot")
+    many = hot.count()  # at most the rows over `most`
+    near = F.broadcast(hot) if many <= 1_000_000 else hot
+    cold = named.join(near, "id_", "left_anti") if many else named
+    done = _in_order(cold, order, window, limit).select(*rows.columns, "allowed", "opened", "retry_after")
+    return done.unionByName(_spread(named.join(near, "id_", "left_semi"), order, window, limit, most).select(done.columns)) if many else done
+
+
+def _in_order(named: DataFrame, order: list[str], window: int, limit: int) -> DataFrame:
+    def step(state, row):
+        opened, used, last, fate = state
+        if row.t_ is None:
+            return state, (None, None, None)
+        now = tuple(getattr(row, c) for c in order)
+        if now != last:
+            if opened is None or row.t_ >= opened + window:
+                opened, used = row.t_, 0
+            fate = used < limit
+            used += fate
+        return (opened, used, now, fate), (fate, opened, 0 if fate else max(1, -(-(opened + window - row.t_) // 1_000_000)))
+
+    return fold(named, "id_", order, lambda: (None, 0, None, None), step, "allowed boolean, opened long, retry_after long")
+
+
+def _spread(named: DataFrame, order: list[str], window: int, limit: int, most: int) -> DataFrame:
+    columns = named.columns
+    named = named.withColumn("span_", F.floor(F.col("t_") / window).cast("long"))
     opened = openings(named, window, most).withColumn("span_", F.floor(F.col("t_") / window).cast("long"))
     # a request's window opened in its own span of time or in the one before
     near = opened.select("id_", "t_", F.posexplode(F.array(F.col("span_"), F.col("span_") + 1)).alias("late_", "span_"))
@@ -79,4 +104,4 @@ def fixed_window(rows: DataFrame, key: str, at: str, order: list[str], window: i
     allowed = F.when(F.col("opened").isNotNull(), F.coalesce(F.struct(*order) <= F.col("last_"), F.lit(False)))
     wait = F.greatest(F.floor((F.col("opened") + window - F.col("t_") + 999_999) / 1_000_000), F.lit(1)).cast("long")
     done = told.join(lasts, ["id_", "opened"], "left").withColumn("allowed", allowed)
-    return done.select(*rows.columns, "allowed", "opened", F.when(F.col("allowed"), F.lit(0).cast("long")).when(~F.col("allowed"), wait).alias("retry_after"))
+    return done.select(*columns, "allowed", "opened", F.when(F.col("allowed"), F.lit(0).cast("long")).when(~F.col("allowed"), wait).alias("retry_after"))

@@ -8,13 +8,12 @@ key is one task's work.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portolan.operators.quotas import key_text
+from portolan.operators.folds import fold, key_text
 from portolan.operators.temporal import fitting_span
 
 
@@ -29,29 +28,6 @@ def insert_or_ignore(rows: DataFrame, key: list[str], order: list[str], content:
     return groups.select("r.*", "ignored", "conflict")
 
 
-def fold(rows: DataFrame, key: str, order: list[str], start: Callable, step: Callable, schema: str) -> DataFrame:
-    """rows with the columns of `schema` from step(state, row) -> (state, values), in order within each key. A null key is a key.
-
-    One task goes through a key's rows; quotas.fixed_window and transitions do without that.
-    """
-    names = [c.split()[0] for c in schema.split(", ")]
-    rows = rows.withColumn("key_", key_text(key))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, state = object(), None
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                if row.key_ != held:
-                    held, state = row.key_, start()
-                state, values = step(state, row)
-                out.append(values)
-            yield pd.concat([pdf, pd.DataFrame(out, columns=names)], axis=1)
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.repartition("key_").sortWithinPartitions("key_", *order).mapInPandas(run, f"{kept}, {schema}").drop("key_")
-
-
 def quota_step(window: int, limit: int) -> tuple[Callable, Callable]:
     """A window opens with the first request after the last one's end; requests beyond the limit are refused and not counted."""
 

@@ -88,6 +88,8 @@ def test_quota_of_odd_requests(spark):
     df = spark.createDataFrame([(1, None, 5), (2, None, 6), (3, None, 7), (4, "a", None), (5, "a", 6), (5, "a", 6)], "id int, k string, t long")
     rows = sorted(((r.id, r.allowed, r.opened) for r in quotas.fixed_window(df, "k", "t", ["t", "id"], 10, 2).collect()), key=repr)
     assert rows == [(1, True, 5), (2, True, 5), (3, False, 5), (4, None, None), (5, True, 6), (5, True, 6)]
+    spread = sorted(((r.id, r.allowed, r.opened) for r in quotas.fixed_window(df, "k", "t", ["t", "id"], 10, 2, most=1).collect()), key=repr)
+    assert spread == rows
     assert quotas.fixed_window(df.limit(0), "k", "t", ["t", "id"], 10, 2).count() == 0
     assert quotas.fixed_window(df.filter("id = 4"), "k", "t", ["t", "id"], 10, 2).count() == 1
 
