@@ -154,7 +154,7 @@ def test_cumulated_counts_in_buckets(spark):
     rows = [(rng.choice(["a", "b", None]), rng.choice([rng.random(), 0.0, 1.0, 0.5, -3.0, 7.0]), rng.randrange(2)) for _ in range(400)]
     table = spark.createDataFrame(rows, "k string, score double, y int")
     cells = table.groupBy("k", "score").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    for r in cumulated(cells, ["k"], "score", 8).collect():
+    for r in cumulated(cells, ["k"], "score").collect():
         own = [x for x in rows if x[0] == r.k]
         low, high = [x for x in own if x[1] < r.score], [x for x in own if x[1] >= r.score]
         assert (r.below_n, r.below_pos, r.above_n, r.above_pos) == (len(low), sum(x[2] for x in low), len(high), sum(x[2] for x in high))
