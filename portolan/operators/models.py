@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from portolan.functions.scores import nonincreasing
+
 
 def fit_trees(df: DataFrame, features: list[str], label: str, validation: str, rounds: int = 40, depth: int = 4, seed: int = 7):
     """Boosted trees that stop when the rows marked in `validation` no longer gain. Not the numbers of any other library."""
@@ -108,3 +110,41 @@ def exported(model, features: list[str]) -> list[dict]:
         return {"feature": features[split.featureIndex()], "op": "<=", "threshold": float(split.threshold()), "missing": "no", "yes": walk(node.leftChild(), weight), "no": walk(node.rightChild(), weight)}
 
     return [walk(tree._java_obj.rootNode(), float(weight)) for tree, weight in zip(model.trees, model.treeWeights)]
+
+
+def fit_heads(rows: DataFrame, features: list[str], heads: list[str], split: str, rounds: int = 6, depth: int = 3) -> dict:
+    """A model in the format of model_faults with one head for each label of `heads`, fitted in order of time.
+
+    rows has the features, the labels (0, 1 or null) and the split: a head learns from known labels of `train`, stops by those of `tune` and is
+    calibrated on those of `calibration`; nothing else is read. A head whose learning labels are of one kind, or none, is one leaf,
+    the log odds of (pos + 1) / (n + 2). Where calibration has one kind only or finds no rising curve, the margin's own curve stays (slope 2).
+    """
+    known = rows.select(F.col(split).alias("split_"), *[F.col(f).cast("double").alias(f) for f in features], *[F.col(h).cast("double").alias(f"label_{h}") for h in heads])
+    parts = known.groupBy("split_").agg(*[F.count(f"label_{h}").alias(f"n_{h}") for h in heads], *[F.coalesce(F.sum(f"label_{h}"), F.lit(0.0)).alias(f"pos_{h}") for h in heads]).collect()  # one row a split
+    counts = {r["split_"]: {h: (r[f"n_{h}"], int(r[f"pos_{h}"])) for h in heads} for r in parts}
+    of = lambda part, h: counts.get(part, {}).get(h, (0, 0))
+    out = []
+    for h in heads:
+        label, (n, pos) = f"label_{h}", of("train", h)
+        head = {"name": h, "trees": [{"leaf": math.log((pos + 1) / (n - pos + 1))}], "start": 0.0, "slope": 1.0, "intercept": 0.0}
+        if 0 < pos < n:
+            learning = known.filter(F.col("split_").isin("train", "tune") & F.col(label).isNotNull()).withColumn("check_", F.col("split_") == "tune")
+            fitted = fit_trees(learning, features, label, "check_", rounds, depth) if of("tune", h)[0] else None
+            if fitted is not None:
+                head |= {"trees": exported(fitted, features), "slope": 2.0}
+                m, p = of("calibration", h)
+                if 0 < p < m:
+                    scored = known.filter((F.col("split_") == "calibration") & F.col(label).isNotNull()).select(ensemble(head["trees"]).alias("raw_"), label)
+                    try:
+                        head["slope"], head["intercept"] = fit_platt(scored, "raw_", label)
+                    except ValueError:
+                        pass
+        out.append(head)
+    return {"features": features, "heads": out, "prevalence": {h: (of("train", h)[1] / of("train", h)[0]) if of("train", h)[0] else None for h in heads}}
+
+
+def consistent(scored: DataFrame, families: list[list[str]]) -> DataFrame:
+    """scored with the chances of each family (two or three heads, likeliest first) made non-increasing."""
+    for family in families:
+        scored = scored.withColumns(dict(zip(family, nonincreasing(*map(F.col, family)))))
+    return scored

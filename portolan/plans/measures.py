@@ -160,3 +160,36 @@ def exported_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = models.margins(model, e.filter("day > 20"), features).withColumn("exported", models.ensemble(models.exported(model, features)))
     close = F.coalesce(F.abs(F.col("raw_score") - F.col("exported")) <= 1e-9, F.lit(False))
     return scored.groupBy("day").agg(F.count("*").alias("n"), F.bool_and(close).alias("agrees"))
+
+
+HEADS = ["late_15", "late_30", "late_60", "cancelled", "disrupted"]
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips with what is known when they are predicted, their labels, and their part in time."""
+    from portolan.operators.splits import chronological
+    from portolan.operators.temporal import known_before
+    from portolan.sources.tables import legs
+
+    rows = legs(spark, sf_dir)
+    past = rows.select("origin", F.col("outcome_us").alias("pred_us"), F.lit(1).alias("seen"), (F.coalesce(F.col("delay") >= 15, F.lit(False))).cast("int").alias("seen_late"))
+    told = known_before(rows, past, ["origin"], "pred_us", ["seen", "seen_late"], 5 * 86_400_000_000)
+    ends = {"train": 1705276800000000, "tune": 1705708800000000, "calibration": 1706140800000000, "test": 1706572800000000}
+    labels = {f"late_{t}": (F.col("delay") >= t).cast("int") for t in (15, 30, 60)} | {"cancelled": (F.col("status") == "cancelled").cast("int"), "disrupted": F.col("status").isin("cancelled", "diverted").cast("int")}
+    return told.select("record_id", F.hour("ts").alias("hour"), F.weekday("ts").alias("weekday"), "carrier", "origin", "destination", ((F.col("seen_late") + 1) / (F.col("seen") + 2)).alias("rate"), chronological(F.col("pred_us"), F.col("outcome_us"), ends).alias("split"), *[v.alias(k) for k, v in labels.items()])
+
+
+@query()
+def five_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five heads fitted in order of time, scored as expressions, made consistent and measured on the last part, beside the constant share of the first. No SQL states a fit."""
+    from portolan.operators import models
+    from portolan.operators.running import settled
+
+    cases = settled(_cases(spark, sf_dir), "heads-cases")
+    model = models.fit_heads(cases, ["hour", "weekday", "carrier", "origin", "destination", "rate"], HEADS, "split")
+    test = cases.filter("split = 'test'").withColumnsRenamed({h: f"y_{h}" for h in HEADS})
+    scored = models.consistent(models.score_heads(test, model), [HEADS[:3], ["disrupted", "cancelled"]])
+    pairs = F.array(*[F.struct(F.lit(h).alias("head"), F.col(h).alias("score"), F.col(f"y_{h}").alias("y"), F.lit(model["prevalence"][h]).cast("double").alias("share")) for h in HEADS])
+    long = scored.select(F.explode(pairs).alias("p")).select("p.*").filter("y is not null")
+    constant = long.groupBy("head").agg(F.avg((F.col("share") - F.col("y")) ** 2).alias("constant_brier"))
+    return op.ranking(long, ["head"], "score", "y").join(constant, "head")

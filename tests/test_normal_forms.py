@@ -118,3 +118,30 @@ def test_exported_trees_score_alike(spark):
     scored = models.margins(model, df, ["a", "b"]).withColumn("b", F.nanvl("b", F.lit(None).cast("double"))).withColumn("ours", models.ensemble(trees))
     assert models.disparities(scored, "ours", "raw_score").isEmpty()
     assert not models.disparities(scored.withColumn("ours", F.col("ours") + F.when(F.col("id") == 7, 1e-6).otherwise(0.0)), "ours", "raw_score").isEmpty()
+
+
+def test_five_heads_in_order_of_time(spark):
+    """Heads learn what there is to learn, from early rows only; their scores are consistent, and the query's metrics are those of its scores."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(1200):
+        a, b = rng.random(), rng.random()
+        split = ["train", "tune", "calibration", "test"][min(3, i // 300)]
+        delay = 70 * a + 10 * rng.random()
+        late = [int(delay >= t) if rng.random() > 0.1 else None for t in (15, 30, 60)]
+        rows.append((i, a, b, split, *late, 0, int(b > 0.8) if split != "test" else 1 - int(b > 0.8)))  # the last head's test labels are turned round
+    df = spark.createDataFrame(rows, "id int, a double, b double, split string, late_15 int, late_30 int, late_60 int, cancelled int, disrupted int")
+    heads = ["late_15", "late_30", "late_60", "cancelled", "disrupted"]
+    model = models.fit_heads(df, ["a", "b"], heads, "split")
+    assert not models.model_faults(model) and ["leaf" not in h["trees"][0] for h in model["heads"]] == [True, True, True, False, True]
+    again = models.fit_heads(df.filter("split <> 'test'"), ["a", "b"], heads, "split")
+    assert model == again  # nothing of the test part is read
+    test = df.filter("split = 'test'").withColumnsRenamed({h: f"y_{h}" for h in heads})
+    scored = models.consistent(models.score_heads(test, model), [heads[:3], ["disrupted", "cancelled"]]).collect()
+    assert all(r.late_15 >= r.late_30 - 1e-12 and r.late_30 >= r.late_60 - 1e-12 and r.disrupted >= r.cancelled - 1e-12 for r in scored)
+    for h in heads[:3]:
+        own = [(r[h], r[f"y_{h}"]) for r in scored if r[f"y_{h}"] is not None]
+        assert sum((p >= 0.5) == (y == 1) for p, y in own) / len(own) > 0.85
+    assert sum((r.disrupted >= 0.5) == (r.y_disrupted == 1) for r in scored) < 0.2 * len(scored)
+    none = models.fit_heads(df.limit(0), ["a", "b"], heads, "split")
+    assert all(h["trees"] == [{"leaf": 0.0}] for h in none["heads"])
