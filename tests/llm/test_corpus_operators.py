@@ -256,3 +256,22 @@ def test_densified_bins_follow_their_walks(spark, monkeypatch, few):
                 v, t = r.dense[(f.OFFSET[j] + t * f.STRIDE[j]) % f.BINS], t + 1
             want.append(v)
         assert r.got == want
+
+
+def test_exchanges_take_time_in_proportion(spark):
+    """Distinct sizes of one source: eight times as many take no more than sixteen times as long (64 times with a frame that is summed anew for each row)."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from portolan.llm.mixing import exchanged
+
+    def seconds(n):
+        state = spark.range(1, n + 1).select(F.lit("s").alias("source"), F.col("id").alias("size"), F.lit(2).cast("long").alias("n"), F.lit(0.0).alias("target"), (F.col("id") % 3).alias("quota"), F.lit(float(n) + 0.4).alias("gap"))
+        began = time.time()
+        (row,) = exchanged(state, 3).agg(F.count("*").alias("n"), F.max(F.abs("gap")).alias("gap")).collect()
+        assert row.n == n and row.gap < 1
+        return time.time() - began
+
+    seconds(500)
+    assert seconds(20_000) < 16 * max(seconds(2500), 1.0)
