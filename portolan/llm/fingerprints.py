@@ -9,6 +9,8 @@ fingerprints is their share of equal bins, corrected for the bins that agree by
 from __future__ import annotations
 
 import random
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,13 +144,35 @@ def as_text(packed: Column) -> Column:
     return F.array_join(F.transform(packed, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
+#: Code points of a text by which the rows of one id are dealt to ranges.
+HEAD = 64
+
+
+def _count(bound: Column, size: int, holds: Callable[[Column], Column]) -> Column:
+    """How many of the first of `size` bounds hold, by binary search; those that hold come first."""
+    steps = [1 << k for k in reversed(range(size.bit_length()))]
+    return F.aggregate(_ints(steps), F.lit(0), lambda acc, s: F.when(F.coalesce(holds(F.get(bound, acc + s - 1)), F.lit(False)), acc + s).otherwise(acc))
+
+
 def _count_above(edges: list[int], key: Column) -> Column:
-    """How many of the descending edges are above key, by binary search."""
-    if not edges:
-        return F.lit(0)
-    steps = [1 << k for k in reversed(range(len(edges).bit_length()))]
-    bound = F.array(*[F.lit(e).cast("bigint") for e in edges])
-    return F.aggregate(_ints(steps), F.lit(0), lambda acc, s: F.when(F.coalesce(F.get(bound, acc + s - 1) > key, F.lit(False)), acc + s).otherwise(acc))
+    """How many of the descending edges are above key."""
+    return _count(F.array(*[F.lit(e).cast("bigint") for e in edges]), len(edges), lambda e: e > key) if edges else F.lit(0)
+
+
+def _lanes(docs: DataFrame, key: Column, head: Column, crowded: dict[int, int]) -> Column:
+    """The place of a row's head among about crowded[key] ranges of equal shares, from 1; 0 for other keys. Bounds come from a sample of some heads for each range."""
+    rows = docs.filter(key.isin(list(crowded)))
+    share = min(1.0, 16 * sum(crowded.values()) / max(1, rows.count()))
+    heads: dict[int, list[str]] = {k: [] for k in crowded}
+    for r in rows.sample(share, 1).select(key.alias("k"), head.alias("h")).collect():
+        heads[r.k].append(r.h)
+    lane = F.lit(0)
+    for k, found in heads.items():
+        found.sort()
+        cuts = sorted({found[len(found) * i // crowded[k]] for i in range(1, crowded[k])}) if found else []
+        place = _count(F.array(*map(F.lit, cuts)), len(cuts), lambda e: e <= head) if cuts else F.lit(0)
+        lane = F.when(key == k, 1 + place).otherwise(lane)
+    return lane
 
 
 def with_next(docs: DataFrame, bucket_rows: int = 1024, id_col: str = "doc_id", carry: tuple[str, ...] = ("text", "packed")) -> DataFrame:
@@ -156,20 +180,25 @@ def with_next(docs: DataFrame, bucket_rows: int = 1024, id_col: str = "doc_id",
 
     Rows are dealt by ranges of ids (sampled bounds, as many as the rows ask for) and the first row of a range is
     also sent to the end of the range before it, so that one shuffle and a window in each range suffice. Equal
-    ids stand in the order of the first carried column; null ids come last.
+    ids stand in the order of the first carried column, a text; null ids come last. An id that fills ranges by itself, null
+    among them, is dealt by the first code points of its texts; only rows that agree in these too share a range for sure.
     """
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
+    key, head = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))), F.substring(carry[0], 1, HEAD)
     rows = docs.count()
     count = max(1, -(-rows // max(bucket_rows, int(rows**0.5))))  # a range has the root of the rows, so that bounds and ranges both fit a task
-    edges = docs.agg(F.percentile_approx(key, [i / count for i in range(1, count)] or [0.5], max(10_000, 4 * count))).first()[0] or []
-    edges = sorted(set(edges), reverse=True) if count > 1 else []
-    # bucket b holds keys k with edges[b-1] >= k ... : as many edges above k as b
-    placed = docs.withColumn("bucket_", _count_above(edges, key)).withColumn("key_", key)
-    tops = sorted((r[0], r[1]) for r in placed.groupBy("bucket_").agg(F.max("key_")).collect())  # one row for each bucket
-    ghosts = [(top, tops[i - 1][0]) for i, (_, top) in enumerate(tops)]
-    ghosts = docs.sparkSession.createDataFrame(ghosts, "top_ bigint, before_ int")  # one row for each range
-    placed = placed.join(F.broadcast(ghosts), placed["key_"] == ghosts["top_"], "left")
-    own, ghost = F.struct(F.col("bucket_").alias("b"), F.lit(0).alias("ghost")), F.struct(F.col("before_").alias("b"), F.lit(1).alias("ghost"))
+    quantiles = (docs.agg(F.percentile_approx(key, [i / count for i in range(1, count)], max(10_000, 4 * count))).first()[0] or []) if count > 1 else []
+    edges = sorted(set(quantiles), reverse=True)
+    crowded = {k: n for k, n in Counter(quantiles).items() if n > 1}
+    # range b holds keys k with edges[b-1] > k >= edges[b]: as many edges above k as b, and a crowded key comes last there
+    lane = _lanes(docs, key, head, crowded) if crowded else F.lit(0)
+    part = F.shiftleft(_count_above(edges, key).cast("bigint"), 24) + lane
+    placed = docs.withColumns({"part_": part, "key_": key, "head_": F.when(key.isin(list(crowded)), head).otherwise("") if crowded else F.lit("")})
+    tops = placed.groupBy("part_").agg(F.min(F.struct((-1 - F.col("key_")).alias("k"), F.col("head_").alias("h"))).alias("top"))
+    tops = sorted((r.part_, -1 - r.top.k, r.top.h) for r in tops.collect())  # one row for each range
+    ghosts = [(at, top, first, tops[i - 1][0]) for i, (at, top, first) in enumerate(tops)]
+    ghosts = F.broadcast(docs.sparkSession.createDataFrame(ghosts, "at_ bigint, top_ bigint, first_ string, before_ bigint"))
+    placed = placed.join(ghosts, (F.col("part_") == F.col("at_")) & (F.col("key_") == F.col("top_")) & (F.col("head_") == F.col("first_")), "left")
+    own, ghost = F.struct(F.col("part_").alias("b"), F.lit(0).alias("ghost")), F.struct(F.col("before_").alias("b"), F.lit(1).alias("ghost"))
     placed = placed.withColumn("place_", F.explode(F.when(F.col("before_").isNull(), F.array(own)).otherwise(F.array(own, ghost))))
     placed = placed.select(*docs.columns, "key_", F.col("place_.b").alias("part_"), F.col("place_.ghost").alias("ghost_"))
     order = Window.partitionBy("part_").orderBy(F.col("ghost_"), F.col("key_").desc(), F.col(carry[0]))
