@@ -32,7 +32,7 @@ def distances(points: np.ndarray, queries: np.ndarray, which: np.ndarray) -> np.
 def working(points: np.ndarray, single: bool) -> np.ndarray:
     """The points as the graph work sees them: in single precision where the column has no more and no square leaves its range."""
     top = np.abs(points).max(initial=0.0)
-    return points.astype(np.float32 if single and 1e-15 < top < 1e15 else np.float64)
+    return points.astype(np.float32 if single and 1e-15 < top < 1e15 else np.float64, copy=False)
 
 
 def beam(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int, together: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -170,22 +170,24 @@ def shard_count(rows: int, shard_rows: int, most_shard_rows: int, early: int = 8
     return max(1, -(-rows // most_shard_rows), min(early, -(-rows // shard_rows)))
 
 
-def nearest(table: DataFrame, k: int = 10, every: int = 100, m: int = 16, ef_build: int = 64, ef_search: int = 256, shard_rows: int = 16384, most_shard_rows: int = 131072, block_rows: int = 16384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(table: DataFrame, k: int = 10, every: int = 100, m: int = 16, ef_build: int = 64, ef_search: int = 256, shard_rows: int = 16384, most_shard_rows: int = 131072, most_shard_bytes: int = 256 << 20, block_rows: int = 16384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each row whose id is divisible by `every`.
 
     score is the Euclidean distance in double precision; ties go to smaller ids. Vectors that are null, zero or hold a
     null or non-finite component take no part, nor do rows without an id; vectors of another length are not
     compared. A repeated row counts once. Copies of a query's vector are candidates at distance 0. Fewer than k
     candidates are all returned. An empty table gives an empty result; other columns are ignored. ef_search is the
-    width of the beam in a shard of shard_rows.
+    width of the beam in a shard of shard_rows. A shard's vectors take at most about most_shard_bytes, however long they are.
     """
     single = table.schema[vector_col].dataType.elementType.typeName() == "float"
+    kind = np.dtype("<f4" if single else "<f8")  # as the column has them: distances are taken in double precision
     vectors = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter(F.col("id").isNotNull() & _usable(F.col("vector")))
     first = Window.partitionBy("vector").orderBy("id")
     few = vectors.distinct().withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k + 1)
     nodes = few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("dim", F.size("vector"))  # k + 1 ids at most
     nodes = materialize(nodes, "ann-nodes")
-    shards = {r.dim: shard_count(r.n, shard_rows, most_shard_rows) for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    most = lambda dim: max(1, min(most_shard_rows, most_shard_bytes // (kind.itemsize * dim)))
+    shards = {r.dim: shard_count(r.n, min(shard_rows, most(r.dim)), most(r.dim)) for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     count = F.lit(1)
     for dim, n in shards.items():
         count = F.when(F.col("dim") == dim, F.lit(n)).otherwise(count)
@@ -201,7 +203,7 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, m: int = 16, ef_bui
         order = by_id[order]
         width = max(x.shape[1] for x in layers)
         flat = np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1])), constant_values=-1) for x in layers]).astype("<i4")
-        row = {"dim": dim, "shard": group.column("shard")[0].as_py(), "ids": [ids[i] for i in order], "vectors": points[order].tobytes(), "sizes": [len(x) for x in layers], "links": flat.tobytes(), "width": width}
+        row = {"dim": dim, "shard": group.column("shard")[0].as_py(), "ids": [ids[i] for i in order], "vectors": points[order].astype(kind).tobytes(), "sizes": [len(x) for x in layers], "links": flat.tobytes(), "width": width}
         return pa.Table.from_pylist([row], schema=pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("ids", pa.list_(pa.list_(pa.int64()))), ("vectors", pa.binary()), ("sizes", pa.list_(pa.int32())), ("links", pa.binary()), ("width", pa.int32())]))
 
     graphs = materialize(nodes.select("dim", "shard", "ids", "vector").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(index, INDEX), "ann-index")
@@ -216,7 +218,7 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, m: int = 16, ef_bui
             for row in range(len(batch)):
                 ids, sizes, width = batch.column("ids")[row].as_py(), batch.column("sizes")[row].as_py(), batch.column("width")[row].as_py()
                 dim = batch.column("dim")[row].as_py()
-                points = np.frombuffer(batch.column("vectors")[row].as_buffer(), np.float64).reshape(-1, dim)
+                points = np.frombuffer(batch.column("vectors")[row].as_buffer(), kind).reshape(-1, dim)
                 flat = np.frombuffer(batch.column("links")[row].as_buffer(), "<i4").reshape(-1, width)
                 layers = [flat[a - n : a] for a, n in zip(np.cumsum(sizes).tolist(), sizes)]
                 queries = batch.column("queries")[row].values
