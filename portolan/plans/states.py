@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from portolan.operators import states as op
 from portolan.operators.quotas import fixed_window
+from portolan.operators.stores import bounded_store
 from portolan.plans.registry import query
 from portolan.sources.tables import table
 
@@ -36,6 +37,18 @@ def fixed_window_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_window(_events(spark, sf_dir).select("event_id", "user_id", "t"), "user_id", "t", ["t", "event_id"], 24 * HOUR, 2).drop("t")
 
 
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BIGINT AS user_id, NULL::BIGINT AS t, []::STRUCT(k BIGINT, o BIGINT, n BIGINT)[] AS held
+UNION ALL SELECT i, event_id, user_id, t, CASE WHEN len(list_filter(live, lambda x: x.k = user_id)) > 0
+THEN list_transform(live, lambda x: CASE WHEN x.k = user_id THEN {'k': x.k, 'o': x.o, 'n': x.n + 1} ELSE x END) ELSE list_append(live[greatest(len(live) - 8, 1):], {'k': user_id, 'o': t, 'n': 1::BIGINT}) END
+FROM (SELECT e.i, e.event_id, e.user_id, e.t, list_filter(s.held, lambda x: x.o + 86400000000 > e.t) AS live FROM s JOIN e ON e.i = s.i + 1)),
+a AS (SELECT event_id, user_id, t, unnest(list_filter(held, lambda x: x.k = user_id)) AS w FROM s WHERE i > 0)
+SELECT event_id, user_id, w.n <= 2 AS allowed, w.o AS opened, CASE WHEN w.n <= 2 THEN 0 ELSE greatest(1, ceil((w.o + 86400000000 - t) / 1000000.0))::BIGINT END AS retry_after FROM a""")
+def bounded_quota_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two requests a day for each user whose window is among the ten opened last."""
+    return bounded_store(_events(spark, sf_dir).select("event_id", "user_id", "t"), "user_id", "t", ["t", "event_id"], 24 * HOUR, 2, 10).drop("t")
+
+
 #: kind -> (states in which it applies, state after it)
 RULES = {"signup": (("new", "closed"), "open"), "view": (("open",), "quoted"), "click": (("quoted",), "held"), "purchase": (("held", "quoted"), "booked"), "error": (("held", "booked", "quoted"), "closed")}
 _RULES_SQL = "(VALUES ('signup', 'new', 'open'), ('signup', 'closed', 'open'), ('view', 'open', 'quoted'), ('click', 'quoted', 'held'), ('purchase', 'held', 'booked'), ('purchase', 'quoted', 'booked'), ('error', 'held', 'closed'), ('error', 'booked', 'closed'), ('error', 'quoted', 'closed')) AS r(kind, was, becomes)"
