@@ -9,15 +9,24 @@ from pyspark.sql import functions as F
 RADIUS_KM = 6371.0088
 
 
-def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = RADIUS_KM) -> Column:
-    a, b = F.radians(lat1), F.radians(lat2)
-    h = F.sin((b - a) / 2) ** 2 + F.cos(a) * F.cos(b) * F.sin((F.radians(lon2) - F.radians(lon1)) / 2) ** 2
+def turn(a: Column, b: Column) -> Column:
+    """The angle from a to b, both in degrees, in radians. The difference of degrees is exact where they are whole numbers."""
+    return F.radians(b - a)
+
+
+def turn_of_radians(a: Column, b: Column) -> Column:
+    """The same as a difference of radians. Half a turn apart, its rounding error decides the sign of a bearing, so it is for results defined by it."""
+    return F.radians(b) - F.radians(a)
+
+
+def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = RADIUS_KM, turn=turn) -> Column:
+    h = F.sin(turn(lat1, lat2) / 2) ** 2 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(turn(lon1, lon2) / 2) ** 2
     return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
-def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column, turn=turn) -> Column:
     """Initial bearing in radians."""
-    a, b, d = F.radians(lat1), F.radians(lat2), F.radians(lon2) - F.radians(lon1)
+    a, b, d = F.radians(lat1), F.radians(lat2), turn(lon1, lon2)
     return F.atan2(F.sin(d) * F.cos(b), F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(d))
 
 

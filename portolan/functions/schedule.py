@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from portolan.functions.calendar import cycle
-from portolan.functions.geo import bearing, great_circle, unit_vector
+from portolan.functions.geo import bearing, great_circle, turn_of_radians, unit_vector
 
 #: The regions that have a place of their own in the vector; all others are `other`.
 REGIONS = ("africa", "asia", "europe", "middle_east", "north_america", "oceania", "south_america", "other")
@@ -30,7 +30,7 @@ def schedule_vector() -> dict[str, Column]:
     leaves, lands = local("departure", "origin_offset"), local("arrival", "destination_offset")
     minutes = (F.unix_micros("arrival") - F.unix_micros("departure")) / 60_000_000
     ends = (c("origin_lat"), c("origin_lon"), c("destination_lat"), c("destination_lon"))
-    km, angle = great_circle(*ends), bearing(*ends)
+    km, angle = great_circle(*ends, turn=turn_of_radians), bearing(*ends, turn=turn_of_radians)
     days = F.when(F.year(leaves) % 4 == 0, 366.0).otherwise(365.0)
     out: dict[str, Column] = {}
     circles = {"month": (F.month(leaves), 12), "weekday": (F.weekday(leaves) + 1, 7), "year_day": (F.dayofyear(leaves) / days, 1), "origin_departure_hour": (clock(leaves), 24), "destination_arrival_hour": (clock(lands), 24), "utc_departure_hour": (clock("departure"), 24)}

@@ -32,3 +32,9 @@ def test_latest_snapshot_rounds_halves_to_even(same_as_sql):
     """Prices of a half decide ties by their hash: 2.5 is written 2."""
     rows = same_as_sql("latest_service_snapshot", lineitem="SELECT (i // 6)::BIGINT AS l_partkey, i::BIGINT AS l_orderkey, 1::INTEGER AS l_linenumber, (i % 5)::BIGINT AS l_suppkey, i + 0.5::DOUBLE AS l_extendedprice, TIMESTAMP '1996-01-01' AS l_shipdate FROM range(600) r(i)")
     assert len(rows) == 100
+
+
+def test_bearing_of_points_half_a_turn_apart(same_as_sql):
+    """The sign of a rounding error is the bearing's; every pair of places that the keys can make."""
+    rows = same_as_sql("great_circle", supplier="SELECT s::BIGINT AS s_suppkey, n::INTEGER AS s_nationkey FROM range(2720) a(s), range(25) b(n)")
+    assert len(rows) == 68_000
