@@ -38,13 +38,13 @@ WHEN starts_with(name, query) THEN 24 WHEN len(list_filter(string_split(query, '
 SELECT query, row_number() OVER (PARTITION BY query ORDER BY score, title, code, entry)::INTEGER AS rank, entry, score::INTEGER AS score FROM m WHERE score IS NOT NULL QUALIFY rank <= 8""")
 def indexed_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best parts for each of all the searches that parts suggest: names, words of them, brands, middles of words, codes. The SQL tries every part for every search."""
-    from portolan.operators.search import search
+    from portolan.operators.search import search, spread
 
-    parts = table(spark, sf_dir, "part")
+    parts = spread(table(spark, sf_dir, "part"), "p_partkey")
     entries = parts.select(F.col("p_partkey").alias("entry"), F.col("p_name").alias("title"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("code"), *[fn.search_text(F.col(c)).alias(n) for c, n in (("p_brand", "place"), ("p_name", "name"), ("p_type", "land"))])
     first, second = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
     suggested = [F.col("p_name"), second, F.col("p_brand"), F.substring("p_name", 3, 5), F.concat_ws(" ", "p_type", first), F.concat(F.lit("P-"), F.col("p_partkey").cast("string")), F.concat_ws(" ", second, F.right("p_brand", F.lit(1))), F.substring("p_name", 1, 1), F.concat("p_type", F.lit(" none"))]
-    asked = parts.select(F.explode(F.array(*suggested)).alias("raw")).distinct().select(fn.search_text(F.col("raw")).alias("query"))
+    asked = spread(parts.select(F.explode(F.array(*suggested)).alias("raw")), "raw").distinct().select(fn.search_text(F.col("raw")).alias("query"))
     return search(entries, asked)
 
 

@@ -38,3 +38,17 @@ def test_bearing_of_points_half_a_turn_apart(same_as_sql):
     """The sign of a rounding error is the bearing's; every pair of places that the keys can make."""
     rows = same_as_sql("great_circle", supplier="SELECT s::BIGINT AS s_suppkey, n::INTEGER AS s_nationkey FROM range(2720) a(s), range(25) b(n)")
     assert len(rows) == 68_000
+
+
+@pytest.mark.parametrize("busy", [10, 5000])
+def test_searches_meet_only_holders_of_their_rarest_word(spark, busy):
+    """Long numbers share their letters by three with many others, but each is met by its own entry; a busy word is cut and loses none."""
+    from pyspark.sql import functions as F
+
+    from portolan.operators import search
+
+    number = (F.col("id") + 100_000).cast("string")
+    entries = spark.range(900).select(F.col("id").alias("entry"), F.lit("t").alias("title"), F.concat(F.lit("p"), number).alias("code"), F.lit("brand").alias("place"), F.lit("ring").alias("name"), F.lit("").alias("land"))
+    asked = spark.range(900).select(F.concat(F.lit("p "), number).alias("query")).union(spark.createDataFrame([("brand ring",)], "query string"))
+    counts = {r.query: r["count"] for r in search.meetings(entries, asked, busy).groupBy("query").count().collect()}
+    assert counts.pop("brand ring") == 900 and len(counts) == 900 and set(counts.values()) == {1}
