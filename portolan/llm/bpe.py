@@ -1,6 +1,7 @@
 """BPE encoding and decoding in batched merge rounds.
 
-A batch's texts are cut into pre-tokens, and each distinct one is encoded once. The symbols of all of them stand in one
+A batch's texts are cut where a space follows what is no white space, which no pre-token crosses, by arithmetic on their
+bytes; each distinct part is cut into pre-tokens once, and each distinct one of those is encoded once. The symbols of all of them stand in one
 flat array. In each round the pairs of neighbours that may merge are looked up in the sorted keys of the merge rules
 by binary search, and every word merges its pairs of the lowest rank, from the left. A word longer than the longest token
 is cut into blocks of that length for this: a pair merges where no lower one stands in its own block or the ones beside
@@ -118,8 +119,17 @@ def merged(rules: Rules, content: np.ndarray, lengths: np.ndarray) -> tuple[np.n
     return symbols[order], np.bincount(word, minlength=len(lengths))
 
 
+def cut_places(content: np.ndarray) -> np.ndarray:
+    """Places of spaces (of UTF-8 bytes) behind a character that is surely no white space: of one byte, or of two whose first is above 0xC2."""
+    space = np.flatnonzero(content[1:] == 32) + 1
+    before = content[space - 1]
+    lead = np.where(space > 1, content[space - 2], 0)
+    plain = (before > 32) & (before < 127)
+    return space[plain | ((before >= 128) & (lead > 0xC2) & (lead < 0xE0))]
+
+
 class Encoder:
-    """Lists of texts to ids."""
+    """Texts to ids."""
 
     def __init__(self, path: str, chunk_bytes: int = 4 << 20):
         import public_tokenizers
@@ -127,6 +137,7 @@ class Encoder:
 
         self.rules, self.chunk = Rules(path), chunk_bytes
         self.words = regex.compile(public_tokenizers.PATTERN)
+        self.cuts = not any(any(c.isspace() for c in t) for t in self.rules.special)  # a special token with a space could stand across a cut
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.rules.special, key=len, reverse=True))) or r"(?!)")
 
     def pieces(self, text: str) -> tuple[list[str | None], list[int]]:
@@ -158,33 +169,63 @@ class Encoder:
         ends = np.cumsum(n)
         return ids[np.repeat(starts[which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32), n
 
+    def flat(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each); a null text has none."""
+        text = pc.fill_null(text.cast(pa.large_string()), "")
+        out, counts, at = [], [], 0
+        lengths = pc.binary_length(text).to_numpy(zero_copy_only=False)
+        turn = np.cumsum(lengths) // self.chunk  # about `chunk` bytes at a time; a longer text is a turn of its own
+        for stop in [*(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(text)]:
+            if stop - at == 1 and lengths[at] > self.chunk:
+                ids = self.encode_long(text[at].as_py())
+                out.append(ids)
+                counts.append(np.array([len(ids)]))
+            elif stop > at:
+                ids, n = self.parts_to_ids(text.slice(at, stop - at))
+                out.append(ids)
+                counts.append(n)
+            at = stop
+        return np.concatenate(out or [np.zeros(0, np.int32)]), np.concatenate(counts or [np.zeros(0, np.int64)])
+
+    def parts_to_ids(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
+        whole = np.frombuffer(text.buffers()[2] or b"", np.uint8)[: ends[-1]]
+        content = whole[ends[0] :]
+        cuts = (cut_places(content) if self.cuts else np.zeros(0, np.int64)) + ends[0]
+        starts = np.sort(np.concatenate((ends[:-1], cuts, ends[-1:])), kind="stable")  # places met twice make empty parts
+        parts = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), text.buffers()[2]])
+        coded = parts.dictionary_encode()
+        pieces, special, sizes = [], [], []
+        plain = not any(pc.any(pc.match_substring(coded.dictionary, t)).as_py() for t in self.rules.special)
+        for part in coded.dictionary.to_pylist():
+            mine, own = (self.words.findall(part), []) if plain else self.pieces(part)
+            pieces += mine
+            special += own
+            sizes.append(len(mine))
+        ids, n = self.ids(pieces, special)
+        last = np.cumsum(np.append(0, n))[np.cumsum(np.append(0, sizes)).astype(np.int64)]  # where each distinct part's ids begin
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        n = np.diff(last)[which]
+        stops = np.cumsum(n)
+        total = int(stops[-1]) if len(stops) else 0
+        out = ids[np.repeat(last[which] - stops + n, n) + np.arange(total)]
+        return out, np.diff(np.append(0, stops)[np.searchsorted(starts, ends)])
+
+    def encode_long(self, text: str) -> np.ndarray:
+        """The ids of a text of any length; its pre-tokens are encoded in chunks of about `chunk` letters."""
+        pieces, own = self.pieces(text)
+        out, step = [], max(1, len(pieces) * self.chunk // max(len(text), self.chunk))
+        for at in range(0, max(1, len(pieces)), step):
+            part = pieces[at : at + step]
+            mine = part.count(None) if own else 0
+            out.append(self.ids(part, own[:mine])[0])
+            own = own[mine:]
+        return np.concatenate(out)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; pre-tokens are encoded together in chunks of about `chunk` letters, across texts and within long ones."""
-        out: list[list[np.ndarray]] = [[] for _ in texts]
-        held, special, rows, size = [], [], [], 0
-
-        def flush() -> None:
-            nonlocal held, special, rows, size
-            ids, n = self.ids(held, special)
-            ends = np.cumsum(np.append(0, n))
-            for row, a, b in rows:
-                out[row].append(ids[ends[a] : ends[b]])
-            held, special, rows, size = [], [], [], 0
-
-        for row, text in enumerate(texts):
-            pieces, own = self.pieces(text or "")
-            step = max(1, len(pieces) * self.chunk // max(len(text or ""), self.chunk))  # all of them, but in a long text
-            for at in range(0, max(1, len(pieces)), step):
-                part = pieces[at : at + step]
-                mine = part.count(None) if own else 0
-                rows.append((row, len(held), len(held) + len(part)))
-                held += part
-                special, own = special + own[:mine], own[mine:]
-                size += len(text or "") * len(part) // max(1, len(pieces)) + 1
-                if size >= self.chunk:
-                    flush()
-        flush()
-        return [np.concatenate(x) if len(x) > 1 else x[0] for x in out]
+        """The ids of each text."""
+        ids, n = self.flat(pa.array(texts, pa.large_string()))
+        return np.split(ids, np.cumsum(n)[:-1]) if len(n) else []
 
 
 def encode(docs: DataFrame, json_path: str, text_col: str = "text") -> DataFrame:
@@ -202,9 +243,8 @@ def encode(docs: DataFrame, json_path: str, text_col: str = "text") -> DataFrame
         for whole in batches:
             for a, b in text_slices(whole, text):
                 batch = whole.slice(a, b - a)
-                ids = encoder.encode(batch.column(text).to_pylist())
-                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                ids, n = encoder.flat(batch.column(text))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, n)).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, "ids_"])
 
     return docs.toDF(*names).mapInArrow(freeing(run), schema).toDF(*docs.columns, "ids")
@@ -221,21 +261,26 @@ def decode(rows: DataFrame, json_path: str, ids_col: str = "ids") -> DataFrame:
 
     def run(batches):
         rules = Rules(json_path)
-        tokens = pa.array(rules.bytes, pa.binary())
+        tokens = pa.array(rules.bytes, pa.large_binary())
         for whole in batches:
             # at most about eight million ids at a time
             lengths = pc.fill_null(pc.list_value_length(whole.column(ids)), 0).to_numpy(zero_copy_only=False)
             turn = np.cumsum(lengths) // (8 << 20)
             for a, b in zip(starts := [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist()], [*starts[1:], len(whole)]):
                 batch = whole.slice(a, b - a)
-                texts = []
-                for row in batch.column(ids):
-                    found = row.values if row.is_valid else pa.array([], pa.int32())
-                    at = found.to_numpy(zero_copy_only=False)
-                    if len(at) and (at.min() < 0 or at.max() >= rules.size):
-                        raise ValueError("an id is outside the vocabulary")
-                    texts.append(b"".join(tokens.take(found).to_pylist()).decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded_"])
+                n = pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy(zero_copy_only=False)
+                found = batch.column(ids).flatten()
+                at = found.to_numpy(zero_copy_only=False)
+                if len(at) and (at.min() < 0 or at.max() >= rules.size):
+                    raise ValueError("an id is outside the vocabulary")
+                joined = tokens.take(found)  # the tokens' bytes one after another, of which each row has a range
+                ends = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1)[np.cumsum(np.append(0, n))] if len(joined) else np.zeros(len(batch) + 1, np.int64)
+                texts = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(ends), joined.buffers()[2]])
+                try:
+                    texts = texts.cast(pa.large_string()).cast(pa.string())
+                except pa.ArrowInvalid:  # bytes that are no UTF-8
+                    texts = pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*names, "decoded_"])
 
     return rows.toDF(*names).mapInArrow(freeing(run), schema).toDF(*rows.columns, "decoded")
 

@@ -118,3 +118,19 @@ def test_decoding(spark, library):
         with pytest.raises(Exception, match="outside the vocabulary"):
             decode(spark.createDataFrame([(bad,)], "ids array<int>"), PATH).collect()
     assert decode(spark.range(3).select(F.array().cast("array<int>").alias("ids")), PATH).filter("decoded = ''").count() == 3
+
+
+def test_parts_are_cut_where_no_token_crosses_and_read_once(encoder):
+    from portolan.llm.bpe import cut_places
+
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choices(["a", "é", "日", "'s", " ", "  ", "\n", " ", "\u0085", "　", "7", "!"], k=40))
+        raw = text.encode()
+        at = [0, *cut_places(np.frombuffer(raw, np.uint8)).tolist(), len(raw)]
+        assert [p for a, b in zip(at, at[1:]) for p in encoder.pieces(raw[a:b].decode())[0]] == encoder.pieces(text)[0]
+    seen, counting = [], Encoder(PATH)
+    plain = counting.pieces
+    counting.pieces = lambda text: seen.append(text) or plain(text)
+    assert len(counting.encode(["one two " * 500 + "<|endoftext|>", "two one " * 500])) == 2
+    assert len(seen) <= 7
