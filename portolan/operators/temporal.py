@@ -62,6 +62,31 @@ def known_before(queries: DataFrame, events: DataFrame, by: list[str], at: str,
     return sums.join(carried, [*by, "span_"]).select("row_.*", *[(F.col(f"own_{m}") + F.col(f"carried_{m}")).alias(m) for m in measures])
 
 
+def known_before_by_level(rows: DataFrame, levels: list[str], asked: str, known: str, measures: list[str], span: int, most: int = 50_000) -> DataFrame:
+    """The columns of rows, with of_<level>: the sum of each measure over the rows that share the level's value and whose `known` is strictly before the row's `asked`.
+
+    As known_before for many groupings at once, without one copy of the rows for each: they are dealt by spans of time, in which all levels'
+    running sums are taken, and each level's sums of earlier spans stand in as a row before the span. A null level or time meets nothing.
+    """
+    past = rows.filter(F.col(known).isNotNull()).select(F.col(known).alias("t_"), *levels, *[F.coalesce(m, F.lit(0)).cast("long").alias(f"sum_{m}") for m in measures])
+    asks = rows.select(F.col(asked).alias("t_"), *levels, *[F.lit(0).cast("long").alias(f"sum_{m}") for m in measures], F.struct(*rows.columns).alias("row_"))
+    both = asks.unionByName(past, allowMissingColumns=True)
+    span = fitting_span(both, [], "t_", span, most)
+    both = both.withColumn("span_", F.floor(F.col("t_") / span).cast("long"))
+    sums = [F.sum(f"sum_{m}").alias(f"sum_{m}") for m in measures]
+    cells = both.groupBy("span_", *levels).agg(*sums)
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col(x).alias("key")) for i, x in enumerate(levels)])).alias("p_")
+    by_span = cells.select("span_", pairs, *[f"sum_{m}" for m in measures]).groupBy("p_.level", "p_.key", "span_").agg(*sums).filter("key is not null and span_ is not null")
+    earlier = Window.partitionBy("level", "key").orderBy("span_").rowsBetween(Window.unboundedPreceding, -1)
+    carried = by_span.select("level", "key", "span_", *[F.sum(f"sum_{m}").over(earlier).alias(f"sum_{m}") for m in measures]).filter(F.col(f"sum_{measures[0]}").isNotNull())
+    carried = carried.select((F.col("span_") * span - 1).alias("t_"), "span_", *[F.when(F.col("level") == i, F.col("key")).alias(x) for i, x in enumerate(levels)], *[f"sum_{m}" for m in measures])
+    dealt = both.unionByName(carried, allowMissingColumns=True).repartition("span_")
+    for x in levels:
+        before = Window.partitionBy("span_", x).orderBy("t_").rangeBetween(Window.unboundedPreceding, -1)
+        dealt = dealt.withColumn(f"of_{x}", F.struct(*[F.when(F.col(x).isNotNull(), F.coalesce(F.sum(f"sum_{m}").over(before), F.lit(0))).otherwise(0).alias(m) for m in measures]))
+    return dealt.filter("row_ is not null").select("row_.*", *[f"of_{x}" for x in levels])
+
+
 def latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The row with the largest order of each group; nulls in the order rank lowest. The order must be total."""
     top = F.max_by(F.struct(*df.columns), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))

@@ -52,3 +52,28 @@ def test_searches_meet_only_holders_of_their_rarest_word(spark, busy):
     asked = spark.range(900).select(F.concat(F.lit("p "), number).alias("query")).union(spark.createDataFrame([("brand ring",)], "query string"))
     counts = {r.query: r["count"] for r in search.meetings(entries, asked, busy).groupBy("query").count().collect()}
     assert counts.pop("brand ring") == 900 and len(counts) == 900 and set(counts.values()) == {1}
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_levels_known_before_equal_counting(spark, most):
+    import random
+
+    from portolan.operators import temporal
+
+    rng = random.Random(most)
+    rows = [(i, rng.choice([0, 1, 2, None]), rng.randrange(2), rng.choice([rng.randrange(90), None]), rng.choice([rng.randrange(90), None]), rng.randrange(3)) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, a long, b long, t long, u long, x int")
+    got = {r.id: (r.of_a.x, r.of_b.x) for r in temporal.known_before_by_level(df, ["a", "b"], "t", "u", ["x"], 40, most).collect()}
+    seen = lambda level, k, t: sum(r[5] for r in rows if k is not None and t is not None and r[level] == k and r[4] is not None and r[4] < t)
+    assert got == {i: (seen(1, a, t), seen(2, b, t)) for i, a, b, t, _, _ in rows}
+
+
+def test_first_examples_of_many_keys(spark):
+    """Only keys go into the cut, and the bound that cuts them loses none of the first."""
+    from portolan.operators import matching
+
+    rows = spark.range(3000).selectExpr("id % 3 as g", "3000 - id as k", "id % 7 as j")
+    for most in (1, 5, 2000):
+        got = sorted((r.g, r.k, r.j, r.place) for r in matching.first_of_each(rows, ["g"], ["k", "j"], most, "place").collect())
+        want = [(g, k, j, i + 1) for g in range(3) for i, (k, j) in enumerate(sorted((3000 - x, x % 7) for x in range(3000) if x % 3 == g)[:most])]
+        assert got == sorted(want)
