@@ -35,9 +35,12 @@ def join_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_MATCH}, e AS (SELECT DISTINCT side, reason, l_orderkey, l_linenumber FROM d WHERE reason IS NOT NULL) SELECT side, reason, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY side, reason ORDER BY l_orderkey, l_linenumber)::INTEGER AS example FROM e QUALIFY example <= 5")
 def reason_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five keys of each reason; the cut is made before the shuffle."""
-    rows = _matched(spark, sf_dir).filter("reason is not null").select("side", "reason", "l_orderkey", "l_linenumber").distinct()
-    return rows.withColumn("example", F.row_number().over(Window.partitionBy("side", "reason").orderBy("l_orderkey", "l_linenumber"))).filter("example <= 5")
+    """The first five keys of each reason, from keys alone; no task sorts more than a bound lets through."""
+    schedules, outcomes = schedules_and_outcomes(spark, sf_dir)
+    told = op.told_keys(schedules, outcomes, ["l_orderkey", "l_linenumber"], ["l_orderkey"], ("schedule", "outcome")).filter("reason is not null")
+    sides = F.array_compact(F.array(F.when(F.col("n_left") > 0, "schedule"), F.when(F.col("n_right") > 0, "outcome")))
+    rows = told.select(F.explode(sides).alias("side"), "reason", "l_orderkey", "l_linenumber")
+    return op.first_of_each(rows, ["side", "reason"], ["l_orderkey", "l_linenumber"], 5, "example")
 
 
 @query(f"""WITH {LEGS}, t AS (SELECT * FROM legs WHERE pred_us < 1704153600000000), r AS (SELECT *, origin || '_' || destination AS route FROM legs), u AS (SELECT DISTINCT origin || '_' || destination AS route FROM t)
