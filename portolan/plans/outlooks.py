@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from portolan.functions import scores
 from portolan.operators.running import exact_quantile
+from portolan.operators.search import spread
 from portolan.plans.registry import query
 from portolan.sources.tables import LEGS, legs, table
 
@@ -155,8 +156,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         stamp("l_shipdate", "yyyy-MM-dd'T08:00:00'").alias("departure"), stamp(arrival, "yyyy-MM-dd'T'HH:00:00").alias("arrival"), F.col("l_partkey").cast("string").alias("number"),
         carrier(F.concat("l_returnflag", "l_linestatus"), F.concat(F.lit("Air "), "l_returnflag")).alias("carrier"), carrier(F.concat("l_linestatus", F.lit("X")), F.concat(F.lit("Op "), "l_linestatus")).alias("operator"),
     )
-    listed = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", segment.alias("s")))).alias("every"))  # an order's few lines
-    rows = table(spark, sf_dir, "orders").join(listed, k == F.col("l_orderkey")).withColumn("every", F.col("every.s"))
+    inner = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")] + [F.date_trunc("hour", "l_shipdate"), F.col("l_returnflag"), F.col("l_linestatus")]
+    sorted_lines = spread(lines, "l_orderkey").sortWithinPartitions("l_orderkey", *inner)  # the narrow columns are moved and sorted once; segments are built behind that
+    order = Window.partitionBy("l_orderkey").orderBy(*inner)
+    listed = sorted_lines.select("l_orderkey", F.collect_list(segment).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("every"), F.row_number().over(order).alias("i")).filter("i = 1")  # an order's few lines
+    rows = table(spark, sf_dir, "orders").join(listed, k == F.col("l_orderkey"))
     out, back = F.slice("every", 1, 2), F.slice("every", 3, 1 << 20)
     currency = F.when(F.col("o_orderstatus") == "F", "USD").when(F.col("o_orderstatus") == "O", "JPY").when(k % 3 == 0, "eur").otherwise("KWD")
     whole = F.floor("o_totalprice").cast("string")

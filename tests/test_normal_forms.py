@@ -145,3 +145,22 @@ def test_five_heads_in_order_of_time(spark):
     assert sum((r.disrupted >= 0.5) == (r.y_disrupted == 1) for r in scored) < 0.2 * len(scored)
     none = models.fit_heads(df.limit(0), ["a", "b"], heads, "split")
     assert all(h["trees"] == [{"leaf": 0.0}] for h in none["heads"])
+
+
+def test_lines_of_orders_are_moved_narrow_and_sorted_once(spark):
+    """No segment is built before the shuffle, and the order of a group's lines comes from the one sort behind it."""
+    from portolan.plans import outlooks
+
+    docs = outlooks._documents(spark, "/root/testdata/sf0.001")
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    moved = plan[plan.index("Exchange hashpartitioning(l_orderkey") :]
+    assert "date_format" not in moved and "struct(" not in moved and plan.count("Sort [l_orderkey") == 1
+    lines = {}
+    for r in sorted(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").collect(), key=lambda r: (r.l_linenumber, r.l_partkey, r.l_suppkey, r.l_extendedprice, r.l_quantity)):
+        lines.setdefault(r.l_orderkey, []).append(str(r.l_partkey))
+    rows = docs.select("o_orderkey", "document").collect()
+    assert len(rows) == len({r.o_orderkey for r in rows}) > 0
+    for r in rows:
+        offer = json.loads(r.document)
+        assert [s["number"] for leg in ("outbound", "inbound") for s in (offer.get(leg) or {"segments": []})["segments"]] == lines[r.o_orderkey]
