@@ -244,3 +244,28 @@ def test_unlabelled_documents_with_letters_stay(spark):
 
     docs = spark.createDataFrame([(1, "clean words", None), (2, "12 34 --", None), (3, None, None), (4, "ä", None)], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in keep_identified(docs).collect()) == [1, 4]
+
+
+def test_labels_turned_round_rank_as_well(spark):
+    """Label 1 is then told by the words that are absent; the learned words speak against it."""
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
+    turned = labels.select("doc_id", (1 - F.col("toxic")).alias("toxic"))
+    rows = score_toxicity(docs, turned).join(turned, "doc_id").filter("held_out").collect()
+    ones, zeros = ([r.score for r in rows if r.toxic == label] for label in (1, 0))
+    above = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
+    assert above > 0.75
+    assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.93
+
+
+def test_slopes_are_never_negative():
+    from portolan.llm.toxicity import fit_score
+
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 400)
+    up, down = y * 2.0 + rng.normal(size=400), -y * 2.0 + rng.normal(size=400)
+    one = fit_score(up, y, np.ones(400))
+    intercept, first, second = fit_score(np.stack([down, up], 1), y, np.ones(400))
+    assert first == 0.0 and np.allclose((intercept, second), one) and second > 0
+    assert fit_score(down, y, np.ones(400))[1] == 0.0
