@@ -16,13 +16,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from portolan.llm.common import WORD, materialize
+from portolan.llm.common import WORD, few, materialize, shuffled
 
 
 #: Rounds of nearing a target; each at least brings a source half a word nearer, and in practice an eighth of its gap or less is left.
 ROUNDS = 100
 
 
+def sized(cells: DataFrame, most_small: int = 250_000) -> DataFrame:
+    """A table of sources and sizes, as far as Spark may broadcast it: its file holds a few bytes a row, memory some hundred."""
+    return cells if cells.count() <= most_small else shuffled(cells)
+
+
 def targets(sources: DataFrame, most: float) -> DataFrame:
     """source_size -> target: shares by weight 1, 2, 3, ..., at most `most` times the source's size each.
 
@@ -52,7 +57,7 @@ def dual(cells: DataFrame, goals: DataFrame, most: float, steps: int, exact: flo
 
     The multiplier per mean size solves sum n * min(most, exp(lambda z)) * size = target with z = size / mean size.
     """
-    cells = cells.select(F.col("source").alias("cell_source"), "size", "n")
+    cells = sized(cells.select(F.col("source").alias("cell_source"), "size", "n"))
     state = goals.select("source", "target", "source_size", "mean_size", F.lit(0.0).alias("lam"), F.lit(-60.0).alias("low"), F.lit(60.0).alias("high"))
     for step in range(60):
         # one row for each source: a checked bound would not help, the join is as small as the list of sources
@@ -121,7 +126,7 @@ def retilted(state: DataFrame, most: int) -> DataFrame:
         after = _rounded(_tilted(state, most), most).select(F.col("source").alias("as"), F.col("size").alias("az"), F.col("w").alias("aw"), F.col("quota").alias("aq"), F.col("gap").alias("ag"))
         nearer = F.abs("ag") < F.abs("gap") - 0.5
         pick = [F.when(nearer, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("aw", "w"), ("aq", "quota"), ("ag", "gap"))]
-        both = state.join(after, F.col("source").eqNullSafe(F.col("as")) & (F.col("size") == F.col("az")))
+        both = sized(state).join(after, F.col("source").eqNullSafe(F.col("as")) & (F.col("size") == F.col("az")))
         state = materialize(both.select("source", "size", "n", "target", *pick, nearer.alias("nearer")), "mix-quotas")
         if state.filter("nearer").isEmpty():
             return state.drop("nearer")
@@ -164,9 +169,9 @@ def mix_plan(docs: DataFrame, most: int, steps: int, blocks: int, block_rows: in
     A document's copies are base, and one more if its hash h is below edge, or is edge and all of its `ties` rows take one
     (more = ties); of ties that are split, rows of one id and one text, `more` take it.
     """
-    sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col), F.col(text_col)).alias("h")), "mix-sizes")
-    blocks = max(blocks, -(-sized.count() // block_rows))
-    cells = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-cells")
+    rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col), F.col(text_col)).alias("h")), "mix-sizes")
+    blocks = max(blocks, -(-rows.count() // block_rows))
+    cells = materialize(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-cells")
     sources = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("filled"))
     goals = targets(sources.select("source", "source_size"), most).withColumnRenamed("source", "s")
     means = sources.select(F.col("source").alias("m"), F.greatest(F.col("source_size") / F.greatest("filled", F.lit(1)), F.lit(1.0)).alias("mean_size"))
@@ -176,23 +181,23 @@ def mix_plan(docs: DataFrame, most: int, steps: int, blocks: int, block_rows: in
 
     # whole copies of each (source, size): the running sum of rates along descending sizes, cut at integers
     w = F.when(F.col("target") >= F.col("source_size") * F.lit(float(most)), F.lit(float(most))).otherwise(_rate(F.col("lam"), F.col("size") / F.col("mean_size"), most))
-    rated = cells.filter("size > 0").join(g, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", "target", w.alias("w"))
+    rated = sized(cells.filter("size > 0")).join(g, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", "target", w.alias("w"))
     quota = exchanged(retilted(materialize(_rounded(rated, most), "mix-quotas"), most), most)
     quota = quota.withColumn("base", F.floor(F.col("quota") / F.col("n"))).withColumn("rest", F.col("quota") - F.col("base") * F.col("n"))
 
     # the hash up to which documents take one copy more: first its block, in the order of the hashes, then its place there
     q = materialize(quota.select(F.col("source").alias("qs"), F.col("size").alias("qz"), "base", "rest"), "mix-rests")
     cell = lambda s, z: F.col("source").eqNullSafe(F.col(s)) & (F.col("size") == F.col(z))
-    keyed = sized.filter("size > 0").withColumn("block", F.floor((F.shiftright("h", 32) + F.lit(1 << 31)) * blocks / F.lit(1 << 32)).cast("int"))
+    keyed = rows.filter("size > 0").withColumn("block", F.floor((F.shiftright("h", 32) + F.lit(1 << 31)) * blocks / F.lit(1 << 32)).cast("int"))
     over = Window.partitionBy("source", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     by_block = keyed.groupBy("source", "size", "block").agg(F.count("*").alias("own")).withColumn("upto", F.sum("own").over(over))
-    split = by_block.join(q.filter("rest > 0"), cell("qs", "qz")).filter("upto >= rest and upto - own < rest")
+    split = by_block.join(shuffled(q.filter("rest > 0")), cell("qs", "qz")).filter("upto >= rest and upto - own < rest")
     split = split.select("qs", "qz", F.col("block").alias("qb"), (F.col("rest") - F.col("upto") + F.col("own")).alias("open"))
-    inside = keyed.join(split, cell("qs", "qz") & (F.col("block") == F.col("qb"))).groupBy("source", "size", "open", "h").agg(F.count("*").alias("ties"))
+    inside = keyed.join(shuffled(split), cell("qs", "qz") & (F.col("block") == F.col("qb"))).groupBy("source", "size", "open", "h").agg(F.count("*").alias("ties"))
     within = inside.withColumn("upto", F.sum("ties").over(Window.partitionBy("source", "size").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)))
     edges = within.filter("upto >= open and upto - ties < open").select(F.col("source").alias("es"), F.col("size").alias("ez"), F.col("h").alias("edge"), (F.col("open") - F.col("upto") + F.col("ties")).alias("more"), "ties")
-    plan = q.join(edges, F.col("qs").eqNullSafe(F.col("es")) & (F.col("qz") == F.col("ez")), "left").select("qs", "qz", "base", "edge", "more", "ties")
-    return sized, goals, materialize(plan, "mix-plan")
+    plan = sized(q).join(edges, F.col("qs").eqNullSafe(F.col("es")) & (F.col("qz") == F.col("ez")), "left").select("qs", "qz", "base", "edge", "more", "ties")
+    return rows, goals, materialize(plan, "mix-plan")
 
 
 def size_of(text: Column) -> Column:
@@ -205,8 +210,7 @@ def hash_of(key: Column, text: Column) -> Column:
 
 def copied(rows: DataFrame, plan: DataFrame, source: str, size: str, h: str, broadcast_rows: int) -> DataFrame:
     """rows with their `copies_`. Ties that are split are rows alike; they are numbered part by part, so that no window holds them all."""
-    plan = F.broadcast(plan) if plan.count() <= broadcast_rows else plan
-    joined = rows.join(plan, F.col(source).eqNullSafe(F.col("qs")) & (F.col(size) == F.col("qz")), "left")
+    joined = rows.join(few(plan, broadcast_rows), F.col(source).eqNullSafe(F.col("qs")) & (F.col(size) == F.col("qz")), "left")
     tied = F.coalesce((F.col(h) == F.col("edge")) & (F.col("more") < F.col("ties")), F.lit(False))
     more = F.coalesce((F.col(h) <= F.col("edge")).cast("long"), F.lit(0))
     copies = F.when(F.col(size) == 0, F.lit(1)).otherwise(F.col("base") + more).cast("long")
@@ -232,8 +236,8 @@ def mix(docs: DataFrame, most: int = 3, steps: int = 6, blocks: int = 64, block_
     count as documents of their own and may get different copies. Null sources are a source. An empty table gives an
     empty result.
     """
-    sized, goals, plan = mix_plan(docs, most, steps, blocks, block_rows, id_col, text_col, source_col)
-    out = copied(sized, plan, "source", "size", "h", broadcast_rows)
+    rows, goals, plan = mix_plan(docs, most, steps, blocks, block_rows, id_col, text_col, source_col)
+    out = copied(rows, plan, "source", "size", "h", broadcast_rows)
     out = out.join(goals.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s")), "left")
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", F.col("copies_").alias("copies"), (F.col("copies_") * F.col("size")).alias("taken"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from portolan.llm.common import flat_words, freeing, materialize, text_slices
+from portolan.llm.common import few, flat_words, freeing, materialize, shuffled, text_slices
 
 _draw = random.Random(7)
 #: Odd multipliers, one for each coordinate that may be asked for.
@@ -97,8 +97,7 @@ def sketches(docs: DataFrame, shingle: int, coordinates: int, id_col: str, text_
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, broadcast_rows: int, id_col: str, text_col: str) -> DataFrame:
     """node, items: the whole set of each wanted (node, first_id, set_key). wanted is a written table."""
-    if wanted.count() <= broadcast_rows:  # some 40 bytes a row; beyond that the texts are shuffled
-        wanted = F.broadcast(wanted)
+    wanted = few(wanted, broadcast_rows)  # some 100 bytes a row; beyond that the texts are shuffled
     texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).join(wanted, F.col("id_").eqNullSafe(F.col("first_id")))
 
     def run(batches):
@@ -126,18 +125,19 @@ def agreeing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, most_small: int = 250_000) -> DataFrame:
     """node, label for each node of edges (a, b): the smallest node that it reaches.
 
-    Each round takes the smallest label around a node, then the label's own label, so that long chains halve.
+    Each round takes the smallest label around a node, then the label's own label, so that long chains halve. Up to `most_small` ends of edges Spark may broadcast.
     """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    sized = (lambda t: t) if both.count() <= most_small else shuffled  # no table here has more rows
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        moved = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("via"))
+        near = both.join(sized(labels.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        moved = labels.join(sized(near), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("next"))
-        after = materialize(moved.join(jump, "via").select("node", "old", F.least("via", "next").alias("label")), "labels")
+        after = materialize(moved.join(sized(jump), "via").select("node", "old", F.least("via", "next").alias("label")), "labels")
         labels = after.select("node", "label")
         if after.filter("label < old").isEmpty():
             return labels
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     # postings that somebody shares, and the classes that share enough of them
     posted = classes.select("node", F.posexplode("sig").alias("c", "v")).select("node", (F.shiftleft(F.col("c").cast("bigint"), 32) + F.col("v").cast("bigint") + F.lit(1 << 31)).alias("key"))
     counts = posted.groupBy("key").agg(F.count("*").alias("posts")).filter("posts > 1")
-    shared = materialize(posted.join(counts, "key"), "dedup-shared")
+    shared = materialize(posted.join(shuffled(counts), "key"), "dedup-shared")
     by_node = Window.partitionBy("node")
     lists = (
         shared.withColumn("mine", F.count("*").over(by_node)).filter(F.col("mine") >= matches)
@@ -170,19 +170,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
         .filter(F.col("nth") <= F.col("mine") - (matches - 1))
     )
     lists = lists.groupBy("node").agg(F.max("weight").alias("weight"), F.collect_list("key").alias("keys"))  # coordinates keys at most
-    active = materialize(lists.join(classes.select("node", "n", "sig", "set_key", "first_id"), "node"), "dedup-active")
+    active = materialize(lists.join(shuffled(classes.select("node", "n", "sig", "set_key", "first_id")), "node"), "dedup-active")
     lists = active.select("node", "weight", "n", F.explode("keys").alias("key"))
     sets = materialize(full_sets(docs, active.select("node", "first_id", "set_key"), shingle, broadcast_rows, id_col, text_col), "dedup-sets")
 
     def compared(pairs: DataFrame) -> DataFrame:
         """a, b, na, nb, common, own (what a has beside b) and lacking (what it lacks of b) for pairs that agree on enough coordinates."""
         sig = active.select("node", "sig", "n")
-        pairs = pairs.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
-        pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a")
+        pairs = pairs.join(shuffled(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))), "b")
+        pairs = pairs.join(shuffled(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))), "a")
         alike = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
         pairs = pairs.filter(alike & (agreeing(F.col("sa"), F.col("sb")) >= matches)).select("a", "b", "na", "nb")
-        pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
-        pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
+        pairs = pairs.join(shuffled(sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))), "a")
+        pairs = pairs.join(shuffled(sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))), "b")
         out = pairs.select("a", "b", "na", "nb", F.array_except("ia", "ib").alias("own"), F.array_except("ib", "ia").alias("lacking"))
         return out.withColumn("common", F.col("na") - F.size("own"))
 
@@ -193,12 +193,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
         best = F.max(F.struct("weight", F.col("node").alias("id")))
         if labels is None:
             hubs = open_lists.groupBy("key").agg(best.alias("hub"))
-            pairs = open_lists.join(hubs.select("key", F.col("hub.id").alias("hub")), "key").filter("node != hub")
+            pairs = open_lists.join(shuffled(hubs.select("key", F.col("hub.id").alias("hub"))), "key").filter("node != hub")
         else:  # the best of the classes outside the first hub's component
             first = open_lists.groupBy("key").agg(F.max(F.struct("weight", F.col("node").alias("id"), "label")).alias("top"))
-            rest = open_lists.join(first.select("key", F.col("top.label").alias("done")), "key")
+            rest = open_lists.join(shuffled(first.select("key", F.col("top.label").alias("done"))), "key")
             hubs = rest.filter("label != done").groupBy("key").agg(F.max(F.struct("weight", F.col("node").alias("id"), "label")).alias("hub"))
-            pairs = rest.join(hubs.select("key", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label")), "key").filter("node != hub and label != hub_label")
+            pairs = rest.join(shuffled(hubs.select("key", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"))), "key").filter("node != hub and label != hub_label")
         seen = compared(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
         seen = materialize(seen if first_hub is None else seen.drop("own", "lacking"), "dedup-hubs")
         first_hub = seen if first_hub is None else first_hub
@@ -207,20 +207,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
         labels = components(links)
 
     hub_of = lists.groupBy("key").agg(F.max(F.struct("weight", F.col("node").alias("id"))).alias("hub")).select("key", F.col("hub.id").alias("hub"))
-    left = _open(lists, labels).join(hub_of, "key").filter("node != hub")
-    left = left.join(first_hub.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.lit(True).alias("known")).distinct(), ["node", "hub"], "left")
+    left = _open(lists, labels).join(shuffled(hub_of), "key").filter("node != hub")
+    left = left.join(shuffled(first_hub.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.lit(True).alias("known")).distinct()), ["node", "hub"], "left")
     left = materialize(left.select("key", "node", "hub", "n", "label", F.coalesce("known", F.lit(False)).alias("known")), "dedup-open")
     here = left.filter("known").groupBy("node", "hub").agg(F.max("label").alias("label"))
-    apart = first_hub.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("na").alias("n"), F.col("nb").alias("hub_n"), "own", "lacking").join(here, ["node", "hub"])
+    apart = first_hub.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("na").alias("n"), F.col("nb").alias("hub_n"), "own", "lacking").join(shuffled(here), ["node", "hub"])
     near = _sharing_differences(apart, percent)
 
     # classes that were not compared with the hub meet all others of their lists
-    x = left.filter("not known").join(active.select("node", "sig", "keys"), "node")
-    x, y = (t.select(F.col("key").alias(f"{p}_key"), *[F.col(c).alias(f"{p}_{c}") for c in ("node", "n", "label", "known", "sig", "keys")]) for t, p in ((x, "x"), (left.join(active.select("node", "sig", "keys"), "node"), "y")))
+    told = shuffled(active.select("node", "sig", "keys"))
+    x = left.filter("not known").join(told, "node")
+    x, y = (t.select(F.col("key").alias(f"{p}_key"), *[F.col(c).alias(f"{p}_{c}") for c in ("node", "n", "label", "known", "sig", "keys")]) for t, p in ((x, "x"), (left.join(told, "node"), "y")))
     alike = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
     once = F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("x_key")
     one_way = F.col("y_known") | (F.col("x_node") < F.col("y_node"))
-    rest = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_label") != F.col("y_label")) & one_way & alike & (agreeing(F.col("x_sig"), F.col("y_sig")) >= matches) & once)
+    rest = x.join(shuffled(y), (F.col("x_key") == F.col("y_key")) & (F.col("x_label") != F.col("y_label")) & one_way & alike & (agreeing(F.col("x_sig"), F.col("y_sig")) >= matches) & once)
     rest = rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).unionByName(near).distinct()
     seen = compared(rest)
     more = materialize(seen.filter(linked).select("a", "b"), "dedup-more")
@@ -229,10 +230,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
         labels = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = classes.select("node", "set_key", "first_id").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = classes.select("node", "set_key", "first_id").join(shuffled(labels), "node", "left").join(shuffled(degree), "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialize(named, "dedup-named")
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(named.join(smallest, "label").select("set_key", "component_id", "node", "n_links"), "set_key", "left")
+    out = rows.select("doc_id", "n_shingles", "set_key").join(shuffled(named.join(shuffled(smallest), "label").select("set_key", "component_id", "node", "n_links")), "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("node").alias("class_id"))
 
@@ -251,7 +252,7 @@ def _sharing_differences(apart: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("size", F.size("items"))
     items = rows.select("node", "hub", "n", "label", "w", "w0", "size", F.explode("items").alias("item"))
     common = items.groupBy("hub", "item").agg(F.count("*").alias("df")).filter("df > 1")  # nothing is shared through the others
-    alone = items.join(common, ["hub", "item"]).withColumn("mine", F.count("*").over(Window.partitionBy("hub", "node")))
+    alone = items.join(shuffled(common), ["hub", "item"]).withColumn("mine", F.count("*").over(Window.partitionBy("hub", "node")))
     nth = F.row_number().over(Window.partitionBy("hub", "node").orderBy("df", "item")) + F.col("size") - F.col("mine")  # those of one class stand first
     ranked = alone.withColumn("nth", nth)
     probe = ranked.filter((F.col("w") > F.col("w0")) & (F.col("nth") <= F.col("size") - F.ceil((F.col("w") - F.col("w0")) / 100) + 1))
@@ -261,14 +262,14 @@ def _sharing_differences(apart: DataFrame, percent: int) -> DataFrame:
     most = 1 + F.least(F.col("x_size") - F.col("x_nth"), F.col("y_size") - F.col("y_nth"))
     alike = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
     on = (F.col("x_hub") == F.col("y_hub")) & (F.col("x_item") == F.col("y_item")) & (F.col("x_label") != F.col("y_label")) & alike & (most * both >= need)
-    return x.join(y, on).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    return x.join(shuffled(y), on).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The posting lists that lie in several components, with each class's label."""
-    labelled = lists.join(labels.select("node", F.col("label").alias("own_label")), "node", "left").withColumn("label", F.coalesce("own_label", "node")).drop("own_label")
+    labelled = lists.join(shuffled(labels.select("node", F.col("label").alias("own_label"))), "node", "left").withColumn("label", F.coalesce("own_label", "node")).drop("own_label")
     several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    return labelled.join(several, "key", "left_semi")
+    return labelled.join(shuffled(several), "key", "left_semi")
 
 
 def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -282,10 +283,10 @@ def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000, id_col: str = "do
     columns = [f"c{i}" for i in range(len(docs.columns))]  # no name can clash
     key, text = (F.col(columns[docs.columns.index(c)]) for c in (id_col, text_col))
     rows = docs.toDF(*columns)
-    few = lambda t: F.broadcast(t) if t.count() <= broadcast_rows else t  # noqa: E731  some 20 bytes an id; beyond that both sides are shuffled
-    single = rows.join(few(kept.filter("rows_ = 1")), key.eqNullSafe(F.col("kept_id_")), "left_semi")
+    # some 100 bytes an id; beyond that both sides are shuffled
+    single = rows.join(few(kept.filter("rows_ = 1"), broadcast_rows), key.eqNullSafe(F.col("kept_id_")), "left_semi")
     several = kept.filter("rows_ > 1")
     if not several.isEmpty():
-        alike = rows.join(few(several), key.eqNullSafe(F.col("kept_id_")), "left_semi").withColumns({"k1_": F.xxhash64(text), "k2_": F.length(text)})
+        alike = rows.join(few(several, broadcast_rows), key.eqNullSafe(F.col("kept_id_")), "left_semi").withColumns({"k1_": F.xxhash64(text), "k2_": F.length(text)})
         single = single.unionByName(alike.dropDuplicates([columns[docs.columns.index(id_col)], "k1_", "k2_"]).drop("k1_", "k2_"))
     return single.toDF(*docs.columns)

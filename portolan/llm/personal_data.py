@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.common import ascii_lower, let, materialize
+from portolan.llm.common import ascii_lower, few, let, materialize, shuffled
 
 KINDS = ("email", "ip", "card", "phone")
 #: The same matches as the plain patterns have; possessive quantifiers and the look-behinds only spare what must fail again.
@@ -143,11 +143,6 @@ def placed_terms(text: Column) -> Column:
     return F.flatten(let(_free(text), both)).cast(PLACES)
 
 
-def _few(table: DataFrame, most: int) -> DataFrame:
-    """A written table, for broadcast if its counted rows are at most `most`."""
-    return F.broadcast(table) if table.count() <= most else table
-
-
 def entities(base: Column) -> Column:
     """The values of a text's spans and the groups that they belong to."""
 
@@ -182,17 +177,17 @@ def disclosing(holders: DataFrame, texts: DataFrame, total: int, prior: float, g
     widest = stats.agg(F.max("high")).first()[0]
     if widest is None:
         return holders.select("tie", F.lit("").alias("term"), F.lit(0.0).alias("disclosure")).limit(0)
-    held = materialize(named.join(_few(stats, broadcast_rows), "entity").select("tie", "n", "a", "b", "n_entity", "low", "high").distinct(), "pii-held")
+    held = materialize(named.join(few(stats, broadcast_rows), "entity").select("tie", "n", "a", "b", "n_entity", "low", "high").distinct(), "pii-held")
 
     counted = texts.select(F.explode(distinct_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") <= widest)
     own = holders.select("tie", F.explode(distinct_terms(F.col("text"))).alias("term"))
-    near = own.join(counted, "term").select(F.col("tie").alias("near_tie"), "term", "n_term")
+    near = own.join(shuffled(counted), "term").select(F.col("tie").alias("near_tie"), "term", "n_term")
     inside = (F.col("tie") == F.col("near_tie")) & F.col("n_term").between(F.col("low"), F.col("high"))
-    met = materialize(near.join(held, inside).select("tie", "n", "a", "b", "n_entity", "term", "n_term"), "pii-met")
+    met = materialize(near.join(few(held, broadcast_rows), inside).select("tie", "n", "a", "b", "n_entity", "term", "n_term"), "pii-met")
     score = 1 + F.log((F.col("n_pair") + prior * F.col("n_entity") / total) / (F.col("n_term") + prior)) / F.log(total / F.col("n_entity"))
     pairs = met.groupBy("a", "b", "n_entity", "term", "n_term").agg(F.sum("n").alias("n_pair"))
     told = materialize(pairs.select("a", "b", "n_entity", "term", score.alias("disclosure")).filter(F.col("disclosure") >= generalise), "pii-told")
-    return met.join(_few(told, broadcast_rows), ["a", "b", "n_entity", "term"]).groupBy("tie", "term").agg(F.max("disclosure").alias("disclosure"))
+    return met.join(few(told, broadcast_rows), ["a", "b", "n_entity", "term"]).groupBy("tie", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def term_spans(marked: DataFrame, texts: DataFrame, total: int, prior: float, generalise: float, remove: float, broadcast_rows: int) -> DataFrame:
@@ -200,7 +195,8 @@ def term_spans(marked: DataFrame, texts: DataFrame, total: int, prior: float, ge
     holders = marked.filter(F.size("base") > 0).groupBy("tie").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("n"))
     holders = materialize(holders, "pii-holders")
     told = materialize(disclosing(holders, texts, total, prior, generalise, broadcast_rows), "pii-terms")
-    having = holders.join(told.select("tie").distinct(), "tie", "left_semi")
+    told = few(told, broadcast_rows)
+    having = holders.join(told.select("tie"), "tie", "left_semi")
     places = having.select("tie", F.explode(placed_terms(F.col("text"))).alias("t")).select("tie", "t.*")
     kind = F.when(F.col("disclosure") >= remove, "removed").otherwise("generalised")
     span = F.struct(kind.alias("kind"), "start", "end", F.col("term").alias("value"))
@@ -225,7 +221,9 @@ def personal_data(docs: DataFrame, prior: float = 1.0, generalise: float = 0.9,
 def with_terms(rows: DataFrame, terms: DataFrame, broadcast_rows: int) -> DataFrame:
     """rows (base, tie) with their terms under `terms`; only rows with an entity can have any, the others are not moved."""
     none = F.array().cast(SPAN)
-    named = _few(terms.select(F.col("tie").alias("of_tie"), "terms"), broadcast_rows // 10)
+    spans = terms.agg(F.sum(F.size("terms") + 1)).first()[0] or 0  # a text may have thousands
+    named = terms.select(F.col("tie").alias("of_tie"), "terms")
+    named = F.broadcast(named) if spans <= broadcast_rows else shuffled(named)
     bearing = rows.filter(F.size("base") > 0).join(named, F.col("tie") == F.col("of_tie"), "left").drop("of_tie").withColumn("terms", F.coalesce("terms", none))
     return rows.filter(F.size("base") == 0).withColumn("terms", none).unionByName(bearing)
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -72,3 +73,70 @@ def test_shards_are_bounded_by_bytes(spark):
         assert len(mine) == 10 and all(abs(r.score - far[r.vec_id]) <= 1e-14 * far[r.vec_id] * 24 for r in mine)  # single precision would be off by 1e-7
         hits += len({r.vec_id for r in mine} & set(best.tolist()))
     assert hits >= 0.9 * 900
+
+
+def below_broadcasts(df):
+    """For each broadcast of the plan of df, as first planned, the lines below it."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((k for k in range(i + 1, len(lines)) if depth[k] <= depth[i]), len(lines))
+            yield "\n".join(lines[i:end])
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """(label, what is broadcast) of all tables that the operators write."""
+    from portolan.llm import mixing, near_dedup, personal_data
+
+    seen = []
+    for module in (mixing, near_dedup, personal_data):
+        real = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, label, real=real: seen.append((label, list(below_broadcasts(df)))) or real(df, label))
+    return seen
+
+
+def texts_with_copies(spark, n=60):
+    rng = random.Random(4)
+    words = [[rng.choice("abcdefghijklmnop") * rng.randint(1, 9) for _ in range(60)] for _ in range(n // 3)]
+    rows = [(i, " ".join(w[: len(w) - k] + [f"x{i}"] * k) + f" mail{i}@host{i}.org", f"s{i % 3}") for i, (w, k) in enumerate((w, k) for w in words for k in range(3))]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+
+
+def test_nothing_exploded_is_broadcast(spark, written):
+    from portolan.llm.common import materialize
+    from portolan.llm.near_dedup import near_duplicates
+    from portolan.llm.personal_data import personal_data
+
+    docs = materialize(texts_with_copies(spark), "docs")  # a small file, which Spark would broadcast
+    verdicts = near_duplicates(docs)
+    rows, _ = personal_data(docs)
+    assert verdicts.filter("not kept").count() == 40 and rows.filter(F.size("base") > 0).count() == 60
+    found = [(label, x) for label, plans in [*written, ("verdicts", list(below_broadcasts(verdicts)))] for x in plans if "Generate" in x]
+    assert {"dedup-shared", "pii-met"} <= {label for label, _ in written} and not found
+
+
+def test_tables_beyond_the_limit_are_not_broadcast(spark):
+    from portolan.llm.common import few, materialize
+    from portolan.llm.mixing import copied
+
+    table = materialize(spark.range(4), "ids")  # Spark itself would broadcast so small a file
+    assert list(below_broadcasts(spark.range(9).join(few(table, 4), "id"))) and not list(below_broadcasts(spark.range(9).join(few(table, 3), "id")))
+    plan = materialize(spark.range(4).select(F.lit("s").alias("qs"), F.col("id").alias("qz"), F.lit(1).cast("long").alias("base"), F.lit(0).cast("long").alias("edge"), F.lit(1).cast("long").alias("more"), F.lit(1).cast("long").alias("ties")), "plan")
+    rows = materialize(spark.range(4).select(F.lit("s").alias("source"), F.col("id").alias("size"), (F.col("id") - 2).alias("h")), "rows")
+    few_, many = (copied(rows, plan, "source", "size", "h", most) for most in (4, 3))
+    assert list(below_broadcasts(few_)) and not list(below_broadcasts(many))
+    assert sorted(map(tuple, few_.collect())) == sorted(map(tuple, many.collect())) == [("s", 0, -2, 1), ("s", 1, -1, 2), ("s", 2, 0, 2), ("s", 3, 1, 1)]
+
+
+def test_terms_are_bounded_by_spans_not_by_texts(spark):
+    from portolan.llm.common import materialize
+    from portolan.llm.personal_data import SPAN, with_terms
+
+    span = F.struct(F.lit("removed").alias("kind"), F.lit(1).alias("start"), F.lit(2).alias("end"), F.lit("a").alias("value"))
+    terms = materialize(spark.range(2).select(F.col("id").cast("string").alias("tie"), F.array_repeat(span, 100).cast(SPAN).alias("terms")), "terms")
+    rows = materialize(spark.range(3).select(F.col("id").cast("string").alias("tie"), F.array(span).cast(SPAN).alias("base")), "rows")
+    out = with_terms(rows, terms, 150)
+    assert not list(below_broadcasts(out))
+    assert sorted(map(tuple, out.select("tie", F.size("terms")).collect())) == [("0", 100), ("1", 100), ("2", 0)]
