@@ -43,7 +43,8 @@ def spread(rows: DataFrame, *by: str) -> DataFrame:
 def meetings(entries: DataFrame, asked: DataFrame, busy: int = 5000) -> DataFrame:
     """query and the columns of entries: every pair of a distinct search and an entry that holds its rarest word, if all its words are held by some entry.
 
-    A word of more than `busy` entries is cut into shares.
+    A word of more than `busy` entries is cut into shares. Parts of words and searches are joined by shuffles: Spark
+    takes an explode for one row, so it would broadcast them while their table is small.
     """
     words = asked.select("query", F.explode(F.array_distinct(F.split("query", " "))).alias("word"))
     sizes = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())  # no more numbers than a search may have letters
@@ -53,10 +54,11 @@ def meetings(entries: DataFrame, asked: DataFrame, busy: int = 5000) -> DataFram
     busiest = tokens.filter(F.col("n_") > busy).select("token", shares.alias("shares_"))  # few: all words of the entries over `busy`
     held = held.join(F.broadcast(busiest), "token", "left").withColumn("share_", F.coalesce(F.pmod(F.xxhash64("entry"), F.col("shares_")).cast("int"), F.lit(0)))
     parts = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: grams(F.col("token"), n))))
-    holders = tokens.select("token", "n_", F.explode(parts).alias("word")).join(words.select("word").distinct(), "word", "left_semi")
+    holders = tokens.select("token", "n_", F.explode(parts).alias("word")).join(words.select("word").distinct().hint("merge"), "word", "left_semi")
     often = holders.groupBy("word").agg(F.sum("n_").alias("n_"))
-    rare = words.join(often, "word", "left").groupBy("query").agg(F.min_by("word", F.struct("n_", "word")).alias("word"), F.count_if(F.col("n_").isNull()).alias("unknown")).filter("unknown = 0").select("query", "word")
-    wanted = spread(rare, "word").join(holders.select("word", "token", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share_")), "word")
+    rare = words.join(often.hint("merge"), "word", "left").groupBy("query").agg(F.min_by("word", F.struct("n_", "word")).alias("word"), F.count_if(F.col("n_").isNull()).alias("unknown")).filter("unknown = 0").select("query", "word")
+    shared = holders.select("word", "token", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share_"))
+    wanted = shared.join(spread(rare, "word").hint("merge"), "word").select("query", "word", "token", "share_")  # the searches of a word are held, its many tokens go by
     met = spread(wanted, "token", "share_").join(spread(held, "token", "share_").hint("merge"), ["token", "share_"])
     met = met.filter((F.col("at_") == 0) | ~F.exists("held_", lambda t: F.contains(t, F.col("word"))))  # once, where several words of an entry hold it
     return met.select("query", *entries.columns)

@@ -110,3 +110,18 @@ def test_quantiles(spark, most, monkeypatch):
             low, high = own[math.floor(at)], own[math.ceil(at)]
             want[g] = low + (high - low) * (at - math.floor(at))
         assert got.keys() == want.keys() and all(math.isclose(got[g], want[g], abs_tol=1e-12) for g in want)
+
+
+def test_parts_of_words_are_not_broadcast(spark, tmp_path):
+    folder = str(tmp_path / "entries")  # a small file, which Spark would broadcast with all that is exploded from it
+    spark.range(300).selectExpr("id AS entry", "'t' AS title", "concat('p', id) AS code", "'brand 7' AS place", "'hot bolt' AS name", "'' AS land").coalesce(1).write.parquet(folder)
+    entries = spark.read.parquet(folder)
+    found = search.search(entries, entries.select(F.concat(F.lit("p "), F.col("entry")).alias("query")))
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    broadcasts = [i for i, x in enumerate(lines) if "BroadcastExchange" in x]
+    assert len(broadcasts) == sum("BroadcastHashJoin" in x for x in lines)
+    for i in broadcasts:  # only the words of more than `busy` entries
+        below = next(x for x, d in zip(lines[i + 1 :], depth[i + 1 :]) if "Filter" in x)
+        assert "> 5000" in below
+    assert found.filter("query = 'p 299'").select("rank", "entry", "score").collect()[0] == (1, 299, 0)
